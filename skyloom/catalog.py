@@ -1,6 +1,621 @@
-"""Queries of the imaging and analysis operators, and their SQL."""
+"""Queries of the imaging and analysis operators over the driver's tables, each beside its SQL."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import functions as fn
+from . import sources
+from .operators import calibration, deconvolution, fitting, gridding, images, selection
+from .plans import IMG, RET_LOG, VIS, img, ret_log, table, tidy, vis
+from .streaming import weight_windows
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+N, CELL = 64, 5e-5
+SCALE = f"(-(freq*({CELL!r}::DOUBLE)*{N})/299792458e0)"
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, and its SQL where there is one."""
+
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLE[name] = sql
+        return function
+
+    return add
+
+
+def r6(expression: str) -> str:
+    return f"round({expression}, 6)+0e0"
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: tidy(F.col(c)) for c in columns})
+
+
+# ---- kernels -------------------------------------------------------------------------------------------------------
+def _horner(cs: tuple[float, ...]) -> str:
+    return "+".join(f"({c!r}::DOUBLE)*pow(d,{k})" for k, c in enumerate(cs))
+
+
+def _spheroidal_sql(source: str) -> str:
+    (_, t0, b0), (_, t1, b1) = fn.SPHEROIDAL
+    return f"""SELECT k, x, CASE WHEN x < 0.75e0 THEN ({_horner(t0)})/({_horner(b0)}) ELSE ({_horner(t1)})/({_horner(b1)}) END AS g
+ FROM (SELECT k, x, x*x - CASE WHEN x < 0.75e0 THEN 0.5625e0 ELSE 1e0 END AS d FROM ({source}))"""
+
+
+KERNEL = f"kernel AS (SELECT k, CASE WHEN k < 300 THEN (1-x*x)*g ELSE 0e0 END AS kv FROM ({_spheroidal_sql('SELECT range AS k, least(range/300e0,1e0) AS x FROM range(400)')}))"
+
+
+@query("kernel_pswf_1d", f"WITH {KERNEL} SELECT k::INT AS k, {r6('kv')} AS kv FROM kernel")
+def kernel_pswf_1d(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("id") / 300
+    kv = F.when(F.col("id") < 300, (1 - x * x) * fn.spheroidal(x)).otherwise(0.0)
+    return spark.range(400).select(F.col("id").cast("int").alias("k"), tidy(kv).alias("kv"))
+
+
+@query(
+    "pswf_correction_image",
+    f"WITH c AS ({_spheroidal_sql('SELECT range AS k, abs(range-16)/16e0 AS x FROM range(32)')}) SELECT a.k::INT AS l, b.k::INT AS m, {r6('a.g*b.g')} AS value FROM c a, c b",
+)
+def pswf_correction_image(spark: SparkSession, sf: str) -> DataFrame:
+    one = lambda c: fn.spheroidal(F.abs(F.col(c) - 16) / 16)
+    at = spark.range(32 * 32).select((F.col("id") / 32).cast("int").alias("l"), (F.col("id") % 32).cast("int").alias("m"))
+    return at.select("l", "m", tidy(one("l") * one("m")).alias("value"))
+
+
+# ---- gridding ------------------------------------------------------------------------------------------------------
+POS = f"""pos AS (SELECT *, CASE WHEN flag THEN 0e0 ELSE weight END AS wt, u*{SCALE}+{N // 2} AS up, v*{SCALE}+{N // 2} AS vp FROM vis)"""
+CELLS = f"""cells AS (SELECT *, floor((ui-up)*100+0.5e0)::INT AS uo, floor((vi-vp)*100+0.5e0)::INT AS vo
+ FROM (SELECT *, trunc(up+0.5e0)::INT AS ui, trunc(vp+0.5e0)::INT AS vi FROM pos) WHERE ui-3>=0 AND vi-3>=0 AND ui+3<{N} AND vi+3<{N})"""
+
+
+def _grid_sql(chan: str, re: str, im: str) -> str:
+    return f"""WITH {VIS}, {KERNEL}, {POS}, {CELLS}, steps AS (SELECT (range-3)::INT AS d FROM range(7)),
+ foot AS (SELECT {chan} AS chan, pol, ui+a.d AS iu, vi+b.d AS iv, ku.kv*kv2.kv AS k, {re} AS re, {im} AS im FROM cells CROSS JOIN steps a CROSS JOIN steps b
+ JOIN kernel ku ON ku.k = abs(100*a.d+uo) JOIN kernel kv2 ON kv2.k = abs(100*b.d+vo) WHERE wt <> 0 AND ku.kv <> 0)
+ SELECT chan, pol, iu, iv, {r6('sum(k*re)')} AS re, {r6('sum(k*im)')} AS im FROM foot GROUP BY ALL"""
+
+
+@query("grid_standard_cube", _grid_sql("chan", "re*wt", "im*wt"))
+def grid_standard_cube(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.grid(vis(spark, sf), N, CELL), "re", "im")
+
+
+@query("grid_standard_continuum", _grid_sql("0", "re*wt", "im*wt"))
+def grid_standard_continuum(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.grid(vis(spark, sf), N, CELL, mode="continuum"), "re", "im")
+
+
+@query("grid_psf", _grid_sql("chan", "wt", "0e0"))
+def grid_psf(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.grid(vis(spark, sf), N, CELL, do_psf=True), "re", "im")
+
+
+@query(
+    "grid_sum_weight",
+    f"""WITH {VIS}, {KERNEL}, {POS}, {CELLS}, steps AS (SELECT (range-3)::INT AS d FROM range(7)), offs AS (SELECT (range-51)::INT AS o FROM range(103)),
+ tot AS (SELECT o, sum(kv) AS s FROM offs CROSS JOIN steps JOIN kernel ON k = abs(100*d+o) GROUP BY o)
+ SELECT chan, pol, {r6('sum(wt*a.s*b.s)')} AS sum_weight FROM cells JOIN tot a ON a.o = uo JOIN tot b ON b.o = vo GROUP BY chan, pol""",
+)
+def grid_sum_weight(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.sum_weight(vis(spark, sf), N, CELL), "sum_weight")
+
+
+DENSITY = f"""nc AS (SELECT event_id, chan, weight, trunc(up+0.5e0)::INT AS iu, trunc(vp+0.5e0)::INT AS iv, trunc({N}-up+0.5e0)::INT AS ju, trunc({N}-vp+0.5e0)::INT AS jv FROM pos WHERE NOT flag),
+ density AS (SELECT chan, iu, iv, sum(weight) AS density FROM (SELECT chan, weight, iu, iv FROM nc UNION ALL SELECT chan, weight, ju, jv FROM nc)
+ WHERE iu BETWEEN 0 AND {N - 1} AND iv BETWEEN 0 AND {N - 1} GROUP BY chan, iu, iv)"""
+
+
+@query("weights_density", f"WITH {VIS}, {POS}, {DENSITY} SELECT chan, iu, iv, {r6('density')} AS density FROM density")
+def weights_density(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.weight_density(vis(spark, sf), N, CELL), "density")
+
+
+def _weights_sql(factors: str) -> str:
+    return f"""WITH {VIS}, {POS}, {DENSITY}, sw AS (SELECT chan, 2*sum(weight) AS sw FROM nc GROUP BY chan), fac AS ({factors}),
+ new AS (SELECT event_id, CASE WHEN density IS NOT NULL AND density <> 0 THEN weight/(a*density+b) ELSE weight END AS nw FROM nc LEFT JOIN density USING (chan, iu, iv) JOIN fac USING (chan)
+ WHERE iu BETWEEN 0 AND {N - 1} AND iv BETWEEN 0 AND {N - 1})
+ SELECT event_id, {r6('coalesce(nw, 0e0)')} AS weight_imaging FROM vis LEFT JOIN new USING (event_id)"""
+
+
+def _weights(scheme: str):
+    return lambda spark, sf: rounded(gridding.imaging_weights(vis(spark, sf), scheme, 0.5, N, CELL), "weight_imaging")
+
+
+query("weights_natural", f"WITH {VIS} SELECT event_id, CASE WHEN flag THEN 0e0 ELSE weight END AS weight_imaging FROM vis")(_weights("natural"))
+query(
+    "weights_briggs",
+    _weights_sql(f"SELECT chan, ({(5.0 * 10.0 ** -0.5) ** 2!r}::DOUBLE)/(g2/sw) AS a, 1e0 AS b FROM (SELECT chan, sum(density*density) AS g2 FROM density GROUP BY chan) JOIN sw USING (chan)"),
+)(_weights("briggs"))
+query("weights_briggs_abs", _weights_sql("SELECT chan, 0.25e0 AS a, 2e0 AS b FROM sw"))(_weights("briggs_abs"))
+query("weights_uniform", _weights_sql("SELECT chan, 1e0 AS a, 0e0 AS b FROM sw"))(_weights("uniform"))
+
+
+@query("flag_mask_weights", f"WITH {VIS} SELECT event_id, CASE WHEN flag OR isnan(u) OR isnan(v) THEN 0e0 ELSE weight END AS wt FROM vis")
+def flag_mask_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return vis(spark, sf).select("event_id", gridding.effective_weight().alias("wt"))
+
+
+#: A model grid with a closed form.
+MODEL = f"model AS (SELECT c.range::INT AS chan, p.range::INT AS pol, a.range::INT AS iu, b.range::INT AS iv, (a.range*3+b.range)%11+0.5e0 AS gr, ((a.range+b.range*5)%7)::DOUBLE AS gi FROM range(4) c, range(2) p, range({N}) a, range({N}) b)"
+
+
+def model_grid(spark: SparkSession) -> DataFrame:
+    i = F.col("id")
+    at = spark.range(4 * 2 * N * N).select((i / (2 * N * N)).cast("int").alias("chan"), ((i / (N * N)).cast("int") % 2).alias("pol"), ((i / N).cast("int") % N).alias("iu"), (i % N).cast("int").alias("iv"))
+    return at.withColumns({"re": (F.col("iu") * 3 + F.col("iv")) % 11 + F.lit(0.5), "im": ((F.col("iu") + F.col("iv") * 5) % 7).cast("double")})
+
+
+def _degrid_sql(model: str, re: str, im: str) -> str:
+    return f"""WITH {VIS}, {KERNEL}, {POS}, {MODEL}, spots AS (SELECT *, floor((ui-up)*100+0.5e0)::INT AS uo, floor((vi-vp)*100+0.5e0)::INT AS vo
+ FROM (SELECT event_id, chan, pol, up, vp, round_even(up,0)::INT AS ui, round_even(vp,0)::INT AS vi FROM pos) WHERE ui-3>=0 AND vi-3>=0 AND ui+3<{N} AND vi+3<{N}),
+ steps AS (SELECT (range-3)::INT AS d FROM range(7)),
+ mean AS (SELECT event_id, sum(ku.kv*kv2.kv*{re})/sum(ku.kv*kv2.kv) AS re, sum(ku.kv*kv2.kv*{im})/sum(ku.kv*kv2.kv) AS im FROM spots CROSS JOIN steps a CROSS JOIN steps b
+ JOIN kernel ku ON ku.k = abs(100*a.d+uo) JOIN kernel kv2 ON kv2.k = abs(100*b.d+vo) {model} GROUP BY event_id)
+ SELECT event_id, {r6('coalesce(mean.re,0e0)')} AS re, {r6('coalesce(mean.im,0e0)')} AS im FROM vis LEFT JOIN mean USING (event_id)"""
+
+
+@query("degrid_constant", _degrid_sql("", "2e0", "0e0"))
+def degrid_constant(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.degrid(vis(spark, sf), None, N, CELL, constant=2.0), "re", "im")
+
+
+@query("degrid_model", _degrid_sql("LEFT JOIN model g ON g.chan=spots.chan AND g.pol=spots.pol AND g.iu=ui+a.d AND g.iv=vi+b.d", "coalesce(g.gr,0e0)", "coalesce(g.gi,0e0)"))
+def degrid_model(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.degrid(vis(spark, sf), model_grid(spark), N, CELL), "re", "im")
+
+
+@query("residual_vis", f"WITH {VIS} SELECT event_id, {r6('re-2e0')} AS re, {r6('im')} AS im FROM vis")
+def residual_vis(spark: SparkSession, sf: str) -> DataFrame:
+    return vis(spark, sf).select("event_id", tidy(F.col("re") - 2.0).alias("re"), tidy(F.col("im")).alias("im"))
+
+
+@query(
+    "single_dish_grid",
+    f"""WITH {VIS}, steps AS (SELECT (range-3)::INT AS d FROM range(7)), wide AS (SELECT pol, re, im, weight, x, y, round_even(x,0)::INT+a.d AS iu, round_even(y,0)::INT+b.d AS iv
+ FROM (SELECT *, u/40e0+32 AS x, v/40e0+32 AS y FROM vis WHERE NOT flag) CROSS JOIN steps a CROSS JOIN steps b),
+ near AS (SELECT *, (iu-x)*(iu-x)+(iv-y)*(iv-y) AS d2 FROM wide WHERE iu BETWEEN 0 AND 63 AND iv BETWEEN 0 AND 63)
+ SELECT pol, iu, iv, {r6('sum(exp(-d2)*weight*re)')} AS re, {r6('sum(-(exp(-d2)*weight)*im)')} AS im, {r6('sum(exp(-d2)*weight)')} AS weight FROM near WHERE d2 <= 9 GROUP BY pol, iu, iv""",
+)
+def single_dish_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.single_dish_grid(vis(spark, sf)), "re", "im", "weight")
+
+
+CF = "cf AS (SELECT c.range::INT AS cf, (a.range-1)::INT AS du, (b.range-1)::INT AS dv, 1e0/(1+c.range+abs(a.range-1)+abs(b.range-1)) AS k FROM range(3) c, range(3) a, range(3) b)"
+
+
+def cf_kernels(spark: SparkSession) -> DataFrame:
+    i = F.col("id")
+    at = spark.range(27).select((i / 9).cast("int").alias("cf"), ((i / 3).cast("int") % 3 - 1).alias("du"), (i % 3 - 1).cast("int").alias("dv"))
+    return at.withColumn("k", 1.0 / (1 + F.col("cf") + F.abs("du") + F.abs("dv")))
+
+
+def _classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Baseline classes by the dish types (antenna number mod 2) of either end, whichever comes first."""
+    return vis(spark, sf).withColumn("cf", (F.col("ant1") % 2 + F.col("ant2") % 2).cast("int"))
+
+
+@query("cf_baseline_map", f"WITH {VIS} SELECT DISTINCT ant1, ant2, (ant1%2+ant2%2)::INT AS cf FROM vis")
+def cf_baseline_map(spark: SparkSession, sf: str) -> DataFrame:
+    return _classes(spark, sf).select("ant1", "ant2", "cf").distinct()
+
+
+@query("cf_chan_map", f"WITH {VIS}, cfs AS (SELECT range::INT AS cf, 1.4e9+range*1.5e7 AS f FROM range(3)) SELECT chan, arg_min(cf, (abs(freq-f), cf))::INT AS cf FROM (SELECT DISTINCT chan, freq FROM vis) CROSS JOIN cfs GROUP BY chan")
+def cf_chan_map(spark: SparkSession, sf: str) -> DataFrame:
+    centres = F.array(*[F.struct(F.abs(F.col("freq") - (1.4e9 + i * 1.5e7)).alias("d"), F.lit(i).alias("cf")) for i in range(3)])
+    return vis(spark, sf).select("chan", "freq").distinct().select("chan", F.array_min(centres)["cf"].alias("cf"))
+
+
+@query(
+    "aperture_grid",
+    f"WITH {VIS}, {CF}, s AS (SELECT chan, pol, (ant1%2+ant2%2)::INT AS cf, sum(weight) AS w FROM vis WHERE NOT flag GROUP BY ALL) SELECT chan, pol, du+8 AS iu, dv+8 AS iv, {r6('sum(w*k)')} AS re FROM s JOIN cf USING (cf) GROUP BY ALL",
+)
+def aperture_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.aperture_grid(_classes(spark, sf), cf_kernels(spark)), "re")
+
+
+@query(
+    "mosaic_grid",
+    f"""WITH {VIS}, {POS}, {CF}, wide AS (SELECT chan, pol, trunc(up+0.5e0)::INT+du AS iu, trunc(vp+0.5e0)::INT+dv AS iv, k, re*weight AS re, im*weight AS im
+ FROM (SELECT *, (ant1%2+ant2%2)::INT AS cf FROM pos WHERE NOT flag) JOIN cf USING (cf))
+ SELECT chan, pol, iu, iv, round(sum(k*re), 8)+0e0 AS re, round(sum(k*im), 8)+0e0 AS im FROM wide WHERE iu BETWEEN 0 AND {N - 1} AND iv BETWEEN 0 AND {N - 1} GROUP BY ALL""",
+)
+def mosaic_grid(spark: SparkSession, sf: str) -> DataFrame:
+    out = gridding.mosaic_grid(_classes(spark, sf), cf_kernels(spark), N, CELL)
+    return out.withColumns({c: tidy(F.col(c), 8) for c in ("re", "im")})  # exact decimals: six digits would be ties
+
+
+# ---- images --------------------------------------------------------------------------------------------------------
+def _dft_sql(source: str, sign: int, scale: str, extra: str = "") -> str:
+    phase = f"{sign}*2*pi()*((k.l-4)*(x.l-4)+(k.m-4)*(x.m-4))/8e0"
+    return f"""SELECT x.plane, x.chan, k.l, k.m, {scale}*sum(x.re*cos({phase})-x.im*sin({phase})) AS re, {scale}*sum(x.re*sin({phase})+x.im*cos({phase})) AS im
+ FROM {source} x CROSS JOIN (SELECT a.range::INT AS l, b.range::INT AS m FROM range(8) a, range(8) b) k GROUP BY x.plane, x.chan, k.l, k.m {extra}"""
+
+
+CX = "cx AS (SELECT plane, chan, l, m, value AS re, 0e0 AS im FROM img)"
+
+
+@query("fft_plane", f"WITH {IMG}, {CX}, f AS ({_dft_sql('cx', -1, '1e0')}) SELECT plane, chan, l, m, {r6('re')} AS re, {r6('im')} AS im FROM f")
+def fft_plane(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(images.fft(img(spark, sf)), "re", "im")
+
+
+@query("ifft_plane", f"WITH {IMG}, {CX}, f AS ({_dft_sql('cx', 1, '(1e0/64)')}) SELECT plane, chan, l, m, {r6('re')} AS re, {r6('im')} AS im FROM f")
+def ifft_plane(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(images.fft(img(spark, sf), inverse=True), "re", "im")
+
+
+@query("remove_padding", f"WITH {IMG} SELECT plane, chan, l-2 AS l, m-2 AS m, value FROM img WHERE l BETWEEN 2 AND 5 AND m BETWEEN 2 AND 5")
+def remove_padding(spark: SparkSession, sf: str) -> DataFrame:
+    return images.remove_padding(img(spark, sf), 8, 4)
+
+
+@query("pad_image", f"WITH {IMG} SELECT plane, chan, l+4 AS l, m+4 AS m, value FROM img")
+def pad_image(spark: SparkSession, sf: str) -> DataFrame:
+    return images.pad(img(spark, sf), 8, 16)
+
+
+#: A primary beam and a kernel correction with closed forms.
+PB = "exp(-((l-4)*(l-4)+(m-4)*(m-4))/16e0)"
+CORR = "(1e0+(l+m)/14e0)"
+
+
+def _pb():
+    d = lambda c: (F.col(c) - 4) * (F.col(c) - 4)
+    return F.exp(-(d("l") + d("m")) / 16.0)
+
+
+def _corr():
+    return 1.0 + (F.col("l") + F.col("m")) / 14.0
+
+
+def _norm(kind: str, limit: float):
+    return lambda spark, sf: rounded(images.normalize(img(spark, sf), F.lit(2.5), _corr(), _pb(), kind, limit), "value")
+
+
+query("normalize_flat_noise", f"WITH {IMG} SELECT plane, chan, l, m, {r6(f'value/2.5e0/({CORR}*{PB})')} AS value FROM img")(_norm("flat_noise", 0.0))
+query("normalize_flat_sky", f"WITH {IMG} SELECT plane, chan, l, m, CASE WHEN {PB} < 0.3e0 THEN 'nan'::DOUBLE ELSE {r6(f'value/2.5e0/({CORR}*{PB}*{PB})')} END AS value FROM img")(_norm("flat_sky", 0.3))
+query("normalize_none", f"WITH {IMG} SELECT plane, chan, l, m, {r6('value')} AS value FROM img")(_norm("none", 0.0))
+query("apply_pb_mul", f"WITH {IMG} SELECT plane, chan, l, m, {r6(f'value*{PB}')} AS value FROM img")(lambda spark, sf: rounded(images.apply_pb(img(spark, sf), _pb()), "value"))
+query("apply_pb_div", f"WITH {IMG} SELECT plane, chan, l, m, CASE WHEN l = 0 THEN 'nan'::DOUBLE ELSE {r6(f'value/{PB}')} END AS value FROM img")(
+    lambda spark, sf: rounded(images.apply_pb(img(spark, sf), F.when(F.col("l") == 0, 0.0).otherwise(_pb()), False), "value")
+)
+
+
+def _j1_sql(x: str, n: int) -> str:
+    return f"(SELECT avg(cos(2*pi()*range/{n}e0-({x})*sin(2*pi()*range/{n}e0))) FROM range({n}))"
+
+
+def _beam(spark: SparkSession, dish: float) -> DataFrame:
+    at = spark.range(64).select((F.col("id") / 8).cast("int").alias("l"), (F.col("id") % 8).cast("int").alias("m"))
+    return at.withColumn("r", images.radius(8, 2e-5) * (2 * math.pi * 1e11 / fn.LIGHT) * (dish / 2))
+
+
+RAD = "SELECT (range//8)::INT AS l, (range%8)::INT AS m, sqrt(pow(((range//8)-4)*2e-5,2)+pow(((range%8)-4)*2e-5,2))*(2*pi()*1e11/299792458e0)*{} AS r FROM range(64)"
+
+
+@query(
+    "airy_pb",
+    f"SELECT l, m, {r6('CASE WHEN r = 0 THEN 1e0 ELSE pow((2*' + _j1_sql('r', 60) + '/r-2*(0.75e0/10.7e0)*' + _j1_sql('r*(0.75e0/10.7e0)', 60) + '/r)/(1-pow(0.75e0/10.7e0,2)),2) END')} AS value FROM ({RAD.format('5.35e0')}) q",
+)
+def airy_pb(spark: SparkSession, sf: str) -> DataFrame:
+    return _beam(spark, 10.7).select("l", "m", tidy(fn.airy(F.col("r"), 2, 0.75 / 10.7)).alias("value"))
+
+
+@query(
+    "casa_airy_pb",
+    f"SELECT l, m, {r6('CASE WHEN r = 0 THEN 1e0 ELSE pow((16*2*' + _j1_sql('r', 120) + '/r-2*' + _j1_sql('r*4', 120) + '/(r*4))/15,1) END')} AS value FROM ({RAD.format('2e0')}) q",
+)
+def casa_airy_pb(spark: SparkSession, sf: str) -> DataFrame:
+    return _beam(spark, 4.0).select("l", "m", tidy(fn.casa_airy(F.col("r"), 1, 4.0, 1.0)).alias("value"))
+
+
+#: Four correlations of each event with closed forms.
+CORRS = ("value", "value*0.25e0+1"), ("value*0.5e0", "2e0-value"), ("value*0.125e0", "value*2"), ("3e0-value", "value*0.75e0")
+
+
+def _corr_parts():
+    v = F.col("value")
+    return [(v, v * 0.25 + 1), (v * 0.5, 2.0 - v), (v * 0.125, v * 2), (3.0 - v, v * 0.75)]
+
+
+def _linear_sql(rows: dict, parts) -> str:
+    out = []
+    for name, row in rows.items():
+        re, im = ["0e0"], ["0e0"]
+        for c, (a, b) in zip(row, parts):
+            c = complex(c)
+            if c.real:
+                re.append(f"({c.real})::DOUBLE*({a})")
+                im.append(f"({c.real})::DOUBLE*({b})")
+            if c.imag:
+                re.append(f"({-c.imag})::DOUBLE*({b})")
+                im.append(f"({c.imag})::DOUBLE*({a})")
+        out += [f"{r6('+'.join(re))} AS {name.lower()}_re", f"{r6('+'.join(im))} AS {name.lower()}_im"]
+    return "SELECT event_id, " + ", ".join(out) + " FROM events"
+
+
+def _stokes(spark: SparkSession, sf: str, found: dict) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", *[tidy(c).alias(f"{k.lower()}_{p}") for k, v in found.items() for p, c in zip(("re", "im"), v)])
+
+
+query("stokes_linear_4", _linear_sql(images.TO_STOKES["linear"], CORRS))(lambda spark, sf: _stokes(spark, sf, images.corr_to_stokes(_corr_parts(), "linear")))
+query("stokes_circular_4", _linear_sql(images.TO_STOKES["circular"], CORRS))(lambda spark, sf: _stokes(spark, sf, images.corr_to_stokes(_corr_parts(), "circular")))
+query("stokes_linear_2", _linear_sql({"I": (1, 1), "Q": (1, -1)}, (CORRS[0], CORRS[3])))(lambda spark, sf: _stokes(spark, sf, images.corr_to_stokes([_corr_parts()[0], _corr_parts()[3]], "linear")))
+query("stokes_to_corr", _linear_sql(dict(zip(images.LABELS["linear"], images.FROM_STOKES["linear"])), CORRS))(lambda spark, sf: _stokes(spark, sf, images.stokes_to_corr(_corr_parts(), "linear")))
+query("moment_max", f"WITH {IMG} SELECT chan, l, m, max(value) AS value FROM img GROUP BY chan, l, m")(lambda spark, sf: images.moment_max(img(spark, sf)))
+query("image_masksum", f"WITH {IMG} SELECT plane, chan, count(*) FILTER (value > 0) AS masksum FROM img GROUP BY plane, chan")(lambda spark, sf: images.masksum(img(spark, sf), F.col("value") > 0))
+query("image_peak_residual", f"WITH {IMG} SELECT plane, chan, arg_max(value, (abs(value), -(l*65536+m))) AS peak FROM img GROUP BY plane, chan")(lambda spark, sf: images.peak_residual(img(spark, sf)))
+query("make_mask_threshold", f"WITH {IMG} SELECT plane, chan, l, m, value >= 0.1e0 AS mask, NOT (value >= 0.1e0) AS mask0 FROM img")(lambda spark, sf: images.make_mask(img(spark, sf), 0.1).drop("value"))
+query("make_mask_combine", f"WITH {IMG} SELECT plane, chan, l, m, value >= 0.1e0 AND l > 2 AS mask, NOT (value >= 0.1e0 AND l > 2) AS mask0 FROM img")(
+    lambda spark, sf: images.make_mask(img(spark, sf), 0.1, F.col("l") > 2).drop("value")
+)
+
+
+def _turn_sql(x0: float, y0: float, t: float) -> tuple[str, str]:
+    c, s = f"({math.cos(t)!r}::DOUBLE)", f"({math.sin(t)!r}::DOUBLE)"
+    return f"((l-{x0}e0)*{c}+(m-{y0}e0)*{s})", f"((m-{y0}e0)*{c}-(l-{x0}e0)*{s})"
+
+
+_A, _B = _turn_sql(3.5, 4.0, 0.4)
+query("disk_model", f"WITH {IMG} SELECT plane, chan, l, m, {r6(f'CASE WHEN ({_A}/3)*({_A}/3)+({_B}/1.5e0)*({_B}/1.5e0) <= 1 THEN value+2 ELSE value END')} AS value FROM img")(
+    lambda spark, sf: rounded(images.make_disk(img(spark, sf), 2.0, 3.5, 4.0, 3.0, 1.5, 0.4), "value")
+)
+query("gauss_model", f"WITH {IMG} SELECT plane, chan, l, m, {r6(f'value+2*exp(-4*ln(2e0)*(({_A}/3)*({_A}/3)+({_B}/1.5e0)*({_B}/1.5e0)))')} AS value FROM img")(
+    lambda spark, sf: rounded(images.make_gauss2d(img(spark, sf), 2.0, 3.5, 4.0, 3.0, 1.5, 0.4), "value")
+)
+SRC = "src AS (SELECT ((s_suppkey*37)%1100)/50e0-1 AS x, ((s_suppkey*53)%1100)/50e0-1 AS y, s_nationkey::DOUBLE AS amp FROM supplier), spots AS (SELECT *, floor(x+0.5e0)::INT AS l, floor(y+0.5e0)::INT AS m FROM src)"
+
+
+def _src(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda k: F.col("s_suppkey") * k % 1100 / 50 - 1
+    return table(spark, sf, "supplier").select(at(37).alias("x"), at(53).alias("y"), F.col("s_nationkey").cast("double").alias("amp"))
+
+
+def _src_sql(where: str) -> str:
+    return f"WITH {SRC} SELECT greatest(0, least(19, l))::INT AS l, greatest(0, least(19, m))::INT AS m, sum(amp) AS amp FROM spots {where} GROUP BY 1, 2"
+
+
+for _policy, _where in (("ignore", "WHERE x BETWEEN 0 AND 19 AND y BETWEEN 0 AND 19"), ("ignore_sloppy", "WHERE x BETWEEN -0.5 AND 19.5 AND y BETWEEN -0.5 AND 19.5"), ("clip", "")):
+    query(f"pt_sources_{_policy}", _src_sql(_where))(lambda spark, sf, p=_policy: images.point_sources(_src(spark, sf), 20, p))
+
+
+@query(
+    "feather_planes",
+    f"""WITH {IMG}, hi AS (SELECT plane, chan, l, m, value AS re, 0e0 AS im FROM img), lo AS (SELECT plane, chan, l, m, value*0.5e0+0.1e0 AS re, 0e0 AS im FROM img),
+ a AS ({_dft_sql('hi', -1, '1e0')}), b AS ({_dft_sql('lo', -1, '1e0')}), w AS (SELECT a.plane, a.chan, a.l, a.m, exp(-(pi()*pi())/(4*ln(2e0))*(9*pow((a.l-4)/8e0,2)+4*pow((a.m-4)/8e0,2))) AS w, a.re, a.im, b.re AS re2, b.im AS im2
+ FROM a JOIN b USING (plane, chan, l, m)), uv AS (SELECT plane, chan, l, m, ((1-w)*re+1.5e0*re2*w)/((1-w)+w) AS re, ((1-w)*im+1.5e0*im2*w)/((1-w)+w) AS im FROM w),
+ f AS ({_dft_sql('uv', 1, '(1e0/64)')}) SELECT plane, chan, l, m, {r6('re')} AS value FROM f""",
+)
+def feather_planes(spark: SparkSession, sf: str) -> DataFrame:
+    high = img(spark, sf)
+    low = high.withColumn("value", F.col("value") * 0.5 + 0.1)
+    return rounded(images.feather(high, low, 8, 3.0, 2.0, omega=1.5), "value")
+
+
+# ---- selection -----------------------------------------------------------------------------------------------------
+def _poly_sql(corners: tuple) -> str:
+    out = "false"
+    for (x0, y0), (x1, y1) in zip(corners, corners[1:] + corners[:1]):
+        out = f"(({out}) <> ((({y0}e0) > m) <> (({y1}e0) > m) AND l < (({x1 - x0!r})::DOUBLE)*(m-{y0}e0)/(({y1 - y0!r})::DOUBLE)+{x0}e0))"
+    return out
+
+
+REGIONS = {
+    "box": ("box[[1pix,2pix],[5pix,6pix]]", "l BETWEEN 1 AND 5 AND m BETWEEN 2 AND 6"),
+    "centerbox": ("centerbox[[4pix,3pix],[3pix,4pix]]", "abs(l-4) <= 1.5e0 AND abs(m-3) <= 2"),
+    "rotbox": ("rotbox[[4pix,4pix],[5pix,2.5pix]] theta_m=0.5rad", f"abs({_turn_sql(4, 4, 0.5)[0]}) <= 2.5e0 AND abs({_turn_sql(4, 4, 0.5)[1]}) <= 1.25e0"),
+    "circle": ("circle[[4pix,4pix],2.5pix]", "(l-4)*(l-4)+(m-4)*(m-4) <= 6.250000001e0"),
+    "annulus": ("annulus[[4pix,4pix],[1pix,3pix]]", "(l-4)*(l-4)+(m-4)*(m-4) BETWEEN 1 AND 9"),
+    "ellipse": ("ellipse[[4pix,4pix],[3.3pix,1.7pix]] theta_m=0.3rad", f"pow({_turn_sql(4, 4, 0.3)[0]}/3.3e0,2)+pow({_turn_sql(4, 4, 0.3)[1]}/1.7e0,2) <= 1.000000001e0"),
+    "poly": (
+        "poly[[0.5pix,0.5pix],[6.5pix,1.5pix],[3.2pix,6.5pix]]",
+        _poly_sql(((0.5, 0.5), (6.5, 1.5), (3.2, 6.5))),
+    ),
+}
+for _shape, (_text, _sql) in REGIONS.items():
+    query(f"select_{_shape}", f"WITH {IMG} SELECT plane, chan, l, m, value FROM img WHERE {_sql}")(lambda spark, sf, t=_text: img(spark, sf).where(selection.crtf(t)))
+query("select_crtf_multi", f"WITH {IMG} SELECT plane, chan, l, m, value FROM img WHERE ({REGIONS['box'][1]} OR {REGIONS['circle'][1]}) AND NOT ({REGIONS['annulus'][1]})")(
+    lambda spark, sf: img(spark, sf).where(selection.crtf("#CRTFv0\nglobal coord=pix\nbox[[1pix,2pix],[5pix,6pix]]\n+circle[[4pix,4pix],2.5pix]; -annulus[[4pix,4pix],[1pix,3pix]]"))
+)
+query("select_expr", f"WITH {IMG} SELECT plane, chan, l, m, value FROM img WHERE ((value > 0) <> (l > 3)) AND NOT (m < 2)")(
+    lambda spark, sf: img(spark, sf).where(selection.expression("(bright ^ right) & ~low", {"bright": F.col("value") > 0, "right": F.col("l") > 3, "low": F.col("m") < 2}))
+)
+query("apply_select_nan", f"WITH {IMG} SELECT plane, chan, l, m, CASE WHEN {REGIONS['circle'][1]} THEN value ELSE 'nan'::DOUBLE END AS value FROM img")(
+    lambda spark, sf: selection.apply_select(img(spark, sf), selection.select_mask(REGIONS["circle"][0]))
+)
+
+
+# ---- deconvolution -------------------------------------------------------------------------------------------------
+LINE = (0.0, 0.05, 0.1, 0.4, 1.0, 0.4, 0.1, 0.05)
+PSF = np.outer(LINE, LINE)
+
+
+def _clean_sql(rounds: int) -> str:
+    steps = [f"r0 AS (SELECT plane, chan, l, m, value, 0e0 AS model FROM img), h AS (SELECT range::INT AS i, [{','.join(f'{x}e0' for x in LINE)}][range+1] AS x FROM range(8))"]
+    for k in range(rounds):
+        steps.append(f"p{k} AS (SELECT plane, arg_max(l, (abs(value), -(l*65536+m))) AS pl, arg_max(m, (abs(value), -(l*65536+m))) AS pm, arg_max(value, (abs(value), -(l*65536+m)))*0.1e0 AS g FROM r{k} GROUP BY plane)")
+        steps.append(
+            f"r{k + 1} AS (SELECT r.plane, r.chan, r.l, r.m, r.value-coalesce(p.g*a.x*b.x,0e0) AS value, r.model+CASE WHEN r.l = p.pl AND r.m = p.pm THEN p.g ELSE 0e0 END AS model "
+            f"FROM r{k} r JOIN p{k} p USING (plane) LEFT JOIN h a ON a.i = r.l-p.pl+4 LEFT JOIN h b ON b.i = r.m-p.pm+4)"
+        )
+    return f"WITH {IMG}, {', '.join(steps)} SELECT plane, chan, l, m, {r6('model')} AS model, {r6('value')} AS residual FROM r{rounds}"
+
+
+for _n in (1, 3):
+    query(f"clean_{_n}iter", _clean_sql(_n))(lambda spark, sf, n=_n: rounded(deconvolution.deconvolve(img(spark, sf), PSF, 0.1, n).drop("iterations"), "model", "residual"))
+
+
+@query("clean_full")
+def clean_full(spark: SparkSession, sf: str) -> DataFrame:
+    return deconvolution.deconvolve(img(spark, sf), PSF, 0.1, 100, 0.01)
+
+
+@query("deconvolve_stats")
+def deconvolve_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return deconvolution.deconvolve_stats(img(spark, sf), PSF, niter=50, threshold=0.01)
+
+
+LAST = f"last AS (SELECT chan, pol, arg_max(peakres, cycle) AS peakres, arg_max(masksum, cycle) AS masksum, sum(iter_done) AS iterations, arg_max(model_flux, cycle) AS model_flux, arg_max(max_psf_sidelobe, cycle) AS max_psf_sidelobe FROM ret_log GROUP BY chan, pol)"
+
+
+def _rl(column: str, sql: str):
+    query(f"retlog_{column}", f"WITH {RET_LOG}, {LAST} SELECT {sql} AS {column} FROM last")(lambda spark, sf: deconvolution.summary(ret_log(spark, sf)).select(column))
+
+
+_rl("peakres", "coalesce(max(abs(peakres)) FILTER (masksum <> 0), 0e0)")
+_rl("masksum", "sum(masksum)::BIGINT")
+_rl("iterations", "sum(iterations)::BIGINT")
+_rl("model_flux", "sum(model_flux)")
+_rl("max_psf_sidelobe", "max(max_psf_sidelobe)")
+
+
+def _logs(spark: SparkSession, sf: str) -> list[DataFrame]:
+    log = ret_log(spark, sf)
+    return [log.where("cycle % 2 = 0 or chan < 2"), log.where("cycle % 2 = 1 and chan >= 2")]
+
+
+query(
+    "retlog_merge_update", f"WITH {RET_LOG} SELECT *, 0 AS seq FROM ret_log WHERE cycle%2=0 OR chan<2 UNION ALL SELECT *, 1 AS seq FROM ret_log WHERE cycle%2=1 AND chan>=2"
+)(lambda spark, sf: deconvolution.merge_logs(_logs(spark, sf), "update"))
+query(
+    "retlog_merge_latest",
+    f"WITH {RET_LOG}, u AS (SELECT *, 0 AS seq FROM ret_log WHERE cycle%2=0 OR chan<2 UNION ALL SELECT *, 1 AS seq FROM ret_log WHERE cycle%2=1 AND chan>=2) SELECT * FROM u QUALIFY seq = max(seq) OVER (PARTITION BY chan, pol)",
+)(lambda spark, sf: deconvolution.merge_logs(_logs(spark, sf), "latest"))
+query(
+    "convergence_history",
+    f"WITH {RET_LOG} SELECT chan, pol, cycle, (sum(iter_done) OVER (PARTITION BY chan, pol ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS cum_iter, abs(peakres) AS peakres, model_flux AS flux FROM ret_log",
+)(lambda spark, sf: deconvolution.convergence(ret_log(spark, sf)))
+query(
+    "cycle_controls",
+    f"WITH {RET_LOG}, {LAST} SELECT chan, pol, 500 AS cycleniter, greatest(greatest(least(max_psf_sidelobe*1.5e0, 0.8e0), 0.05e0)*abs(peakres), 0.1e0) AS cyclethreshold FROM last",
+)(
+    lambda spark, sf: deconvolution.last_of(ret_log(spark, sf)).select(
+        "chan", "pol", F.lit(500).alias("cycleniter"), F.greatest(F.greatest(F.least(F.col("max_psf_sidelobe") * 1.5, F.lit(0.8)), F.lit(0.05)) * F.abs("peakres"), F.lit(0.1)).alias("cyclethreshold")
+    )
+)
+
+
+# ---- visibilities and calibration ----------------------------------------------------------------------------------
+OLD, NEW = (1.0, 0.5), (1.0002, 0.5001)
+
+
+def _shift_sql() -> str:
+    r = calibration.rotation(OLD, NEW)
+    s, c, sd, cd = math.sin(OLD[0]), math.cos(OLD[0]), math.sin(OLD[1]), math.cos(OLD[1])
+    d = np.array([[-s, c, 0.0], [-sd * c, -sd * s, cd], [cd * c, cd * s, sd]]) @ (calibration.direction(*OLD) - calibration.direction(*NEW))
+    k = [f"({float(x)!r}::DOUBLE)" for x in d]
+    turned = [f"{r6('+'.join(f'{a}*({float(r[i, j])!r}::DOUBLE)' for j, a in enumerate('uvw')))} AS {'uvw'[i]}" for i in range(3)]
+    p = f"(2*pi()*(u*{k[0]}+v*{k[1]}+w*{k[2]})*freq/299792458e0)"
+    return f"WITH {VIS} SELECT event_id, {', '.join(turned)}, {r6(f're*cos({p})-im*sin({p})')} AS re, {r6(f're*sin({p})+im*cos({p})')} AS im FROM vis"
+
+
+@query("phase_shift", _shift_sql())
+def phase_shift(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(calibration.phase_shift(vis(spark, sf), OLD, NEW).select("event_id", "u", "v", "w", "re", "im"), "u", "v", "w", "re", "im")
+
+
+@query(
+    "spectral_interp",
+    f"""WITH {VIS}, s AS (SELECT pol, ant1, freq, sum(weight) AS value FROM vis GROUP BY ALL), st AS (SELECT pol, ant1, freq AS f0, value AS v0, lead(freq) OVER w AS f1, lead(value) OVER w AS v1,
+ row_number() OVER w AS k, count(*) OVER (PARTITION BY pol, ant1) AS n FROM s WINDOW w AS (PARTITION BY pol, ant1 ORDER BY freq)), o AS (SELECT 1.398e9+range*5e6 AS out_freq FROM range(8))
+ SELECT pol, ant1, out_freq, {r6('coalesce(max(CASE WHEN out_freq >= f0 AND (out_freq < f1 OR (k = n-1 AND out_freq = f1)) THEN v0+(v1-v0)*(out_freq-f0)/(f1-f0) END), 0e0)')} AS value FROM st CROSS JOIN o WHERE f1 IS NOT NULL GROUP BY ALL""",
+)
+def spectral_interp(spark: SparkSession, sf: str) -> DataFrame:
+    samples = vis(spark, sf).groupBy("pol", "ant1", "freq").agg(F.sum("weight").alias("value"))
+    targets = spark.range(8).select((F.lit(1.398e9) + F.col("id") * 5e6).alias("out_freq"))
+    return rounded(calibration.interpolate_channels(samples, ["pol", "ant1"], targets), "value")
+
+
+@query("fringe_spacings", "SELECT range AS n, 1e0/(range*2.5e0)/8e0 AS spacing FROM range(1, 65)")
+def fringe_spacings(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(1, 65).select(F.col("id").alias("n"), (1.0 / (F.col("id") * 2.5) / 8.0).alias("spacing"))
+
+
+def _fringe_vis(spark: SparkSession, sf: str) -> DataFrame:
+    """Baselines to antenna 0 with a phase, a delay and a rate by antenna."""
+    i = F.col("id")
+    at = spark.range(5 * 16 * 16 * 2).select((i % 5 + 1).cast("int").alias("ant2"), ((i / 5).cast("int") % 16 * 2.0).alias("t"), (F.lit(1.4e9) + (i / 80).cast("int") % 16 * 1e6).alias("freq"), ((i / 1280).cast("int")).alias("pol"))
+    phase = F.lit(2 * math.pi) * (F.col("ant2") * 1e-8 * (F.col("freq") - 1.4e9)) + 0.1 * F.col("ant2")
+    return at.select(F.lit(0).alias("ant1"), "ant2", "t", "freq", "pol", F.cos(phase).alias("re"), F.sin(phase).alias("im"), F.lit(1.0).alias("weight"))
+
+
+@query("fringe_fit")
+def fringe_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return calibration.fringe_fit(_fringe_vis(spark, sf), 0)
+
+
+CAL = "cal AS (SELECT a.range::INT AS ant, p.range::INT AS pol, 0.1e0*a.range AS phase, 1e-9*(a.range+p.range) AS delay, 1e-14*a.range AS rate FROM range(8) a, range(2) p)"
+
+
+@query(
+    "apply_cal",
+    f"""WITH {VIS}, {CAL}, ph AS (SELECT x.event_id, x.re, x.im, coalesce(b.phase+2*pi()*(b.delay*(freq-1.4e9)+1.4e9*b.rate*(t-1.7e9)),0e0)-coalesce(a.phase+2*pi()*(a.delay*(freq-1.4e9)+1.4e9*a.rate*(t-1.7e9)),0e0) AS p
+ FROM vis x LEFT JOIN cal a ON a.ant = ant1 AND a.pol = x.pol LEFT JOIN cal b ON b.ant = ant2 AND b.pol = x.pol) SELECT event_id, {r6('re*cos(p)-im*sin(p)')} AS re, {r6('re*sin(p)+im*cos(p)')} AS im FROM ph""",
+)
+def apply_cal(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("id")
+    cal = spark.range(16).select((i / 2).cast("int").alias("ant"), (i % 2).cast("int").alias("pol"))
+    cal = cal.withColumns({"phase": 0.1 * F.col("ant"), "delay": 1e-9 * (F.col("ant") + F.col("pol")), "rate": 1e-14 * F.col("ant")})
+    return rounded(calibration.apply_calibration(vis(spark, sf), cal, 1.4e9, 1.7e9).select("event_id", "re", "im"), "re", "im")
+
+
+query("cross_correlations", f"WITH {VIS} SELECT event_id FROM vis WHERE ant1 <> ant2")(lambda spark, sf: vis(spark, sf).where("ant1 <> ant2").select("event_id"))
+query("reference_baselines", f"WITH {VIS} SELECT event_id FROM vis WHERE ant1 = 3 OR ant2 = 3")(lambda spark, sf: vis(spark, sf).where("ant1 = 3 or ant2 = 3").select("event_id"))
+query("ps_summary", f"WITH {VIS} SELECT chan, pol, count(*) AS n, count(*) FILTER (flag) AS flagged, min(freq) AS freq FROM vis GROUP BY chan, pol")(
+    lambda spark, sf: sources.processing_set_summary(vis(spark, sf))
+)
+
+
+# ---- fitting -------------------------------------------------------------------------------------------------------
+@query("gauss_fit")
+def gauss_fit(spark: SparkSession, sf: str) -> DataFrame:
+    scene = images.make_gauss2d(img(spark, sf).withColumn("value", F.col("value") * 0.01), 2.0, 3.5, 4.0, 4.0, 2.5, 0.4)
+    return fitting.fit_multi_gaussian2d(scene, 1)
+
+
+@query("psf_fit")
+def psf_fit(spark: SparkSession, sf: str) -> DataFrame:
+    scene = images.make_gauss2d(img(spark, sf).withColumn("value", F.col("value") * 0.01), 1.0, 4.0, 4.0, 4.0, 3.0, 0.4)
+    return fitting.psf_fit(scene)
+
+
+_MODEL_SQL = "(0.1e0*exp(-((l-4)*(l-4)+(m-4)*(m-4))/8e0))"
+query("fit_variance_explained", f"WITH {IMG} SELECT plane, chan, {r6(f'1-var_pop(value-{_MODEL_SQL})/var_pop(value)')} AS variance_explained FROM img GROUP BY plane, chan")(
+    lambda spark, sf: rounded(fitting.variance_explained(img(spark, sf), 0.1 * F.exp(-((F.col("l") - 4) * (F.col("l") - 4) + (F.col("m") - 4) * (F.col("m") - 4)) / 8.0)), "variance_explained")
+)
+query(
+    "fit_seeds",
+    f"WITH {IMG} SELECT plane, chan, arg_max(l, (value, -(l*65536+m))) AS x0, arg_max(m, (value, -(l*65536+m))) AS y0, max(value)-median(value) AS amp, median(value) AS offset FROM img GROUP BY plane, chan",
+)(lambda spark, sf: fitting.peak_seeds(img(spark, sf)))
+
+
+# ---- whole images --------------------------------------------------------------------------------------------------
+@query("dirty_image")
+def dirty_image(spark: SparkSession, sf: str) -> DataFrame:
+    """Gridding, inverse transform, kernel correction and division by the weights: the image of every channel."""
+    samples = vis(spark, sf)
+    cells = gridding.grid(samples, N, CELL)
+    at = spark.range(N * N).select((F.col("id") / N).cast("int").alias("iu"), (F.col("id") % N).cast("int").alias("iv"))
+    planes = cells.select("chan", "pol").distinct()
+    full = planes.join(at).join(cells, ["chan", "pol", "iu", "iv"], "left").fillna(0.0, ["re", "im"])  # N * N rows a plane
+    uv = full.select(F.col("pol").alias("plane"), "chan", F.col("iu").alias("l"), F.col("iv").alias("m"), "re", "im")
+    sums = gridding.sum_weight(samples, N, CELL).withColumnRenamed("pol", "plane")
+    corr = lambda c: fn.spheroidal(F.abs(F.col(c) - N // 2) / (N // 2))
+    sky = images.fft(uv, inverse=True).join(F.broadcast(sums), ["plane", "chan"])
+    value = F.col("re") * (N * N) / F.col("sum_weight") / F.greatest(corr("l") * corr("m"), F.lit(1e-4))
+    return sky.select("chan", F.col("plane").alias("pol"), "l", "m", value.alias("value"))
+
+
+query(
+    "stream_grid",
+    "SELECT (epoch(time_bucket(INTERVAL '1 hour', ts)))::BIGINT AS start, (event_id%4)::INT AS chan, sum(0.25e0*(1+event_id%5)) AS weight, count(*) AS n FROM events GROUP BY ALL",
+)(lambda spark, sf: weight_windows(table(spark, sf, "events")))

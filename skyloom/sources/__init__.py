@@ -1 +1,55 @@
+"""Scans and sinks of visibilities and images: Parquet, partitioned by channel."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def open_processing_set(spark: SparkSession, path: str, intents: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A lazy scan; the intent filter prunes partitions, ``columns`` reach the scan."""
+    df = spark.read.parquet(path)
+    df = df.where(F.col("scan_intent").isin(intents)) if intents else df
+    return df.select(*columns) if columns else df
+
+
+def processing_set_summary(vis: DataFrame) -> DataFrame:
+    """One row a channel and polarisation: samples, flagged ones, and the frequency."""
+    return vis.groupBy("chan", "pol").agg(F.count("*").alias("n"), F.sum(F.col("flag").cast("long")).alias("flagged"), F.min("freq").alias("freq"))
+
+
+def open_image(spark: SparkSession, path: str, block: Column | None = None) -> DataFrame:
+    """An image's pixels, or a block of them; an older name of the beam column is replaced."""
+    df = spark.read.parquet(path)
+    df = df.withColumnRenamed("BEAM", "BEAM_FIT_PARAMS_SKY")
+    return df if block is None else df.where(block)
+
+
+def write_image(img: DataFrame, path: str, overwrite: bool = False, chunks: bool = False) -> None:
+    """Raises where the image exists, unless told to overwrite it; ``chunks`` replaces only the channels at hand."""
+    writer = img.write.partitionBy("chan")
+    if chunks:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
+def empty_image(spark: SparkSession, n: int, channels: int = 1, pols: int = 1) -> DataFrame:
+    """Zero pixels with their coordinates' indices."""
+    at = F.col("id")
+    cells = n * n * pols
+    return spark.range(n * n * channels * pols).select(
+        (at / cells).cast("int").alias("chan"), ((at / (n * n)).cast("int") % pols).alias("pol"), ((at / n).cast("int") % n).alias("l"), (at % n).cast("int").alias("m"), F.lit(0.0).alias("value")
+    )
+
+
+def read_regions(path: str) -> str:
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def chunk_plan(channels: int, pixels: int, pols: int, memory_gb: float, threads: int, bytes_per_pixel: int = 72) -> list[tuple[int, int]]:
+    """(first channel, count) of chunks that fit a thread's memory, at least four a thread where there are channels."""
+    each = max(1, int(memory_gb * 2**30 / threads / (1.2 * pixels * pols * bytes_per_pixel)))
+    each = max(1, min(each, -(-channels // (4 * threads))))
+    return [(a, min(each, channels - a)) for a in range(0, channels, each)]

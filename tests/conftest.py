@@ -8,8 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from skyloom.session import local_session
+    from skyloom.session import export_path, local_session
 
     session = local_session(4, 4, "4g")
+    export_path(session)
     yield session
     session.stop()
