@@ -24,11 +24,17 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_crf.score(docs, model, keep=docs.columns).where("predicted = 1").select(docs.columns)
 
 
+#: Ids to drop that are broadcast (8 MB of ids at most); beyond, documents are joined by a shuffle.
+DROPS = 1_000_000
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near-duplicates, and documents without an id."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(materialize(kept, "kept-ids"), "doc_id", "left_semi")
-    return rows.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Keep the document of the smallest id of each group of near-duplicates. Rows of one id are one document and stay
+    or go together; those without an id stay. Only the ids to drop are sent to the texts, not the texts to the ids."""
+    drop = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    drop = materialize(drop, "dropped-ids")
+    drop = F.broadcast(drop) if drop.count() <= DROPS else drop.hint("merge")
+    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
