@@ -541,11 +541,11 @@ def fringe_spacings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fringe_vis(spark: SparkSession, sf: str) -> DataFrame:
-    """Baselines to antenna 0 with a phase, a delay and a rate by antenna."""
+    """Baselines from antenna 0, with the phase of the first antenna less that of the second, by antenna."""
     i = F.col("id")
     at = spark.range(5 * 16 * 16 * 2).select((i % 5 + 1).cast("int").alias("ant2"), ((i / 5).cast("int") % 16 * 2.0).alias("t"), (F.lit(1.4e9) + (i / 80).cast("int") % 16 * 1e6).alias("freq"), ((i / 1280).cast("int")).alias("pol"))
     phase = F.lit(2 * math.pi) * (F.col("ant2") * 1e-8 * (F.col("freq") - 1.4e9)) + 0.1 * F.col("ant2")
-    return at.select(F.lit(0).alias("ant1"), "ant2", "t", "freq", "pol", F.cos(phase).alias("re"), F.sin(phase).alias("im"), F.lit(1.0).alias("weight"))
+    return at.select(F.lit(0).alias("ant1"), "ant2", "t", "freq", "pol", F.cos(phase).alias("re"), (-F.sin(phase)).alias("im"), F.lit(1.0).alias("weight"))
 
 
 @query("fringe_fit")

@@ -51,5 +51,5 @@ def read_regions(path: str) -> str:
 def chunk_plan(channels: int, pixels: int, pols: int, memory_gb: float, threads: int, bytes_per_pixel: int = 72) -> list[tuple[int, int]]:
     """(first channel, count) of chunks that fit a thread's memory, at least four a thread where there are channels."""
     each = max(1, int(memory_gb * 2**30 / threads / (1.2 * pixels * pols * bytes_per_pixel)))
-    each = max(1, min(each, -(-channels // (4 * threads))))
+    each = max(1, min(each, channels // (4 * threads)))
     return [(a, min(each, channels - a)) for a in range(0, channels, each)]
