@@ -8,7 +8,8 @@ those blocks the pair lies within ``r``, and the triangle inequality prunes a br
 than ``r`` beyond the split. Points near a split go to both sides (for the radius 0 of the production forest: to one).
 With ``m = k = 1`` this is the plain tree on whole fingerprints; it gives the same links, but prunes little, as whole
 fingerprints of unlike texts nearly all lie 24 to 40 bits apart. Leaves are joined independently, exactly, on all 64
-bits. Larger inputs take more and finer trees, so leaves keep their size.
+bits. Larger inputs take more and finer trees, so leaves keep their size. A tree has 13 levels of its own vantage points;
+below, its levels share one vantage point each (a multi-vantage-point tree), so the part sent to tasks stays bounded.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; a text of under four words has
 one shingle; ties of a bit count are 0. Repeated rows stay, each with its component. Rows with a null ``doc_id`` get a
@@ -37,6 +38,8 @@ CHUNK = 1 << 15
 LEAF, HOT_LEAF = 1024, 16384
 #: Fingerprints, chosen by hash, from which vantage points and splits are taken. Every point is indexed.
 SAMPLE = 8192
+#: Levels of a tree that have a vantage point for each node.
+OWN_LEVELS = 13
 
 
 def fingerprint(text: bytes) -> int:
@@ -113,12 +116,16 @@ class Tree:
     mask: np.uint64
     vantage: np.ndarray
     split: np.ndarray
+    shared: list[tuple[np.uint64, int]]  # vantage point and split of each level below
 
 
-def grow(sample: np.ndarray, mask: int, depth: int) -> Tree:
-    """Split ``sample`` by the median distance to a vantage point, ``depth`` times at most."""
+def grow(sample: np.ndarray, mask: int, depth: int, below: int = 0) -> Tree:
+    """Split ``sample`` by the median distance to a vantage point, ``depth`` times at most, then by the medians of
+    distances to ``below`` further vantage points."""
     size = (1 << (depth + 1)) - 1
-    tree = Tree(np.uint64(mask), np.zeros(size, np.uint64), np.full(size, -1, np.int16))
+    tree = Tree(np.uint64(mask), np.zeros(size, np.uint64), np.full(size, -1, np.int16), [])
+    for v in np.unique(sample & tree.mask)[:: max(1, len(sample) // max(1, below))][:below]:
+        tree.shared.append((v, int(np.median(np.bitwise_count(sample & tree.mask ^ v)))))
     parts = {0: sample & tree.mask}
     for node in range((1 << depth) - 1):
         points = parts.pop(node, None)
@@ -154,6 +161,14 @@ def visit(tree: Tree, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return np.concatenate(done_at), np.concatenate(done_node)
 
 
+def rings(tree: Tree, points: np.ndarray) -> np.ndarray:
+    """One bit for each shared level: beyond its split or not. Equal for points that are equal in the tree's bits."""
+    out = np.zeros(len(points), np.int64)
+    for v, cut in tree.shared:
+        out = out << 1 | (np.bitwise_count((points ^ v) & tree.mask) > cut)
+    return out
+
+
 def links_of_leaf(points: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest (positions) of the links among ``points``, by search from point to point among those left."""
     left, out = np.arange(len(points)), []
@@ -170,7 +185,7 @@ def links_of_leaf(points: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def near_links(points: DataFrame, distance: int = 4, forest: Forest | None = None, leaf: int = LEAF, hot: int = HOT_LEAF) -> DataFrame:
+def near_links(points: DataFrame, distance: int = 4, forest: Forest | None = None, leaf: int = LEAF, hot: int = HOT_LEAF, own_levels: int = OWN_LEVELS) -> DataFrame:
     """Links ``a, b`` (ids) that span every group of ``points(fp, id)``, of distinct fingerprints, within ``distance``."""
     spark = points.sparkSession
     count = points.count()
@@ -180,15 +195,17 @@ def near_links(points: DataFrame, distance: int = 4, forest: Forest | None = Non
     sample = points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < slots).select("fp").collect()
     chosen = np.sort(np.array([r["fp"] for r in sample], np.int64)).view(np.uint64)
     chosen = chosen[np.argsort(chosen * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
-    trees = [grow(chosen, mask, min(depth, 13)) for mask in forest.masks()]
-    shared = spark.sparkContext.broadcast(trees)
     radius = forest.radius
+    below = min(24, max(0, min(depth, forest.bits()) - own_levels)) if radius == 0 else 0  # bits of ``leaf`` left for them
+    trees = [grow(chosen, mask, min(depth, own_levels), below) for mask in forest.masks()]
+    shared = spark.sparkContext.broadcast(trees)
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp, ids = batch.column("fp").to_numpy(), batch.column("id").to_numpy()
-        parts = [visit(tree, fp.view(np.uint64), radius) for tree in shared.value]
+        points = fp.view(np.uint64)
+        parts = [visit(tree, points, radius) for tree in shared.value]
         at = np.concatenate([p[0] for p in parts])
-        where = np.concatenate([(np.int64(k) << 32) | p[1] for k, p in enumerate(parts)])
+        where = np.concatenate([(np.int64(k) << 40) | (rings(tree, points[p[0]]) << 16) | p[1] for k, (tree, p) in enumerate(zip(shared.value, parts))])
         return pa.RecordBatch.from_arrays([pa.array(where), pa.array(fp[at]), pa.array(ids[at])], ["leaf", "fp", "id"])
 
     dealt = materialize(map_batches(points.select("fp", "id"), deal, "leaf long, fp long, id long"), "simhash-leaves")

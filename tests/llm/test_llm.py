@@ -177,8 +177,8 @@ def test_simhash_fingerprints(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("blocks,chosen", [(5, 1), (1, 1), (4, 1), (6, 2)])
-def test_vantage_point_trees_lose_nothing(spark, blocks, chosen):
+@pytest.mark.parametrize("blocks,chosen,own_levels", [(5, 1, 13), (1, 1, 13), (4, 1, 13), (6, 2, 13), (5, 1, 2), (6, 2, 0)])
+def test_vantage_point_trees_lose_nothing(spark, blocks, chosen, own_levels):
     r = np.random.default_rng(blocks)
     base = r.integers(0, 1 << 63, 150, dtype=np.uint64)
     near = base.copy()
@@ -186,7 +186,7 @@ def test_vantage_point_trees_lose_nothing(spark, blocks, chosen):
         near ^= np.uint64(1) << r.integers(0, 64, len(base), dtype=np.uint64)
     points = np.unique(np.concatenate([base, near, base ^ np.uint64(1)]))
     table = spark.createDataFrame([(int(v), i) for i, v in enumerate(points.view(np.int64))], "fp long, id long")
-    links = simhash.near_links(table, 4, simhash.Forest(4, blocks, chosen), leaf=8, hot=16)
+    links = simhash.near_links(table, 4, simhash.Forest(4, blocks, chosen), leaf=8, hot=16, own_levels=own_levels)
     got = {x.id: x.component for x in components.components(links).collect()}
     label = np.arange(len(points))
     close = np.array([np.bitwise_count(points ^ p) <= 4 for p in points])
