@@ -59,7 +59,8 @@ def luhn(digits: str) -> bool:
 
 
 def _is_ip(x: str) -> bool:
-    return all(int(p) <= 255 for p in x.split("."))
+    parts = [p.lstrip("0") for p in x.split(".")]  # runs of digits may be longer than int() takes
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
 
 
 def _is_card(x: str) -> bool:

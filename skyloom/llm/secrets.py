@@ -244,7 +244,7 @@ def redact(documents: DataFrame, forest: RandomForest | None = None, threshold:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text in batch.column(at).to_pylist():
-            for x in reversed(scan_text(shared.value, text)[1] if text else []):
+            for x in reversed(scan_text(shared.value, text, threshold)[1] if text else []):
                 text = text[: x.start] + REDACTED + text[x.end :]
             out.append(text)
         return batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))

@@ -255,6 +255,13 @@ def test_automaton_equals_the_library(docs, none):
     assert word_bpe.digests(none).count() == 0
 
 
+def test_long_digit_runs_and_thresholds(spark):
+    long = "1" * 5000 + ".2.3.4 " + "0" * 5000 + "7.2.3.4"
+    assert [(k, b - a) for k, a, b in pii.base_spans(long)] == [("ip", 5007)]
+    one = spark.createDataFrame([(1, 'token = "f3a9c17be2d04586a1b7c9d3e5f60718293a4b5c"')], "doc_id long, text string")
+    assert "[SECRET]" in secrets.redact(one).first().text and "[SECRET]" not in secrets.redact(one, threshold=1.1).first().text
+
+
 def test_quality_classifier(spark, docs, none):
     r = random.Random(9)
     texts = ["\n".join(sentence(r, 14).capitalize() + "." for _ in range(r.randint(1, 6))) for _ in range(150)]
