@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import sources
-from .operators import calibration, deconvolution, fitting, gridding, images, selection
+from .operators import calibration, deconvolution, fitting, gridding, images, imaging, selection
 from .plans import IMG, RET_LOG, VIS, img, ret_log, table, tidy, vis
 from .streaming import weight_windows
 
@@ -468,7 +468,10 @@ LAST = f"last AS (SELECT chan, pol, arg_max(peakres, cycle) AS peakres, arg_max(
 
 
 def _rl(column: str, sql: str):
-    query(f"retlog_{column}", f"WITH {RET_LOG}, {LAST} SELECT {sql} AS {column} FROM last")(lambda spark, sf: deconvolution.summary(ret_log(spark, sf)).select(column))
+    """Sums of fractions depend on their order in the last digit, so they are rounded."""
+    whole = column != "model_flux"
+    found = lambda spark, sf: deconvolution.summary(ret_log(spark, sf)).select(column)
+    query(f"retlog_{column}", f"WITH {RET_LOG}, {LAST} SELECT {sql if whole else r6(sql)} AS {column} FROM last")(found if whole else lambda spark, sf: rounded(found(spark, sf), column))
 
 
 _rl("peakres", "coalesce(max(abs(peakres)) FILTER (masksum <> 0), 0e0)")
@@ -602,17 +605,121 @@ query(
 @query("dirty_image")
 def dirty_image(spark: SparkSession, sf: str) -> DataFrame:
     """Gridding, inverse transform, kernel correction and division by the weights: the image of every channel."""
-    samples = vis(spark, sf)
-    cells = gridding.grid(samples, N, CELL)
-    at = spark.range(N * N).select((F.col("id") / N).cast("int").alias("iu"), (F.col("id") % N).cast("int").alias("iv"))
-    planes = cells.select("chan", "pol").distinct()
-    full = planes.join(at).join(cells, ["chan", "pol", "iu", "iv"], "left").fillna(0.0, ["re", "im"])  # N * N rows a plane
-    uv = full.select(F.col("pol").alias("plane"), "chan", F.col("iu").alias("l"), F.col("iv").alias("m"), "re", "im")
-    sums = gridding.sum_weight(samples, N, CELL).withColumnRenamed("pol", "plane")
-    corr = lambda c: fn.spheroidal(F.abs(F.col(c) - N // 2) / (N // 2))
-    sky = images.fft(uv, inverse=True).join(F.broadcast(sums), ["plane", "chan"])
-    value = F.col("re") * (N * N) / F.col("sum_weight") / F.greatest(corr("l") * corr("m"), F.lit(1e-4))
-    return sky.select("chan", F.col("plane").alias("pol"), "l", "m", value.alias("value"))
+    return imaging.dirty_image(vis(spark, sf), N, CELL).withColumnRenamed("plane", "pol")
+
+
+@query("psf_image")
+def psf_image(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.point_spread(vis(spark, sf), N, CELL).withColumnRenamed("plane", "pol")
+
+
+@query("psf_main_lobe")
+def psf_main_lobe(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.sidelobes(imaging.point_spread(vis(spark, sf), N, CELL))
+
+
+#: Sources as flux and place (radians), near the image's centre.
+SOURCES = [(1.0, 10 * CELL, -6 * CELL), (0.5, -8 * CELL, 4 * CELL)]
+
+
+def _synthetic_sql() -> str:
+    phase = lambda l, m: f"(2*pi()*(u*({l!r}::DOUBLE)+v*({m!r}::DOUBLE))*freq/299792458e0)"
+    parts = [(f"{f}e0*cos({phase(l, m)})", f"{f}e0*sin({phase(l, m)})") for f, l, m in SOURCES]
+    re, im = ("+".join(p[k] for p in parts) for k in (0, 1))
+    return f"WITH {VIS} SELECT event_id, {r6(f'({re})*(chan+1)')} AS re, {r6(f'({im})*(chan+1)')} AS im FROM vis"
+
+
+@query("synthetic_visibilities", _synthetic_sql())
+def synthetic_visibilities(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(imaging.synthetic_visibilities(vis(spark, sf), SOURCES, by_channel=True).select("event_id", "re", "im"), "re", "im")
+
+
+def _model_image(spark: SparkSession) -> DataFrame:
+    """The sources as pixels of both polarisations and all four channels."""
+    i = F.col("id")
+    pixels = F.explode(F.array(*[F.struct(F.lit(round(l / CELL) + N // 2).alias("l"), F.lit(round(m / CELL) + N // 2).alias("m"), F.lit(f).alias("value")) for f, l, m in SOURCES]))
+    return spark.range(8).select((i % 2).cast("int").alias("plane"), (i / 2).cast("int").alias("chan"), pixels.alias("p")).select("plane", "chan", "p.l", "p.m", "p.value")
+
+
+@query("predict_model")
+def predict_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A model image transformed and degridded at every sample."""
+    return imaging.predict(vis(spark, sf), _model_image(spark), N, CELL).select("event_id", "model_re", "model_im")
+
+
+@query("imaging_cycles")
+def imaging_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """The model that major and minor cycles find for visibilities of two sources."""
+    samples = imaging.synthetic_visibilities(vis(spark, sf), SOURCES)
+    control = deconvolution.IterationController(niter=200, nmajor=3, threshold=0.05, cycleniter=60)
+    return imaging.major_cycles(samples, control, N, CELL, 0.2)[0]
+
+
+@query(
+    "primary_beam_alma",
+    f"""WITH px AS (SELECT c.range::INT AS chan, a.range::INT AS l, b.range::INT AS m, sqrt(pow((a.range-8)*4e-5,2)+pow((b.range-8)*4e-5,2))*(2*pi()*(1e11+c.range*1e10)/299792458e0)*(10.7e0/2) AS r FROM range(2) c, range(16) a, range(16) b)
+ SELECT chan, l, m, {r6('CASE WHEN r = 0 THEN 1e0 ELSE pow((2*' + _j1_sql('r', 75) + '/r-2*(0.75e0/10.7e0)*' + _j1_sql('r*(0.75e0/10.7e0)', 75) + '/r)/(1-pow(0.75e0/10.7e0,2)),2) END')} AS value FROM px""",
+)
+def primary_beam_alma(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(imaging.primary_beam(spark, 16, 4e-5, [1e11, 1.1e11]), "value")
+
+
+FIELDS = {0: (1.0, 0.5), 1: (1.0003, 0.5), 2: (1.0, 0.5002)}
+CENTRE = (1.0001, 0.5001)
+
+
+@query(
+    "phase_gradients",
+    f"""WITH f AS (SELECT * FROM (VALUES {', '.join(f"({k}, {ra}e0, {dec}e0)" for k, (ra, dec) in FIELDS.items())}) t(field, ra, dec))
+ SELECT field::INT AS field, {r6(f'-2*pi()*(cos(dec)*sin(ra-{CENTRE[0]}e0)/5e-5)/640e0')} AS gx,
+ {r6(f'-2*pi()*((sin(dec)*cos({CENTRE[1]}e0)-cos(dec)*sin({CENTRE[1]}e0)*cos(ra-{CENTRE[0]}e0))/5e-5)/640e0')} AS gy FROM f""",
+)
+def phase_gradients(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(imaging.field_table(spark, FIELDS, CENTRE, N, CELL).select("field", "gx", "gy"), "gx", "gy")
+
+
+def _kernel_classes(spark: SparkSession) -> DataFrame:
+    """Large and small dishes by pairs; the patterns are wide enough for the small grid."""
+    rows = [(0, 10.7, 10.7, 0.75, 0.75, 1e11), (1, 10.7, 6.7, 0.75, 0.75, 1e11), (2, 6.7, 6.7, 0.75, 0.75, 1e11)]
+    return spark.createDataFrame(rows, "cf int, dish1 double, dish2 double, blockage1 double, blockage2 double, freq double")
+
+
+@query("convolution_kernels")
+def convolution_kernels(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.convolution_kernels(_kernel_classes(spark), N, CELL, 10)
+
+
+@query("mosaic_image")
+def mosaic_image(spark: SparkSession, sf: str) -> DataFrame:
+    """Three fields and three classes of baselines in one image."""
+    fields = imaging.field_table(spark, FIELDS, CENTRE, N, CELL)
+    samples = imaging.to_common_centre(_classes(spark, sf).withColumn("field", (F.col("event_id") % 3).cast("int")), fields)
+    kernels = [imaging.convolution_kernels(_kernel_classes(spark), N, CELL, 10, power=k) for k in (1, 2)]
+    return imaging.mosaic_image(samples, *kernels, N, CELL)
+
+
+_FACTOR = "(1e0+((event_id%7)-3)*1e-3)"
+
+
+@query(
+    "frame_conversion",
+    f"""WITH {VIS}, s AS (SELECT pol, ant1, event_id%7 AS t, freq*{_FACTOR} AS freq, avg(re) AS re, avg(im) AS im, avg(CASE WHEN flag THEN 0e0 ELSE weight END) AS weight FROM vis GROUP BY ALL),
+ st AS (SELECT *, lead(freq) OVER w AS f1, lead(re) OVER w AS re1, lead(im) OVER w AS im1, lead(weight) OVER w AS w1, row_number() OVER w AS k, count(*) OVER (PARTITION BY t, pol, ant1) AS n FROM s WINDOW w AS (PARTITION BY t, pol, ant1 ORDER BY freq)),
+ o AS (SELECT 1.398e9+range*5e6 AS out_freq FROM range(8)), x AS (SELECT *, out_freq >= freq AND (out_freq < f1 OR (k = n-1 AND out_freq = f1)) AS inside, (out_freq-freq)/(f1-freq) AS a FROM st CROSS JOIN o WHERE f1 IS NOT NULL)
+ SELECT t, pol, ant1, out_freq, {r6('coalesce(max(CASE WHEN inside THEN re+(re1-re)*a END), 0e0)')} AS re, {r6('coalesce(max(CASE WHEN inside THEN im+(im1-im)*a END), 0e0)')} AS im,
+ {r6('coalesce(max(CASE WHEN inside THEN weight+(w1-weight)*a END), 0e0)')} AS weight FROM x GROUP BY t, pol, ant1, out_freq""",
+)
+def frame_conversion(spark: SparkSession, sf: str) -> DataFrame:
+    samples = vis(spark, sf).withColumn("t", F.col("event_id") % 7)
+    factors = spark.range(7).select(F.col("id").alias("t"), (1 + (F.col("id") - 3) * 1e-3).alias("factor"))
+    targets = spark.range(8).select((F.lit(1.398e9) + F.col("id") * 5e6).alias("out_freq"))
+    return rounded(calibration.convert_frame(samples, factors, targets, ("t", "pol", "ant1")), "re", "im", "weight")
+
+
+@query("chunk_plan")
+def chunk_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of a cube of 1000 channels."""
+    return spark.createDataFrame(sources.chunk_plan(1000, 2048 * 2048, 2, 64, 8), "first int, channels int")
 
 
 query(

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import LIGHT, cexp, cmul
@@ -26,46 +26,73 @@ def direction(ra: float, dec: float) -> np.ndarray:
     return np.array([math.cos(dec) * math.cos(ra), math.cos(dec) * math.sin(ra), math.sin(dec)])
 
 
+def path(old: tuple[float, float], new: tuple[float, float]) -> np.ndarray:
+    """The difference of two phase centres in the uvw frame of the old one."""
+    s, c, sd, cd = math.sin(old[0]), math.cos(old[0]), math.sin(old[1]), math.cos(old[1])
+    frame = np.array([[-s, c, 0.0], [-sd * c, -sd * s, cd], [cd * c, cd * s, sd]])
+    return frame @ (direction(*old) - direction(*new))
+
+
 def phase_shift(vis: DataFrame, old: tuple[float, float], new: tuple[float, float], common_tangent: bool = False) -> DataFrame:
     """uvw turned, and visibilities times exp(2 pi i (uvw . d) nu / c); the common tangent plane leaves w out."""
     r = rotation(old, new)
-    s, c, sd, cd = math.sin(old[0]), math.cos(old[0]), math.sin(old[1]), math.cos(old[1])
-    frame = np.array([[-s, c, 0.0], [-sd * c, -sd * s, cd], [cd * c, cd * s, sd]])
-    d = frame @ (direction(*old) - direction(*new))
+    d = path(old, new)
     u, v, w = F.col("u"), F.col("v"), F.col("w")
-    path = u * float(d[0]) + v * float(d[1])
-    path = path if common_tangent else path + w * float(d[2])
-    re, im = cmul((F.col("re"), F.col("im")), cexp(F.lit(2 * math.pi) * path * F.col("freq") / F.lit(LIGHT)))
+    length = u * float(d[0]) + v * float(d[1])
+    length = length if common_tangent else length + w * float(d[2])
+    re, im = cmul((F.col("re"), F.col("im")), cexp(F.lit(2 * math.pi) * length * F.col("freq") / F.lit(LIGHT)))
     turned = [u * float(r[k, 0]) + v * float(r[k, 1]) + w * float(r[k, 2]) for k in range(3)]
     return vis.withColumns({"re": re, "im": im, "u": turned[0], "v": turned[1], "w": turned[2]})
 
 
-def interpolate_channels(samples: DataFrame, keys: list[str], targets: DataFrame, extrapolate: bool = False) -> DataFrame:
-    """``keys, out_freq, value``: linear interpolation of ``samples(keys, freq, value)`` at ``targets(out_freq)``; outside
-    the range 0, or extrapolated from the nearest two. ``targets`` is the list of output channels."""
-    by = ", ".join(keys)
-    steps = samples.selectExpr(
-        *keys, "freq as f0", "value as v0", f"lead(freq) over (partition by {by} order by freq) as f1", f"lead(value) over (partition by {by} order by freq) as v1",
-        f"row_number() over (partition by {by} order by freq) as k", f"count(*) over (partition by {by}) as n",
+def interpolate_channels(samples: DataFrame, keys: list[str], targets: DataFrame, extrapolate: bool = False, values: tuple[str, ...] = ("value",)) -> DataFrame:
+    """``keys, out_freq`` and ``values``: linear interpolation of ``samples(keys, freq, values)`` at ``targets(out_freq)``;
+    outside the range 0, or extrapolated from the nearest two. ``targets`` is the list of output channels. Each interval
+    between two samples gives the output channels within it (the outer ones those beyond), so every output row arises
+    once, without a second aggregation."""
+    order = Window.partitionBy(*keys).orderBy("freq")
+    steps = samples.select(
+        *keys, F.col("freq").alias("f0"), F.lead("freq").over(order).alias("f1"), F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy(*keys)).alias("n"),
+        *[F.struct(F.col(v).alias("a"), F.lead(v).over(order).alias("b")).alias(f"s_{v}") for v in values],
     ).where("f1 is not null")
-    inside = (F.col("out_freq") >= F.col("f0")) & ((F.col("out_freq") < F.col("f1")) | ((F.col("k") == F.col("n") - 1) & (F.col("out_freq") == F.col("f1"))))
-    if extrapolate:
-        inside = inside | ((F.col("k") == 1) & (F.col("out_freq") < F.col("f0"))) | ((F.col("k") == F.col("n") - 1) & (F.col("out_freq") > F.col("f1")))
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("out_freq") - F.col("f0")) / (F.col("f1") - F.col("f0"))
-    grid = steps.withColumn("out_freq", F.explode(F.array(*[F.lit(r["out_freq"]) for r in targets.collect()])))
-    return grid.groupBy(*keys, "out_freq").agg(F.coalesce(F.max(F.when(inside, value)), F.lit(0.0)).alias("value"))
+    wanted = F.array(*[F.lit(r["out_freq"]) for r in targets.select("out_freq").distinct().collect()])
+    first, last = F.col("k") == 1, F.col("k") == F.col("n") - 1
+    between = lambda x: (x >= F.col("f0")) & ((x < F.col("f1")) | (last & (x == F.col("f1"))))
+    wide = steps.withColumn("out_freq", F.explode(F.filter(wanted, lambda x: between(x) | (first & (x < F.col("f0"))) | (last & (x > F.col("f1"))))))
+    x = F.col("out_freq")
+    at = (x - F.col("f0")) / (F.col("f1") - F.col("f0"))
+    line = lambda v: F.col(f"s_{v}.a") + (F.col(f"s_{v}.b") - F.col(f"s_{v}.a")) * at
+    return wide.select(*keys, "out_freq", *[(line(v) if extrapolate else F.when(between(x), line(v)).otherwise(0.0)).alias(v) for v in values])
+
+
+def convert_frame(vis: DataFrame, factors: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("t", "ant1", "ant2", "pol")) -> DataFrame:
+    """``keys, out_freq, re, im, weight`` in another spectral frame: frequencies times the Doppler factor of their time,
+    visibilities and weights (0 where flagged) interpolated at uniform ``targets(out_freq)``. ``factors(t, factor)`` has a
+    row a time; times without one keep their frequencies."""
+    moved = vis.join(factors, "t", "left").withColumn("freq", F.col("freq") * F.coalesce("factor", F.lit(1.0)))
+    moved = moved.withColumn("weight", F.when(F.col("flag"), 0.0).otherwise(F.col("weight")))
+    merged = moved.groupBy(*keys, "freq").agg(F.avg("re").alias("re"), F.avg("im").alias("im"), F.avg("weight").alias("weight"))
+    return interpolate_channels(merged, list(keys), targets, values=("re", "im", "weight"))
+
+
+def lsr_factor(velocity: Column) -> Column:
+    """The relativistic Doppler factor of a velocity (m/s, receding) along the line of sight."""
+    b = velocity / LIGHT
+    return F.sqrt((1 - b) / (1 + b))
 
 
 def fourier_spacing(n: int, step: float, pad: int = 8) -> float:
     return 1.0 / (n * step) / pad
 
 
-def fringe_fit(vis: DataFrame, reference: int, pad: int = 8) -> DataFrame:
+def fringe_fit(vis: DataFrame, reference: int, pad: int = 8, by: tuple[str, ...] = (), times: tuple[float, float] | None = None) -> DataFrame:
     """``ant, pol, phase, delay, rate, snr`` of every antenna against the reference: the peak of the zero-padded
-    transform over time and frequency of phase-only data."""
+    transform over time and frequency of phase-only data. ``by`` names further keys (a spectral window, say) fitted each
+    for itself; ``times`` is an inclusive interval."""
+    vis = vis.where(F.col("t").between(*times)) if times else vis
     pairs = vis.where((F.col("ant1") == reference) != (F.col("ant2") == reference))
     flip = F.when(F.col("ant1") == reference, -1.0).otherwise(1.0)
-    pairs = pairs.select("pol", F.when(F.col("ant1") == reference, F.col("ant2")).otherwise(F.col("ant1")).alias("ant"), "t", "freq", "weight", "re", (F.col("im") * flip).alias("im"))
+    pairs = pairs.select(*by, "pol", F.when(F.col("ant1") == reference, F.col("ant2")).otherwise(F.col("ant1")).alias("ant"), "t", "freq", "weight", "re", (F.col("im") * flip).alias("im"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         times, freqs = np.unique(pdf["t"]), np.unique(pdf["freq"])
@@ -87,22 +114,23 @@ def fringe_fit(vis: DataFrame, reference: int, pad: int = 8) -> DataFrame:
         snr = 0.0 if total <= 0 else 9999.0 if share >= 1 - 1e-9 else math.tan(math.pi / 2 * share) ** 1.163 * math.sqrt(total / math.sqrt((w * w).sum() / n))
         rate = i2 * fourier_spacing(len(times), dt, pad) / freqs[0]
         return pd.DataFrame(
-            {"ant": [int(pdf["ant"].iloc[0])], "pol": [int(pdf["pol"].iloc[0])], "phase": [float(np.angle(y[i, k]))], "delay": [k2 * fourier_spacing(len(freqs), df, pad)], "rate": [float(rate)], "snr": [min(snr, 9999.0)]}
+            {**{k: [pdf[k].iloc[0]] for k in by}, "ant": [int(pdf["ant"].iloc[0])], "pol": [int(pdf["pol"].iloc[0])], "phase": [float(np.angle(y[i, k]))], "delay": [k2 * fourier_spacing(len(freqs), df, pad)], "rate": [float(rate)], "snr": [min(snr, 9999.0)]}
         )
 
-    return pairs.groupBy("ant", "pol").applyInPandas(run, "ant int, pol int, phase double, delay double, rate double, snr double")
+    fields = "".join(f"{k} {dict(vis.dtypes)[k]}, " for k in by)
+    return pairs.groupBy(*by, "ant", "pol").applyInPandas(run, fields + "ant int, pol int, phase double, delay double, rate double, snr double")
 
 
 def calibration_phase(phase: Column, delay: Column, rate: Column, f0: float, t0: float) -> Column:
     return phase + F.lit(2 * math.pi) * (delay * (F.col("freq") - f0) + F.lit(f0) * rate * (F.col("t") - t0))
 
 
-def apply_calibration(vis: DataFrame, cal: DataFrame, f0: float, t0: float) -> DataFrame:
+def apply_calibration(vis: DataFrame, cal: DataFrame, f0: float, t0: float, by: tuple[str, ...] = ()) -> DataFrame:
     """V times exp(-i (phase1 - phase2)); antennas without solutions count as 0. ``cal(ant, pol, phase, delay, rate)`` has
-    a row an antenna and polarisation."""
-    one = cal.select(F.col("ant").alias("ant1"), "pol", *[F.col(c).alias(f"{c}1") for c in ("phase", "delay", "rate")])
-    two = cal.select(F.col("ant").alias("ant2"), "pol", *[F.col(c).alias(f"{c}2") for c in ("phase", "delay", "rate")])
-    wide = vis.join(one, ["ant1", "pol"], "left").join(two, ["ant2", "pol"], "left")
+    a row an antenna and polarisation, and further keys ``by`` (a spectral window) where named."""
+    one = cal.select(*by, F.col("ant").alias("ant1"), "pol", *[F.col(c).alias(f"{c}1") for c in ("phase", "delay", "rate")])
+    two = cal.select(*by, F.col("ant").alias("ant2"), "pol", *[F.col(c).alias(f"{c}2") for c in ("phase", "delay", "rate")])
+    wide = vis.join(one, [*by, "ant1", "pol"], "left").join(two, [*by, "ant2", "pol"], "left")
     p = [F.coalesce(calibration_phase(*[F.col(f"{c}{k}") for c in ("phase", "delay", "rate")], f0, t0), F.lit(0.0)) for k in (1, 2)]
     re, im = cmul((F.col("re"), F.col("im")), cexp(p[1] - p[0]))
     return wide.withColumns({"re": re, "im": im}).select(vis.columns)

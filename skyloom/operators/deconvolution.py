@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .images import KEY
 
 
@@ -183,7 +184,6 @@ class IterationController:
 
 def imaging_loop(dirty: DataFrame, psf: np.ndarray, control: IterationController, gain: float = 0.1) -> tuple[DataFrame, DataFrame, list[dict]]:
     """Major and minor cycles over planes: (model, residual, log). Every cycle is checkpointed, so plans stay short."""
-    spark = dirty.sparkSession
     state = dirty.select(*KEY, "l", "m", F.col("value"), F.lit(0.0).alias("model"))
     log: list[dict] = []
     sidelobe = float(np.abs(np.where(psf == psf.max(), 0.0, psf)).max())
@@ -196,8 +196,7 @@ def imaging_loop(dirty: DataFrame, psf: np.ndarray, control: IterationController
         count, limit = control.cycle_controls(peak, sidelobe)
         cleaned = deconvolve(state, psf, gain, max(1, count), limit).withColumnRenamed("model", "more")
         state = state.drop("value").join(cleaned, [*KEY, "l", "m"]).select(*KEY, "l", "m", F.col("residual").alias("value"), (F.col("model") + F.col("more")).alias("model"), "iterations")
-        if spark.sparkContext.getCheckpointDir():
-            state = state.checkpoint()
+        state = checkpointed(state)
         done = state.agg(F.max("iterations")).first()[0] or 0
         control.update_counts(int(done))
         log.append({"peakres": peak, "iterations": int(done), "threshold": limit})

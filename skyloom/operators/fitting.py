@@ -38,7 +38,7 @@ def seeds(z: np.ndarray, n: int, exclude: int = 3) -> np.ndarray:
     return np.array(p)
 
 
-def fit_plane(z: np.ndarray, n: int, mask: np.ndarray | None = None, start: np.ndarray | None = None, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_plane(z: np.ndarray, n: int, mask: np.ndarray | None = None, start: np.ndarray | None = None, rounds: int = 200, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Parameters, errors and the share of variance explained: damped least squares within bounds."""
     use = np.isfinite(z) & (mask if mask is not None else True)
     if use.sum() < 1 + 6 * n:
@@ -48,6 +48,9 @@ def fit_plane(z: np.ndarray, n: int, mask: np.ndarray | None = None, start: np.n
     p = seeds(np.where(use, z, np.nan), n) if start is None else start.astype(float).copy()
     low = np.array([-np.inf] + [-np.inf, -1.0, -1.0, 0.3, 0.3, -np.inf] * n)
     high = np.array([np.inf] + [np.inf, z.shape[0], z.shape[1], 2.0 * max(z.shape), 2.0 * max(z.shape), np.inf] * n)
+    if bounds is not None:
+        low, high = np.maximum(low, bounds[0]), np.minimum(high, bounds[1])
+    p = np.clip(p, low, high)
     damp = 1e-2
     model, jac = gaussians(p, x, y)
     cost = ((data - model) ** 2).sum()
@@ -74,15 +77,51 @@ def fit_plane(z: np.ndarray, n: int, mask: np.ndarray | None = None, start: np.n
     return p, errors, float(1 - np.var(data - model) / spread) if spread > 0 else float("nan")
 
 
-def fit_multi_gaussian2d(img: DataFrame, n: int = 1) -> DataFrame:
-    """A row a plane and component: amplitude, centre, widths (FWHM, major first), angle from +x, errors, variance."""
+PARAMETERS = ("amp", "x0", "y0", "fwhm_major", "fwhm_minor", "theta")
+
+
+def _vector(components: list[dict[str, float]], offset: float, default: float | None = None) -> np.ndarray:
+    """A parameter vector of components given by name, widths as FWHM."""
+    out = [offset]
+    for c in components:
+        if unknown := set(c) - set(PARAMETERS):
+            raise ValueError(f"unknown parameters {sorted(unknown)}; known are {list(PARAMETERS)}")
+        for name in PARAMETERS:
+            if name not in c and default is None:
+                raise ValueError(f"a component lacks {name}")
+            value = c.get(name, default)
+            out.append(value / FWHM if name.startswith("fwhm") else value)
+    return np.array(out, float)
+
+
+def fit_multi_gaussian2d(
+    img: DataFrame, n: int = 1, initial: list[dict[str, float]] | None = None, offset: float = 0.0, bounds: dict[str, tuple[float, float]] | None = None,
+    min_threshold: float | None = None, max_threshold: float | None = None, mask: Column | None = None,
+) -> DataFrame:
+    """A row a plane and component: amplitude, centre, widths (FWHM, major first), angle from +x, errors, variance.
+    ``initial`` gives the components to start from (else the peaks do), ``bounds`` an interval by parameter for every
+    component (not for the angle), and pixels outside the thresholds or the mask are left out of the fit."""
+    if initial is not None and len(initial) != n:
+        raise ValueError("one start for each component")
+    if bounds and "theta" in bounds:
+        raise ValueError("the angle takes no bounds")
+    start = None if initial is None else _vector(initial, offset)
+    limits = None
+    if bounds:
+        limits = tuple(_vector([{k: v[side] for k, v in bounds.items()}] * n, far, far) for side, far in ((0, -np.inf), (1, np.inf)))
+    use = F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)
+    if min_threshold is not None:
+        use = use & (F.col("value") >= min_threshold)
+    if max_threshold is not None:
+        use = use & (F.col("value") <= max_threshold)
+    img = img.withColumn("value", F.when(use, F.col("value")).otherwise(float("nan")))
     fields = ", ".join(f"{n} {t}" for n, t in img.select(*KEY).dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["l", "m"])
         z = pdf["value"].to_numpy().reshape(pdf["l"].max() + 1, pdf["m"].max() + 1)
         try:
-            p, e, share = fit_plane(z, n)
+            p, e, share = fit_plane(z, n, None, start, bounds=limits)
         except ValueError:
             p, e, share = np.full(1 + 6 * n, np.nan), np.full(1 + 6 * n, np.nan), float("nan")
         rows = []
@@ -97,6 +136,39 @@ def fit_multi_gaussian2d(img: DataFrame, n: int = 1) -> DataFrame:
     return img.select(*KEY, "l", "m", "value").groupBy(*KEY).applyInPandas(run, schema)
 
 
+def to_world(fits: DataFrame, x: tuple[float, float, float], y: tuple[float, float, float]) -> DataFrame:
+    """Fits with ``world_x, world_y, world_fwhm_major, world_fwhm_minor, world_theta``, for axes that are linear in pixels:
+    (reference pixel, value there, step). Steps may be negative, as that of right ascension."""
+    t, (dx, dy) = F.col("theta"), (x[2], y[2])
+    axis = lambda c, s: (c * dx, s * dy)
+    (ax, ay), (bx, by) = axis(F.cos(t), F.sin(t)), axis(-F.sin(t), F.cos(t))
+    # The second moments in world units; their principal axes are the widths and the angle.
+    a2, b2 = F.col("fwhm_major") * F.col("fwhm_major"), F.col("fwhm_minor") * F.col("fwhm_minor")
+    xx, yy, xy = a2 * ax * ax + b2 * bx * bx, a2 * ay * ay + b2 * by * by, a2 * ax * ay + b2 * bx * by
+    root = F.sqrt((xx - yy) * (xx - yy) / 4 + xy * xy)
+    return fits.withColumns(
+        {
+            "world_x": (F.col("x0") - x[0]) * dx + x[1], "world_y": (F.col("y0") - y[0]) * dy + y[1], "world_fwhm_major": F.sqrt((xx + yy) / 2 + root),
+            "world_fwhm_minor": F.sqrt(F.greatest((xx + yy) / 2 - root, F.lit(0.0))), "world_theta": F.atan2(2 * xy, xx - yy) / 2,
+        }
+    )
+
+
+def fitted_image(img: DataFrame, fits: DataFrame) -> DataFrame:
+    """``plane, chan, l, m, value, model, residual``: the components of every plane drawn and taken off."""
+    s = (F.col("fwhm_major") / FWHM, F.col("fwhm_minor") / FWHM)
+    parts = fits.groupBy(*KEY).agg(F.first("offset").alias("offset"), F.collect_list(F.struct("amp", "x0", "y0", s[0].alias("a"), s[1].alias("b"), "theta")).alias("parts"))
+
+    def drawn(p: Column) -> Column:
+        dx, dy = F.col("l") - p["x0"], F.col("m") - p["y0"]
+        u, v = dx * F.cos(p["theta"]) + dy * F.sin(p["theta"]), dy * F.cos(p["theta"]) - dx * F.sin(p["theta"])
+        return p["amp"] * F.exp(-((u / p["a"]) * (u / p["a"]) + (v / p["b"]) * (v / p["b"])) / 2)
+
+    model = F.aggregate("parts", F.col("offset"), lambda total, p: total + drawn(p))
+    wide = img.join(parts, list(KEY), "left").withColumn("model", model)  # a list holds the few components of one plane
+    return wide.select(*KEY, "l", "m", "value", "model", (F.col("value") - F.col("model")).alias("residual"))
+
+
 def main_lobe(z: np.ndarray, threshold: float = 0.5) -> tuple[np.ndarray, float]:
     """The connected pixels above ``threshold`` times the peak that hold it, and the largest magnitude elsewhere."""
     peak = np.unravel_index(int(np.nanargmax(z)), z.shape)

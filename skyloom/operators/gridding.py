@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import LIGHT, half_kernel
+from ..functions import LIGHT, cexp, cmul, half_kernel
 
 
 def positions(vis: DataFrame, n: int, cell: float) -> DataFrame:
@@ -69,15 +69,20 @@ def sum_weight(vis: DataFrame, n: int = 64, cell: float = 5e-5, support: int = 7
     return _cells(vis, n, cell, support, oversampling, mode).groupBy("chan", "pol").agg(F.sum(F.col("wt") * total).alias("sum_weight"))
 
 
-def degrid(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
-    """``event_id, re, im``: the kernel-weighted mean of the grid (or a constant) around each sample; 0 outside it."""
+def degrid_onto(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
+    """``vis`` with ``model_re, model_im``: the kernel-weighted mean of the grid (or a constant) around each sample; 0
+    outside it. Each distinct place is computed once, and samples join their place, not each other."""
     half = support // 2
     kernel = F.array(*[F.lit(x) for x in half_kernel(support, oversampling)])
-    at = positions(vis, n, cell).withColumns({"ui": F.rint("up").cast("int"), "vi": F.rint("vp").cast("int")})
-    sub = lambda i, p: F.floor((F.col(i) - F.col(p)) * oversampling + 0.5).cast("int")
-    at = at.where((F.col("ui") - half >= 0) & (F.col("vi") - half >= 0) & (F.col("ui") + half < n) & (F.col("vi") + half < n))
-    at = at.select("event_id", "chan", "pol", "ui", "vi", sub("ui", "up").alias("uo"), sub("vi", "vp").alias("vo"))
-    places = at.select("chan", "pol", "ui", "vi", "uo", "vo").distinct()  # each place is computed once
+    scale = -(F.col("freq") * F.lit(cell) * n) / F.lit(LIGHT)
+    known = ~F.isnan("u") & ~F.isnan("v")
+    at = vis.withColumns({"up": F.when(known, F.col("u") * scale + n // 2), "vp": F.when(known, F.col("v") * scale + n // 2)})
+    at = at.withColumns({"ui": F.rint("up").cast("int"), "vi": F.rint("vp").cast("int")})
+    inside = F.col("ui").between(half, n - 1 - half) & F.col("vi").between(half, n - 1 - half)
+    sub = lambda i, p: F.when(inside, F.floor((F.col(i) - F.col(p)) * oversampling + 0.5).cast("int"))
+    at = at.withColumns({"uo": sub("ui", "up"), "vo": sub("vi", "vp")}).drop("up", "vp")
+    key = ["chan", "pol", "ui", "vi", "uo", "vo"]
+    places = at.where(F.col("uo").isNotNull() & F.col("vo").isNotNull()).select(*key).distinct()
     steps = F.sequence(F.lit(-half), F.lit(half))
     wide = places.withColumn("du", F.explode(steps)).withColumn("dv", F.explode(steps))
     wide = wide.withColumn("k", _kernel(kernel, F.col("uo"), F.col("du"), oversampling) * _kernel(kernel, F.col("vo"), F.col("dv"), oversampling))
@@ -86,12 +91,16 @@ def degrid(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5
         wide = wide.join(model.select("chan", "pol", "iu", "iv", F.col("re").alias("gr"), F.col("im").alias("gi")), ["chan", "pol", "iu", "iv"], "left")
     else:
         wide = wide.withColumns({"gr": F.lit(constant), "gi": F.lit(0.0)})
-    key = ["chan", "pol", "ui", "vi", "uo", "vo"]
-    mean = wide.groupBy(*key).agg(
-        (F.sum(F.col("k") * F.coalesce("gr", F.lit(0.0))) / F.sum("k")).alias("re"), (F.sum(F.col("k") * F.coalesce("gi", F.lit(0.0))) / F.sum("k")).alias("im")
-    )
-    inside = at.join(mean, key).select("event_id", "re", "im")
-    return vis.select("event_id").join(inside, "event_id", "left").select("event_id", F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"))
+    part = lambda c: F.sum(F.col("k") * F.coalesce(c, F.lit(0.0))) / F.sum("k")
+    mean = wide.groupBy(*key).agg(part("gr").alias("model_re"), part("gi").alias("model_im"))
+    wanted = [c for c in vis.columns if c not in ("model_re", "model_im")]
+    zero = lambda c: F.coalesce(mean[c], F.lit(0.0)).alias(c)
+    return at.drop("model_re", "model_im").join(mean, key, "left").select(*wanted, zero("model_re"), zero("model_im"))
+
+
+def degrid(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
+    """``event_id, re, im`` of ``degrid_onto``."""
+    return degrid_onto(vis, model, n, cell, support, oversampling, constant).select("event_id", F.col("model_re").alias("re"), F.col("model_im").alias("im"))
 
 
 def _nearest_cells(vis: DataFrame, n: int, cell: float) -> DataFrame:
@@ -125,14 +134,17 @@ def imaging_weights(vis: DataFrame, scheme: str = "natural", robust: float = 0.5
     if scheme not in ("briggs", "briggs_abs", "uniform"):
         raise ValueError(f"unknown weighting scheme {scheme!r}")
     density = weight_density(vis, n, cell)
-    at = _nearest_cells(vis, n, cell)
-    sums = at.groupBy("chan").agg((2 * F.sum("weight")).alias("sw"))
+    sums = _nearest_cells(vis, n, cell).groupBy("chan").agg((2 * F.sum("weight")).alias("sw"))
     factors = F.broadcast(briggs_factors(density, sums, scheme, robust))  # one row a channel
-    inside = at.where(F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1)).join(density, ["chan", "iu", "iv"], "left").join(factors, "chan")
-    lower = F.col("a") * F.col("density") + F.col("b")
-    new = F.when(F.col("density").isNotNull() & (F.col("density") != 0), F.col("weight") / lower).otherwise(F.col("weight"))
-    inside = inside.select("event_id", new.alias("new"))
-    return vis.select("event_id").join(inside, "event_id", "left").select("event_id", F.coalesce("new", F.lit(0.0)).alias("weight_imaging"))
+    # Samples look their cell up and are never joined with themselves; those without a cell get 0.
+    scale = -(F.col("freq") * F.lit(cell) * n) / F.lit(LIGHT)
+    usable = ~F.col("flag") & ~F.isnan("u") & ~F.isnan("v")
+    place = lambda c: F.when(usable, nearest(F.col(c) * scale + n // 2))
+    at = vis.select("event_id", "chan", "weight", place("u").alias("iu"), place("v").alias("iv"))
+    at = at.join(density, ["chan", "iu", "iv"], "left").join(factors, "chan", "left")
+    inside = F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1)
+    new = F.when(F.col("density").isNotNull() & (F.col("density") != 0), F.col("weight") / (F.col("a") * F.col("density") + F.col("b"))).otherwise(F.col("weight"))
+    return at.select("event_id", F.when(inside, new).otherwise(0.0).alias("weight_imaging"))
 
 
 def single_dish_grid(vis: DataFrame, n: int = 64, cell: float = 40.0, radius: int = 3) -> DataFrame:
@@ -155,10 +167,21 @@ def aperture_grid(vis: DataFrame, kernels: DataFrame, n: int = 16) -> DataFrame:
     return out.groupBy("chan", "pol", (F.col("du") + n // 2).alias("iu"), (F.col("dv") + n // 2).alias("iv")).agg(F.sum(F.col("w") * F.col("k")).alias("re"))
 
 
-def mosaic_grid(vis: DataFrame, kernels: DataFrame, n: int = 64, cell: float = 5e-5) -> DataFrame:
-    """``chan, pol, iu, iv, re, im``: gridding with a kernel by baseline class; ``kernels(cf, du, dv, k)`` is a small table."""
+def mosaic_grid(vis: DataFrame, kernels: DataFrame, n: int = 64, cell: float = 5e-5, oversampling: int = 1, gradient: tuple[str, str] | None = None) -> DataFrame:
+    """``chan, pol, iu, iv, re, im``: gridding with a kernel by baseline class ``cf``. ``kernels(cf, du, dv, k)`` is a small
+    table; with an oversampling above 1 it has ``uo, vo`` too, the sub-cell offsets. ``gradient`` names
+    columns of radians by sub-cell that turn the kernels' phase, as for fields beside the phase centre."""
     at = positions(vis.where(~F.col("flag")), n, cell).withColumns({"ui": nearest(F.col("up")), "vi": nearest(F.col("vp"))})
-    shared = at.groupBy("chan", "pol", "cf", "ui", "vi").agg(F.sum(F.col("re") * F.col("weight")).alias("re"), F.sum(F.col("im") * F.col("weight")).alias("im"))
-    wide = shared.join(F.broadcast(kernels), "cf").withColumns({"iu": F.col("ui") + F.col("du"), "iv": F.col("vi") + F.col("dv")})
+    at = at.where((F.col("ui") >= 0) & (F.col("vi") >= 0) & (F.col("ui") < n) & (F.col("vi") < n))
+    key = ["cf"]
+    if oversampling > 1:
+        sub = lambda i, p: F.floor((F.col(i) - F.col(p)) * oversampling + 0.5).cast("int")
+        at, key = at.withColumns({"uo": sub("ui", "up"), "vo": sub("vi", "vp")}), ["cf", "uo", "vo"]
+    shared = at.groupBy("chan", "pol", *key, *(gradient or ()), "ui", "vi").agg(F.sum(F.col("re") * F.col("weight")).alias("re"), F.sum(F.col("im") * F.col("weight")).alias("im"))
+    wide = shared.join(F.broadcast(kernels), key).withColumns({"iu": F.col("ui") + F.col("du"), "iv": F.col("vi") + F.col("dv")})
     wide = wide.where(F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1))
-    return wide.groupBy("chan", "pol", "iu", "iv").agg(F.sum(F.col("k") * F.col("re")).alias("re"), F.sum(F.col("k") * F.col("im")).alias("im"))
+    re, im = F.col("re"), F.col("im")
+    if gradient:
+        offset = lambda d, o: F.col(d) * oversampling + (F.col(o) if oversampling > 1 else 0)
+        re, im = cmul((re, im), cexp(offset("du", "uo") * F.col(gradient[0]) + offset("dv", "vo") * F.col(gradient[1])))
+    return wide.groupBy("chan", "pol", "iu", "iv").agg(F.sum(F.col("k") * re).alias("re"), F.sum(F.col("k") * im).alias("im"))

@@ -13,20 +13,22 @@ NAN = float("nan")
 KEY = ("plane", "chan")
 
 
-def fft(img: DataFrame, inverse: bool = False) -> DataFrame:
-    """``plane, chan, l, m, re, im``: the centred 2-D transform of each plane (unnormalised forward; 1/N back)."""
+def fft(img: DataFrame, inverse: bool = False, n: int | None = None) -> DataFrame:
+    """``plane, chan, l, m, re, im``: the centred 2-D transform of each plane (unnormalised forward; 1/N back). Pixels
+    without a row are zero, so a sparse grid needs no filling up; ``n`` is the planes' side where corners may be absent."""
     turn = np.fft.ifft2 if inverse else np.fft.fft2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l", "m"])
-        shape = (pdf["l"].max() + 1, pdf["m"].max() + 1)
-        x = pdf["re"].to_numpy().reshape(shape) + 1j * pdf["im"].to_numpy().reshape(shape)
-        y = np.fft.fftshift(turn(np.fft.ifftshift(x))).ravel()
-        return pdf.assign(re=y.real, im=y.imag)
+        l, m = pdf["l"].to_numpy(), pdf["m"].to_numpy()
+        x = np.zeros((n, n) if n else (l.max() + 1, m.max() + 1), complex)
+        x[l, m] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        y = np.fft.fftshift(turn(np.fft.ifftshift(x)))
+        l, m = np.indices(y.shape)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in KEY}, "l": l.ravel(), "m": m.ravel(), "re": y.real.ravel(), "im": y.imag.ravel()})
 
     source = img if "im" in img.columns else img.select(*KEY, "l", "m", F.col("value").alias("re"), F.lit(0.0).alias("im"))
-    schema = source.select(*KEY, "l", "m", "re", "im").schema
-    return source.select(*KEY, "l", "m", "re", "im").groupBy(*KEY).applyInPandas(run, schema)
+    source = source.select(*KEY, "l", "m", "re", "im")
+    return source.groupBy(*KEY).applyInPandas(run, source.schema)
 
 
 def remove_padding(img: DataFrame, n: int, wanted: int) -> DataFrame:
