@@ -28,18 +28,24 @@ def correction(n: int) -> Column:
     return F.greatest(one("l") * one("m"), F.lit(LEAST))
 
 
-def dirty_image(vis: DataFrame, n: int = 64, cell: float = 5e-5, mode: str = "cube", do_psf: bool = False) -> DataFrame:
+def dirty_image(vis: DataFrame, n: int = 64, cell: float = 5e-5, mode: str = "cube", do_psf: bool = False, sums: DataFrame | None = None) -> DataFrame:
     """``plane, chan, l, m, value``: gridding, inverse transform, division by weights and kernel correction. The plane is
-    the polarisation. With ``do_psf`` the weights are gridded, which gives the point spread function."""
+    the polarisation. With ``do_psf`` the weights are gridded, which gives the point spread function. ``sums`` are the
+    planes' ``weight_sums`` where they are known."""
     cells = gridding.grid(vis, n, cell, mode=mode, do_psf=do_psf)
     uv = cells.select(F.col("pol").alias("plane"), "chan", F.col("iu").alias("l"), F.col("iv").alias("m"), "re", "im")
-    sums = gridding.sum_weight(vis, n, cell, mode=mode).withColumnRenamed("pol", "plane").where("sum_weight > 0")
+    sums = weight_sums(vis, n, cell, mode) if sums is None else sums
     sky = images.fft(uv, inverse=True, n=n).join(sums, list(KEY))  # one row a plane: Spark sends it to the planes
     return sky.select(*KEY, "l", "m", (F.col("re") * (n * n) / F.col("sum_weight") / correction(n)).alias("value"))
 
 
-def point_spread(vis: DataFrame, n: int = 64, cell: float = 5e-5, mode: str = "cube") -> DataFrame:
-    return dirty_image(vis, n, cell, mode, do_psf=True)
+def weight_sums(vis: DataFrame, n: int = 64, cell: float = 5e-5, mode: str = "cube") -> DataFrame:
+    """``chan, plane, sum_weight`` of the planes that have any weight."""
+    return gridding.sum_weight(vis, n, cell, mode=mode).withColumnRenamed("pol", "plane").where("sum_weight > 0")
+
+
+def point_spread(vis: DataFrame, n: int = 64, cell: float = 5e-5, mode: str = "cube", sums: DataFrame | None = None) -> DataFrame:
+    return dirty_image(vis, n, cell, mode, do_psf=True, sums=sums)
 
 
 def predict(vis: DataFrame, model: DataFrame, n: int = 64, cell: float = 5e-5, correct: bool = True) -> DataFrame:
@@ -103,13 +109,14 @@ def major_cycles(
     """(model, residual image, log): CLEAN with residuals recomputed from the visibilities. Each cycle grids the residual
     visibilities, cleans the image by plane, adds to the model, and predicts the model at every sample. ``start`` is a
     model to go on from. The measured sidelobe of the point spread function sets the depth of a cycle."""
-    psf = checkpointed(point_spread(vis, n, cell))
+    sums = checkpointed(weight_sums(vis, n, cell))  # weights do not change from cycle to cycle
+    psf = checkpointed(point_spread(vis, n, cell, sums=sums))
     sidelobe = sidelobes(psf).agg(F.max("sidelobe")).first()[0] or 0.2
     model = start.select(*KEY, "l", "m", "value") if start is not None else None
     log: list[dict] = []
     while True:
         seen = residual(predict(vis, model, n, cell)) if model is not None else vis
-        image = checkpointed(dirty_image(seen, n, cell))
+        image = checkpointed(dirty_image(seen, n, cell, sums=sums))
         state = image.agg(F.max(F.abs("value")).alias("peak"), F.count("*").alias("n")).first()
         peak = state["peak"] or 0.0
         code, message = control.check(peak, state["n"])
