@@ -1,12 +1,13 @@
 """License scans over a positional rare-token index, with DataFrame operations only.
 
-An index holds, for each word of the licence templates, the postings (template, position). A text's licence words are
-kept with their positions; the words' document frequencies over the whole corpus give their IDF. For each text the
-licence words of highest IDF (``RARE`` different ones, with all their places) are looked up; postings and places are
-intersected by relative position, so words that stand as in a template meet at one offset. A template is a candidate
-at an offset that holds two of its words or more; a label is given where a mandatory key phrase of the template stands
-at its place, word by word. The key phrases are looked up by their own rarest word as well, so a phrase is never
-missed for want of candidates.
+An index holds, for each word of the licence templates, the postings (template, position); a key phrase that is not part
+of its template's text is indexed as a text of its own. A text's licence words are kept with their positions; the words'
+document frequencies over the whole corpus give their IDF. Every licence word of a text that has postings is looked up
+(frequent words have them only inside key phrases); postings and places are intersected by relative position, so words
+that stand as in a template meet at one offset. A template is a candidate at an offset that holds two of its rare words or
+more, or the rarest word of one of its key phrases, so a phrase is never missed for want of candidates. A label is given
+where a candidate holds all words of a mandatory key phrase at their places. The score is the largest share of a
+template's IDF held by a candidate that gives a label, 0.5 at least.
 
 Only numbers and licence words leave a text's row, and all of it happens within the row: there is no join, and nothing
 to skew. The tables broadcast are the templates and the IDF of their words.
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from .common import materialize, read
 from .quality_rules import let
 
-#: Different licence words of a text that are looked up.
-RARE = 12
 TOKEN = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: Base phrases and their labels (fixed values).
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -112,6 +111,29 @@ def _places(hits: Column, phrase: str) -> Column:
     return let(hits, starts)
 
 
+def _index(idf: dict[str, float]) -> tuple[list[tuple[int, str]], dict[str, list[tuple[int, int, int, bool]]], list[list[int]]]:
+    """The indexed texts (template, text); for each word its postings (text, position, bit of a word of a key phrase,
+    whether it is the rarest word of one); for each text the bits of each of its key phrases."""
+    entries = [(t, x) for t, template in enumerate(TEMPLATES) for x in (template.text, *[k for k in template.keys if f" {k} " not in f" {template.text} "])]
+    postings: dict[str, list[tuple[int, int, int, bool]]] = {}
+    wholes = []
+    for e, (t, text) in enumerate(entries):
+        words, bits, sure, masks = text.split(), {}, set(), []
+        for key in TEMPLATES[t].keys:
+            phrase = key.split()
+            for i in range(len(words) - len(phrase) + 1):
+                if words[i : i + len(phrase)] == phrase:
+                    spots = range(i, i + len(phrase))
+                    bits |= {k: 1 << k for k in spots}
+                    masks.append(sum(1 << k for k in spots))
+                    sure.add(max((k for k in spots if words[k] not in STOP), key=lambda k: idf[words[k]]))
+        for at, word in enumerate(words):
+            if word not in STOP or at in bits:
+                postings.setdefault(word, []).append((e, at, bits.get(at, 0), at in sure))
+        wholes.append(masks)
+    return entries, postings, wholes
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` and ``templates`` of every row."""
     words = materialize(licence_words(documents), "license-words")
@@ -120,43 +142,57 @@ def scan(documents: DataFrame) -> DataFrame:
     frequency = {r["word"]: r["n"] for r in counted.collect()}  # at most one row a word of the templates
     total = max(1, words.count())
     idf = {w: math.log(1 + total / (1 + frequency.get(w, 0))) for w in names}
-    ranked = sorted(names, key=lambda w: (-idf[w], w))
-    rank = F.create_map(*[F.lit(x) for i, w in enumerate(ranked) for x in (w, i)])
     weight = F.create_map(*[F.lit(x) for w in names for x in (w, float(idf[w]))])
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, template in enumerate(TEMPLATES):
-        for at, word in enumerate(template.text.split()):
-            if word not in STOP:
-                postings.setdefault(word, []).append((t, at))
-    index = F.create_map(*[x for w, p in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in p]))])
+    entries, postings, wholes = _index(idf)
+    fields = "array<struct<e:int,at:int,bit:bigint,sure:boolean>>"
+    index = F.create_map(*[x for w, p in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("e", "at", "bit", "sure"), q)]) for q in p]))])
+    index = index.cast(f"map<string,{fields}>")
     full = [sum(idf[w] for w in set(t.text.split()) if w not in STOP) for t in TEMPLATES]
-
-    chosen = F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda h: rank[h["word"]]))), 1, RARE)
-    looked = let(chosen, lambda c: F.filter("hits", lambda h: F.array_contains(c, rank[h["word"]])))
-    met = F.flatten(F.transform(looked, lambda h: F.transform(F.coalesce(index[h["word"]], F.array().cast("array<struct<t:int,at:int>>")), lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["at"]).alias("offset"), h["word"].alias("word")))))
-    # Runs of equal (template, offset) in sorted order are the intersections; a run's weight is the IDF that it holds.
-    weighed = F.aggregate(
-        F.array_sort(met),
-        F.expr("named_struct('t', -1, 'offset', 0, 'sum', 0D, 'best', array_repeat(0D, %d))" % len(TEMPLATES)),
-        lambda a, m: let(
-            F.when((a["t"] == m["t"]) & (a["offset"] == m["offset"]), a["sum"]).otherwise(F.lit(0.0)) + weight[m["word"]],
-            lambda s: F.struct(
-                m["t"].alias("t"), m["offset"].alias("offset"), s.alias("sum"), F.transform(a["best"], lambda b, i: F.when(i == m["t"], F.greatest(b, s)).otherwise(b)).alias("best")
-            ),
-        ),
-        lambda a: a["best"],
+    template = F.array(*[F.lit(t) for t, _ in entries])
+    whole = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in masks]) for masks in wholes])
+
+    def meetings(h: Column) -> Column:
+        rare = ~h["word"].isin(*STOP)
+        worth, one = F.when(rare, weight[h["word"]]).otherwise(F.lit(0.0)), rare.cast("int")
+        posted = F.coalesce(index[h["word"]], F.array().cast(fields))
+        return F.transform(posted, lambda p: F.struct(p["e"].alias("e"), (h["at"] - p["at"]).alias("offset"), p["bit"].alias("bit"), p["sure"].alias("sure"), worth.alias("worth"), one.alias("one")))
+
+    def meet(a: Column, m: Column) -> Column:
+        same = (a["e"] == m["e"]) & (a["offset"] == m["offset"])
+        kept = lambda name, zero: F.when(same, a[name]).otherwise(F.lit(zero))
+        run = F.struct(
+            (kept("sum", 0.0) + m["worth"]).alias("sum"),
+            (kept("words", 0) + m["one"]).alias("words"),
+            kept("bits", 0).cast("bigint").bitwiseOR(m["bit"]).alias("bits"),
+            (kept("sure", False) | m["sure"]).alias("sure"),
+        )
+
+        def grown(s: Column) -> Column:
+            t = F.get(template, m["e"])
+            labelled = ((s["words"] >= 2) | s["sure"]) & F.exists(F.get(whole, m["e"]), lambda k: s["bits"].bitwiseAND(k) == k)
+            best = lambda name, ok: F.transform(a[name], lambda b, i: F.when((i == t) & ok, F.greatest(b, s["sum"])).otherwise(b)).alias(name)
+            return F.struct(m["e"].alias("e"), m["offset"].alias("offset"), *[s[k].alias(k) for k in ("sum", "words", "bits", "sure")], best("held", F.lit(True)), best("verified", labelled))
+
+        return let(run, grown)
+
+    # Runs of equal (entry, offset) in sorted order are the intersections; what a run holds only grows along it.
+    start = F.expr(
+        "named_struct('e', -1, 'offset', 0, 'sum', 0D, 'words', 0, 'bits', 0L, 'sure', false, "
+        f"'held', array_repeat(0D, {len(TEMPLATES)}), 'verified', array_repeat(-1D, {len(TEMPLATES)}))"
     )
-    none = F.expr(f"array_repeat(0D, {len(TEMPLATES)})")
-    frame = words.select("doc_id", "n_words", "hits", F.when(F.size("hits") > 0, weighed).otherwise(none).alias("held"))
-    places = {p: _places(F.col("hits"), p) for p in dict.fromkeys([p for p, _ in BASE] + [k for t in TEMPLATES for k in t.keys])}
+    met = F.aggregate(F.array_sort(F.flatten(F.transform("hits", meetings))), start, meet, lambda a: F.struct(a["held"].alias("held"), a["verified"].alias("verified")))
+    none = F.expr(f"named_struct('held', array_repeat(0D, {len(TEMPLATES)}), 'verified', array_repeat(-1D, {len(TEMPLATES)}))")
+    frame = words.select("doc_id", "n_words", "hits", F.when(F.size("hits") > 0, met).otherwise(none).alias("met"))
+    frame = frame.select("doc_id", "n_words", "hits", "met.held", "met.verified")
+    places = {p: _places(F.col("hits"), p) for p, _ in BASE}
     some = F.size("hits") > 0
     nowhere = F.array().cast("array<int>")
     frame = frame.withColumns({f"p{i}": F.when(some, place).otherwise(nowhere) for i, place in enumerate(places.values())})
     column = {p: F.col(f"p{i}") for i, p in enumerate(places)}
     base = F.concat(*[column[p] for p, _ in BASE])
     base_labels = F.array(*[F.when(F.size(column[p]) > 0, F.lit(label)) for p, label in BASE])
-    verified = [F.greatest(*[F.size(column[k]) for k in t.keys], F.lit(0)) > 0 for t in TEMPLATES]
-    share = [F.when(v, F.least(F.lit(1.0), F.greatest(F.get("held", F.lit(i)) / full[i], F.lit(0.5)))) for i, v in enumerate(verified)]
+    verified = [F.get("verified", F.lit(i)) >= 0 for i in range(len(TEMPLATES))]
+    share = [F.when(v, F.least(F.lit(1.0), F.greatest(F.get("verified", F.lit(i)) / full[i], F.lit(0.5)))) for i, v in enumerate(verified)]
     labels = F.array(*[F.when(v, F.lit(t.label)) for v, t in zip(verified, TEMPLATES)])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.array_compact(a))), ",")
     return frame.select(

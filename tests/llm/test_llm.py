@@ -113,6 +113,21 @@ def test_licenses_against_brute_force(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_by_offsets(spark):
+    """Every notice of a text of many licences counts in full, and labels are those of phrases at their places."""
+    notices = [t.text for t in licenses.TEMPLATES]
+    phrases = [k for t in licenses.TEMPLATES for k in t.keys]
+    r = random.Random(12)
+    texts = ["x y z ".join(n + " " for n in notices), "license public gnu general. license mit; apache the license"]
+    texts += [" ".join(r.choice([*phrases, *notices, "gnu", "license", "by", "cc", "mit", "x"]) for _ in range(6)) for _ in range(60)] + phrases
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert list(got[0].templates) == list(range(len(notices))) and abs(got[0].score - 1) < 1e-9
+    for i, text in enumerate(texts):
+        plain = " ".join(re.findall("[0-9a-z]+", text))
+        want = {t.label for t in licenses.TEMPLATES if any(f" {k} " in f" {plain} " for k in t.keys)} | {v for p, v in licenses.BASE if f" {p} " in f" {plain} "}
+        assert set(got[i].labels.split(",")) == (want or {""})
+
+
 def test_language_id(spark, docs, none):
     r = random.Random(2)
     german = "der und die haus berg wald nicht schön".split()
