@@ -1,11 +1,14 @@
 """Secret scans: patterns propose candidates, a random forest removes the false ones.
 
-Candidates are runs of key-like characters. The forest sees their length, character transitions and classes, how much
+Candidates are runs of 16 key-like characters or more, parted behind an inner ``=`` that follows an identifier, and the
+values that are assigned to a name with a cue word or follow ``bearer``, of any length and any printable characters but
+white space (between quotes, up to the closing one). The forest sees their length, character transitions and classes, how much
 of them a dictionary covers, whether they look like a path, and the words beside them. It is trained from a table of
 labelled findings, which ``labelled_findings`` makes by rule: keys in the shapes of common services and generic hex and
 base64 secrets in assignments, against commit ids, checksums, UUIDs, paths, identifiers, numbers and long words.
 
-Defined results: null and empty texts have no findings; spans are code points, end exclusive, by start. Repeated rows
+Defined results: null and empty texts have no findings; spans are code points, end exclusive, by start; findings that
+overlap are one. Repeated rows
 stay and null ids are passed on; further columns are kept only where asked for.
 """
 
@@ -26,6 +29,8 @@ from .common import map_batches, read, texts_of
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 #: What a candidate may begin with and end in without its being part of the secret.
 TRIM = "=.-/"
+#: A name and ``=`` inside a run; what follows is a candidate of its own.
+NAMED = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*=(?![=/.-]*$)")
 BESIDE = 40  # code points before a candidate that are looked at
 REDACTED = "[SECRET]"
 
@@ -44,6 +49,13 @@ WORDS = (
     "this thread time title token tool top tree true type under update url use user util value version view what when where width "
     "window with word work write year you"
 ).split()
+#: Signs of assignment, and what may stand before one: a name with a cue word, closing quotes or brackets.
+SIGN = re.compile(r"[=:][=>]{0,2}[ \t]{0,8}")
+BEARER = re.compile(r"(?i)\bbearer[ \t]{1,8}")
+CUED = re.compile("(?:" + "|".join(sorted(FOR, key=len, reverse=True)) + r")[a-z0-9_.-]{0,40}[\"'`\])]{0,2}[ \t]{0,8}\Z")
+NAME = 64  # code points before a sign that are looked at
+VALUE = re.compile(r"[^\s\x00-\x1f\x7f]+")
+QUOTES = "\"'`"
 
 FEATURES = ("length", "digits", "upper", "lower", "marks", "moves", "entropy", "covered", "hex", "path", "for", "against", "assigned", "quoted", "vowels", "longest_run")
 _WORDS = re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)))
@@ -152,6 +164,9 @@ def labelled_findings(each: int = 150, seed: int = 5) -> list[tuple[str, str, in
     syllables = [c + v + d for c in "bcdflmnprst" for v in vowels for d in ("n", "r", "", "st", "th", "ti")]
     word = lambda n: "".join(r.choice(syllables) for _ in range(n))
     ident = lambda n, sep: sep.join(r.choice(WORDS) for _ in range(n))
+    short = [*marks, "password: ", "passwd=", "pwd=", "DB_PASSWORD=", 'password": "', "secret: ", "&api_key=", "token="]
+    blanks = "none null true false required optional changeme yes no string str value text the a is not int Bearer Basic None True False".split()
+    mixed = lambda n: "".join(r.sample(pick(upper, 2) + pick(digits, 2) + pick("!?#$%&*@^+~", 2) + pick(base, n - 6), n))
     out: list[tuple[str, str, int]] = []
     for _ in range(each):
         m = lambda: r.choice([*marks, *marks, *plain[:3]])  # noqa: B023,E731
@@ -173,6 +188,14 @@ def labelled_findings(each: int = 150, seed: int = 5) -> list[tuple[str, str, in
             (r.choice([*plain, "id: ", "number ", "token = "]), pick(digits, r.randint(16, 20)), 0),
             (r.choice(plain), r.choice("=-_.") * r.randint(16, 60), 0),
             (r.choice([*marks[:4], *plain]), r.choice("xX*0a") * r.randint(16, 40), 0),
+            (r.choice(short), mixed(r.randint(6, 24)), 1),
+            (r.choice(short), word(r.randint(1, 2)) + pick(digits, r.randint(1, 4)) + r.choice(("", pick(lower, 2), pick("!?#$%&*@", 1))), 1),
+            (r.choice(short), pick(base, r.randint(8, 19)), 1),
+            (r.choice(short), r.choice((ident(1, ""), ident(2, "_"), word(r.randint(1, 3)), word(2).capitalize())), 0),
+            (r.choice(short), r.choice(blanks), 0),
+            (r.choice(short), r.choice((f"${{{ident(2, '_').upper()}}}", f"<{ident(2, '-')}>", f"{{{{{ident(2, '.')}}}}}", f"os.environ[{ident(1, '')}]", f"get_{ident(1, '')}()", f"self.{ident(2, '_')}")), 0),
+            (r.choice(short), pick(digits, r.randint(1, 5)), 0),
+            (r.choice(short), r.choice("*xX.-#") * r.randint(1, 15), 0),
             (r.choice(plain), "www." + ident(2, "") + ".com/" + ident(3, "/") + "?=" + pick(digits, 4), 0),
         ]
     return out
@@ -190,29 +213,65 @@ class Finding:
     score: float
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that could be secrets: key-like characters, with a digit or of mixed case inside."""
+def _parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """A run, parted behind every inner ``=`` that follows an identifier."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while a < b and text[a] in TRIM:
+    while m := NAMED.match(text, a, b):
+        out.append((a, m.end() - 1))
+        a = m.end()
+    return [*out, (a, b)]
+
+
+def _values(text: str) -> list[tuple[int, int]]:
+    """Values behind cue words."""
+    out = []
+    cued = [m for m in SIGN.finditer(text) if CUED.search(text[max(0, m.start() - NAME) : m.start()].lower())]
+    for m in cued + list(BEARER.finditer(text) if "bearer" in text.lower() else ()):
+        a, quote = m.end(), text[m.end() : m.end() + 1]
+        if quote and quote in QUOTES:
             a += 1
-        while a < b and text[b - 1] in "-./":
-            b -= 1
-        run = text[a:b]
-        inside = run[1:]
-        if b - a >= 16 and (any(c in "0123456789" for c in run) or (inside != inside.lower() and inside != inside.upper())):
+        if not (value := VALUE.match(text, a)):
+            continue
+        b = value.end()
+        if quote in QUOTES and (end := text.find(quote, a, b)) >= 0:
+            b = end
+        else:
+            if (end := text.find("&", a, b)) > a and text.rfind("?", max(0, m.start() - BESIDE), a) >= 0:
+                b = end  # the next field of a query string
+            while b > a and text[b - 1] in ".,;:)]}>\"'`":
+                b -= 1
+        if a < b:
             out.append((a, b))
     return out
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans that could be secrets, by start: runs of key-like characters, and values behind cue words."""
+    out = set(_values(text))
+    for m in CANDIDATE.finditer(text):
+        for a, b in _parts(text, *m.span()):
+            while a < b and text[a] in TRIM:
+                a += 1
+            while a < b and text[b - 1] in "-./":
+                b -= 1
+            if b - a >= 16:
+                out.add((a, b))
+    return sorted(out)
+
+
 def scan_text(forest: RandomForest, text: str, threshold: float = 0.5) -> tuple[int, list[Finding]]:
-    """Number of candidates, and those that the forest takes for secrets."""
+    """Number of candidates, and what the forest takes for secrets; overlapping findings are one."""
     spots = candidates(text)
     if not spots:
         return 0, []
     scores = forest.predict(np.array([features(text[a:b], text[max(0, a - BESIDE) : a]) for a, b in spots]))
-    return len(spots), [Finding(a, b, float(s)) for (a, b), s in zip(spots, scores) if s >= threshold]
+    out: list[Finding] = []
+    for (a, b), score in zip(spots, scores.tolist()):
+        if score >= threshold:
+            if out and a < out[-1].end:
+                a, b, score = out[-1].start, max(b, out[-1].end), max(score, out.pop().score)
+            out.append(Finding(a, b, score))
+    return len(spots), out
 
 
 def scan(documents: DataFrame, forest: RandomForest | None = None, threshold: float = 0.5) -> DataFrame:

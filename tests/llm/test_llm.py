@@ -175,6 +175,26 @@ def test_secrets(docs, none):
     assert secrets.redact(docs, forest).columns == docs.columns and secrets.scan(none, forest).count() == 0
 
 
+def test_secrets_behind_names():
+    forest = secrets.default_forest()
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    for text, value in (
+        ('password = "hunter2x9"', "hunter2x9"),
+        ('the password = "Zk7!qT#9vW" is old', "Zk7!qT#9vW"),
+        (f"export API_TOKEN={secret}", secret),
+        (f"https://a.org/x?client_secret={secret}&page=2", secret),
+    ):
+        assert [text[f.start : f.end] for f in secrets.scan_text(forest, text)[1]] == [value]
+    for text in ("password = None", "the key: word", "token = get_token()", "password: required"):
+        assert secrets.scan_text(forest, text)[1] == []
+    # Most labelled secrets are found from whole texts, and few of the others are.
+    hits = {0: [], 1: []}
+    for before, value, y in secrets.labelled_findings(20, seed=72):
+        found = secrets.scan_text(forest, before + value)[1]
+        hits[y].append(any((f.start, f.end) == (len(before), len(before) + len(value)) for f in found) if y else bool(found))
+    assert np.mean(hits[1]) > 0.93 and np.mean(hits[0]) < 0.07
+
+
 def brute_fingerprint(text):
     import xxhash
 
