@@ -11,8 +11,13 @@ Tokens lie without a gap, so only the last sequence is padded. Documents are tok
 in a table while the offsets are summed.
 
 Defined results: a null or empty text is its closing id alone; a null source is a queue of its own; rows with equal or
-null ``doc_id`` are packed each for itself; no rows give no pieces. Sources beyond the ``max_queues`` largest share one
-queue. Further columns are not read.
+null ``doc_id`` are packed each for itself; no rows give no pieces. Further columns are not read.
+
+The driver keeps a queue for each of the ``max_queues - 1`` largest sources. All others share one queue, which sends what
+they send together by the closed form, each by its own share; its times are those of the distinct (total, weight), of which
+there are few (distinct totals add up). Within it, documents are parted into packets of a sequence at most, and packets go
+by virtual time: packet ``[a, b)`` of source ``s`` at ``(a + f (b - a)) / p_s``, where ``f`` in [0, 1) is a hash of the
+source, so many small sources do not all send at once. A source is at most a packet from its share, whatever their number.
 """
 
 from __future__ import annotations
@@ -140,27 +145,50 @@ class PackParams:
 class Schedule:
     """What every queue has sent after every window."""
 
-    def __init__(self, totals: np.ndarray, shares: np.ndarray, window: int) -> None:
-        self.totals, self.shares, self.window = totals, shares, window
+    def __init__(self, totals: np.ndarray, shares: np.ndarray, window: int, shared: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
+        """``shared``: totals, shares and numbers of like sources that make up the last queue."""
+        self.totals, self.shares, self.window, self.curve = totals, shares, window, None
         self.windows = -(-int(totals.sum()) // window)
-        ends = np.unique(totals / shares)  # virtual times at which queues run dry
-        self.times = np.concatenate([[0.0], ends])
-        self.sent = np.minimum(totals, shares * self.times[:, None]).sum(1)
+        if shared is None:
+            ends = np.unique(totals / shares)  # virtual times at which queues run dry
+            self.times = np.concatenate([[0.0], ends])
+            self.sent = np.minimum(totals, shares * self.times[:, None]).sum(1)
+            return
+        own, part, number = shared
+        self.times = np.unique(np.concatenate([[0.0], totals[:-1] / shares[:-1], own / part]))
+        order = np.argsort(own / part, kind="stable")
+        ends, dry, live = (own / part)[order], np.cumsum((own * number)[order]), np.cumsum((part * number)[order])
+        gone = np.searchsorted(ends, self.times, side="right")
+        rate = np.maximum(0.0, live[-1] - np.concatenate([[0.0], live])[gone])
+        rate[gone == len(ends)] = 0.0
+        self.curve = np.maximum.accumulate(np.concatenate([[0.0], dry])[gone] + rate * self.times)  # what the shared queue has sent
+        self.sent = self.curve + sum(np.minimum(n, p * self.times) for n, p in zip(totals[:-1], shares[:-1]))
+
+    def shared_sent(self, t: np.ndarray) -> np.ndarray:
+        """Tokens that the shared queue has sent at virtual times."""
+        return np.minimum(self.totals[-1], np.floor(np.interp(t, self.times, self.curve)).astype(np.int64))
 
     def after(self, k: np.ndarray) -> np.ndarray:
         """(windows, queues): tokens sent before window ``k``."""
         t = np.interp(k * float(self.window), self.sent, self.times)
         out = np.minimum(self.totals, np.floor(self.shares * t[:, None]).astype(np.int64))
+        if self.curve is not None:
+            out[:, -1] = self.shared_sent(t)
         return np.where((k >= self.windows)[:, None], self.totals, out)
 
     def _own(self, k: np.ndarray, queue: np.ndarray) -> np.ndarray:
         t = np.interp(k * float(self.window), self.sent, self.times)
         out = np.minimum(self.totals[queue], np.floor(self.shares[queue] * t).astype(np.int64))
+        if self.curve is not None:
+            out = np.where(queue == len(self.totals) - 1, self.shared_sent(t), out)
         return np.where(k >= self.windows, self.totals[queue], out)
 
     def window_of(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The window in which each queue sends its token ``at``."""
-        k = np.interp((at + 1) / self.shares[queue], self.times, self.sent) // self.window
+        t = (at + 1) / self.shares[queue]
+        if self.curve is not None:
+            t = np.where(queue == len(self.totals) - 1, np.interp(at + 1, self.curve, self.times), t)
+        k = np.interp(t, self.times, self.sent) // self.window
         k = np.clip(k.astype(np.int64), 0, self.windows - 1)
         while (late := self._own(k, queue) > at).any():
             k -= late
@@ -195,30 +223,33 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokenised(documents: DataFrame, queues: dict[str | None, int], rest: int, params: PackParams) -> DataFrame:
-    """Ids of every document, and its offset among those of its queue in its task."""
+    """Ids of every document, and its offset among those of its source in its task. ``other`` names a source of the
+    shared queue."""
     path, closing, types = params.vocabulary(), params.closing, dict(documents.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, at = byte_bpe(path), TaskContext.get().partitionId(), {}
         end = np.array([closing], bpe.type).tobytes()
         for batch in batches:
-            queue, local, count, ids = [], [], [], []
+            queue, other, local, count, ids = [], [], [], [], []
             for text, source in zip(texts_of(batch), batch.column("source").to_pylist()):
                 packed = bpe.encode(text) + end
                 q, n = queues.get(source, rest), len(packed) // len(end)
+                name = "" if q < rest else "=" if source is None else "=" + json.dumps(source)
                 queue.append(q)
-                local.append(at.get(q, 0))
+                other.append(name)
+                local.append(at.get((q, name), 0))
                 count.append(n)
                 ids.append(packed)
-                at[q] = at.get(q, 0) + n
+                at[q, name] = local[-1] + n
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(queue, pa.int32()), pa.array(local, pa.int64()), pa.array(count, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "part", "queue", "local", "n", "ids"],
+                [batch.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(queue, pa.int32()), pa.array(other, pa.string()), pa.array(local, pa.int64()), pa.array(count, pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "part", "queue", "other", "local", "n", "ids"],
             )
 
     frame = documents.select("doc_id", "text", F.col("source").cast("string").alias("source"))
     frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return frame.mapInArrow(run, f"doc_id {types['doc_id']}, part int, queue int, local long, n long, ids binary")
+    return frame.mapInArrow(run, f"doc_id {types['doc_id']}, part int, queue int, other string, local long, n long, ids binary")
 
 
 def pack(documents: DataFrame, params: PackParams = PackParams()) -> DataFrame:
@@ -228,7 +259,7 @@ def pack(documents: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     names = sorted((r["source"] for r in largest), key=lambda s: (s is not None, s))
     queues, rest = {s: i for i, s in enumerate(names)}, len(names)
     stored = materialize(_tokenised(documents, queues, rest, params), "packing-ids")
-    sums = materialize(stored.groupBy("part", "queue").agg(F.sum("n").alias("n")), "packing-sums")
+    sums = materialize(stored.groupBy("part", "queue", "other").agg(F.sum("n").alias("n")), "packing-sums")
     totals = np.zeros(rest + 1, np.int64)
     for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():
         totals[r["queue"]] = r["n"]
@@ -239,9 +270,25 @@ def pack(documents: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     if params.weights:
         shares = np.array([params.weights.get(names[i] if i < rest else "", 0.0) for i in live])
         shares = np.maximum(shares, 1e-9) / np.maximum(shares, 1e-9).sum()
-    spark = documents.sparkSession
-    plan = spark.sparkContext.broadcast((place, Schedule(totals[live], shares, params.window), params.length))
-    bases = sums.select("part", "queue", F.expr("sum(n) OVER (PARTITION BY queue ORDER BY part) - n").alias("base"))
+    spark, shared, sources = documents.sparkSession, None, None
+    if totals[rest]:
+        sources = sums.where(F.col("queue") == rest).groupBy("other").agg(F.sum("n").alias("total"))
+        if params.weights:
+            given = [("=" + json.dumps(s), float(w)) for s, w in params.weights.items()]
+            given = F.broadcast(spark.createDataFrame(given, "other string, weight double"))
+            sources = sources.join(given, "other", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-9)))
+        else:
+            sources = sources.withColumn("weight", F.col("total") / F.lit(float(totals.sum())))
+        sources = materialize(sources, "packing-sources")
+        kinds = sources.groupBy("total", "weight").agg(F.count("*").alias("n")).collect()
+        own, part, number = (np.array([r[c] for r in kinds], float) for c in ("total", "weight", "n"))
+        if params.weights:
+            shares = np.array([max(params.weights.get(names[i], 0.0), 1e-9) for i in live if i < rest] + [float(part @ number)])
+            part, shares = part / shares.sum(), shares / shares.sum()
+        shared = (own, part, number)
+    schedule = Schedule(totals[live], shares, params.window, shared)
+    plan = spark.sparkContext.broadcast((place, schedule, params.length))
+    bases = sums.select("part", "queue", "other", F.expr("sum(n) OVER (PARTITION BY queue, other ORDER BY part) - n").alias("base"))
     bases = materialize(bases, "packing-bases")
     if bases.count() <= 500_000:  # a few numbers for each task and queue: 12 MB at most
         bases = F.broadcast(bases)
@@ -250,18 +297,55 @@ def pack(documents: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         place, schedule, length = plan.value
         queue, count = place[batch.column("queue").to_numpy()], batch.column("n").to_numpy()
-        doc, start, size, sequence, offset = schedule.pieces(queue, batch.column("base").to_numpy() + batch.column("local").to_numpy(), count, length)
+        doc, start, size, sequence, offset = schedule.pieces(queue, batch.column("begin").to_numpy(), count, length)
         ids = batch.column("ids")
         sums, last, wide = np.empty(len(doc), np.int64), -1, b""
         for i, (d, a, n) in enumerate(zip(doc.tolist(), start.tolist(), size.tolist())):
             if d != last:
                 wide, last = np.frombuffer(ids[d].as_buffer(), kind).astype("<u4").tobytes(), d
             sums[i] = zlib.crc32(wide[4 * a : 4 * (a + n)])
-        columns = [batch.column("doc_id").take(pa.array(doc)), *map(pa.array, (start, size, sums, count[doc], sequence, offset))]
+        columns = [batch.column("doc_id").take(pa.array(doc)), *map(pa.array, (start + batch.column("skip").to_numpy()[doc], size, sums, batch.column("doc_tokens").to_numpy()[doc], sequence, offset))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     schema = f"doc_id {types['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return map_batches(stored.join(bases, ["part", "queue"]), run, schema)
+    placed = stored.join(bases, ["part", "queue", "other"]).withColumn("begin", F.col("base") + F.col("local"))
+    columns = ["doc_id", "queue", "begin", "n", F.lit(0).cast("long").alias("skip"), F.col("n").alias("doc_tokens"), "ids"]
+    if sources is None:
+        return map_batches(placed.select(columns), run, schema)
+    total = float(part @ number) / float(shares[-1])
+    others = placed.where(F.col("queue") == rest).join(sources.select("other", (F.col("weight") / total).alias("share")), "other")
+    packets = _by_virtual_time(others, schedule, params, kind, types["doc_id"], rest)
+    return map_batches(placed.where(F.col("queue") < rest).select(columns).unionByName(packets), run, schema)
+
+
+def _by_virtual_time(others: DataFrame, schedule: Schedule, params: PackParams, kind: str, id_type: str, rest: int) -> DataFrame:
+    """The documents of the shared queue as packets, with their places in the queue: by virtual time, which is cut into
+    bands of about a window of the queue's tokens; places are sums over bands and within them."""
+    plan, length, step = others.sparkSession.sparkContext.broadcast(schedule), params.length, int(kind[-1])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        schedule, count, begin = plan.value, batch.column("n").to_numpy(), batch.column("begin").to_numpy()
+        doc, turn = _spread(-(-count // length))
+        skip = turn * length
+        n = np.minimum(count[doc] - skip, length)
+        name = batch.column("other").to_pylist()
+        phase = np.array([zlib.crc32(x.encode()) / 2**32 for x in name])
+        time = (begin[doc] + skip + phase[doc] * n) / batch.column("share").to_numpy()[doc]
+        band = schedule.shared_sent(time) // schedule.window
+        ids = batch.column("ids")
+        cut = [ids[d].as_py()[step * a : step * (a + m)] for d, a, m in zip(doc.tolist(), skip.tolist(), n.tolist())]
+        wide = [batch.column(c).take(pa.array(doc)) for c in ("doc_id", "other")]
+        return pa.RecordBatch.from_arrays(
+            [*wide, *map(pa.array, (band, time, begin[doc] + skip, n, skip, count[doc])), pa.array(cut, pa.binary())], ["doc_id", "other", "band", "time", "own", "n", "skip", "doc_tokens", "ids"]
+        )
+
+    frame = others.select("doc_id", "other", "begin", "n", "share", "ids")
+    frame = map_batches(frame, run, f"doc_id {id_type}, other string, band long, time double, own long, n long, skip long, doc_tokens long, ids binary")
+    frame = materialize(frame, "packing-packets")
+    bands = frame.groupBy("band").agg(F.sum("n").alias("held"))
+    bands = F.broadcast(materialize(bands.select("band", F.expr("sum(held) OVER (ORDER BY band) - held").alias("before")), "packing-bands"))
+    within = frame.withColumn("begin", F.expr("sum(n) OVER (PARTITION BY band ORDER BY time, other, own ROWS UNBOUNDED PRECEDING) - n"))
+    return within.join(bands, "band").select("doc_id", F.lit(rest).alias("queue"), (F.col("begin") + F.col("before")).alias("begin"), "n", "skip", "doc_tokens", "ids")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

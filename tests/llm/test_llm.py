@@ -273,6 +273,24 @@ def test_schedule_keeps_the_mixture():
     assert np.abs(sent / 4096 - totals / totals.sum()).max() < 1e-3
 
 
+@pytest.mark.parametrize("weights", [{}, {"b": 0.5, "s7": 0.4, "s8": 0.1}])
+def test_sources_beyond_the_queues_keep_their_shares(spark, weights):
+    """Three sources of like size lie one after another beyond the cap; no window may hold one of them alone."""
+    bpe = packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    names = ["b"] * 160 + ["s7"] * 100 + ["s8"] * 100 + [None] * 100
+    rows = [(i, "a house on a hill by the river " * 12, "en", s, 0, "", "") for i, s in enumerate(names)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    ids = {i: [*bpe.tokenizer.encode(row[1], add_special_tokens=False).ids, 0] for i, row in enumerate(rows)}
+    got = packing.pack(table, packing.PackParams(window=4096, weights=weights, max_queues=2)).collect()
+    check_pieces(got, ids)
+    sent = Counter()
+    for r in got:
+        if r.sequence_id < 8:  # the first two windows
+            sent[names[r.doc_id]] += r.length
+    want = weights or {s: n / len(names) for s, n in Counter(names).items()}
+    assert all(abs(sent[s] - 8192 * w) <= 300 for s, w in want.items())
+
+
 def test_automaton_equals_the_library(docs, none):
     from tokenizers import Tokenizer
 
