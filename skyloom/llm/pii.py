@@ -1,7 +1,7 @@
 """Personal data: exact patterns, and a linear-chain conditional random field for what the patterns miss.
 
 Base spans come from four patterns with their checks. The field labels the tokens around every token that holds a
-digit or an ``@`` (three to each side; runs that touch are one chain) by word shapes and cue words, is trained from a
+digit or an ``@`` or spells one out, as ``at``, ``[dot]`` (three to each side; runs that touch are one chain) by word shapes and cue words, is trained from a
 small labelled table that ``labelled_table`` writes out by rule, and is decoded by Viterbi in numpy, all chains of a
 batch together. Its spans are added where they touch no base span: identity numbers, phone numbers without a leading
 plus, and addresses in words. Spans of a kind with a check (ip, card) must pass it.
@@ -36,7 +36,9 @@ LABELS = ("O", "email", "ip", "card", "phone", "id")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 GAPS = " \t\n\x0b\x0c\r"
 GAP = re.compile(r"[\x20\x09-\x0D]")
-SPOT = re.compile(r"[0-9@]")
+#: What opens a chain: digits, an @, and the words that stand for @ and a dot, alone or in brackets.
+SPOT = re.compile(r"[0-9@]|(?<![^\x20\x09-\x0D])(?:[Aa][Tt]|[Dd][Oo][Tt])(?![^\x20\x09-\x0D])|[\[({<](?:[Aa][Tt]|[Dd][Oo][Tt])[\])}>]")
+SPELLED = re.compile(r"(?i)[\s\[({<]at[\s\])}>].*(?:\.|[\s\[({<]dot[\s\])}>])[\s]*[a-z]", re.S)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EDGE = ".,;:!?()[]{}<>\"'#*$%&|"
 AROUND = 3
@@ -106,14 +108,15 @@ def _squeeze(shape: str) -> str:
 def token_features(tokens: list[str]) -> list[list[int]]:
     """Hashed word-shape features of each token of a chain, with its neighbours' cue words and shapes."""
     shapes = [_squeeze(_shape(t)) for t in tokens]
-    lows = [t.lower().strip(".:#") for t in tokens]
+    lows = [t.lower().strip(".:#[](){}<>") for t in tokens]
     digits = [sum("0" <= c <= "9" for c in t) for t in tokens]
     out = []
     for i, t in enumerate(tokens):
         near = [f"p{k}{lows[i - k]}" for k in (1, 2, 3) if i >= k and lows[i - k] in CUES] + [f"n{w}" for w in lows[i + 1 : i + 2] if w in CUES]
+        near += [f"m{k}{lows[i + k]}" for k in (2, 3) if i + k < len(lows) and lows[i + k] in ("at", "dot")]
         sides = [f"sp{x[:6]}" for x in shapes[max(0, i - 1) : i]] + [f"sn{x[:6]}" for x in shapes[i + 1 : i + 2]]
         own = ["bias", f"s{shapes[i][:12]}", f"f{_shape(t)[:16]}", f"d{min(digits[i], 20)}", f"l{min(len(t), 24)}", f"pure{digits[i] == len(t)}"]
-        own += [f"w{lows[i]}"] * (lows[i] in CUES) + ["cued"] * any(n[2:] in CUES for n in near) + [f"has{c}" for c in "@.-+_/:=" if c in t]
+        own += [f"w{lows[i]}"] * (lows[i] in CUES) + ["cued"] * any(n[2:] in CUES for n in near) + [f"has{c}" for c in "@.-+_/:=" if c in t] + ["spelled"] * bool(SPELLED.search(t))
         out.append([zlib.crc32(f.encode()) % SIZE for f in own + near + sides])
     return out
 
@@ -212,9 +215,23 @@ def labelled_table(each: int = 60, seed: int = 3) -> list[tuple[list[str], list[
     name = lambda: r.choice("ann bob carol dave erin frank hein best".split())
     host = lambda: r.choice("example mail corp uni".split())
     hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    made = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3))) + r.choice(("", "n", "s", "rt"))
+    some = lambda: r.choice((name(), made(), made(), host()))
+
+    def spelled(glued: bool = False) -> str:
+        at, dot = r.choice((("at", "dot"),) * 3 * (not glued) + (("[at]", "[dot]"), ("(at)", "(dot)"), ("{at}", "{dot}")))
+        gap = "" if glued else " "
+        first = r.choice((some(), some(), some() + gap + dot + gap + some()))
+        end = r.choice((f"{some()}{gap}{dot}{gap}", f"{some()}{gap}{dot}{gap}", f"{some()}.", f"{some()}{gap}{dot}{gap}{some()}{gap}{dot}{gap}"))
+        return f"{first}{gap}{at}{gap}{end}{r.choice('com org net edu de fr uk'.split())}"
+
     rows = []
     for _ in range(each):
         rows += [
+            o(r.choice(("write to", "email", "contact", "reach me:", "mail", "", "is"))) + as_(spelled(), "email"),
+            as_(spelled(True), "email"),
+            o(r.choice(("look", "they met", name(), "arrived", made(), "was", "write to " + name(), "email " + name()))) + o("at") + o(r.choice(("the", "noon", "home", made(), f"{made()} {made()}", "least " + made()))),
+            o(r.choice(("a dot on the", "the dot com years", "every dot is", "dot", f"{made()} dot {made()}", f"at a dot {made()}", f"at the {made()} dot")))  + fill(1),
             o(r.choice(("phone:", "tel", "call", "mobile", "fax:"))) + as_(r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(7)}")), "phone"),
             as_(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", "phone"),
             o(r.choice(("ssn", "social security number", "SSN:"))) + as_(f"{d(3)}-{d(2)}-{d(4)}", "id"),
@@ -245,7 +262,7 @@ def default_model() -> PiiModel:
 
 
 def _chains(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of the tokens of each chain: every token with a digit or an @, and three to each side; chains with fewer
+    """Spans of the tokens of each chain: every token with a digit or an @ or one spelled out, and three to each side; chains with fewer
     than three tokens between them are one."""
     out: list[list[tuple[int, int]]] = []
     done = 0
@@ -295,13 +312,13 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-CHECKS = {"email": lambda x: "@" in x or " at " in x, "ip": lambda x: bool(IP.fullmatch(x)) and _is_ip(x), "card": _is_card, "phone": lambda x: 7 <= len(DIGIT.findall(x)) <= 15, "id": lambda x: len(DIGIT.findall(x)) >= 5}
+CHECKS = {"email": lambda x: "@" in x or bool(SPELLED.search(x)), "ip": lambda x: bool(IP.fullmatch(x)) and _is_ip(x), "card": _is_card, "phone": lambda x: 7 <= len(DIGIT.findall(x)) <= 15, "id": lambda x: len(DIGIT.findall(x)) >= 5}
 
 
 def find(model: PiiModel, texts: list[str]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, all spans) of each text; all chains of the batch are decoded together."""
     bases = [base_spans(t) for t in texts]
-    spans = [[s for s in _chains(t)] if DIGIT.search(t) or "@" in t else [] for t in texts]
+    spans = [[s for s in _chains(t)] if SPOT.search(t) else [] for t in texts]
     spots = [(k, chain) for k, chains in enumerate(spans) for chain in chains]
     words = [[texts[k][slice(*_trim(texts[k], a, b))] or texts[k][a:b] for a, b in chain] for k, chain in spots]
     found = [list(b) for b in bases]

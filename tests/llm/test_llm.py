@@ -163,6 +163,18 @@ def test_pii_against_patterns(docs, none):
     assert pii.scan(docs, model).count() == docs.count() and pii.scan(none, model).count() == 0
 
 
+def test_addresses_in_words():
+    model = pii.default_model()
+    for text, want in (
+        ("please write to ann at example dot com or call", "ann at example dot com"),
+        ("contact bob [at] mail [dot] org", "bob [at] mail [dot] org"),
+        ("the fee of carol(at)uni(dot)edu was", "carol(at)uni(dot)edu"),
+    ):
+        assert [(k, text[a:b]) for k, a, b in pii.find(model, [text])[0][1]] == [("email", want)]
+    for text in ("they look at the house and the river", "we met ann at noon", "a dot on the map of the city", "write to ann at home"):
+        assert pii.find(model, [text]) == [([], [])]
+
+
 def test_secrets(docs, none):
     forest = secrets.default_forest()
     held = secrets.labelled_findings(30, seed=71)
