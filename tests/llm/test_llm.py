@@ -100,7 +100,49 @@ def test_range_join_visits_lose_nothing():
     home, other = embedding_join.visits(x, pivots, radii, r)
     seen = {(i, int(c)) for i, c in enumerate(home)} | {tuple(v) for v in other.tolist()}
     a, b = np.nonzero(x @ x.T >= 0.9)
-    assert all((int(j), int(home[i])) in seen for i, j in zip(a, b)) and len(seen) < 300 * 16
+    # of a pair in two cells, the vector of the later cell visits
+    assert all((int(j), int(home[i])) in seen for i, j in zip(a, b) if home[i] <= home[j]) and len(seen) < 300 * 16
+
+
+def test_range_join_in_cells_parts_and_blocks(spark, monkeypatch):
+    """Many pivots, parts and blocks; near pairs at the threshold; copies; lengths mixed; ids repeated; names that clash."""
+    for name, value in (("HOME", 30), ("ROWS", 7), ("COLUMNS", 9)):
+        monkeypatch.setattr(embedding_join, name, value)
+    monkeypatch.setattr(embedding_join, "_choose", lambda sample, count, r: sample[: max(1, min(16, len(sample) // 4))])
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 3))
+    x = np.concatenate([base, base[:20], base + rng.normal(size=base.shape) * 0.2]).astype(np.float32)
+    flat = [[float(v) for v in row] for row in x] + [[float(v) for v in row[:2]] for row in x[:70]]
+    rows = [(i, v, 1, "a", 2.0, "b", 3) for i, v in enumerate(flat)]
+    rows += [(7, [1.0, 0.0, 0.0], 1, "a", 2.0, "b", 3), (7, [1.0, 0.01, 0.0], 1, "a", 2.0, "b", 3)]
+    frame = spark.createDataFrame(rows, "vec_id int, embedding array<float>, id int, v string, h double, cell string, n int").repartition(4)
+    got = defaultdict(list)
+    for r in embedding_join.join(frame).collect():
+        got[r.vec_id].append(r)
+    units = [np.array(r[1], np.float32).astype(float) for r in rows]
+    units = [u / np.linalg.norm(u) for u in units]
+    near = [[k for k, w in enumerate(units) if k != i and len(w) == len(u) and u @ w >= 0.9] for i, u in enumerate(units)]
+    assert sorted(r.n_links for r in got[7]) == sorted(len(near[i]) for i in range(len(rows)) if rows[i][0] == 7)
+    label = [r[0] for r in rows]
+    for _ in rows:
+        label = [min([label[i], *[label[k] for k in near[i]]]) for i in range(len(rows))]
+        label = [min(label[k] for k in range(len(rows)) if rows[k][0] == rows[i][0]) if rows[i][0] == 7 else label[i] for i in range(len(rows))]
+    assert all(r.component_id == label[i] for i in range(len(rows)) for r in got[rows[i][0]])
+    assert all(got[i][0].n_links == len(near[i]) for i in range(len(flat)) if i != 7)
+
+
+def test_pairs_at_the_threshold_are_settled_in_double():
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(200, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(200, 64))
+    b -= (b * a).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 0.9 + rng.choice([-1e-7, 1e-7, -1e-10, 1e-10], (200, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    counts, root = embedding_join.link_counts(x, np.ones(400, np.int64), np.ones(400, bool), 0.9)
+    assert (counts[:200] == (c[:, 0] > 0.9)).all() and (root[200:] == np.where(c[:, 0] > 0.9, np.arange(200), np.arange(200, 400))).all()
 
 
 def test_licenses_against_brute_force(docs, none):
