@@ -429,6 +429,17 @@ query("select_crtf_multi", f"WITH {IMG} SELECT plane, chan, l, m, value FROM img
 query("select_expr", f"WITH {IMG} SELECT plane, chan, l, m, value FROM img WHERE ((value > 0) <> (l > 3)) AND NOT (m < 2)")(
     lambda spark, sf: img(spark, sf).where(selection.expression("(bright ^ right) & ~low", {"bright": F.col("value") > 0, "right": F.col("l") > 3, "low": F.col("m") < 2}))
 )
+query("select_crtf_subtract_first", f"WITH {IMG} SELECT plane, chan, l, m, value FROM img WHERE ((false AND NOT ({REGIONS['annulus'][1]})) OR {REGIONS['box'][1]}) AND NOT ({REGIONS['circle'][1]})")(
+    lambda spark, sf: img(spark, sf).where(selection.crtf("-annulus[[4pix,4pix],[1pix,3pix]]\nbox[[1pix,2pix],[5pix,6pix]]\n-circle[[4pix,4pix],2.5pix]"))
+)
+query("select_expr_nan", f"WITH {IMG} SELECT plane, chan, l, m, value FROM img WHERE NOT (CASE WHEN l = 3 OR m = 2 THEN false ELSE value > 0 END) AND NOT (l = 5)")(
+    lambda spark, sf: img(spark, sf).where(
+        selection.expression("~bright & ~null", {"bright": F.when(F.col("l") == 3, float("nan")).when(F.col("m") == 2, None).otherwise(F.when(F.col("value") > 0, 2.5).otherwise(0.0)), "null": F.col("l") == 5})
+    )
+)
+query("apply_mask_table", f"WITH {IMG} SELECT plane, chan, l, m, CASE WHEN (l+m)%3 = 0 THEN value ELSE 'nan'::DOUBLE END AS value FROM img")(
+    lambda spark, sf: selection.apply_select(img(spark, sf), spark.range(64).select((F.col("id") / 8).cast("int").alias("l"), (F.col("id") % 8).cast("int").alias("m")).withColumn("mask", (F.col("l") + F.col("m")) % 3 == 0))
+)
 query("apply_select_nan", f"WITH {IMG} SELECT plane, chan, l, m, CASE WHEN {REGIONS['circle'][1]} THEN value ELSE 'nan'::DOUBLE END AS value FROM img")(
     lambda spark, sf: selection.apply_select(img(spark, sf), selection.select_mask(REGIONS["circle"][0]))
 )
@@ -439,10 +450,12 @@ LINE = (0.0, 0.05, 0.1, 0.4, 1.0, 0.4, 0.1, 0.05)
 PSF = np.outer(LINE, LINE)
 
 
-def _clean_sql(rounds: int) -> str:
-    steps = [f"r0 AS (SELECT plane, chan, l, m, value, 0e0 AS model FROM img), h AS (SELECT range::INT AS i, [{','.join(f'{x}e0' for x in LINE)}][range+1] AS x FROM range(8))"]
+def _clean_sql(rounds: int, allowed: str = "true", value: str = "value") -> str:
+    """CLEAN unrolled; ``allowed`` pixels may hold components, NaN and masked ones come last."""
+    steps = [f"r0 AS (SELECT plane, chan, l, m, {value} AS value, 0e0 AS model FROM img), h AS (SELECT range::INT AS i, [{','.join(f'{x}e0' for x in LINE)}][range+1] AS x FROM range(8))"]
+    order = f"(CASE WHEN ({allowed}) AND NOT isnan(value) THEN abs(value) ELSE -1 END, -(l*65536+m))"
     for k in range(rounds):
-        steps.append(f"p{k} AS (SELECT plane, arg_max(l, (abs(value), -(l*65536+m))) AS pl, arg_max(m, (abs(value), -(l*65536+m))) AS pm, arg_max(value, (abs(value), -(l*65536+m)))*0.1e0 AS g FROM r{k} GROUP BY plane)")
+        steps.append(f"p{k} AS (SELECT plane, arg_max(l, {order}) AS pl, arg_max(m, {order}) AS pm, arg_max(value, {order})*0.1e0 AS g FROM r{k} GROUP BY plane)")
         steps.append(
             f"r{k + 1} AS (SELECT r.plane, r.chan, r.l, r.m, r.value-coalesce(p.g*a.x*b.x,0e0) AS value, r.model+CASE WHEN r.l = p.pl AND r.m = p.pm THEN p.g ELSE 0e0 END AS model "
             f"FROM r{k} r JOIN p{k} p USING (plane) LEFT JOIN h a ON a.i = r.l-p.pl+4 LEFT JOIN h b ON b.i = r.m-p.pm+4)"
@@ -452,6 +465,28 @@ def _clean_sql(rounds: int) -> str:
 
 for _n in (1, 3):
     query(f"clean_{_n}iter", _clean_sql(_n))(lambda spark, sf, n=_n: rounded(deconvolution.deconvolve(img(spark, sf), PSF, 0.1, n).drop("iterations"), "model", "residual"))
+query("clean_masked", _clean_sql(3, "abs(l-4) <= 2 AND l <> m"))(
+    lambda spark, sf: rounded(deconvolution.deconvolve(img(spark, sf), PSF, 0.1, 3, mask=(F.abs(F.col("l") - 4) <= 2) & (F.col("l") != F.col("m"))).drop("iterations"), "model", "residual")
+)
+query("clean_box", _clean_sql(3, "l BETWEEN 2 AND 5 AND m BETWEEN 1 AND 6"))(
+    lambda spark, sf: rounded(deconvolution.deconvolve(img(spark, sf), PSF, 0.1, 3, box=(2, 6, 1, 7)).drop("iterations"), "model", "residual")
+)
+query("clean_nan", _clean_sql(3, value="CASE WHEN (l+m)%5 = 0 THEN 'nan'::DOUBLE ELSE value END"))(
+    lambda spark, sf: rounded(deconvolution.deconvolve(img(spark, sf).withColumn("value", F.when((F.col("l") + F.col("m")) % 5 == 0, float("nan")).otherwise(F.col("value"))), PSF, 0.1, 3).drop("iterations"), "model", "residual")
+)
+
+
+def _psf_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """One point spread function a channel, for all of its planes."""
+    i, line = F.col("id"), F.array(*[F.lit(x) for x in LINE])
+    at = img(spark, sf).select("chan").distinct().crossJoin(F.broadcast(spark.range(64)))
+    at = at.select(F.lit(0).cast("long").alias("plane"), "chan", (i / 8).cast("int").alias("l"), (i % 8).cast("int").alias("m"))
+    return at.withColumn("value", F.get(line, F.col("l")) * F.get(line, F.col("m")))
+
+
+query("clean_psf_by_channel", _clean_sql(3))(
+    lambda spark, sf: rounded(deconvolution.deconvolve(img(spark, sf), _psf_planes(spark, sf), 0.1, 3).drop("iterations"), "model", "residual")
+)
 
 
 @query("clean_full")
@@ -500,11 +535,7 @@ query(
 query(
     "cycle_controls",
     f"WITH {RET_LOG}, {LAST} SELECT chan, pol, 500 AS cycleniter, greatest(greatest(least(max_psf_sidelobe*1.5e0, 0.8e0), 0.05e0)*abs(peakres), 0.1e0) AS cyclethreshold FROM last",
-)(
-    lambda spark, sf: deconvolution.last_of(ret_log(spark, sf)).select(
-        "chan", "pol", F.lit(500).alias("cycleniter"), F.greatest(F.greatest(F.least(F.col("max_psf_sidelobe") * 1.5, F.lit(0.8)), F.lit(0.05)) * F.abs("peakres"), F.lit(0.1)).alias("cyclethreshold")
-    )
-)
+)(lambda spark, sf: deconvolution.cycle_limits(deconvolution.last_of(ret_log(spark, sf)), deconvolution.IterationController(niter=500, threshold=0.1, cyclefactor=1.5)))
 
 
 # ---- visibilities and calibration ----------------------------------------------------------------------------------
@@ -544,11 +575,16 @@ def fringe_spacings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fringe_vis(spark: SparkSession, sf: str) -> DataFrame:
-    """Baselines from antenna 0, with the phase of the first antenna less that of the second, by antenna."""
-    i = F.col("id")
-    at = spark.range(5 * 16 * 16 * 2).select((i % 5 + 1).cast("int").alias("ant2"), ((i / 5).cast("int") % 16 * 2.0).alias("t"), (F.lit(1.4e9) + (i / 80).cast("int") % 16 * 1e6).alias("freq"), ((i / 1280).cast("int")).alias("pol"))
-    phase = F.lit(2 * math.pi) * (F.col("ant2") * 1e-8 * (F.col("freq") - 1.4e9)) + 0.1 * F.col("ant2")
-    return at.select(F.lit(0).alias("ant1"), "ant2", "t", "freq", "pol", F.cos(phase).alias("re"), (-F.sin(phase)).alias("im"), F.lit(1.0).alias("weight"))
+    """The events as samples of baselines with antenna 0, in either order, with delays and phases by antenna; some flagged."""
+    e = F.col("event_id")
+    at = vis(spark, sf).select("event_id", (F.col("ant1") % 5 + 1).alias("ant"), (F.expr("event_id div 16") % 16 * 2.0).alias("t"), (F.lit(1.4e9) + e % 16 * 1e6).alias("freq"), (F.expr("event_id div 7") % 2).cast("int").alias("pol"), "weight", "flag")
+    phase = F.lit(2 * math.pi) * (F.col("ant") * 1e-8 * (F.col("freq") - 1.4e9)) + 0.1 * F.col("ant")
+    turn, noise = F.expr("event_id div 3") % 2 == 1, F.when(F.col("flag"), 2.0).otherwise(0.0)
+    sign = F.when(turn, -1.0).otherwise(1.0)
+    return at.select(
+        F.when(turn, F.col("ant")).otherwise(F.lit(0)).cast("int").alias("ant1"), F.when(turn, F.lit(0)).otherwise(F.col("ant")).cast("int").alias("ant2"), "t", "freq", "pol", "weight", "flag",
+        F.cos(sign * phase + noise).alias("re"), F.sin(sign * phase + noise).alias("im"),
+    )
 
 
 @query("fringe_fit")
@@ -559,18 +595,33 @@ def fringe_fit(spark: SparkSession, sf: str) -> DataFrame:
 CAL = "cal AS (SELECT a.range::INT AS ant, p.range::INT AS pol, 0.1e0*a.range AS phase, 1e-9*(a.range+p.range) AS delay, 1e-14*a.range AS rate FROM range(8) a, range(2) p)"
 
 
-@query(
-    "apply_cal",
-    f"""WITH {VIS}, {CAL}, ph AS (SELECT x.event_id, x.re, x.im, coalesce(b.phase+2*pi()*(b.delay*(freq-1.4e9)+1.4e9*b.rate*(t-1.7e9)),0e0)-coalesce(a.phase+2*pi()*(a.delay*(freq-1.4e9)+1.4e9*a.rate*(t-1.7e9)),0e0) AS p
- FROM vis x LEFT JOIN cal a ON a.ant = ant1 AND a.pol = x.pol LEFT JOIN cal b ON b.ant = ant2 AND b.pol = x.pol) SELECT event_id, {r6('re*cos(p)-im*sin(p)')} AS re, {r6('re*sin(p)+im*cos(p)')} AS im FROM ph""",
-)
-def apply_cal(spark: SparkSession, sf: str) -> DataFrame:
+def _apply_sql(one: str, two: str) -> str:
+    return f"""WITH {VIS}, v AS (SELECT *, (event_id%4)::INT AS corr FROM vis), {CAL},
+ ph AS (SELECT x.event_id, x.re, x.im, coalesce(a.phase+2*pi()*(a.delay*(freq-1.4e9)+1.4e9*a.rate*(t-1.7e9)),0e0)-coalesce(b.phase+2*pi()*(b.delay*(freq-1.4e9)+1.4e9*b.rate*(t-1.7e9)),0e0) AS p
+ FROM v x LEFT JOIN cal a ON a.ant = ant1 AND a.pol = {one} LEFT JOIN cal b ON b.ant = ant2 AND b.pol = {two}) SELECT event_id, {r6('re*cos(p)-im*sin(p)')} AS re, {r6('re*sin(p)+im*cos(p)')} AS im FROM ph"""
+
+
+def _cal(spark: SparkSession) -> DataFrame:
     i = F.col("id")
     cal = spark.range(16).select((i / 2).cast("int").alias("ant"), (i % 2).cast("int").alias("pol"))
-    cal = cal.withColumns({"phase": 0.1 * F.col("ant"), "delay": 1e-9 * (F.col("ant") + F.col("pol")), "rate": 1e-14 * F.col("ant")})
-    return rounded(calibration.apply_calibration(vis(spark, sf), cal, 1.4e9, 1.7e9).select("event_id", "re", "im"), "re", "im")
+    return cal.withColumns({"phase": 0.1 * F.col("ant"), "delay": 1e-9 * (F.col("ant") + F.col("pol")), "rate": 1e-14 * F.col("ant")})
 
 
+@query("apply_cal", _apply_sql("x.pol", "x.pol"))
+def apply_cal(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(calibration.apply_calibration(vis(spark, sf), _cal(spark), 1.4e9, 1.7e9).select("event_id", "re", "im"), "re", "im")
+
+
+@query("apply_cal_full", _apply_sql("x.corr//2", "x.corr%2"))
+def apply_cal_full(spark: SparkSession, sf: str) -> DataFrame:
+    """All four correlations, each end by its own receptor."""
+    samples = vis(spark, sf).withColumn("pol", (F.col("event_id") % 4).cast("int"))
+    return rounded(calibration.apply_calibration(samples, _cal(spark), 1.4e9, 1.7e9, correlations=4).select("event_id", "re", "im"), "re", "im")
+
+
+query("empty_solutions", f"WITH {VIS} SELECT DISTINCT unnest([ant1, ant2]) AS ant, pol, 'nan'::DOUBLE AS phase, 'nan'::DOUBLE AS delay, 'nan'::DOUBLE AS rate, 'nan'::DOUBLE AS snr FROM vis")(
+    lambda spark, sf: calibration.empty_solutions(vis(spark, sf))
+)
 query("cross_correlations", f"WITH {VIS} SELECT event_id FROM vis WHERE ant1 <> ant2")(lambda spark, sf: vis(spark, sf).where("ant1 <> ant2").select("event_id"))
 query("reference_baselines", f"WITH {VIS} SELECT event_id FROM vis WHERE ant1 = 3 OR ant2 = 3")(lambda spark, sf: vis(spark, sf).where("ant1 = 3 or ant2 = 3").select("event_id"))
 query("ps_summary", f"WITH {VIS} SELECT chan, pol, count(*) AS n, count(*) FILTER (flag) AS flagged, min(freq) AS freq FROM vis GROUP BY chan, pol")(

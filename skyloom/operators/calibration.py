@@ -55,10 +55,10 @@ def interpolate_channels(samples: DataFrame, keys: list[str], targets: DataFrame
         *keys, F.col("freq").alias("f0"), F.lead("freq").over(order).alias("f1"), F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy(*keys)).alias("n"),
         *[F.struct(F.col(v).alias("a"), F.lead(v).over(order).alias("b")).alias(f"s_{v}") for v in values],
     ).where("f1 is not null")
-    wanted = F.array(*[F.lit(r["out_freq"]) for r in targets.select("out_freq").distinct().collect()])
+    wanted = targets.agg(F.sort_array(F.collect_set("out_freq"))).scalar()  # one row: the list of channels
     first, last = F.col("k") == 1, F.col("k") == F.col("n") - 1
     between = lambda x: (x >= F.col("f0")) & ((x < F.col("f1")) | (last & (x == F.col("f1"))))
-    wide = steps.withColumn("out_freq", F.explode(F.filter(wanted, lambda x: between(x) | (first & (x < F.col("f0"))) | (last & (x > F.col("f1"))))))
+    wide = steps.withColumn("wanted", wanted).withColumn("out_freq", F.explode(F.filter("wanted", lambda x: between(x) | (first & (x < F.col("f0"))) | (last & (x > F.col("f1"))))))
     x = F.col("out_freq")
     at = (x - F.col("f0")) / (F.col("f1") - F.col("f0"))
     line = lambda v: F.col(f"s_{v}.a") + (F.col(f"s_{v}.b") - F.col(f"s_{v}.a")) * at
@@ -85,14 +85,36 @@ def fourier_spacing(n: int, step: float, pad: int = 8) -> float:
     return 1.0 / (n * step) / pad
 
 
-def fringe_fit(vis: DataFrame, reference: int, pad: int = 8, by: tuple[str, ...] = (), times: tuple[float, float] | None = None) -> DataFrame:
+#: The exponent of the signal-to-noise ratio and its value where phases agree fully (fixed values).
+SNR_POWER, SNR_FULL, SNR_REFERENCE = 1.163, 9999.0, 1e9
+
+
+def hands(correlations: int) -> tuple[Column, Column]:
+    """The receptors (0, 1) of a row's ``pol`` at both ends: with two correlations the parallel hands, with four all."""
+    if correlations not in (2, 4):
+        raise ValueError("there are two or four correlations")
+    pol = F.col("pol")
+    return (pol, pol) if correlations == 2 else ((pol / 2).cast("int"), (pol % 2).cast("int"))
+
+
+def fringe_fit(
+    vis: DataFrame, reference: int, pad: int = 8, by: tuple[str, ...] = (), times: tuple[float, float] | None = None, reference_frequency: float | None = None, correlations: int = 2
+) -> DataFrame:
     """``ant, pol, phase, delay, rate, snr`` of every antenna against the reference: the peak of the zero-padded
-    transform over time and frequency of phase-only data. ``by`` names further keys (a spectral window, say) fitted each
-    for itself; ``times`` is an inclusive interval."""
+    transform over time and frequency of phase-only data. Phases are those that ``apply_calibration`` takes off: of the
+    baseline from the reference to the antenna. ``by`` names further keys (a spectral window, say) fitted each for itself;
+    ``times`` is an inclusive interval; phases are given at ``reference_frequency`` (the first one if none). Flagged and NaN
+    samples have no weight. The reference antenna itself has zeros. ``pol`` is the receptor; of four correlations only the
+    parallel hands are fitted."""
     vis = vis.where(F.col("t").between(*times)) if times else vis
-    pairs = vis.where((F.col("ant1") == reference) != (F.col("ant2") == reference))
-    flip = F.when(F.col("ant1") == reference, -1.0).otherwise(1.0)
-    pairs = pairs.select(*by, "pol", F.when(F.col("ant1") == reference, F.col("ant2")).otherwise(F.col("ant1")).alias("ant"), "t", "freq", "weight", "re", (F.col("im") * flip).alias("im"))
+    one, two = hands(correlations)
+    pairs = vis.where(((F.col("ant1") == reference) != (F.col("ant2") == reference)) & (one == two)).withColumn("pol", one)
+    flip = F.when(F.col("ant1") == reference, 1.0).otherwise(-1.0)
+    bad = F.isnan("re") | F.isnan("im")
+    bad = bad | F.col("flag") if "flag" in vis.columns else bad
+    ant = F.when(F.col("ant1") == reference, F.col("ant2")).otherwise(F.col("ant1")).cast("int")
+    zero = lambda c: F.when(bad, 0.0).otherwise(c)
+    pairs = pairs.select(*by, F.col("pol").cast("int").alias("pol"), ant.alias("ant"), "t", "freq", zero(F.col("weight")).alias("weight"), zero(F.col("re")).alias("re"), zero(F.col("im") * flip).alias("im"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         times, freqs = np.unique(pdf["t"]), np.unique(pdf["freq"])
@@ -108,29 +130,43 @@ def fringe_fit(vis: DataFrame, reference: int, pad: int = 8, by: tuple[str, ...]
         y = np.fft.fft2(x, (pad * len(times), pad * len(freqs)))
         i, k = np.unravel_index(int(np.abs(y).argmax()), y.shape)
         i2, k2 = (i if i < y.shape[0] / 2 else i - y.shape[0]), (k if k < y.shape[1] / 2 else k - y.shape[1])
-        total = w.sum()
+        total, n = w.sum(), int((pdf["weight"].to_numpy() > 0).sum())
         share = min(np.abs(y[i, k]) / total, 1.0) if total > 0 else 0.0
-        n = max(1, int((w > 0).sum()))
-        snr = 0.0 if total <= 0 else 9999.0 if share >= 1 - 1e-9 else math.tan(math.pi / 2 * share) ** 1.163 * math.sqrt(total / math.sqrt((w * w).sum() / n))
-        rate = i2 * fourier_spacing(len(times), dt, pad) / freqs[0]
-        return pd.DataFrame(
-            {**{k: [pdf[k].iloc[0]] for k in by}, "ant": [int(pdf["ant"].iloc[0])], "pol": [int(pdf["pol"].iloc[0])], "phase": [float(np.angle(y[i, k]))], "delay": [k2 * fourier_spacing(len(freqs), df, pad)], "rate": [float(rate)], "snr": [min(snr, 9999.0)]}
-        )
+        square = float((pdf["weight"].to_numpy() ** 2).sum())
+        snr = 0.0 if total <= 0 else SNR_FULL if share > 0.99 else math.tan(math.pi / 2 * share) ** SNR_POWER * math.sqrt(total / math.sqrt(square / n))
+        at_reference = freqs[0] if reference_frequency is None else reference_frequency
+        delay = k2 * fourier_spacing(len(freqs), df, pad)
+        phase = float(np.angle(y[i, k])) - 2 * math.pi * delay * (freqs[0] - at_reference)
+        rate = i2 * fourier_spacing(len(times), dt, pad) / at_reference
+        first = pdf.iloc[0]
+        return pd.DataFrame({**{k: [first[k]] for k in by}, "ant": [int(first["ant"])], "pol": [int(first["pol"])], "phase": [phase], "delay": [delay], "rate": [float(rate)], "snr": [float(snr)]})
 
     fields = "".join(f"{k} {dict(vis.dtypes)[k]}, " for k in by)
-    return pairs.groupBy(*by, "ant", "pol").applyInPandas(run, fields + "ant int, pol int, phase double, delay double, rate double, snr double")
+    found = pairs.groupBy(*by, "ant", "pol").applyInPandas(run, fields + "ant int, pol int, phase double, delay double, rate double, snr double")
+    own = pairs.select(*by, "pol").distinct().select(*by, F.lit(reference).alias("ant"), "pol", *[F.lit(0.0).alias(c) for c in ("phase", "delay", "rate")], F.lit(SNR_REFERENCE).alias("snr"))
+    return found.unionByName(own)
+
+
+def empty_solutions(vis: DataFrame, by: tuple[str, ...] = (), correlations: int = 2) -> DataFrame:
+    """``by, ant, pol, phase, delay, rate, snr``: a row for every antenna and receptor of the data, without values (NaN)."""
+    one, _ = hands(correlations)
+    ends = vis.select(*by, F.explode(F.array(F.col("ant1").cast("int"), F.col("ant2").cast("int"))).alias("ant"), one.cast("int").alias("pol")).distinct()
+    return ends.select(*by, "ant", "pol", *[F.lit(float("nan")).alias(c) for c in ("phase", "delay", "rate", "snr")])
 
 
 def calibration_phase(phase: Column, delay: Column, rate: Column, f0: float, t0: float) -> Column:
     return phase + F.lit(2 * math.pi) * (delay * (F.col("freq") - f0) + F.lit(f0) * rate * (F.col("t") - t0))
 
 
-def apply_calibration(vis: DataFrame, cal: DataFrame, f0: float, t0: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """V times exp(-i (phase1 - phase2)); antennas without solutions count as 0. ``cal(ant, pol, phase, delay, rate)`` has
-    a row an antenna and polarisation, and further keys ``by`` (a spectral window) where named."""
-    one = cal.select(*by, F.col("ant").alias("ant1"), "pol", *[F.col(c).alias(f"{c}1") for c in ("phase", "delay", "rate")])
-    two = cal.select(*by, F.col("ant").alias("ant2"), "pol", *[F.col(c).alias(f"{c}2") for c in ("phase", "delay", "rate")])
-    wide = vis.join(one, [*by, "ant1", "pol"], "left").join(two, [*by, "ant2", "pol"], "left")
-    p = [F.coalesce(calibration_phase(*[F.col(f"{c}{k}") for c in ("phase", "delay", "rate")], f0, t0), F.lit(0.0)) for k in (1, 2)]
-    re, im = cmul((F.col("re"), F.col("im")), cexp(p[1] - p[0]))
+def apply_calibration(vis: DataFrame, cal: DataFrame, f0: float, t0: float, by: tuple[str, ...] = (), correlations: int = 2) -> DataFrame:
+    """J1 V J2*, that is V times exp(i (phase1 - phase2)), each end by its own receptor; antennas without solutions (or with
+    NaN) count as 0. ``cal(ant, pol, phase, delay, rate)`` has a row an antenna and receptor, and further keys ``by`` (a
+    spectral window) where named. With four ``correlations``, ``pol`` counts 00, 01, 10, 11."""
+    ends = []
+    for k, hand in zip((1, 2), ("hand1", "hand2")):
+        ends.append(cal.select(*by, F.col("ant").alias(f"ant{k}"), F.col("pol").alias(hand), *[F.col(c).alias(f"{c}{k}") for c in ("phase", "delay", "rate")]))
+    one, two = hands(correlations)
+    wide = vis.withColumns({"hand1": one, "hand2": two}).join(ends[0], [*by, "ant1", "hand1"], "left").join(ends[1], [*by, "ant2", "hand2"], "left")
+    p = [F.coalesce(F.nanvl(calibration_phase(*[F.col(f"{c}{k}") for c in ("phase", "delay", "rate")], f0, t0), F.lit(0.0)), F.lit(0.0)) for k in (1, 2)]
+    re, im = cmul((F.col("re"), F.col("im")), cexp(p[0] - p[1]))
     return wide.withColumns({"re": re, "im": im}).select(vis.columns)

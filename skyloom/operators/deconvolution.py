@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from .images import KEY
+from .planes import KEY, Planes, map_planes
 
 
-def hogbom(dirty: np.ndarray, psf: np.ndarray, gain: float = 0.1, niter: int = 100, threshold: float = 0.0, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Model, residual and iterations: the first largest magnitude in the mask is taken off, PSF by PSF."""
+#: Pixels of a plane up to which planes are cleaned together.
+SMALL = 1 << 12
+
+
+def _checked(gain: float, niter: int, threshold: float) -> None:
     if not 0 < gain <= 1:
         raise ValueError("the gain lies in (0, 1]")
-    if niter <= 0:
-        raise ValueError("niter is positive")
-    if threshold < 0:
+    if not isinstance(niter, (int, np.integer)) or niter <= 0:
+        raise ValueError("niter is a positive whole number")
+    if threshold is None or threshold < 0:
         raise ValueError("the threshold is not negative")
+
+
+def clean_box(box: tuple[int, int, int, int] | None) -> Column:
+    """Pixels of the box ``(xmin, xmax, ymin, ymax)``, upper ends left out; None and four times -1 are the whole plane."""
+    if box is None or tuple(box) == (-1, -1, -1, -1):
+        return F.lit(True)
+    if len(box) != 4:
+        raise ValueError("a clean box is (xmin, xmax, ymin, ymax)")
+    return F.col("l").between(int(box[0]), int(box[1]) - 1) & F.col("m").between(int(box[2]), int(box[3]) - 1)
+
+
+def hogbom(dirty: np.ndarray, psf: np.ndarray, gain: float = 0.1, niter: int = 100, threshold: float = 0.0, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Model, residual and iterations: the first largest magnitude in the mask is taken off, PSF by PSF. Pixels that are
+    not finite are never chosen."""
+    _checked(gain, niter, threshold)
     residual, model = dirty.astype(float).copy(), np.zeros_like(dirty, float)
     nx, ny = residual.shape
     cx, cy = psf.shape[0] // 2, psf.shape[1] // 2
+    shut = ~np.isfinite(residual) if mask is None else ~(mask & np.isfinite(residual))
     for done in range(niter):
-        seen = np.abs(residual) if mask is None else np.where(mask, np.abs(residual), -1.0)
+        seen = np.abs(residual)
+        seen[shut] = -1.0
         px, py = np.unravel_index(int(seen.argmax()), seen.shape)
         if seen[px, py] < 0 or seen[px, py] < threshold:
             return model, residual, done
@@ -37,25 +56,100 @@ def hogbom(dirty: np.ndarray, psf: np.ndarray, gain: float = 0.1, niter: int = 1
     return model, residual, niter
 
 
-def deconvolve(img: DataFrame, psf: np.ndarray, gain: float = 0.1, niter: int = 100, threshold: float = 0.0) -> DataFrame:
-    """``plane, chan, l, m, model, residual, iterations``: CLEAN of each plane on its own."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l", "m"])
-        shape = (pdf["l"].max() + 1, pdf["m"].max() + 1)
-        model, residual, n = hogbom(pdf["value"].to_numpy().reshape(shape), psf, gain, niter, threshold)
-        return pdf[[*KEY, "l", "m"]].assign(model=model.ravel(), residual=residual.ravel(), iterations=n)
-
-    fields = ", ".join(f"{n} {t}" for n, t in img.select(*KEY, "l", "m").dtypes)
-    return img.select(*KEY, "l", "m", "value").groupBy(*KEY).applyInPandas(run, fields + ", model double, residual double, iterations long")
-
-
-def deconvolve_stats(img: DataFrame, psf: np.ndarray, **params) -> DataFrame:
-    """A row of the cycle log for each plane."""
-    cleaned = deconvolve(img, psf, **params)
-    before = img.groupBy(*KEY).agg(F.max(F.abs("value")).alias("start_peakres"))
-    after = cleaned.groupBy(*KEY).agg(F.max(F.abs("residual")).alias("peakres"), F.sum("model").alias("model_flux"), F.max("iterations").alias("iter_done"), F.count("*").alias("masksum"))
-    return before.join(after, list(KEY))
+def hogbom_planes(dirty: np.ndarray, psf: np.ndarray, gain: float = 0.1, niter: int = 100, threshold: float = 0.0, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hogbom`` of every plane of a cube; ``psf`` is one for all or one for each."""
+    _checked(gain, niter, threshold)
+    count, nx, ny = dirty.shape
+    each = psf.ndim == 3
+    if nx * ny > SMALL:
+        found = [hogbom(z, psf[k] if each else psf, gain, niter, threshold, None if mask is None else mask[k]) for k, z in enumerate(dirty)]
+        return np.stack([f[0] for f in found]), np.stack([f[1] for f in found]), np.array([f[2] for f in found])
+    residual, model, done = dirty.astype(float).copy(), np.zeros(dirty.shape), np.zeros(count, np.int64)
+    open_ = np.isfinite(residual) if mask is None else mask & np.isfinite(residual)
+    # The point spread function at every shift that a plane can see, zero beyond its edges.
+    px, py, (cx, cy) = *psf.shape[-2:], (psf.shape[-2] // 2, psf.shape[-1] // 2)
+    wide = np.zeros((*psf.shape[:-2], 2 * nx - 1, 2 * ny - 1))
+    x0, x1, y0, y1 = max(0, cx - nx + 1), min(px, cx + nx), max(0, cy - ny + 1), min(py, cy + ny)
+    wide[..., x0 - cx + nx - 1 : x1 - cx + nx - 1, y0 - cy + ny - 1 : y1 - cy + ny - 1] = psf[..., x0:x1, y0:y1]
+    live, across, along = np.arange(count), np.arange(nx), np.arange(ny)
+    for _ in range(niter):
+        seen = np.where(open_[live], np.abs(residual[live]), -1.0).reshape(len(live), -1)
+        at = seen.argmax(1)
+        peak = seen[np.arange(len(live)), at]
+        going = (peak >= 0) & (peak >= threshold)
+        live, at = live[going], at[going]
+        if not len(live):
+            break
+        x, y = at // ny, at % ny
+        step = gain * residual[live, x, y]
+        model[live, x, y] += step
+        rows, columns = (nx - 1 - x)[:, None, None] + across[:, None], (ny - 1 - y)[:, None, None] + along
+        residual[live] -= step[:, None, None] * (wide[live[:, None, None], rows, columns] if each else wide[rows, columns])
+        done[live] += 1
+    return model, residual, done
+
+
+def deconvolve(
+    img: DataFrame, psf: np.ndarray | DataFrame, gain: float = 0.1, niter: int = 100, threshold: float = 0.0, mask: Column | None = None, box: tuple[int, int, int, int] | None = None, start: DataFrame | None = None
+) -> DataFrame:
+    """``plane, chan, l, m, model, residual, iterations``: CLEAN of each plane on its own. ``psf`` is an array for all planes,
+    or pixels: of each plane, or of one plane a channel, which then serves all planes of the channel. Components lie where
+    ``mask`` holds (null does not) and within ``box``; without a pixel to choose a plane has no iterations. ``start`` is a
+    model (``plane, chan, l, m, value``) that the components are added to; ``img`` is its residual."""
+    _checked(gain, niter, threshold)
+    allowed = F.coalesce(mask, F.lit(False)) & clean_box(box) if mask is not None else clean_box(box)
+    frame = img.select(*KEY, F.lit(0).alias("side"), "l", "m", F.col("value").cast("double").alias("value"), allowed.cast("int").alias("open"))
+    array, resumed = psf if isinstance(psf, np.ndarray) else None, start is not None
+    if array is None:
+        frame = frame.unionByName(spread(psf, img).select(*KEY, F.lit(1).alias("side"), "l", "m", F.col("value").cast("double").alias("value"), F.lit(0).alias("open")))
+    if start is not None:
+        frame = frame.unionByName(start.select(*KEY, F.lit(2).alias("side"), "l", "m", F.col("value").cast("double").alias("value"), F.lit(0).alias("open")))
+
+    def run(planes: Planes) -> Iterator[dict]:
+        side = planes.columns["side"]
+        for some, shape, rows in planes.groups():
+            own, spreads, began = (rows[side[rows] == k] for k in (0, 1, 2))
+            if array is None:
+                lacking = ~np.isin(some, planes.owner[spreads]) & np.isin(some, planes.owner[own])
+                if lacking.any():
+                    raise ValueError("a plane has no point spread function")
+            dirty = planes.cube("value", some, shape, own, np.nan)
+            cut = array if array is not None else planes.cube("value", some, shape, spreads)
+            model, residual, done = hogbom_planes(dirty, cut, gain, niter, threshold, planes.cube("open", some, shape, own) > 0)
+            if resumed:
+                model += planes.cube("value", some, shape, began)
+            at = planes.place(some, own)
+            yield planes.own_rows(own, model=model[at], residual=residual[at], iterations=done[at[0]])
+
+    return map_planes(frame, ["side", "l", "m", "value", "open"], run, ", ".join(f"{name} {kind}" for name, kind in img.select("l", "m").dtypes) + ", model double, residual double, iterations bigint", ("side", "l", "m"))
+
+
+def spread(psf: DataFrame, img: DataFrame) -> DataFrame:
+    """A point spread function for every plane: as it is, or that of a single plane a channel for all of ``img``."""
+    if psf.select("plane").distinct().limit(2).count() != 1:
+        return psf
+    planes = img.select(*KEY).distinct()  # a row a plane
+    return psf.drop("plane").join(planes, "chan").select(*psf.columns)
+
+
+def deconvolve_stats(img: DataFrame, psf: np.ndarray | DataFrame, mask: Column | None = None, start: DataFrame | None = None, sidelobe: float | None = None, **params) -> DataFrame:
+    """A row of the cycle log for each plane: iterations, flux of the whole model, and peak residuals within the mask and
+    without it, before and after."""
+    cleaned = deconvolve(img, psf, mask=mask, start=start, **params)
+    held = F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.abs(c))
+    before = img.groupBy(*KEY).agg(
+        F.max(F.when(held, finite(F.col("value")))).alias("start_peakres"), F.max(finite(F.col("value"))).alias("start_peakres_nomask"), F.sum(held.cast("long")).alias("masksum")
+    )
+    masked = cleaned.join(img.select(*KEY, "l", "m", held.alias("held")), [*KEY, "l", "m"]) if mask is not None else cleaned.withColumn("held", F.lit(True))
+    after = masked.groupBy(*KEY).agg(
+        F.max(F.when(F.col("held"), finite(F.col("residual")))).alias("peakres"), F.max(finite(F.col("residual"))).alias("peakres_nomask"), F.sum("model").alias("model_flux"), F.max("iterations").alias("iter_done")
+    )
+    if start is not None:
+        before = before.join(start.groupBy(*KEY).agg(F.sum("value").alias("start_model_flux")), list(KEY), "left").withColumn("start_model_flux", F.coalesce("start_model_flux", F.lit(0.0)))
+    else:
+        before = before.withColumn("start_model_flux", F.lit(0.0))
+    return before.join(after, list(KEY)).withColumn("max_psf_sidelobe", F.lit(sidelobe).cast("double"))
 
 
 PLANE = ("chan", "pol")
@@ -111,7 +205,9 @@ def parse_threshold(text: str | float) -> float:
     return float(text)
 
 
-MESSAGES = {0: "running", 1: "iteration limit", 2: "threshold reached", 7: "zero mask", 9: "major cycle limit"}
+#: No component found although no limit is reached, as where all pixels of the mask are NaN.
+NOTHING_FOUND = 3
+MESSAGES = {0: "running", 1: "iteration limit", 2: "threshold reached", NOTHING_FOUND: "no component found", 7: "zero mask", 9: "major cycle limit"}
 
 
 @dataclass
@@ -132,6 +228,8 @@ class IterationController:
 
     def __post_init__(self) -> None:
         self.threshold = parse_threshold(self.threshold)
+        if self.nmajor < -1:
+            raise ValueError("nmajor is -1 (no limit) or the number of major cycles")
         self.start = {k: getattr(self, k) for k in ("niter", "nmajor")}
 
     def cycle_controls(self, peak: float, sidelobe: float) -> tuple[int, float]:
@@ -169,7 +267,7 @@ class IterationController:
                 value = parse_threshold(value) if name == "threshold" else float(value) if name == "cyclefactor" else int(value)
             except (TypeError, ValueError):
                 return -1, f"{name} is no number"
-            if (name in ("threshold", "cyclefactor") and value < 0) or (name == "niter" and value < 0):
+            if (name in ("threshold", "cyclefactor", "niter") and value < 0) or (name in ("nmajor", "cycleniter") and value < -1):
                 return -1, f"{name} is negative"
             setattr(self, name, value)
         return 0, "ok"
@@ -179,28 +277,20 @@ class IterationController:
         self.niter, self.nmajor = self.start["niter"], self.start["nmajor"]
 
     def state(self) -> dict[str, object]:
-        return {k: getattr(self, k) for k in ("niter", "nmajor", "threshold", "cycleniter", "stopcode", "major_done", "iterations_done")}
-
-
-def imaging_loop(dirty: DataFrame, psf: np.ndarray, control: IterationController, gain: float = 0.1) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """Major and minor cycles over planes: (model, residual, log). Every cycle is checkpointed, so plans stay short."""
-    state = dirty.select(*KEY, "l", "m", F.col("value"), F.lit(0.0).alias("model"))
-    log: list[dict] = []
-    sidelobe = float(np.abs(np.where(psf == psf.max(), 0.0, psf)).max())
-    while True:
-        peak = state.agg(F.max(F.abs("value"))).first()[0] or 0.0
-        code, message = control.check(peak, state.count())
-        if code:
-            log.append({"peakres": peak, "stopcode": code, "message": message})
-            break
-        count, limit = control.cycle_controls(peak, sidelobe)
-        cleaned = deconvolve(state, psf, gain, max(1, count), limit).withColumnRenamed("model", "more")
-        state = state.drop("value").join(cleaned, [*KEY, "l", "m"]).select(*KEY, "l", "m", F.col("residual").alias("value"), (F.col("model") + F.col("more")).alias("model"), "iterations")
-        state = checkpointed(state)
-        done = state.agg(F.max("iterations")).first()[0] or 0
-        control.update_counts(int(done))
-        log.append({"peakres": peak, "iterations": int(done), "threshold": limit})
-        state = state.drop("iterations")
-        if not done:
-            break
-    return state.select(*KEY, "l", "m", F.col("model").alias("value")), state.select(*KEY, "l", "m", "value"), log
+        return {k: getattr(self, k) for k in self._STATE} | {"start": dict(self.start)}
+
+    _STATE = ("niter", "nmajor", "threshold", "cycleniter", "cyclefactor", "min_psf_fraction", "max_psf_fraction", "stopcode", "major_done", "iterations_done")
+
+    @classmethod
+    def from_state(cls, state: dict[str, object]) -> IterationController:
+        """The controller that ``state`` was taken from."""
+        out = cls(**{k: state[k] for k in cls._STATE})
+        out.start = dict(state["start"])
+        return out
+
+
+def cycle_limits(last: DataFrame, control: IterationController) -> DataFrame:
+    """``chan, pol, cycleniter, cyclethreshold``: ``cycle_controls`` of every plane of a log's last cycles."""
+    fraction = F.least(F.greatest(F.col("max_psf_sidelobe") * control.cyclefactor, F.lit(control.min_psf_fraction)), F.lit(control.max_psf_fraction))
+    count = control.niter if control.cycleniter < 0 else min(control.cycleniter, control.niter)
+    return last.select(*PLANE, F.lit(count).alias("cycleniter"), F.greatest(fraction * F.abs("peakres"), F.lit(float(control.threshold))).alias("cyclethreshold"))

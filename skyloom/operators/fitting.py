@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import FWHM
-from .images import KEY
+from .planes import KEY, Planes, map_planes
 
 
 def gaussians(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offset plus components (amplitude, x0, y0, sigma a, sigma b, theta), and the Jacobian."""
-    out, jac = np.full(len(x), p[0]), [np.ones(len(x))]
-    for amp, x0, y0, a, b, t in p[1:].reshape(-1, 6):
-        c, s = math.cos(t), math.sin(t)
+    """Offset plus components (amplitude, x0, y0, sigma a, sigma b, theta), and the Jacobian. Leading axes of ``p`` are
+    planes; ``x`` and ``y`` are one list of points for all."""
+    p = np.asarray(p, float)
+    out = np.repeat(p[..., :1], len(x), -1)
+    jac = [np.ones_like(out)]
+    for amp, x0, y0, a, b, t in np.moveaxis(p[..., 1:].reshape(*p.shape[:-1], -1, 6), (-2, -1), (0, 1))[..., None]:
+        c, s = np.cos(t), np.sin(t)
         dx, dy = x - x0, y - y0
         u, v = dx * c + dy * s, dy * c - dx * s
         g = np.exp(-0.5 * ((u / a) ** 2 + (v / b) ** 2))
-        out += amp * g
+        out = out + amp * g
         jac += [g, amp * g * (u * c / a**2 - v * s / b**2), amp * g * (u * s / a**2 + v * c / b**2), amp * g * u**2 / a**3, amp * g * v**2 / b**3, amp * g * u * v * (1 / b**2 - 1 / a**2)]
-    return out, np.stack(jac, 1)
+    return out, np.stack(jac, -1)
 
 
 def seeds(z: np.ndarray, n: int, exclude: int = 3) -> np.ndarray:
@@ -38,43 +42,84 @@ def seeds(z: np.ndarray, n: int, exclude: int = 3) -> np.ndarray:
     return np.array(p)
 
 
-def fit_plane(z: np.ndarray, n: int, mask: np.ndarray | None = None, start: np.ndarray | None = None, rounds: int = 200, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """Parameters, errors and the share of variance explained: damped least squares within bounds."""
-    use = np.isfinite(z) & (mask if mask is not None else True)
-    if use.sum() < 1 + 6 * n:
-        raise ValueError("too few pixels to fit")
-    x, y = (c[use].astype(float) for c in np.indices(z.shape))
-    data = z[use]
-    p = seeds(np.where(use, z, np.nan), n) if start is None else start.astype(float).copy()
+def _solved(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(h, g[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        return (np.linalg.pinv(h, hermitian=True) @ g[..., None])[..., 0]
+
+
+def fit_planes(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: int = 200, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, errors (planes, 1 + 6 n) and the share of variance explained of every plane of a cube: damped least
+    squares within bounds, all planes together, each with a damping of its own. Pixels that are not finite are left out.
+    Planes of fewer pixels than parameters give NaN. ``start`` is one vector, or one for each plane."""
+    size = 1 + 6 * n
+    shape = z.shape[1:]
+    use = np.isfinite(z).reshape(len(z), -1)
+    data = np.where(use, z.reshape(len(z), -1), 0.0)
+    x, y = (c.ravel().astype(float) for c in np.indices(shape))
+    enough = use.sum(1) >= size
+    p = np.full((len(z), size), np.nan)
+    for k in np.flatnonzero(enough):
+        p[k] = seeds(z[k], n) if start is None else start if start.ndim == 1 else start[k]
     low = np.array([-np.inf] + [-np.inf, -1.0, -1.0, 0.3, 0.3, -np.inf] * n)
-    high = np.array([np.inf] + [np.inf, z.shape[0], z.shape[1], 2.0 * max(z.shape), 2.0 * max(z.shape), np.inf] * n)
+    high = np.array([np.inf] + [np.inf, shape[0], shape[1], 2.0 * max(shape), 2.0 * max(shape), np.inf] * n)
     if bounds is not None:
         low, high = np.maximum(low, bounds[0]), np.minimum(high, bounds[1])
     p = np.clip(p, low, high)
-    damp = 1e-2
-    model, jac = gaussians(p, x, y)
-    cost = ((data - model) ** 2).sum()
+    errors, share = np.full(p.shape, np.nan), np.full(len(z), np.nan)
+    live = np.flatnonzero(enough)
+    damp, cost = np.full(len(z), 1e-2), np.full(len(z), np.inf)
+
+    def seen(at: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        model, jac = gaussians(q, x, y)
+        return np.where(use[at], data[at] - model, 0.0), jac * use[at][..., None]
+
+    rest, jac = seen(live, p[live])
+    cost[live] = (rest**2).sum(-1)
+    normal, slope = jac.swapaxes(-1, -2) @ jac, (jac.swapaxes(-1, -2) @ rest[..., None])[..., 0]
+    full = np.zeros((len(z), size, size))
+    full[live] = normal
+    slopes = np.zeros((len(z), size))
+    slopes[live] = slope
+    diagonal = np.arange(size)
     for _ in range(rounds):
-        h = jac.T @ jac
-        step = np.linalg.lstsq(h + damp * np.diag(np.maximum(np.diag(h), 1e-12)), jac.T @ (data - model), rcond=None)[0]
-        new = np.clip(p + step, low, high)
-        trial, trial_jac = gaussians(new, x, y)
-        trial_cost = ((data - trial) ** 2).sum()
-        if trial_cost < cost:
-            small = cost - trial_cost < 1e-14 * (cost + 1e-30)
-            p, model, jac, cost, damp = new, trial, trial_jac, trial_cost, max(damp / 5, 1e-12)
-            if small:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    try:
-        errors = np.sqrt(np.diag(np.linalg.inv(jac.T @ jac)) * cost / max(1, len(data) - len(p)))
-    except np.linalg.LinAlgError:
-        errors = np.full(len(p), np.nan)
-    spread = np.var(data)
-    return p, errors, float(1 - np.var(data - model) / spread) if spread > 0 else float("nan")
+        if not len(live):
+            break
+        h = full[live].copy()
+        h[:, diagonal, diagonal] += damp[live, None] * np.maximum(h[:, diagonal, diagonal], 1e-12)
+        new = np.clip(p[live] + _solved(h, slopes[live]), low, high)
+        rest, jac = seen(live, new)
+        trial = (rest**2).sum(-1)
+        better = trial < cost[live]
+        at = live[better]
+        small = np.zeros(len(live), bool)
+        small[better] = cost[at] - trial[better] < 1e-14 * (cost[at] + 1e-30)
+        full[at] = jac[better].swapaxes(-1, -2) @ jac[better]
+        slopes[at] = (jac[better].swapaxes(-1, -2) @ rest[better][..., None])[..., 0]
+        p[at], cost[at] = new[better], trial[better]
+        damp[live] = np.where(better, np.maximum(damp[live] / 5, 1e-12), damp[live] * 4)
+        live = live[~small & (damp[live] <= 1e12)]
+    for k in np.flatnonzero(enough):
+        free = max(1, int(use[k].sum()) - size)
+        try:
+            errors[k] = np.sqrt(np.maximum(np.diag(np.linalg.inv(full[k])), 0.0) * cost[k] / free)
+        except np.linalg.LinAlgError:
+            pass
+        held = data[k][use[k]]
+        spread = np.var(held)
+        if spread > 0:
+            share[k] = 1 - np.var(held - gaussians(p[k], x[use[k]], y[use[k]])[0]) / spread
+    return p, errors, share
+
+
+def fit_plane(z: np.ndarray, n: int, mask: np.ndarray | None = None, start: np.ndarray | None = None, rounds: int = 200, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """``fit_planes`` of one plane."""
+    z = z if mask is None else np.where(mask, z, np.nan)
+    if np.isfinite(z).sum() < 1 + 6 * n:
+        raise ValueError("too few pixels to fit")
+    p, errors, share = fit_planes(z[None], n, start, rounds, bounds)
+    return p[0], errors[0], float(share[0])
 
 
 PARAMETERS = ("amp", "x0", "y0", "fwhm_major", "fwhm_minor", "theta")
@@ -94,46 +139,89 @@ def _vector(components: list[dict[str, float]], offset: float, default: float |
     return np.array(out, float)
 
 
+def _starts(initial: object, n: int, offset: float) -> np.ndarray | None:
+    """A parameter vector from any way of giving starts: none; a list of components by name; one component by name; an array
+    (components, 6) with widths as FWHM; a flat list of 1 + 6 n numbers, offset first; or a dict with ``offset`` and
+    ``components`` (either form)."""
+    if initial is None:
+        return None
+    if isinstance(initial, dict):
+        if "components" in initial:
+            return _starts(initial["components"], n, float(initial.get("offset", offset)))
+        initial = [initial]
+    if len(initial) and isinstance(initial[0], dict):
+        if len(initial) != n:
+            raise ValueError("one start for each component")
+        return _vector(initial, offset)
+    given = np.asarray(initial, float)
+    if given.ndim == 1 and len(given) == 1 + 6 * n:
+        offset, given = float(given[0]), given[1:].reshape(n, 6)
+    if given.shape != (n, 6):
+        raise ValueError("one start for each component: (amplitude, x0, y0, FWHM major, FWHM minor, theta)")
+    return _vector([dict(zip(PARAMETERS, row)) for row in given.tolist()], offset)
+
+
+def _limits(bounds: dict[str, object] | None, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Lower and upper vectors; a parameter's bounds are one interval for all components or a list of one for each."""
+    if not bounds:
+        return None
+    if "theta" in bounds:
+        raise ValueError("the angle takes no bounds")
+    each: list[dict[str, tuple[float, float]]] = [{} for _ in range(n)]
+    around = (-np.inf, np.inf)
+    for name, given in bounds.items():
+        given = given if isinstance(given[0], (list, tuple)) else [given] if name == "offset" else [given] * n
+        if any(len(pair) != 2 or pair[0] > pair[1] for pair in given):
+            raise ValueError(f"bounds of {name} are (lower, upper)")
+        if name == "offset":
+            around = given[0]
+            continue
+        if len(given) != n:
+            raise ValueError(f"bounds of {name} are one interval, or one for each component")
+        for part, pair in zip(each, given):
+            part[name] = pair
+    out = tuple(_vector([{k: v[side] for k, v in part.items()} for part in each], around[side], far) for side, far in ((0, -np.inf), (1, np.inf)))
+    return out
+
+
 def fit_multi_gaussian2d(
-    img: DataFrame, n: int = 1, initial: list[dict[str, float]] | None = None, offset: float = 0.0, bounds: dict[str, tuple[float, float]] | None = None,
+    img: DataFrame, n: int = 1, initial: object = None, offset: float = 0.0, bounds: dict[str, object] | None = None,
     min_threshold: float | None = None, max_threshold: float | None = None, mask: Column | None = None,
 ) -> DataFrame:
-    """A row a plane and component: amplitude, centre, widths (FWHM, major first), angle from +x, errors, variance.
-    ``initial`` gives the components to start from (else the peaks do), ``bounds`` an interval by parameter for every
-    component (not for the angle), and pixels outside the thresholds or the mask are left out of the fit."""
-    if initial is not None and len(initial) != n:
-        raise ValueError("one start for each component")
-    if bounds and "theta" in bounds:
-        raise ValueError("the angle takes no bounds")
-    start = None if initial is None else _vector(initial, offset)
-    limits = None
-    if bounds:
-        limits = tuple(_vector([{k: v[side] for k, v in bounds.items()}] * n, far, far) for side, far in ((0, -np.inf), (1, np.inf)))
+    """A row a plane and component: offset, amplitude, peak (amplitude and offset), centre, widths (FWHM, major first), angle
+    from +x and position angle (from +y towards -x, in [0, pi)), an error of each (``*_err``), and the share of variance
+    explained. ``initial`` gives the starts (else the peaks do; see ``_starts`` for its forms), ``bounds`` an interval by
+    parameter for all or for each of the components (not for the angle), and pixels outside the thresholds or the mask are
+    left out of the fit."""
+    start, limits = _starts(initial, n, offset), _limits(bounds, n)
     use = F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)
     if min_threshold is not None:
         use = use & (F.col("value") >= min_threshold)
     if max_threshold is not None:
         use = use & (F.col("value") <= max_threshold)
     img = img.withColumn("value", F.when(use, F.col("value")).otherwise(float("nan")))
-    fields = ", ".join(f"{n} {t}" for n, t in img.select(*KEY).dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l", "m"])
-        z = pdf["value"].to_numpy().reshape(pdf["l"].max() + 1, pdf["m"].max() + 1)
-        try:
-            p, e, share = fit_plane(z, n, None, start, bounds=limits)
-        except ValueError:
-            p, e, share = np.full(1 + 6 * n, np.nan), np.full(1 + 6 * n, np.nan), float("nan")
-        rows = []
-        for k, ((amp, x0, y0, a, b, t), err) in enumerate(zip(p[1:].reshape(-1, 6), e[1:].reshape(-1, 6))):
-            if b > a:
-                a, b, t = b, a, t + math.pi / 2
-            t = (t + math.pi / 2) % math.pi - math.pi / 2 if np.isfinite(t) else t
-            rows.append((*pdf[list(KEY)].iloc[0], k, p[0], amp, x0, y0, a * FWHM, b * FWHM, t, err[0], share))
-        return pd.DataFrame(rows, columns=[*KEY, "component", "offset", "amp", "x0", "y0", "fwhm_major", "fwhm_minor", "theta", "amp_err", "variance_explained"])
 
-    schema = fields + ", component int, offset double, amp double, x0 double, y0 double, fwhm_major double, fwhm_minor double, theta double, amp_err double, variance_explained double"
-    return img.select(*KEY, "l", "m", "value").groupBy(*KEY).applyInPandas(run, schema)
+    def run(planes: Planes) -> Iterator[dict]:
+        for some, shape, rows in planes.groups():
+            p, e, share = fit_planes(planes.cube("value", some, shape, rows, np.nan), n, start, bounds=limits)
+            parts, errors = p[:, 1:].reshape(-1, 6).copy(), e[:, 1:].reshape(-1, 6).copy()
+            turned = parts[:, 4] > parts[:, 3]
+            for x in (parts, errors):
+                x[turned, 3], x[turned, 4] = x[turned, 4], x[turned, 3]
+            parts[turned, 5] += math.pi / 2
+            parts[:, 5] = (parts[:, 5] + math.pi / 2) % math.pi - math.pi / 2
+            level, level_err = np.repeat(p[:, 0], n), np.repeat(e[:, 0], n)
+            amp, x0, y0, major, minor, theta = parts.T
+            errs = dict(zip([f"{c}_err" for c in PARAMETERS], errors.T))
+            errs["fwhm_major_err"], errs["fwhm_minor_err"] = errs["fwhm_major_err"] * FWHM, errs["fwhm_minor_err"] * FWHM
+            values = {
+                "component": np.tile(np.arange(n), len(some)), "offset": level, "amp": amp, "x0": x0, "y0": y0, "fwhm_major": major * FWHM, "fwhm_minor": minor * FWHM, "theta": theta,
+                "pa": (math.pi / 2 - theta) % math.pi, "peak": amp + level, "offset_err": level_err, "peak_err": np.hypot(errs["amp_err"], level_err), **errs, "variance_explained": np.repeat(share, n),
+            }
+            yield {**{k: v.take(pa.array(np.repeat(some, n))) for k, v in planes.keys.items()}, **values}
+
+    names = ["offset", *PARAMETERS, "pa", "peak", "offset_err", "peak_err", *[f"{c}_err" for c in PARAMETERS], "variance_explained"]
+    return map_planes(img, ["l", "m", "value"], run, "component int, " + ", ".join(f"{c} double" for c in names))
 
 
 def to_world(fits: DataFrame, x: tuple[float, float, float], y: tuple[float, float, float]) -> DataFrame:
@@ -150,6 +238,7 @@ def to_world(fits: DataFrame, x: tuple[float, float, float], y: tuple[float, flo
         {
             "world_x": (F.col("x0") - x[0]) * dx + x[1], "world_y": (F.col("y0") - y[0]) * dy + y[1], "world_fwhm_major": F.sqrt((xx + yy) / 2 + root),
             "world_fwhm_minor": F.sqrt(F.greatest((xx + yy) / 2 - root, F.lit(0.0))), "world_theta": F.atan2(2 * xy, xx - yy) / 2,
+            "world_x_err": F.col("x0_err") * abs(dx), "world_y_err": F.col("y0_err") * abs(dy),
         }
     )
 
@@ -185,32 +274,37 @@ def main_lobe(z: np.ndarray, threshold: float = 0.5) -> tuple[np.ndarray, float]
     return lobe, float(np.nanmax(rest)) if rest.size else 0.0
 
 
-def psf_fit(img: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """``bmaj, bmin`` (FWHM, pixels), ``pa`` in [0, pi) and the sidelobe of each plane; NaN where nothing can be fitted."""
-    fields = ", ".join(f"{n} {t}" for n, t in img.select(*KEY).dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l", "m"])
-        z = pdf["value"].to_numpy().reshape(pdf["l"].max() + 1, pdf["m"].max() + 1)
-        out = (np.nan, np.nan, np.nan, np.nan)
-        if np.isfinite(z).any() and not (z == 0).all():
-            lobe, side = main_lobe(z, threshold)
-            out = (np.nan, np.nan, np.nan, side)
-            i, k = np.unravel_index(int(np.nanargmax(z)), z.shape)
-            try:
-                start = np.array([0.0, z[i, k], i, k, 1.5, 1.4, 0.0])
-                p, _, _ = fit_plane(z, 1, lobe, start)
-                a, b, t = p[4], p[5], p[6]
-                if b > a:
-                    a, b, t = b, a, t + math.pi / 2
-                out = (a * FWHM, b * FWHM, (math.pi / 2 - t) % math.pi, side)
-            except ValueError:
-                pass
-        elif (z == 0).all():
-            out = (0.0, 0.0, 0.0, 0.0)
-        return pd.DataFrame([(*pdf[list(KEY)].iloc[0], *out)], columns=[*KEY, "bmaj", "bmin", "pa", "sidelobe"])
-
-    return img.select(*KEY, "l", "m", "value").groupBy(*KEY).applyInPandas(run, fields + ", bmaj double, bmin double, pa double, sidelobe double")
+def psf_fit(img: DataFrame, threshold: float = 0.35, window: tuple[int, int] | None = None) -> DataFrame:
+    """``bmaj, bmin`` (FWHM, pixels), ``pa`` in [0, pi) and the sidelobe of each plane; NaN where nothing can be fitted. The
+    fit sees the main lobe: the connected pixels above ``threshold`` times the peak, within ``window`` pixels around the
+    peak where given. The sidelobe is the largest magnitude outside the main lobe, in the whole plane."""
+
+    def run(planes: Planes) -> Iterator[dict]:
+        for some, shape, rows in planes.groups():
+            cube = planes.cube("value", some, shape, rows, np.nan)
+            out = np.full((4, len(some)), np.nan)
+            out[:, (cube == 0).all((1, 2))] = 0.0
+            good = np.flatnonzero(np.isfinite(cube).any((1, 2)) & ~(cube == 0).all((1, 2)))
+            lobes, starts = np.full((len(good), *shape), np.nan), np.zeros((len(good), 7))
+            for k, plane in enumerate(good):
+                z = cube[plane]
+                lobe, out[3, plane] = main_lobe(z, threshold)
+                i, j = np.unravel_index(int(np.nanargmax(z)), shape)
+                if window is not None:
+                    near = np.zeros(shape, bool)
+                    near[max(0, i - window[0] // 2) : i + window[0] // 2 + 1, max(0, j - window[1] // 2) : j + window[1] // 2 + 1] = True
+                    lobe = lobe & near
+                lobes[k][lobe] = z[lobe]
+                starts[k] = 0.0, z[i, j], i, j, 1.5, 1.4, 0.0
+            if len(good):
+                p, _, _ = fit_planes(lobes, 1, starts)
+                a, b, t = p[:, 4], p[:, 5], p[:, 6]
+                turned = b > a
+                a, b, t = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, t + math.pi / 2, t)
+                out[:3, good] = a * FWHM, b * FWHM, (math.pi / 2 - t) % math.pi
+            yield {**{k: v.take(pa.array(some)) for k, v in planes.keys.items()}, **dict(zip(("bmaj", "bmin", "pa", "sidelobe"), out))}
+
+    return map_planes(img, ["l", "m", "value"], run, "bmaj double, bmin double, pa double, sidelobe double")
 
 
 def variance_explained(img: DataFrame, model: Column) -> DataFrame:

@@ -42,14 +42,27 @@ def _kernel(kernel: Column, offset: Column, step: Column, oversampling: int) ->
     return F.get(kernel, F.abs(step * oversampling + offset))
 
 
+def places(vis: DataFrame, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, mode: str = "cube") -> DataFrame:
+    """``chan, pol, ui, vi, uo, vo, w, re, im``: weighted sums of the samples that share a cell and a sub-cell."""
+    cells = _cells(vis, n, cell, support, oversampling, mode).where("wt <> 0")
+    total = lambda c: F.sum((F.col(c) if c in vis.columns else F.lit(0.0)) * F.col("wt")).alias(c)
+    return cells.groupBy(*PLACE).agg(F.sum("wt").alias("w"), total("re"), total("im"))
+
+
+PLACE = ["chan", "pol", "ui", "vi", "uo", "vo"]
+
+
 def grid(vis: DataFrame, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, mode: str = "cube", do_psf: bool = False) -> DataFrame:
     """``chan, pol, iu, iv, re, im``: the gridded visibilities, or weights for the PSF. ``mode``: cube or continuum."""
+    return grid_places(places(vis, n, cell, support, oversampling, mode), n, support, oversampling, do_psf)
+
+
+def grid_places(shared: DataFrame, n: int = 64, support: int = 7, oversampling: int = 100, do_psf: bool = False) -> DataFrame:
+    """``chan, pol, iu, iv, re, im`` of summed samples (see ``places``)."""
     half = support // 2
     kernel = F.array(*[F.lit(x) for x in half_kernel(support, oversampling)])
-    cells = _cells(vis, n, cell, support, oversampling, mode)
-    re, im = (F.col("wt"), F.lit(0.0)) if do_psf else (F.col("re") * F.col("wt"), F.col("im") * F.col("wt"))
-    cells = cells.where(F.col("wt") != 0)
-    shared = cells.groupBy("chan", "pol", "ui", "vi", "uo", "vo").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    if do_psf:
+        shared = shared.withColumns({"re": F.col("w"), "im": F.lit(0.0)})
     steps = F.sequence(F.lit(-half), F.lit(half))
     wide = shared.withColumn("du", F.explode(steps)).withColumn("ku", _kernel(kernel, F.col("uo"), F.col("du"), oversampling))
     wide = wide.where("ku <> 0").withColumn("dv", F.explode(steps)).withColumn("k", F.col("ku") * _kernel(kernel, F.col("vo"), F.col("dv"), oversampling))
@@ -58,44 +71,78 @@ def grid(vis: DataFrame, n: int = 64, cell: float = 5e-5, support: int = 7, over
     )
 
 
+def _kernel_sums(support: int, oversampling: int) -> tuple[Column, int]:
+    """The kernel sum of each sub-cell offset, and the lowest offset."""
+    values, half, low = half_kernel(support, oversampling), support // 2, -(oversampling // 2) - 1
+    return F.array(*[F.lit(sum(values[abs(oversampling * d + o)] for d in range(-half, half + 1))) for o in range(low, -low + 1)]), low
+
+
 def sum_weight(vis: DataFrame, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, mode: str = "cube") -> DataFrame:
     """``chan, pol, sum_weight``: no explosion, as the footprint's kernel sum is a product."""
-    half = support // 2
-    values = half_kernel(support, oversampling)
-    # The kernel sum of each sub-cell offset, -oversampling/2 .. oversampling/2.
-    low = -(oversampling // 2) - 1
-    sums = F.array(*[F.lit(sum(values[abs(oversampling * d + o)] for d in range(-half, half + 1))) for o in range(low, -low + 1)])
+    sums, low = _kernel_sums(support, oversampling)
     total = F.get(sums, F.col("uo") - low) * F.get(sums, F.col("vo") - low)
     return _cells(vis, n, cell, support, oversampling, mode).groupBy("chan", "pol").agg(F.sum(F.col("wt") * total).alias("sum_weight"))
 
 
+def _grid_rows(model: DataFrame, n: int) -> DataFrame:
+    """``chan, pol, iu, row_re, row_im``: the grid's rows as arrays over ``iv``; absent cells are zero. One shuffle."""
+    key = ["chan", "pol", "iu"]
+    cells = model.where(F.col("iv").between(0, n - 1)).select(*key, F.col("iv").cast("int").alias("iv"), "re", "im")
+    zeros = cells.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("iv"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    full = cells.unionByName(zeros).repartition(*[F.col(k) for k in key]).groupBy(*key, "iv").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    rows = full.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("iv", "re", "im"))).alias("r"))
+    return rows.select(*key, F.transform("r", lambda c: c["re"]).alias("row_re"), F.transform("r", lambda c: c["im"]).alias("row_im"))
+
+
+def model_at(at: DataFrame, model: DataFrame | None, n: int, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
+    """``at`` (places, each once) with ``model_re, model_im``, the kernel-weighted mean of the grid around each. A place meets
+    the rows of the grid, not its cells: seven of them, each with a sum along the row."""
+    half = support // 2
+    kernel = F.array(*[F.lit(x) for x in half_kernel(support, oversampling)])
+    sums, low = _kernel_sums(support, oversampling)
+    along = F.array(*[F.get(kernel, F.abs(d * oversampling + F.col("vo"))) for d in range(-half, half + 1)])
+    wide = at.withColumn("along", along).withColumn("du", F.explode(F.sequence(F.lit(-half), F.lit(half))))
+    wide = wide.withColumns({"ku": _kernel(kernel, F.col("uo"), F.col("du"), oversampling), "iu": F.col("ui") + F.col("du")})
+    if constant is None:
+        wide = wide.join(_grid_rows(model, n), ["chan", "pol", "iu"], "left")
+        dot = lambda c: F.coalesce(F.aggregate(F.zip_with("along", F.slice(c, F.col("vi") - half + 1, F.lit(support)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
+        re, im = dot("row_re"), dot("row_im")
+    else:
+        re, im = F.lit(constant) * F.get(sums, F.col("vo") - low), F.lit(0.0)
+    total = F.get(sums, F.col("uo") - low) * F.get(sums, F.col("vo") - low)
+    others = [c for c in at.columns if c not in PLACE]
+    mean = wide.groupBy(*PLACE).agg(F.sum(F.col("ku") * re).alias("sum_re"), F.sum(F.col("ku") * im).alias("sum_im"), *[F.first(c).alias(c) for c in others])
+    return mean.select(*PLACE, *others, (F.col("sum_re") / total).alias("model_re"), (F.col("sum_im") / total).alias("model_im"))
+
+
+def less_model(summed: DataFrame, model: DataFrame, n: int, support: int = 7, oversampling: int = 100) -> DataFrame:
+    """Summed samples (see ``places``) less the model at their places."""
+    seen = model_at(summed, model, n, support, oversampling)
+    return seen.select(*PLACE, "w", *[(F.col(c) - F.col(f"model_{c}") * F.col("w")).alias(c) for c in ("re", "im")])
+
+
 def degrid_onto(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
     """``vis`` with ``model_re, model_im``: the kernel-weighted mean of the grid (or a constant) around each sample; 0
     outside it. Each distinct place is computed once, and samples join their place, not each other."""
     half = support // 2
-    kernel = F.array(*[F.lit(x) for x in half_kernel(support, oversampling)])
     scale = -(F.col("freq") * F.lit(cell) * n) / F.lit(LIGHT)
     known = ~F.isnan("u") & ~F.isnan("v")
     at = vis.withColumns({"up": F.when(known, F.col("u") * scale + n // 2), "vp": F.when(known, F.col("v") * scale + n // 2)})
-    at = at.withColumns({"ui": F.rint("up").cast("int"), "vi": F.rint("vp").cast("int")})
-    inside = F.col("ui").between(half, n - 1 - half) & F.col("vi").between(half, n - 1 - half)
-    sub = lambda i, p: F.when(inside, F.floor((F.col(i) - F.col(p)) * oversampling + 0.5).cast("int"))
-    at = at.withColumns({"uo": sub("ui", "up"), "vo": sub("vi", "vp")}).drop("up", "vp")
-    key = ["chan", "pol", "ui", "vi", "uo", "vo"]
-    places = at.where(F.col("uo").isNotNull() & F.col("vo").isNotNull()).select(*key).distinct()
-    steps = F.sequence(F.lit(-half), F.lit(half))
-    wide = places.withColumn("du", F.explode(steps)).withColumn("dv", F.explode(steps))
-    wide = wide.withColumn("k", _kernel(kernel, F.col("uo"), F.col("du"), oversampling) * _kernel(kernel, F.col("vo"), F.col("dv"), oversampling))
-    wide = wide.withColumns({"iu": F.col("ui") + F.col("du"), "iv": F.col("vi") + F.col("dv")})
-    if constant is None:
-        wide = wide.join(model.select("chan", "pol", "iu", "iv", F.col("re").alias("gr"), F.col("im").alias("gi")), ["chan", "pol", "iu", "iv"], "left")
-    else:
-        wide = wide.withColumns({"gr": F.lit(constant), "gi": F.lit(0.0)})
-    part = lambda c: F.sum(F.col("k") * F.coalesce(c, F.lit(0.0))) / F.sum("k")
-    mean = wide.groupBy(*key).agg(part("gr").alias("model_re"), part("gi").alias("model_im"))
+    # abs() names each position once, so that the filter stays small when it is pushed down.
+    middle, width = (n - 1) / 2, (n - 1) / 2 - half
+    inside = F.coalesce((F.abs(F.rint("up") - middle) <= width) & (F.abs(F.rint("vp") - middle) <= width), F.lit(False))
+    sub = lambda p: F.floor((F.rint(p) - F.col(p)) * oversampling + 0.5).cast("int")
+    near = at.where(inside).select("chan", "pol", F.rint("up").cast("int").alias("ui"), F.rint("vp").cast("int").alias("vi"), sub("up").alias("uo"), sub("vp").alias("vo")).distinct()
+    mean = model_at(near, model, n, support, oversampling, constant)
+    # Samples outside find no place; a hash in their key keeps them from meeting in one task.
+    nowhere = F.lit(-(1 << 20)) - F.pmod(F.xxhash64(*vis.columns), F.lit(4096)).cast("int")
+    at = at.withColumn("inside", inside)
+    held = lambda c, other: F.when(F.col("inside"), c).otherwise(other)
+    zero_ = F.lit(0)
+    at = at.withColumns({"ui": held(F.rint("up").cast("int"), zero_), "vi": held(F.rint("vp").cast("int"), zero_), "uo": held(sub("up"), nowhere), "vo": held(sub("vp"), zero_)}).drop("up", "vp", "inside")
     wanted = [c for c in vis.columns if c not in ("model_re", "model_im")]
     zero = lambda c: F.coalesce(mean[c], F.lit(0.0)).alias(c)
-    return at.drop("model_re", "model_im").join(mean, key, "left").select(*wanted, zero("model_re"), zero("model_im"))
+    return at.drop("model_re", "model_im").join(mean, PLACE, "left").select(*wanted, zero("model_re"), zero("model_im"))
 
 
 def degrid(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
@@ -139,7 +186,9 @@ def imaging_weights(vis: DataFrame, scheme: str = "natural", robust: float = 0.5
     # Samples look their cell up and are never joined with themselves; those without a cell get 0.
     scale = -(F.col("freq") * F.lit(cell) * n) / F.lit(LIGHT)
     usable = ~F.col("flag") & ~F.isnan("u") & ~F.isnan("v")
-    place = lambda c: F.when(usable, nearest(F.col(c) * scale + n // 2))
+    # Samples without a cell look up one that cannot be, by a hash, so they do not meet in one task.
+    nowhere = F.lit(-2) - F.pmod(F.xxhash64("event_id"), F.lit(4096)).cast("int")
+    place = lambda c: F.when(usable, nearest(F.col(c) * scale + n // 2)).otherwise(nowhere)
     at = vis.select("event_id", "chan", "weight", place("u").alias("iu"), place("v").alias("iv"))
     at = at.join(density, ["chan", "iu", "iv"], "left").join(factors, "chan", "left")
     inside = F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1)

@@ -1,34 +1,41 @@
-"""Image-plane operators on pixel rows, and per-plane transforms on grouped pixels."""
+"""Image-plane operators on pixel rows, and transforms of whole planes."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .planes import KEY, Planes, map_planes
+
 NAN = float("nan")
-KEY = ("plane", "chan")
+
+
+def _turned_planes(z: np.ndarray, inverse: bool) -> np.ndarray:
+    """The centred transform of each plane of a cube."""
+    turn = np.fft.ifft2 if inverse else np.fft.fft2
+    return np.fft.fftshift(turn(np.fft.ifftshift(z, (1, 2))), (1, 2))
 
 
 def fft(img: DataFrame, inverse: bool = False, n: int | None = None) -> DataFrame:
     """``plane, chan, l, m, re, im``: the centred 2-D transform of each plane (unnormalised forward; 1/N back). Pixels
     without a row are zero, so a sparse grid needs no filling up; ``n`` is the planes' side where corners may be absent."""
-    turn = np.fft.ifft2 if inverse else np.fft.fft2
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        l, m = pdf["l"].to_numpy(), pdf["m"].to_numpy()
-        x = np.zeros((n, n) if n else (l.max() + 1, m.max() + 1), complex)
-        x[l, m] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        y = np.fft.fftshift(turn(np.fft.ifftshift(x)))
-        l, m = np.indices(y.shape)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in KEY}, "l": l.ravel(), "m": m.ravel(), "re": y.real.ravel(), "im": y.imag.ravel()})
+    def run(planes: Planes) -> Iterator[dict]:
+        for some, shape, rows in planes.groups(n):
+            re, im = (planes.cube(c, some, shape, rows) for c in ("re", "im"))
+            y = _turned_planes(re + 1j * im, inverse)
+            yield planes.all_pixels(some, re=y.real, im=y.imag)
 
     source = img if "im" in img.columns else img.select(*KEY, "l", "m", F.col("value").alias("re"), F.lit(0.0).alias("im"))
-    source = source.select(*KEY, "l", "m", "re", "im")
-    return source.groupBy(*KEY).applyInPandas(run, source.schema)
+    return map_planes(source, ["l", "m", "re", "im"], run, _places(img) + ", re double, im double")
+
+
+def _places(img: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in img.select("l", "m").dtypes)
 
 
 def remove_padding(img: DataFrame, n: int, wanted: int) -> DataFrame:
@@ -173,13 +180,34 @@ def point_sources(sources: DataFrame, n: int, policy: str = "ignore") -> DataFra
     return sources.groupBy(edge("l").alias("l"), edge("m").alias("m")).agg(F.sum("amp").alias("amp"))
 
 
-def feather(high: DataFrame, low: DataFrame, n: int, alpha: float, beta: float, omega: float = 1.0, factor: float = 1.0) -> DataFrame:
+def feather(high: DataFrame, low: DataFrame, n: int, alpha: float | Column, beta: float | Column, omega: float | Column = 1.0, factor: float = 1.0) -> DataFrame:
     """``plane, chan, l, m, value``: two skies combined in the transform plane; the low-resolution beam of widths
-    ``alpha, beta`` (in cells) weights them, ``omega`` is the ratio of beam areas."""
-    a, b = fft(high), fft(low)
-    u, v = (F.col("l") - n // 2) / n, (F.col("m") - n // 2) / n
-    w = F.exp(-(math.pi**2) / (4 * math.log(2)) * (alpha * alpha * u * u + beta * beta * v * v))
-    both = a.join(b.withColumnsRenamed({"re": "re2", "im": "im2"}), [*KEY, "l", "m"])
-    mixed = lambda x, y: ((1 - w) * F.col(x) + factor * omega * F.col(y) * w) / ((1 - w) + factor * w)
-    uv = both.select(*KEY, "l", "m", mixed("re", "re2").alias("re"), mixed("im", "im2").alias("im"))
-    return fft(uv, inverse=True).select(*KEY, "l", "m", F.col("re").alias("value"))
+    ``alpha, beta`` (in cells) weights them, ``omega`` is the ratio of beam areas. These three may be columns of ``high``, as
+    for beams by channel. Planes of one side only are left out; planes that are no ``n`` x ``n`` raise. One shuffle deals
+    out both sides."""
+    given = [c if isinstance(c, Column) else F.lit(float(c)) for c in (alpha, beta, omega)]
+    names = ("alpha", "beta", "omega")
+    one = high.select(*KEY, F.lit(0).alias("side"), "l", "m", "value", *[c.cast("double").alias(k) for k, c in zip(names, given)])
+    two = low.select(*KEY, F.lit(1).alias("side"), "l", "m", "value", *[F.lit(0.0).alias(k) for k in names])
+    axis = (np.arange(n) - n // 2) / n
+
+    def run(planes: Planes) -> Iterator[dict]:
+        side, l, m = (planes.columns[c] for c in ("side", "l", "m"))
+        if l.max() >= n or m.max() >= n or min(l.min(), m.min()) < 0:
+            raise ValueError(f"an image to feather is no {n} x {n} pixels")
+        for some, shape, rows in planes.groups(n):
+            sides = [planes.cube("value", some, shape, rows[side[rows] == k]) for k in (0, 1)]
+            held = [np.bincount(np.searchsorted(some, planes.owner[rows[side[rows] == k]]), minlength=len(some)) for k in (0, 1)]
+            both = np.flatnonzero((held[0] > 0) & (held[1] > 0))
+            if not len(both):
+                continue
+            if (held[0][both] != n * n).any() or (held[1][both] != n * n).any():
+                raise ValueError(f"an image to feather lacks pixels of its {n} x {n}")
+            a, b = (_turned_planes(z[both], False) for z in sides)
+            first = planes.starts[some[both]]  # the high side comes first
+            wide, narrow, ratio = (planes.columns[k][first][:, None, None] for k in names)
+            w = np.exp(-(math.pi**2) / (4 * math.log(2)) * ((wide * axis[:, None]) ** 2 + (narrow * axis[None, :]) ** 2))
+            mixed = ((1 - w) * a + factor * ratio * b * w) / ((1 - w) + factor * w)
+            yield planes.all_pixels(some[both], value=_turned_planes(mixed, True).real)
+
+    return map_planes(one.unionByName(two), ["side", "l", "m", "value", *names], run, _places(high) + ", value double", ("side", "l", "m"))

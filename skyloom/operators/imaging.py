@@ -5,16 +5,18 @@ them. Grids stay sparse rows until each plane's transform; planes (channel and p
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import LIGHT, airy, cexp, cmul, spheroidal
 from ..session import checkpointed
 from . import calibration, deconvolution, fitting, gridding, images
-from .images import KEY
+from .planes import KEY, Planes, map_planes
 
 #: Dish diameter and blockage in metres, by telescope.
 DISHES = {"ALMA": (10.7, 0.75), "ACA": (6.7, 0.75)}
@@ -33,8 +35,12 @@ def dirty_image(vis: DataFrame, n: int = 64, cell: float = 5e-5, mode: str = "cu
     the polarisation. With ``do_psf`` the weights are gridded, which gives the point spread function. ``sums`` are the
     planes' ``weight_sums`` where they are known."""
     cells = gridding.grid(vis, n, cell, mode=mode, do_psf=do_psf)
+    return _image_of(cells, weight_sums(vis, n, cell, mode) if sums is None else sums, n)
+
+
+def _image_of(cells: DataFrame, sums: DataFrame, n: int) -> DataFrame:
+    """The image of gridded cells."""
     uv = cells.select(F.col("pol").alias("plane"), "chan", F.col("iu").alias("l"), F.col("iv").alias("m"), "re", "im")
-    sums = weight_sums(vis, n, cell, mode) if sums is None else sums
     sky = images.fft(uv, inverse=True, n=n).join(sums, list(KEY))  # one row a plane: Spark sends it to the planes
     return sky.select(*KEY, "l", "m", (F.col("re") * (n * n) / F.col("sum_weight") / correction(n)).alias("value"))
 
@@ -51,10 +57,14 @@ def point_spread(vis: DataFrame, n: int = 64, cell: float = 5e-5, mode: str = "c
 def predict(vis: DataFrame, model: DataFrame, n: int = 64, cell: float = 5e-5, correct: bool = True) -> DataFrame:
     """``vis`` with ``model_re, model_im``: the transform of a model image (``plane, chan, l, m, value``) degridded at every
     sample. ``correct`` divides the image by the kernel's correction first, so predictions equal the direct sum."""
+    return gridding.degrid_onto(vis, model_grid(model, n, correct), n, cell)
+
+
+def model_grid(model: DataFrame, n: int, correct: bool = True) -> DataFrame:
+    """``chan, pol, iu, iv, re, im``: the transform of a model image."""
     value = F.col("value") / correction(n) if correct else F.col("value")
     grid = images.fft(model.where("value <> 0").select(*KEY, "l", "m", value.alias("re"), F.lit(0.0).alias("im")), n=n)
-    grid = grid.select("chan", F.col("plane").alias("pol"), F.col("l").alias("iu"), F.col("m").alias("iv"), "re", "im")
-    return gridding.degrid_onto(vis, grid, n, cell)
+    return grid.select("chan", F.col("plane").alias("pol"), F.col("l").alias("iu"), F.col("m").alias("iv"), "re", "im")
 
 
 def residual(predicted: DataFrame, re: str = "re", im: str = "im") -> DataFrame:
@@ -75,64 +85,56 @@ def synthetic_visibilities(vis: DataFrame, sources: list[tuple[float, float, flo
 def sidelobes(psf: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``plane, chan, sidelobe``: the largest magnitude outside the main lobe of each plane."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["l", "m"])
-        z = pdf["value"].to_numpy().reshape(pdf["l"].max() + 1, pdf["m"].max() + 1)
-        side = fitting.main_lobe(z, threshold)[1] if np.isfinite(z).any() else np.nan
-        return pd.DataFrame([(*pdf[list(KEY)].iloc[0], side)], columns=[*KEY, "sidelobe"])
-
-    fields = ", ".join(f"{name} {kind}" for name, kind in psf.select(*KEY).dtypes)
-    return psf.select(*KEY, "l", "m", "value").groupBy(*KEY).applyInPandas(run, fields + ", sidelobe double")
-
+    def run(planes: Planes) -> Iterator[dict]:
+        for some, shape, rows in planes.groups():
+            cube = planes.cube("value", some, shape, rows, np.nan)
+            side = [fitting.main_lobe(z, threshold)[1] if np.isfinite(z).any() else np.nan for z in cube]
+            yield {**{k: v.take(pa.array(some)) for k, v in planes.keys.items()}, "sidelobe": np.array(side, float)}
 
-def clean_planes(img: DataFrame, psf: DataFrame, gain: float = 0.1, niter: int = 100, threshold: float = 0.0) -> DataFrame:
-    """``plane, chan, l, m, model, residual, iterations``: CLEAN of each plane with the point spread function of its own."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values(["l", "m"]), right.sort_values(["l", "m"])
-        if left.empty:
-            return pd.DataFrame(columns=[*KEY, "l", "m", "model", "residual", "iterations"])
-        if right.empty:
-            raise ValueError("a plane has no point spread function")
-        square = lambda x: x["value"].to_numpy().reshape(x["l"].max() + 1, x["m"].max() + 1)
-        model, rest, n = deconvolution.hogbom(square(left), square(right), gain, niter, threshold)
-        return left[[*KEY, "l", "m"]].assign(model=model.ravel(), residual=rest.ravel(), iterations=n)
-
-    fields = ", ".join(f"{name} {kind}" for name, kind in img.select(*KEY, "l", "m").dtypes)
-    two = [x.select(*KEY, "l", "m", "value").groupBy(*KEY) for x in (img, psf)]
-    return two[0].cogroup(two[1]).applyInPandas(run, fields + ", model double, residual double, iterations long")
+    return map_planes(psf, ["l", "m", "value"], run, "sidelobe double")
 
 
 def major_cycles(
-    vis: DataFrame, control: deconvolution.IterationController, n: int = 64, cell: float = 5e-5, gain: float = 0.1, start: DataFrame | None = None, most: int = 20
+    vis: DataFrame, control: deconvolution.IterationController, n: int = 64, cell: float = 5e-5, gain: float = 0.1, start: DataFrame | None = None, mask: Column | None = None, box: tuple[int, int, int, int] | None = None
 ) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(model, residual image, log): CLEAN with residuals recomputed from the visibilities. Each cycle grids the residual
-    visibilities, cleans the image by plane, adds to the model, and predicts the model at every sample. ``start`` is a
-    model to go on from. The measured sidelobe of the point spread function sets the depth of a cycle."""
+    """(model, residual image, log): CLEAN with residuals recomputed from the visibilities, until the controller stops or a
+    cycle finds no component. Each cycle grids the residual visibilities, cleans the image by plane within ``mask`` and
+    ``box``, adds to the model, and predicts the model at every place. ``start`` is a model to go on from. The measured
+    sidelobe of the point spread function sets the depth of a cycle.
+
+    Samples of one place (cell and sub-cell) have one model value, so their weighted sums stand for them: they are summed
+    once, and cycles work on places."""
     sums = checkpointed(weight_sums(vis, n, cell))  # weights do not change from cycle to cycle
-    psf = checkpointed(point_spread(vis, n, cell, sums=sums))
+    places = checkpointed(gridding.places(vis, n, cell))
+    make = lambda cells: checkpointed(_image_of(cells, sums, n))
+    psf = make(gridding.grid_places(places, n, do_psf=True))
     sidelobe = sidelobes(psf).agg(F.max("sidelobe")).first()[0] or 0.2
+    allowed = (F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)) & deconvolution.clean_box(box)
     model = start.select(*KEY, "l", "m", "value") if start is not None else None
     log: list[dict] = []
     while True:
-        seen = residual(predict(vis, model, n, cell)) if model is not None else vis
-        image = checkpointed(dirty_image(seen, n, cell, sums=sums))
-        state = image.agg(F.max(F.abs("value")).alias("peak"), F.count("*").alias("n")).first()
+        seen = gridding.less_model(places, model_grid(model, n), n) if model is not None else places
+        image = make(gridding.grid_places(seen, n))
+        finite = allowed & ~F.isnan("value") & (F.abs("value") != float("inf"))
+        state = image.where(finite).agg(F.max(F.abs("value")).alias("peak"), F.count("*").alias("n")).first()
         peak = state["peak"] or 0.0
         code, message = control.check(peak, state["n"])
-        if code or len(log) >= most:
+        if code:
             log.append({"peakres": peak, "stopcode": code, "message": message})
             break
         count, limit = control.cycle_controls(peak, sidelobe)
-        found = checkpointed(clean_planes(image, psf, gain, max(1, count), limit))
-        more = found.where("model <> 0").select(*KEY, "l", "m", F.col("model").alias("value"))
+        found = deconvolution.deconvolve(image, psf, gain, max(1, count), limit, mask, box).where("model <> 0").select(*KEY, "l", "m", "model", "iterations")
+        found = checkpointed(found)  # sparse: cleaned pixels only
+        more = found.select(*KEY, "l", "m", F.col("model").alias("value"))
         done = found.agg(F.max("iterations")).first()[0] or 0
+        if not done:
+            log.append({"peakres": peak, "stopcode": deconvolution.NOTHING_FOUND, "message": deconvolution.MESSAGES[deconvolution.NOTHING_FOUND]})
+            break
         both = more if model is None else model.unionByName(more)
-        model = checkpointed(both.groupBy(*KEY, "l", "m").agg(F.sum("value").alias("value")))  # sparse: cleaned pixels only
+        model = both.groupBy(*KEY, "l", "m").agg(F.sum("value").alias("value"))
+        model = checkpointed(model) if len(log) % 8 == 7 else model  # each cycle adds a checkpointed table
         control.update_counts(int(done))
         log.append({"peakres": peak, "iterations": int(done), "threshold": limit})
-        if not done:
-            break
     return model if model is not None else image.where("false"), image, log
 
 

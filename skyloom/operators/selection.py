@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAN = float("nan")
-X, Y = F.col, F.col
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-_UNIT = {"pix": 1.0, "": 1.0, "deg": math.pi / 180, "rad": 1.0, "arcsec": math.pi / 648000}
+_PIXELS = {"pix": 1.0}
+_ANGLES = {"deg": math.pi / 180, "rad": 1.0, "arcmin": math.pi / 10800, "arcsec": math.pi / 648000}
 _SHAPE = re.compile(r"^\s*(?P<sign>[+-])?\s*(?P<shape>[a-z]+)\s*(?P<args>\[.*\])\s*(?P<rest>.*)$", re.I)
 
 
@@ -69,11 +69,13 @@ def poly(points: list[tuple[float, float]]) -> Column:
     return inside
 
 
-def _value(text: str) -> float:
+def _value(text: str, units: dict[str, float]) -> float:
     m = re.fullmatch(rf"\s*({_NUMBER})\s*([a-z]*)\s*", text)
-    if not m or m[2] not in _UNIT:
-        raise ValueError(f"{text!r} is no number with a unit of {sorted(_UNIT)}; try 10pix or 30deg")
-    return float(m[1]) * _UNIT[m[2]]
+    if not m:
+        raise ValueError(f"{text.strip()!r} is no number with a unit; try 10{next(iter(units))}")
+    if m[2] not in units:
+        raise ValueError(f"{text.strip()!r} needs a unit of {sorted(units)}; try {m[1]}{next(iter(units))}")
+    return float(m[1]) * units[m[2]]
 
 
 def _angle(rest: str, needed: bool) -> float:
@@ -83,12 +85,12 @@ def _angle(rest: str, needed: bool) -> float:
             raise ValueError("the shape needs an angle, as pa=30deg or theta_m=30deg")
         return 0.0
     if "theta_m" in found:
-        return _value(found["theta_m"])
-    return math.pi / 2 - _value(found["pa"])
+        return _value(found["theta_m"], _ANGLES)
+    return math.pi / 2 - _value(found["pa"], _ANGLES)
 
 
 def _shape(shape: str, args: str, rest: str) -> Column:
-    numbers = [_value(x) for x in re.sub(r"[\[\]]", " ", args).split(",")]
+    numbers = [_value(x, _PIXELS) for x in re.sub(r"[\[\]]", " ", args).split(",")]
     counts = {"box": 4, "centerbox": 4, "rotbox": 4, "circle": 3, "annulus": 4, "ellipse": 4}
     if shape == "poly":
         if len(numbers) < 6 or len(numbers) % 2:
@@ -107,7 +109,7 @@ def _shape(shape: str, args: str, rest: str) -> Column:
 
 
 def crtf(text: str) -> Column:
-    """Lines of shapes, folded from the first: ``+`` (the default) joins, ``-`` takes away."""
+    """Lines of shapes, folded from the first, beginning with nothing: ``+`` (the default) joins, ``-`` takes away."""
     out = None
     for line in re.split(r"[\n;]", text):
         line = line.strip()
@@ -118,7 +120,7 @@ def crtf(text: str) -> Column:
             raise ValueError(f"{line!r} is no region; try circle[[10pix,10pix],5pix]")
         region = _shape(m["shape"].lower(), m["args"], m["rest"])
         if m["sign"] == "-":
-            out = (out if out is not None else F.lit(True)) & ~region
+            out = (out if out is not None else F.lit(False)) & ~region
         else:
             out = region if out is None else out | region
     if out is None:
@@ -126,6 +128,12 @@ def crtf(text: str) -> Column:
     return out
 
 
+def _holds(mask: Column) -> Column:
+    """A mask of any number type: true where it is not 0; NaN and null are false. Text that is no number raises."""
+    value = mask.cast("double")
+    return F.coalesce((value != 0) & ~F.isnan(value), F.lit(False))
+
+
 def expression(text: str, masks: dict[str, Column]) -> Column:
     """``&``, ``|``, ``^``, ``~``, parentheses, True and False over named masks; NaN and null count as false."""
 
@@ -142,7 +150,7 @@ def expression(text: str, masks: dict[str, Column]) -> Column:
         if isinstance(node, ast.Name):
             if node.id not in masks:
                 raise NameError(f"no mask {node.id!r}; there are {sorted(masks)}")
-            return F.coalesce(masks[node.id].cast("boolean"), F.lit(False))
+            return _holds(masks[node.id])
         raise ValueError("only &, |, ^, ~, parentheses, True, False and names are known; not and, or, not")
 
     return visit(ast.parse(text.strip(), mode="eval"))
@@ -153,7 +161,7 @@ def select_mask(select: object, masks: dict[str, Column] | None = None) -> Colum
     if select is None:
         return F.lit(True)
     if isinstance(select, Column):
-        return F.coalesce(select.cast("boolean"), F.lit(False))
+        return _holds(select)
     if isinstance(select, Path):
         return crtf(select.read_text())
     if isinstance(select, str):
@@ -163,8 +171,14 @@ def select_mask(select: object, masks: dict[str, Column] | None = None) -> Colum
     raise TypeError(f"cannot select by {type(select).__name__}")
 
 
-def apply_select(img: DataFrame, mask: Column) -> DataFrame:
-    """NaN outside the mask."""
+def apply_select(img: DataFrame, mask: Column | DataFrame) -> DataFrame:
+    """NaN outside the mask: a column, or a table ``mask`` by pixel (``l, m``, and ``plane, chan`` where it has them), in
+    which pixels without a row are outside."""
+    if isinstance(mask, DataFrame):
+        keys = [c for c in ("plane", "chan", "l", "m") if c in mask.columns and c in img.columns]
+        inside = mask.where(_holds(F.col("mask"))).select(*keys).distinct().withColumn("inside", F.lit(True))
+        wide = img.join(inside, keys, "left")
+        return wide.withColumn("value", F.when(F.col("inside"), F.col("value").cast("double")).otherwise(NAN)).select(img.columns)
     return img.withColumn("value", F.when(mask, F.col("value").cast("double")).otherwise(NAN))
 
 
