@@ -17,11 +17,14 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Only local sessions may go without
+    that setting: they get a temporary folder; elsewhere its absence is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="skyloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skyloom-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 

@@ -3,6 +3,7 @@
 Each language has a byte context tree of orders 0 to 3 with escape probabilities (escape method C with exclusion,
 frozen after training). The score of a text is its exact code length in bits under each language; the shortest wins.
 
+Every byte that a training sample holds is a symbol of its own; all others share one, at the cost of telling them apart.
 The frozen trees are compiled into two tables: one from the last three bytes to the row of the longest context that any
 tree knows, and one from row and next byte to the cost in every language. Scoring is two look-ups a byte.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_slot, held_out, learnable, map_batches, read, sample_fraction
+from .common import hash_slot, held_out, learnable, map_batches, materialize, read, sample_fraction
 
 ORDER = 3
 #: Code lengths are summed over slices of so many bytes, so memory does not grow with a text.
@@ -29,19 +30,19 @@ SLICE = 1 << 19
 
 @dataclass(frozen=True)
 class PpmParams:
-    """``docs_per_language`` and ``max_train_bytes`` bound the training sample: about that many documents of each
-    language, chosen by a hash of the id, among those no longer than that. Predictions read whole texts."""
+    """``docs_per_language`` bounds the training sample: about that many documents of each language, chosen by a hash of the
+    id, each learned from whole. A context that all samples together hold fewer than ``min_context`` times is left to the
+    shorter one; so are the rarest contexts beyond ``table_bytes``, the most that the compiled trees may take."""
 
     docs_per_language: int = 400
-    max_train_bytes: int = 1 << 16
-    alphabet: int = 96
     min_context: int = 6
+    table_bytes: int = 256 << 20
 
 
 @dataclass
 class PpmModel:
     languages: list[str]
-    codes: np.ndarray  # byte -> symbol; 0 is any byte not among the frequent ones
+    codes: np.ndarray  # byte -> symbol; 0 is any byte that no sample holds
     rows: np.ndarray  # symbol**3 -> row of the longest known context
     bits: np.ndarray  # (row * alphabet + symbol, language) -> cost
     alphabet: int
@@ -59,45 +60,63 @@ def _blend(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return np.where(total > 0, np.maximum(p, 1e-12), parent)
 
 
-def train(samples: dict[str, list[bytes]], params: PpmParams = PpmParams()) -> PpmModel:
-    """Grow and freeze one tree a language, and compile them."""
-    names, a = sorted(samples), params.alphabet
-    seen = sum((np.bincount(np.frombuffer(b"".join(samples[n]), np.uint8), minlength=256) for n in names), np.zeros(256, np.int64))
-    frequent = sorted(range(256), key=lambda b: (-seen[b], b))[: a - 1]
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct four-byte windows that end within each text (three zero bytes stand before it), and their counts."""
+    found: dict[int, int] = {}
+    whole, ends = b"".join(b"\0" * ORDER + t for t in texts), np.cumsum([len(t) + ORDER for t in texts])
+    x = np.frombuffer(whole, np.uint8)
+    own = np.ones(len(x), bool)
+    starts = np.concatenate([[0], ends[:-1]]) if len(texts) else np.zeros(0, np.int64)
+    for k in range(ORDER):
+        own[starts + k] = False
+    for at in range(ORDER, len(x), SLICE):  # windows are counted slice by slice, so memory does not grow with a text
+        part = x[at - ORDER : at + SLICE].astype(np.uint32)
+        gram = (part[:-3] << 24) | (part[1:-2] << 16) | (part[2:-1] << 8) | part[3:]
+        for g, n in zip(*(v.tolist() for v in np.unique(gram[own[at : at + SLICE]], return_counts=True))):
+            found[g] = found.get(g, 0) + n
+    return np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+
+
+def compile_trees(names: list[str], order: np.ndarray, language: np.ndarray, gram: np.ndarray, n: np.ndarray, params: PpmParams = PpmParams()) -> PpmModel:
+    """Freeze one tree a language from counts of (context, byte) by order, and compile them. ``gram`` is the context's bytes
+    and the byte after it, as one number."""
+    seen = np.union1d(gram[order == 0], [0])  # zero bytes stand before a text
+    a = len(seen) + 1
     codes = np.zeros(256, np.int32)
-    codes[frequent] = np.arange(1, len(frequent) + 1)
-    grams = []
-    for name in names:
-        text = b"\0" * ORDER + (b"\0" * ORDER).join(samples[name])
-        x = codes[np.frombuffer(text, np.uint8)].astype(np.int64)
-        grams.append(np.unique(((x[:-3] * a + x[1:-2]) * a + x[2:-1]) * a + x[3:], return_counts=True))
-
-    def tree(order: int) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts of ``order`` that are frequent enough in any language, and their counts (context, language, symbol)."""
-        width = a**order
-        totals = np.zeros(width, np.int64)
-        for gram, n in grams:
-            np.add.at(totals, gram // a % width, n)
-        kept = np.flatnonzero(totals >= (params.min_context if order else 0))
-        place = np.full(width, -1, np.int64)
-        place[kept] = np.arange(len(kept))
-        counts = np.zeros((len(kept), len(names), a))
-        for k, (gram, n) in enumerate(grams):
-            at = place[gram // a % width]
-            np.add.at(counts, (at[at >= 0], k, (gram % a)[at >= 0]), n[at >= 0])
-        return kept, counts
+    codes[seen] = np.arange(1, a)
+    most = max(1, params.table_bytes // (4 * a * len(names)) - 1)
+    contexts, totals = [], []
+    for k in range(1, ORDER + 1):
+        c, back = np.unique(gram[order == k] >> 8, return_inverse=True)
+        contexts.append(c)
+        totals.append(np.bincount(back, n[order == k], len(c)))
+    ranked = np.sort(np.concatenate(totals))[::-1]
+    least = max(params.min_context, ranked[most] + 1 if len(ranked) > most else 0)
+
+    def coded(context: np.ndarray, k: int) -> np.ndarray:
+        return sum((codes[context >> (8 * i) & 255].astype(np.int64) * a**i for i in range(k)), np.zeros(len(context), np.int64))
+
+    def tree(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of an order, and their counts (context, language, symbol)."""
+        of = order == k
+        kept = contexts[k - 1][totals[k - 1] >= least] if k else np.zeros(1, np.int64)
+        at = np.searchsorted(kept, gram[of] >> 8)
+        held = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == gram[of] >> 8) if len(kept) else np.zeros(len(at), bool)
+        counts = np.zeros((len(kept), len(names), a), np.float32)
+        counts[at[held], language[of][held], codes[gram[of][held] & 255]] = n[of][held]
+        return coded(kept, k), counts
 
     uniform = np.full((1, len(names), a), 1.0 / a)
-    _, counts = tree(0)
-    rows = _blend(counts, uniform)
+    rows = _blend(tree(0)[1].astype(float), uniform).astype(np.float32)
     longest = np.zeros(1, np.int32)  # of each context of the order below, the row it is found at
-    for order in range(1, ORDER + 1):
-        kept, counts = tree(order)
+    for k in range(1, ORDER + 1):
+        kept, counts = tree(k)
         below = np.tile(longest, a)  # the context of one byte less is the suffix
-        grown = _blend(counts, rows[below[kept]])
+        grown = [_blend(counts[i : i + 4096].astype(float), rows[below[kept[i : i + 4096]]].astype(float)).astype(np.float32) for i in range(0, len(kept), 4096)]
         below[kept] = len(rows) + np.arange(len(kept))
-        rows, longest = np.concatenate([rows, grown]), below.astype(np.int32)
-    bits = -np.log2(rows).transpose(0, 2, 1).reshape(-1, len(names))
+        rows, longest = np.concatenate([rows, *grown]), below.astype(np.int32)
+    rows[..., 0] /= max(1, 256 - len(seen))  # symbol 0 says that a byte is new; which one it is costs as much in every language
+    bits = -np.log2(rows, dtype=np.float32).transpose(0, 2, 1).reshape(-1, len(names))
     return PpmModel(names, codes, longest, np.ascontiguousarray(bits, dtype=np.float32), a)
 
 
@@ -131,19 +150,35 @@ def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(documents: DataFrame, params: PpmParams = PpmParams()) -> PpmModel | None:
-    """Learn from a bounded sample of the documents that are not held out."""
+    """Learn from a bounded sample of the documents that are not held out. Windows are counted in Spark; the driver gets the
+    counts of contexts frequent enough, whose number does not follow the input, and no text."""
     usable = documents.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    short = usable.where(F.octet_length("text") <= params.max_train_bytes)
-    counts = {r["lang"]: r["n"] for r in short.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return None
-    keep = F.lit(False)
-    for name, n in counts.items():
-        keep = keep | ((F.col("lang") == name) & (hash_slot(F.col("doc_id")) < sample_fraction(n, params.docs_per_language)))
-    samples: dict[str, list[bytes]] = {}
-    for row in short.where(keep).select("lang", "text", "doc_id").collect():
-        samples.setdefault(row["lang"], []).append(row["text"].encode())
-    return train(samples, params) if samples else None
+    slots = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, sample_fraction(n, params.docs_per_language))])
+    chosen = usable.where(hash_slot(F.col("doc_id")) < slots[F.col("lang")]).select("lang", "text")
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            texts.setdefault(lang, []).append(text.as_buffer().to_pybytes())
+        found = [(lang, *grams(t)) for lang, t in texts.items()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array([f[0] for f in found], object), [len(f[1]) for f in found]), pa.string()), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["lang", "gram", "n"]
+        )
+
+    found = map_batches(chosen, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")) for k in range(ORDER + 1)])).alias("o")
+    found = found.select("lang", "n", each).groupBy("lang", "o.k", "o.gram").agg(F.sum("n").alias("n"))
+    found = materialize(found, "language-grams").withColumn("context", F.shiftright("gram", 8))
+    frequent = found.groupBy("k", "context").agg(F.sum("n").alias("total")).where((F.col("total") >= params.min_context) | (F.col("k") == 0)).select("k", "context")
+    table = found.join(frequent, ["k", "context"], "left_semi").select("lang", "k", "gram", "n").toPandas()
+    if table.empty:
+        return None
+    names = sorted(table["lang"].unique())
+    language = table["lang"].map({name: i for i, name in enumerate(names)}).to_numpy()
+    return compile_trees(names, table["k"].to_numpy(), language, table["gram"].to_numpy(), table["n"].to_numpy(), params)
 
 
 def identify(documents: DataFrame, model: PpmModel | None, keep: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Rules vote good or bad on a document, or abstain. Expectation-maximisation over the counts of vote patterns (there are
 at most ``3 ** rules`` of them, whatever the corpus) estimates how often each rule is right and how common good
-documents are; the posterior probability of "good" given the votes replaces a filter that demands every rule.
+documents are; the posterior probability of "good" given the votes replaces a filter that demands every rule. The classes
+are told apart by which rules vote together: bad documents draw several bad votes, and a bad vote on its own, against
+all others, seldom decides.
 
 Everything of a text is computed within its row. Repeated five-word windows are found by 64-bit window hashes, sorted
 within the row; so texts of any length cost n log n, and no window leaves its row.
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize, read
 
 WINDOW = 5
-ROUNDS = 40
-#: The thresholds of bad votes are so far out that a good document draws one from a rule in 500 at most; the accuracies
-#: are estimated within this bound. Without it the estimate settles on one kind of bad document and excuses the others.
-SPARES = 0.998
+ROUNDS = 60
+#: What is believed of every rule before the votes are seen: P(votes good | good), P(votes good | bad) and P(good). These
+#: beliefs count as a hundredth of a rule's votes, so the data decide, alike at every size; they only tell good from bad.
+PRIOR_GOOD, PRIOR_BAD, PRIOR_SHARE, STRENGTH = 0.95, 0.5, 0.85, 0.01
 #: Frequent short words of the languages expected; a rule counts them.
 COMMON_WORDS = ("the", "of", "and", "to", "in", "is", "that", "de", "la", "le", "les", "et", "el", "que", "los", "un", "der", "die", "und", "den", "das", "en", "a", "è", "y")
 
@@ -85,39 +87,41 @@ def votes(m: DataFrame) -> DataFrame:
     mean, symbols = F.col("word_chars") / words, F.col("n_symbols") / words
     upper, distinct = F.col("n_upper") / chars, F.col("n_distinct") / words
     repeats, lines = F.col("n_repeat_words") / words, F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))
+    enough = F.col("n_words") >= 20
+    common = F.col("n_common") / words
     rules = {
         "symbols": _vote(symbols < 0.02, symbols > 0.1),
-        "case": _vote(upper < 0.15, upper > 0.4),
-        "repeats": _vote(repeats < 0.05, repeats > 0.2),
-        "lines": _vote((F.col("n_lines") >= 3) & (lines == 0), lines > 0.3),
-        "variety": _vote((F.col("n_words") >= 20) & (distinct > 0.3), (F.col("n_words") >= 20) & (distinct < 0.1)),
-        "word_length": _vote(mean.between(3.0, 10.0), (mean < 2.0) | (mean > 15.0)),
-        "common": _vote(F.col("n_common") / words > 0.08, F.lit(False)),
+        "case": _vote(upper < 0.06, upper > 0.3),
+        "repeats": _vote(repeats < 0.02, repeats > 0.1),
+        "lines": _vote((F.col("n_lines") >= 3) & (lines == 0), lines > 0.2),
+        "variety": _vote(enough & (distinct > 0.5), enough & (distinct < 0.25)),
+        "word_length": _vote(mean.between(4.0, 6.2), (mean < 3.0) | (mean > 7.0)),
+        "common": _vote(common > 0.1, enough & (common < 0.03)),
         "shouting": _vote(F.col("n_shouts") / words < 0.02, F.col("n_shouts") / words > 0.2),
-        "length": _vote(F.col("n_words") >= 50, F.col("n_words") < 10),
+        "length": _vote(F.col("n_words") >= 100, F.col("n_words") < 30),
     }
     return m.withColumns({f"v_{name}": vote for name, vote in rules.items()})
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
     """From vote patterns and their counts: P(good), and for each rule P(votes good | good) and P(votes good | bad)
-    among its votes. Expectation-maximisation, starting from the belief that a document which no rule votes against is
-    good, and that each vote against it makes this unlikely."""
+    among its votes. Expectation-maximisation from the prior beliefs, which keep a small weight: no rule's accuracy is
+    fixed or bounded, so a rule that often votes against documents which the others find good comes to count little."""
     if not patterns:
         return 0.5, []
-    prior, n, rates = 0.8, len(patterns[0][0]), []
-    for step in range(rounds):
-        good = [posterior(p, prior, rates) if step else 0.95 if min(p) >= 0 else 0.1 for p, _ in patterns]
-        total = sum(c for _, c in patterns)
-        prior = min(0.999, max(0.001, (sum(g * c for g, (_, c) in zip(good, patterns)) + 1) / (total + 2)))
-        rates = []
-        for r in range(n):
-            seen = [(g, c, p[r]) for g, (p, c) in zip(good, patterns) if p[r]]
-            up = [sum(g * c for g, c, v in seen if v > 0), sum((1 - g) * c for g, c, v in seen if v > 0)]
-            of = [sum(g * c for g, c, _ in seen), sum((1 - g) * c for g, c, _ in seen)]
-            a, b = (up[0] + 4.5) / (of[0] + 5), (up[1] + 1.5) / (of[1] + 5)  # pseudo-counts of the first assumption
-            a = max(a, SPARES)
-            rates.append((min(a, 0.9999), min(max(b, 0.3), 0.95)))  # a vote for good never speaks against it: the classes can't swap
+    total, prior = sum(c for _, c in patterns), PRIOR_SHARE
+    rates = [(PRIOR_GOOD, PRIOR_BAD)] * len(patterns[0][0])
+    for _ in range(rounds):
+        good = [posterior(p, prior, rates) for p, _ in patterns]
+        prior = (sum(g * c for g, (_, c) in zip(good, patterns)) + STRENGTH * total * PRIOR_SHARE) / (total * (1 + STRENGTH))
+        found = []
+        for r in range(len(rates)):
+            seen = [(g, c, p[r] > 0) for g, (p, c) in zip(good, patterns) if p[r]]
+            k = STRENGTH * sum(c for _, c, _ in seen) + 1e-9
+            a = (sum(g * c for g, c, up in seen if up) + k * PRIOR_GOOD) / (sum(g * c for g, c, _ in seen) + k)
+            b = (sum((1 - g) * c for g, c, up in seen if up) + k * PRIOR_BAD) / (sum((1 - g) * c for g, c, _ in seen) + k)
+            found.append((a, b))
+        rates = found
     return prior, rates
 
 

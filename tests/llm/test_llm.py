@@ -62,13 +62,39 @@ def test_rules_against_brute_force(docs, none):
     assert quality_rules.judge(docs).count() == docs.count() and quality_rules.judge(none).count() == 0
 
 
-def test_label_model_finds_rare_kinds():
-    patterns = [((1, 1, 1), 900), ((-1, 1, 1), 30), ((1, -1, 0), 30), ((1, 1, -1), 40)]
-    prior, rates = quality_rules.estimate(patterns)
-    assert quality_rules.posterior((1, 1, 1), prior, rates) > 0.5 > quality_rules.posterior((-1, 1, 1), prior, rates)
+def test_label_model_against_truth():
+    """Votes drawn with known accuracies: the estimates come near them, and beat the all-must-pass filter."""
+    r = random.Random(16)
+    accuracy = [(0.99, 0.3), (0.97, 0.4), (0.98, 0.2), (0.9, 0.5), (0.99, 0.6)]
+    drawn = []
+    for _ in range(20_000):
+        good = r.random() < 0.8
+        drawn.append((good, tuple(0 if r.random() < 0.1 else 1 if r.random() < (a if good else b) else -1 for a, b in accuracy)))
+    prior, rates = quality_rules.estimate(sorted(Counter(v for _, v in drawn).items()))
+    assert abs(prior - 0.8) < 0.02 and all(abs(x - y) < 0.04 for pair in zip(rates, accuracy) for x, y in zip(*pair))
+    kept = [quality_rules.posterior(v, prior, rates) >= 0.5 for _, v in drawn]
+    right = np.mean([k == g for k, (g, _) in zip(kept, drawn)])
+    assert right > 0.95 > np.mean([(min(v) >= 0) == g for g, v in drawn])
     assert quality_rules.estimate([]) == (0.5, [])
 
 
+def test_kept_against_labels_and_brute_force(spark):
+    """Documents with a bad vote can be kept, good ones are, bad ones go; ``kept`` follows from votes and estimates."""
+    sf = "/root/testdata/sf0.01"
+    rows = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").collect()
+    names = [c for c in rows[0].asDict() if c.startswith("v_")]
+    votes = [tuple(r[c] for c in names) for r in rows]
+    prior, rates = quality_rules.estimate(sorted(Counter(votes).items()))
+    for r, v in zip(rows, votes):
+        odds = prior / (1 - prior)
+        for x, (a, b) in zip(v, rates):
+            odds *= a / b if x > 0 else (1 - a) / (1 - b) if x < 0 else 1
+        assert r.kept == (not r.base_failed and odds >= 1) and abs(r.posterior - odds / (1 + odds)) < 1e-9
+    assert sum(r.kept and min(v) < 0 for r, v in zip(rows, votes)) > 5
+    passed = [r for r in rows if not r.base_failed]
+    assert np.mean([r.kept for r in passed if r.quality == 1]) > 0.99 and np.mean([r.kept for r in passed if r.quality == 0]) < 0.1
+
+
 def test_range_join_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_join, "HOME", 40)
     rng = np.random.default_rng(4)
@@ -182,12 +208,68 @@ def test_language_id(spark, docs, none):
     assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (0, 1, 2, 11, 15, 16)) and found[17].lang_pred in ("de", "en")
     assert language_id.fit(none) is None and language_id.identify(docs, None).where("lang_pred <> 'und'").count() == 0
     # Every row of the compiled trees is a distribution.
-    p = np.exp2(-model.bits.astype(float)).reshape(-1, model.alphabet, len(model.languages)).sum(1)
-    assert np.abs(p - 1).max() < 1e-3
+    p = np.exp2(-model.bits.astype(float)).reshape(-1, model.alphabet, len(model.languages))
+    p[:, 0] *= 256 - (model.alphabet - 1)
+    assert np.abs(p.sum(1) - 1).max() < 1e-3
     long = (sentence(r, 200_000)).encode()
     assert np.allclose(language_id.code_lengths(model, [long]), sum(language_id.code_lengths(model, [long])), rtol=1e-9)
 
 
+def brute_code_length(samples, text, least):
+    """Bits of ``text`` under one tree, by recursion over orders with exclusion; symbols are bytes, ``None`` any unseen one."""
+    symbols = sorted({0} | {b for t in samples for b in t}) + [None]
+    counts = [defaultdict(Counter) for _ in range(4)]
+    for t in samples:
+        padded = b"\0\0\0" + t
+        for i in range(3, len(padded)):
+            for k in range(4):
+                counts[k][padded[i - k : i]][padded[i]] += 1
+
+    def distribution(context):
+        k = len(context)
+        below = distribution(context[1:]) if k else {s: 1 / len(symbols) for s in symbols}
+        seen = counts[k][context]
+        total = sum(seen.values())
+        if total == 0 or (k and total < least):
+            return below
+        left = 1 - sum(below[s] for s in seen)
+        d = len(seen) if left > 1e-12 and len(seen) < len(symbols) else 0
+        return {s: seen[s] / (total + d) if s in seen else d / (total + d) * below[s] / left if d else 1e-12 for s in symbols}
+
+    padded, bits = b"\0\0\0" + text, 0.0
+    for i in range(3, len(padded)):
+        p = distribution(bytes(padded[i - 3 : i]))
+        bits -= np.log2(p[padded[i]]) if padded[i] in p else np.log2(p[None] / (257 - len(symbols)))
+    return bits
+
+
+def test_code_lengths_against_brute_force(spark):
+    r = random.Random(14)
+    texts = [sentence(r, 30), "дом на горе " * 6, "το σπίτι " * 5, "家在山上。" * 4, "zß🙂 " + sentence(r, 5)]
+    samples = [t.encode() for t in texts]
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate([t for t in texts for _ in range(3)])], "doc_id long, text string, lang string")
+    kept = [t.encode() for i, t in enumerate([t for t in texts for _ in range(3)]) if zlib.crc32(str(i).encode()) % 5]
+    model = language_id.fit(table, language_id.PpmParams(docs_per_language=1000))
+    assert model.alphabet == len({b for t in kept for b in t}) + 2
+    new = ["the house 家 on ß", "ÿ\x01 дом", "", "a"]
+    got = language_id.code_lengths(model, [t.encode() for t in new])[:, 0]
+    assert np.allclose(got, [brute_code_length(kept, t.encode(), 6) for t in new], rtol=1e-4) and samples
+
+
+def test_languages_of_long_documents_only(spark):
+    """A language all of whose texts are long is learned, from whole texts; a bound on the tables leaves a working model."""
+    r = random.Random(15)
+    rows = [(i, sentence(r, 25_000) if i % 2 else "дом на горе и лес у реки " * 4000, "en" if i % 2 else "ru") for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for params in (language_id.PpmParams(), language_id.PpmParams(table_bytes=1 << 16)):
+        model = language_id.fit(table, params)
+        assert model.languages == ["en", "ru"] and model.bits.nbytes <= params.table_bytes
+        assert all(x.lang_pred == rows[x.doc_id][2] for x in language_id.identify(table, model).collect())
+    x, n = language_id.grams([b"abcab", b"", b"abc"])
+    want = Counter(g for t in (b"abcab", b"abc") for g in [int.from_bytes((b"\0\0\0" + t)[i : i + 4], "big") for i in range(len(t))])
+    assert dict(zip(x.tolist(), n.tolist())) == want
+
+
 def test_pii_against_patterns(docs, none):
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     r = random.Random(6)
