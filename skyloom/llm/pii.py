@@ -6,8 +6,9 @@ small labelled table that ``labelled_table`` writes out by rule, and is decoded
 batch together. Its spans are added where they touch no base span: identity numbers, phone numbers without a leading
 plus, and addresses in words. Spans of a kind with a check (ip, card) must pass it.
 
-Defined results: null and empty texts have no spans; spans are code points, end exclusive. Repeated rows and null ids
-pass; further columns are not read.
+Defined results: null and empty texts have no spans; spans are code points, end exclusive. Of labels that score alike the
+first in ``LABELS`` wins. Repeated rows and null ids pass; further columns are not read. Texts of any length are decoded
+whole: a chain of many tokens goes through in parts, with the result of the whole chain.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ import hashlib
 import random
 import re
 import zlib
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from .common import map_batches, read, texts_of
 #: addresses from the first digit of a run: the same matches, in time linear in the text.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -49,6 +54,7 @@ CUES = frozenset(
     "commit hash copyright isbn at dot".split()
 )
 SIZE = 1 << 14  # hashed features
+TOGETHER = 4096  # tokens of a chain beyond which it is decoded in parts
 
 
 def luhn(digits: str) -> bool:
@@ -105,19 +111,23 @@ def _squeeze(shape: str) -> str:
     return re.sub(r"(.)\1+", r"\1", shape)
 
 
+def own_features(token: str) -> tuple[list[str], str, str]:
+    """What a token says of itself; its word in lower case, and its squeezed shape."""
+    shape, low = _squeeze(_shape(token)), token.lower().strip(".:#[](){}<>")
+    digits = len(DIGIT.findall(token))
+    own = ["bias", f"s{shape[:12]}", f"f{_shape(token[:16])}", f"d{min(digits, 20)}", f"l{min(len(token), 24)}", f"pure{digits == len(token)}"]
+    return own + [f"w{low}"] * (low in CUES) + [f"has{c}" for c in "@.-+_/:=" if c in token] + ["spelled"] * bool(SPELLED.search(token)), low, shape
+
+
 def token_features(tokens: list[str]) -> list[list[int]]:
     """Hashed word-shape features of each token of a chain, with its neighbours' cue words and shapes."""
-    shapes = [_squeeze(_shape(t)) for t in tokens]
-    lows = [t.lower().strip(".:#[](){}<>") for t in tokens]
-    digits = [sum("0" <= c <= "9" for c in t) for t in tokens]
+    owns, lows, shapes = zip(*map(own_features, tokens)) if tokens else ((), (), ())
     out = []
-    for i, t in enumerate(tokens):
+    for i in range(len(tokens)):
         near = [f"p{k}{lows[i - k]}" for k in (1, 2, 3) if i >= k and lows[i - k] in CUES] + [f"n{w}" for w in lows[i + 1 : i + 2] if w in CUES]
         near += [f"m{k}{lows[i + k]}" for k in (2, 3) if i + k < len(lows) and lows[i + k] in ("at", "dot")]
         sides = [f"sp{x[:6]}" for x in shapes[max(0, i - 1) : i]] + [f"sn{x[:6]}" for x in shapes[i + 1 : i + 2]]
-        own = ["bias", f"s{shapes[i][:12]}", f"f{_shape(t)[:16]}", f"d{min(digits[i], 20)}", f"l{min(len(t), 24)}", f"pure{digits[i] == len(t)}"]
-        own += [f"w{lows[i]}"] * (lows[i] in CUES) + ["cued"] * any(n[2:] in CUES for n in near) + [f"has{c}" for c in "@.-+_/:=" if c in t] + ["spelled"] * bool(SPELLED.search(t))
-        out.append([zlib.crc32(f.encode()) % SIZE for f in own + near + sides])
+        out.append([zlib.crc32(f.encode()) % SIZE for f in owns[i] + ["cued"] * any(n[2:] in CUES for n in near) + near + sides])
     return out
 
 
@@ -142,21 +152,33 @@ def _scores(weights: np.ndarray, chains: list[list[list[int]]]) -> tuple[np.ndar
 
 
 def viterbi(model: PiiModel, chains: list[list[list[int]]]) -> list[np.ndarray]:
-    """The best labels of every chain, in batches of chains of like length."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
-    order = sorted((i for i in range(len(chains)) if chains[i]), key=lambda i: len(chains[i]))
+    """The best labels of every chain of features."""
+    if not any(chains):
+        return [np.zeros(0, np.int64)] * len(chains)
+    return decode(model.moves, [np.stack([model.weights[f].sum(0) for f in c]) if c else np.zeros((0, len(LABELS))) for c in chains])
+
+
+def decode(moves: np.ndarray, chains: list[np.ndarray]) -> list[np.ndarray]:
+    """The best labels of every chain of (token, label) scores: short chains in batches of like length, long ones alone."""
+    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(chains)
+    order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: len(chains[i]))
+    while order and len(chains[order[-1]]) > TOGETHER:
+        i = order.pop()
+        out[i] = decode_long(moves, iter([chains[i]]))
     while order:
         width = len(chains[order[-1]])
-        take = max(1, 200_000 // width)
+        take = max(1, 100_000 // width)
         group, order = order[-take:], order[:-take]
-        scores, mask = _scores(model.weights, [chains[i] for i in group])
+        scores, mask = np.zeros((len(group), width, len(moves))), np.zeros((len(group), width), bool)
+        for k, i in enumerate(group):
+            scores[k, : len(chains[i])], mask[k, : len(chains[i])] = chains[i], True
         best, back = scores[:, 0], np.zeros(scores.shape, np.int8)
         for t in range(1, width):
-            paths = best[:, :, None] + model.moves
+            paths = best[:, :, None] + moves
             back[:, t] = paths.argmax(1)
             best = np.where(mask[:, t, None], paths.max(1) + scores[:, t], best)
         label = best.argmax(1)
-        labels = np.zeros(mask.shape, np.int64)
+        labels = np.zeros(mask.shape, np.int8)
         for t in range(width - 1, -1, -1):
             labels[:, t] = label
             if t:
@@ -166,6 +188,97 @@ def viterbi(model: PiiModel, chains: list[list[list[int]]]) -> list[np.ndarray]:
     return out
 
 
+def decode_long(moves: np.ndarray, parts: Iterator[np.ndarray]) -> np.ndarray:
+    """The best labels of one chain whose scores come in parts: the best path to each label passes on from part to part, and
+    one byte a token and label remembers the ways back, so the result is that of the whole chain."""
+    step, back, best = moves.T.tolist(), [], None  # step[to][from]
+    kinds = range(len(moves))
+    for part in parts:
+        ways = bytearray()
+        for score in part.tolist():
+            if best is None:
+                best = score
+                ways += bytes(len(moves))
+                continue
+            fresh = []
+            for k in kinds:
+                paths = [b + m for b, m in zip(best, step[k])]
+                top = max(paths)
+                ways.append(paths.index(top))
+                fresh.append(top + score[k])
+            best = fresh
+        back.append(np.frombuffer(bytes(ways), np.int8).reshape(-1, len(moves)))
+    if best is None:
+        return np.zeros(0, np.int8)
+    labels, label = [], best.index(max(best))
+    for ways in reversed(back):
+        own = np.empty(len(ways), np.int8)
+        for t in range(len(ways) - 1, -1, -1):
+            own[t] = label
+            label = int(ways[t, label])
+        labels.append(own)
+    return np.concatenate(labels[::-1])
+
+
+class Scorer:
+    """Scores of tokens in chains. What a token adds to its own score and to those of its neighbours is worked out once for
+    each different token, so a chain is scored by look-ups; the sums are those of ``token_features``."""
+
+    def __init__(self, model: PiiModel) -> None:
+        self.weights, self.known, self.parts = model.weights, {}, []
+        self.table = np.zeros((0, 9, len(LABELS)))
+        self.cue = np.zeros((0, 3), bool)  # makes tokens after it, the one before it, those two and three before it "cued"
+        self.cued = self.weights[zlib.crc32(b"cued") % SIZE]
+
+    def _hashed(self, features: list[str]) -> np.ndarray:
+        return self.weights[[zlib.crc32(f.encode()) % SIZE for f in features]].sum(0)
+
+    def _learn(self, token: str) -> tuple[np.ndarray, tuple[bool, bool, bool]]:
+        own, low, shape = own_features(token)
+        cue, spelt = low in CUES, low in ("at", "dot")
+        rows = [own, [f"sp{shape[:6]}"], [f"sn{shape[:6]}"], *[[f"p{k}{low}"] * cue for k in (1, 2, 3)], [f"n{low}"] * cue, *[[f"m{k}{low}"] * spelt for k in (2, 3)]]
+        return np.stack([self._hashed(f) for f in rows]), (cue, cue and low[1:] in CUES, spelt)
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        if len(self.known) > 200_000:
+            self.known.clear()
+            self.table, self.cue = self.table[:0], self.cue[:0]
+        fresh = [t for t in dict.fromkeys(tokens) if t not in self.known]
+        if fresh:
+            first = len(self.known)
+            self.known.update({t: first + i for i, t in enumerate(fresh)})
+            learned = [self._learn(t) for t in fresh]
+            self.table = np.concatenate([self.table, np.stack([x for x, _ in learned])])
+            self.cue = np.concatenate([self.cue, np.array([c for _, c in learned], bool)])
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+
+    def scores(self, tokens: list[str], low: int = 0, high: int | None = None) -> np.ndarray:
+        """(token, label) of ``tokens[low:high]``; the others are what stands beside them in the chain."""
+        at = self.ids(tokens)
+        n, table, cue = len(at), self.table, self.cue
+        out = table[at, 0]
+        cued = np.zeros(n, bool)
+
+        def beside(shift: int, kind: int, flag: int | None) -> None:
+            """Add what the token ``shift`` places on (before, if negative) says."""
+            if abs(shift) >= n:
+                return
+            to, of = (slice(None, -shift), slice(shift, None)) if shift > 0 else (slice(-shift, None), slice(None, shift))
+            out[to] += table[at[of], kind]
+            if flag is not None:
+                cued[to] |= cue[at[of], flag]
+
+        beside(-1, 1, None)
+        beside(1, 2, None)
+        for k in (1, 2, 3):
+            beside(-k, 2 + k, 0)
+        beside(1, 6, 1)
+        beside(2, 7, 2)
+        beside(3, 8, 2)
+        out[cued] += self.cued
+        return out[low:high]
+
+
 def train(rows: list[tuple[list[str], list[int]]], rounds: int = 80) -> PiiModel:
     """Adam on the regularised log-likelihood, with forward and backward passes over all chains together."""
     chains, n = [token_features(t) for t, _ in rows], len(LABELS)
@@ -261,19 +374,17 @@ def default_model() -> PiiModel:
     return train(labelled_table())
 
 
-def _chains(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of the tokens of each chain: every token with a digit or an @ or one spelled out, and three to each side; chains with fewer
-    than three tokens between them are one."""
-    out: list[list[tuple[int, int]]] = []
-    done = 0
+def _chains(text: str) -> Iterator[tuple[array, array]]:
+    """Starts and ends of the tokens of each chain: every token with a digit or an @ or one spelled out, and three to each side; chains
+    with fewer than three tokens between them are one."""
+    starts, ends, done = array("i"), array("i"), 0
     while m := SPOT.search(text, done):
-        low, a = (out[-1][-1][1] if out else 0), m.start()
+        low, a = (ends[-1] if ends else 0), m.start()
         if a < low:
-            chain = out[-1]
-            k = len(chain) - 1
-            while chain[k][0] > a:
+            k = len(starts) - 1
+            while starts[k] > a:
                 k -= 1
-            have, done = len(chain) - 1 - k, chain[k][1]
+            have, done = len(starts) - 1 - k, ends[k]
         else:
             while a > low and text[a - 1] not in GAPS:
                 a -= 1
@@ -290,18 +401,19 @@ def _chains(text: str) -> list[list[tuple[int, int]]]:
                     break
                 before.insert(0, (begin, stop))
                 at = begin
-            if out and len(before) < AROUND:
-                chain = out[-1]
-                chain += [*before, (a, done)]
-            else:
-                chain = [*before, (a, done)]
-                out.append(chain)
+            if starts and len(before) == AROUND:
+                yield starts, ends
+                starts, ends = array("i"), array("i")
+            starts.extend([x for x, _ in before] + [a])
+            ends.extend([x for _, x in before] + [done])
             have = 0
         for _ in range(AROUND - have):
-            if not (after := TOKEN.search(text, chain[-1][1])):
+            if not (after := TOKEN.search(text, ends[-1])):
                 break
-            chain.append(after.span())
-    return out
+            starts.append(after.start())
+            ends.append(after.end())
+    if starts:
+        yield starts, ends
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
@@ -315,25 +427,62 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
 CHECKS = {"email": lambda x: "@" in x or bool(SPELLED.search(x)), "ip": lambda x: bool(IP.fullmatch(x)) and _is_ip(x), "card": _is_card, "phone": lambda x: 7 <= len(DIGIT.findall(x)) <= 15, "id": lambda x: len(DIGIT.findall(x)) >= 5}
 
 
+def _words(text: str, starts: array, ends: array, low: int = 0, high: int | None = None) -> list[str]:
+    return [text[slice(*_trim(text, a, b))] or text[a:b] for a, b in zip(starts[low:high], ends[low:high])]
+
+
+def _long_scores(scorer: Scorer, text: str, starts: array, ends: array) -> Iterator[np.ndarray]:
+    """The scores of a long chain in parts; each is scored with the three tokens to both sides of it."""
+    for at in range(0, len(starts), TOGETHER):
+        low = max(0, at - AROUND)
+        yield scorer.scores(_words(text, starts, ends, low, at + TOGETHER + AROUND), at - low, at - low + TOGETHER)
+
+
+def _spans_of(text: str, starts: array, ends: array, labels: np.ndarray) -> Iterator[tuple[str, int, int]]:
+    """Runs of equal labels as spans that pass their kind's check."""
+    cuts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
+    for i, j in zip(cuts, cuts[1:]):
+        if labels[i]:
+            kind, (a, b) = LABELS[labels[i]], _trim(text, starts[i], ends[j - 1])
+            if a < b and CHECKS[kind](text[a:b]):
+                yield kind, a, b
+
+
 def find(model: PiiModel, texts: list[str]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """(base spans, all spans) of each text; all chains of the batch are decoded together."""
-    bases = [base_spans(t) for t in texts]
-    spans = [[s for s in _chains(t)] if SPOT.search(t) else [] for t in texts]
-    spots = [(k, chain) for k, chains in enumerate(spans) for chain in chains]
-    words = [[texts[k][slice(*_trim(texts[k], a, b))] or texts[k][a:b] for a, b in chain] for k, chain in spots]
-    found = [list(b) for b in bases]
-    for (k, chain), labels in zip(spots, viterbi(model, [token_features(w) for w in words])):
-        i = 0
-        while i < len(chain):
-            j = i + 1
-            while j < len(chain) and labels[j] == labels[i]:
-                j += 1
-            if labels[i]:
-                kind, (a, b) = LABELS[labels[i]], _trim(texts[k], chain[i][0], chain[j - 1][1])
-                if a < b and CHECKS[kind](texts[k][a:b]) and not any(a < e and s < b for _, s, e in found[k]):
-                    found[k].append((kind, a, b))
-            i = j
-    return [(b, sorted(f, key=lambda x: (KINDS.index(x[0]), x[1]))) for b, f in zip(bases, found)]
+    """(base spans, all spans) of each text. Chains are decoded together as soon as they hold enough tokens; a longer chain
+    is decoded alone, in parts; so memory follows a text by a few bytes a token."""
+    scorer, bases = Scorer(model), [base_spans(t) for t in texts]
+    more: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    waiting: list[tuple[int, array, array, np.ndarray]] = []
+    held = 0
+
+    def flush() -> None:
+        for (k, starts, ends, _), labels in zip(waiting, decode(model.moves, [w[3] for w in waiting])):
+            more[k] += _spans_of(texts[k], starts, ends, labels)
+        waiting.clear()
+
+    for k, text in enumerate(texts):
+        if not SPOT.search(text):
+            continue
+        for starts, ends in _chains(text):
+            if len(starts) > TOGETHER:
+                flush()  # spans of a text stay in order
+                held = 0
+                more[k] += _spans_of(text, starts, ends, decode_long(model.moves, _long_scores(scorer, text, starts, ends)))
+                continue
+            waiting.append((k, starts, ends, scorer.scores(_words(text, starts, ends))))
+            held += len(starts)
+            if held > 8 * TOGETHER:
+                flush()
+                held = 0
+    flush()
+    out = []
+    for base, extra in zip(bases, more):
+        taken = sorted((a, b) for _, a, b in base)
+        reach = list(accumulate((b for _, b in taken), max))  # how far base spans reach that start no later
+        free = [x for x in extra if not ((i := bisect_left(taken, (x[2], 0))) and reach[i - 1] > x[1])]
+        out.append((base, sorted(base + free, key=lambda x: (KINDS.index(x[0]), x[1]))))
+    return out
 
 
 def scan(documents: DataFrame, model: PiiModel | None = None) -> DataFrame:

@@ -287,6 +287,44 @@ def test_pii_against_patterns(docs, none):
     assert pii.scan(docs, model).count() == docs.count() and pii.scan(none, model).count() == 0
 
 
+def test_viterbi_against_brute_force(monkeypatch):
+    """The best of all label sequences; and long chains in parts give what they give whole."""
+    from itertools import product
+
+    r = np.random.default_rng(18)
+    moves = r.normal(size=(6, 6))
+    for n in (1, 2, 4):
+        scores = r.normal(size=(n, 6))
+        best = max(product(range(6), repeat=n), key=lambda y: sum(scores[i, k] for i, k in enumerate(y)) + sum(moves[a, b] for a, b in zip(y, y[1:])))
+        assert tuple(pii.decode(moves, [scores])[0]) == best == tuple(pii.decode_long(moves, iter(np.split(scores, range(1, n)))))
+    assert (pii.decode(moves, [np.zeros((5, 6))])[0] == pii.decode_long(moves, iter([np.zeros((5, 6))]))).all()
+    model, q = pii.default_model(), random.Random(19)
+    words = "call +1 (743) 555 3824 ann at example dot com 12 7 ssn 078-05-1120 email b.1@ex.org the of version 1.2.3 card".split()
+    texts = [" ".join(q.choice(words) for _ in range(n)) for n in (3, 40, 700, 2500)] + ["\u00e9 5 " * 300]
+    for text in texts[:3]:
+        scorer = pii.Scorer(model)
+        for starts, ends in pii._chains(text):
+            tokens = pii._words(text, starts, ends)
+            want = np.stack([model.weights[f].sum(0) for f in pii.token_features(tokens)])
+            assert np.allclose(scorer.scores(tokens), want)
+    whole = pii.find(model, texts)
+    monkeypatch.setattr(pii, "TOGETHER", 11)
+    assert pii.find(model, texts) == whole
+
+
+def test_digits_without_end():
+    """A long text of single digits takes a few bytes a token, and the spans after them are found."""
+    import tracemalloc
+
+    model = pii.default_model()
+    text = "7 " * 100_000 + "mail ann@example.org now"
+    tracemalloc.start()
+    (base, spans), = pii.find(model, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [k for k, _, _ in base] == ["email"] and base[0] in spans and peak < 12 << 20
+
+
 def test_addresses_in_words():
     model = pii.default_model()
     for text, want in (
