@@ -2,8 +2,8 @@
 
 Every line is good or bad; its potentials see features of the line and of its two neighbours, and transitions tie the
 labels of neighbouring lines. A document's score is the mean of the lines' forward-backward marginals of "good",
-weighted by line length. The field is trained by gradient ascent on the exact log-likelihood of chains whose lines
-carry the label of their document.
+weighted by line length. The field is trained by gradient ascent on the exact log-likelihood; documents are labelled and
+lines are not, so after a start from the documents' labels line labels are latent, under the documents' as constraints.
 
 Defined results: a null or empty text is one empty line; without any label to learn from every score is 0.5. Repeated
 rows stay, null ids are scored and never learned from, further columns are not read.
@@ -49,12 +49,15 @@ _GAP = re.compile(rb"[^\x20\x09-\x0D]+")
 
 @dataclass(frozen=True)
 class CrfParams:
-    """``train_docs`` bounds the labelled documents learned from (chosen by a hash of the id, of up to
-    ``max_train_bytes`` each); every document is scored whole."""
+    """``train_docs`` bounds the labelled documents learned from (about that many, chosen by a hash of the id), each whole;
+    every document is scored whole. Chains of more than ``chain_lines`` lines are learned from in slices. In the
+    ``latent`` rounds a good document is asked for a mean of ``sure`` good lines, and a bad one for as many bad ones."""
 
     train_docs: int = 3000
-    max_train_bytes: int = 1 << 15
-    rounds: int = 120
+    chain_lines: int = 256
+    rounds: int = 90
+    latent: int = 60
+    sure: float = 0.9
     rate: float = 0.5
     ridge: float = 1e-3
 
@@ -158,53 +161,101 @@ def chain_marginals(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(left + scores + right, -500, 500))) if n else np.zeros(0)
 
 
+class _Lines:
+    """The lines of all training documents, and the chains that they are cut into."""
+
+    def __init__(self, documents: list[tuple[np.ndarray, np.ndarray]], most: int) -> None:
+        counts = np.array([len(active) for active, _ in documents])
+        self.flat = np.concatenate([active for active, _ in documents]).astype(np.int64)
+        self.size = np.maximum(np.concatenate([sizes for _, sizes in documents]), 1).astype(float)
+        self.doc = np.repeat(np.arange(len(documents)), counts)
+        self.ends = np.cumsum(counts) - 1
+        self.starts = self.ends - counts + 1
+        self.later, self.earlier = np.ones(len(self.flat), bool), np.ones(len(self.flat), bool)
+        self.later[self.starts], self.earlier[self.ends] = False, False  # has a line before it; has one after it
+        cuts = [(a, min(a + most, b + 1)) for start, b in zip(self.starts, self.ends) for a in range(start, b + 1, most)]
+        cuts.sort(key=lambda c: c[1] - c[0])
+        self.groups: list[tuple[np.ndarray, np.ndarray]] = []  # (lines, mask) of chains of like length
+        while cuts:
+            width = cuts[-1][1] - cuts[-1][0]
+            part, cuts = cuts[-max(1, (1 << 16) // width) :], cuts[: -max(1, (1 << 16) // width)]
+            mask = np.arange(width)[None, :] < np.array([b - a for a, b in part])[:, None]
+            self.groups.append((np.concatenate([np.arange(a, b) for a, b in part]), mask))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """As ``emissions`` of every document."""
+        own = weights[:N_BINS][self.flat].sum(1) + weights[-1]
+        ahead, behind = weights[N_BINS : 2 * N_BINS][self.flat].sum(1), weights[2 * N_BINS : 3 * N_BINS][self.flat].sum(1)
+        own[self.later] += ahead[np.flatnonzero(self.later) - 1]
+        own[self.earlier] += behind[np.flatnonzero(self.earlier) + 1]
+        own[self.starts] += weights[-3]
+        own[self.ends] += weights[-2]
+        return own
+
+    def marginals(self, scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(good) of every line, and the summed pair probabilities."""
+        out, turn = np.empty(len(scores)), np.zeros((2, 2))
+        for lines, mask in self.groups:
+            padded = np.zeros(mask.shape)
+            padded[mask] = scores[lines]
+            good, pairs, _ = marginals(padded, mask, moves)
+            out[lines] = good[mask]
+            turn += pairs
+        return out, turn
+
+    def labelled_pairs(self, y: np.ndarray) -> np.ndarray:
+        """Pairs of neighbouring lines whose labels are those of their documents."""
+        out = np.zeros((2, 2))
+        for lines, mask in self.groups:
+            firsts = lines[np.concatenate([[0], np.cumsum(mask.sum(1))[:-1]])]
+            for label in (0, 1):
+                out[label, label] += (mask.sum(1) - 1)[y[self.doc[firsts]] == label].sum()
+        return out
+
+    def shift(self, good: np.ndarray, y: np.ndarray, sure: float) -> np.ndarray:
+        """By how much the lines of each document must become better or worse for the document's label to hold: until their
+        mean, weighted by length, is ``sure`` on the label's side. 0 where it is."""
+        odds = np.log(np.clip(good, 1e-9, 1 - 1e-9)) - np.log(np.clip(1 - good, 1e-9, 1))
+        weight = np.bincount(self.doc, self.size)
+        mean = lambda b: np.bincount(self.doc, self.size / (1 + np.exp(-np.clip(odds + b[self.doc], -500, 500)))) / weight
+        want = np.where(y == 1, sure, 1 - sure)
+        low, high = np.full(len(y), -40.0), np.full(len(y), 40.0)
+        for _ in range(30):
+            middle = (low + high) / 2
+            above = mean(middle) > want
+            low, high = np.where(above, low, middle), np.where(above, middle, high)
+        found = (low + high) / 2
+        return np.where(y == 1, np.maximum(found, 0.0), np.minimum(found, 0.0))
+
+
 def train(texts: list[str], labels: list[int], params: CrfParams = CrfParams()) -> CrfModel:
-    """Gradient ascent (Adam) on the regularised log-likelihood of the labelled chains."""
-    chains = [line_features(t)[0] for t in texts]
-    y = np.array(labels)
-    order = np.argsort([len(c) for c in chains], kind="stable")
-    groups = [order[i : i + 512] for i in range(0, len(order), 512)]
+    return train_lines([line_features(t) for t in texts], labels, params)
+
+
+def train_lines(documents: list[tuple[np.ndarray, np.ndarray]], labels: list[int], params: CrfParams = CrfParams()) -> CrfModel:
+    """Gradient ascent (Adam) on the regularised log-likelihood. At first every line carries the label of its document. Then
+    line labels are latent: each round takes the field's own marginals, moved only as far as the document's label asks,
+    as what is wanted, so that lines of both kinds can stand in one document and transitions learn when labels change."""
+    y, lines = np.array(labels), _Lines(documents, params.chain_lines)
+    count = len(lines.flat)
     weights, moves = np.zeros(N_FEATURES), np.zeros((2, 2))
-    packed = []
-    for g in groups:
-        m = max(len(chains[i]) for i in g)
-        mask = np.zeros((len(g), m), bool)
-        for k, i in enumerate(g):
-            mask[k, : len(chains[i])] = True
-        packed.append((g, mask, np.concatenate([chains[i] for i in g]), np.cumsum([0] + [len(chains[i]) for i in g])))
-    lines = sum(len(c) for c in chains)
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros((2, 2)), np.zeros((2, 2))]
-    for step in range(1, params.rounds + 1):
-        grad, turn = np.zeros_like(weights), np.zeros((2, 2))
-        for g, mask, flat, ends in packed:
-            firsts, lasts = ends[:-1], ends[1:] - 1
-            own = weights[:N_BINS][flat].sum(1) + weights[-1]
-            ahead, behind = weights[N_BINS : 2 * N_BINS][flat].sum(1), weights[2 * N_BINS : 3 * N_BINS][flat].sum(1)
-            inner, has_next = np.ones(len(flat), bool), np.ones(len(flat), bool)
-            inner[firsts], has_next[lasts] = False, False
-            own[inner] += ahead[np.flatnonzero(inner) - 1]
-            own[has_next] += behind[np.flatnonzero(has_next) + 1]
-            own[firsts] += weights[-3]
-            own[lasts] += weights[-2]
-            scores = np.zeros(mask.shape)
-            scores[mask] = own
-            good, pairs, _ = marginals(scores, mask, moves)
-            want = np.broadcast_to(y[g][:, None], mask.shape)
-            gap = (want - good)[mask]
-            for k in range(flat.shape[1]):
-                grad[:N_BINS] += np.bincount(flat[:, k], gap, N_BINS)
-                at = np.flatnonzero(inner)
-                grad[N_BINS : 2 * N_BINS] += np.bincount(flat[at - 1, k], gap[at], N_BINS)
-                at = np.flatnonzero(has_next)
-                grad[2 * N_BINS : 3 * N_BINS] += np.bincount(flat[at + 1, k], gap[at], N_BINS)
-            grad[-1] += gap.sum()
-            grad[-3] += gap[firsts].sum()
-            grad[-2] += gap[lasts].sum()
-            steps = (mask.sum(1) - 1)
-            turn[1, 1] += steps[y[g] == 1].sum()
-            turn[0, 0] += steps[y[g] == 0].sum()
-            turn -= pairs
-        grad, turn = grad / lines - params.ridge * weights, turn / lines - params.ridge * moves
+    whole, whole_pairs = y[lines.doc].astype(float), lines.labelled_pairs(y)
+    later, earlier = np.flatnonzero(lines.later), np.flatnonzero(lines.earlier)
+    for step in range(1, params.rounds + params.latent + 1):
+        scores = lines.scores(weights)
+        good, pairs = lines.marginals(scores, moves)
+        want, wanted = whole, whole_pairs
+        if step > params.rounds:
+            want, wanted = lines.marginals(scores + lines.shift(good, y, params.sure)[lines.doc], moves)
+        gap, grad = want - good, np.zeros_like(weights)
+        for k in range(lines.flat.shape[1]):
+            at = lines.flat[:, k]
+            grad[:N_BINS] += np.bincount(at, gap, N_BINS)
+            grad[N_BINS : 2 * N_BINS] += np.bincount(at[later - 1], gap[later], N_BINS)
+            grad[2 * N_BINS : 3 * N_BINS] += np.bincount(at[earlier + 1], gap[earlier], N_BINS)
+        grad[-1], grad[-3], grad[-2] = gap.sum(), gap[lines.starts].sum(), gap[lines.ends].sum()
+        grad, turn = grad / count - params.ridge * weights, (wanted - pairs) / count - params.ridge * moves
         for k, (value, g) in enumerate(((weights, grad), (moves, turn))):
             m, v = state[2 * k], state[2 * k + 1]
             m += 0.1 * (g - m)
@@ -213,6 +264,11 @@ def train(texts: list[str], labels: list[int], params: CrfParams = CrfParams())
     return CrfModel(weights, moves, float(y.mean()))
 
 
+def line_marginals(model: CrfModel, text: str) -> np.ndarray:
+    """P(good) of each line of a text."""
+    return chain_marginals(emissions(model.weights, line_features(text)[0]), model.moves)
+
+
 def score_text(model: CrfModel | None, text: str) -> float:
     """Length-weighted mean of the lines' marginals; an empty line weighs as one byte."""
     if model is None:
@@ -228,11 +284,21 @@ def fit(documents: DataFrame, labels: DataFrame, params: CrfParams = CrfParams()
     total = marked.count()
     if not total:
         return None
-    marked = marked.where(hash_slot(F.col("doc_id"), 10) < sample_fraction(total, params.train_docs))
-    short = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= params.max_train_bytes))
-    short = short.where(learnable(F.col("doc_id")) & (hash_slot(F.col("doc_id"), 10) < sample_fraction(total, params.train_docs)))
-    rows = sorted((r["doc_id"], r["text"], r["quality"]) for r in short.join(marked, "doc_id").collect())
-    return train([r[1] for r in rows], [r[2] for r in rows], params) if rows else None
+    slots = sample_fraction(total, params.train_docs)
+    chosen = documents.select("doc_id", "text").where(F.col("text").isNotNull() & learnable(F.col("doc_id")) & (hash_slot(F.col("doc_id"), 10) < slots))
+
+    def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [line_features(t) for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([x.astype(np.uint8).tobytes() for x, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())], ["doc_id", "active", "sizes"]
+        )
+
+    seen = map_batches(chosen, lines, f"doc_id {dict(documents.dtypes)['doc_id']}, active binary, sizes binary")  # a few bytes a line; no text leaves its task
+    rows = sorted((r["doc_id"], bytes(r["active"]), bytes(r["sizes"]), r["quality"]) for r in seen.join(marked.where(hash_slot(F.col("doc_id"), 10) < slots), "doc_id").collect())
+    if not rows:
+        return None
+    examples = [(np.frombuffer(r[1], np.uint8).reshape(-1, len(BINS)), np.frombuffer(r[2], "<u4")) for r in rows]
+    return train_lines(examples, [r[3] for r in rows], params)
 
 
 def score(documents: DataFrame, model: CrfModel | None, keep: list[str] | None = None) -> DataFrame:

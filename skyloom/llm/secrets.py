@@ -2,7 +2,8 @@
 
 Candidates are runs of 16 key-like characters or more, parted behind an inner ``=`` that follows an identifier, and the
 values that are assigned to a name with a cue word or follow ``bearer``, of any length and any printable characters but
-white space (between quotes, up to the closing one). The forest sees their length, character transitions and classes, how much
+white space (between quotes, up to the closing one). The forest sees their length, character classes, how surprising their
+character transitions are for a chain learned from the dictionary, how much
 of them a dictionary covers, whether they look like a path, and the words beside them. It is trained from a table of
 labelled findings, which ``labelled_findings`` makes by rule: keys in the shapes of common services and generic hex and
 base64 secrets in assignments, against commit ids, checksums, UUIDs, paths, identifiers, numbers and long words.
@@ -57,11 +58,25 @@ NAME = 64  # code points before a sign that are looked at
 VALUE = re.compile(r"[^\s\x00-\x1f\x7f]+")
 QUOTES = "\"'`"
 
-FEATURES = ("length", "digits", "upper", "lower", "marks", "moves", "entropy", "covered", "hex", "path", "for", "against", "assigned", "quoted", "vowels", "longest_run")
+FEATURES = ("length", "digits", "upper", "lower", "marks", "moves", "surprise", "entropy", "covered", "hex", "path", "for", "against", "assigned", "quoted", "vowels", "longest_run")
 _WORDS = re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)))
 _NEIGHBOUR = re.compile(r"[A-Za-z0-9]+")
 
 
+def _transitions() -> dict[str, float]:
+    """Bits of each pair of characters, in a chain of letters and digits learned from the dictionary."""
+    symbols = "abcdefghijklmnopqrstuvwxyz0123456789"
+    counts = {a + b: 0.25 for a in symbols for b in symbols}
+    for word in WORDS:
+        for pair in zip(word, word[1:]):
+            counts["".join(pair)] += 1
+    totals = {a: sum(counts[a + b] for b in symbols) for a in symbols}
+    return {pair: math.log2(totals[pair[0]] / n) for pair, n in counts.items()}
+
+
+_PAIRS = _transitions()
+
+
 def features(secret: str, before: str) -> list[float]:
     """What the forest sees of a candidate and the text before it."""
     n, low = len(secret), secret.lower()
@@ -70,6 +85,7 @@ def features(secret: str, before: str) -> list[float]:
     counts = [secret.count(c) for c in set(secret)]
     beside = [w.lower() for w in _NEIGHBOUR.findall(before)[-4:]]
     tail = before.rstrip(" \"'`")
+    bits = [found for a, b in zip(low, low[1:]) if (found := _PAIRS.get(a + b)) is not None]
     run = most = 1
     for a, b in zip(kinds, kinds[1:]):
         run = run + 1 if a == b else 1
@@ -81,6 +97,7 @@ def features(secret: str, before: str) -> list[float]:
         share["l"],
         share["m"],
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
+        sum(bits) / len(bits) if bits else 0.0,
         -sum(c / n * math.log2(c / n) for c in counts),
         sum(len(w) for w in _WORDS.findall(low)) / n,
         float(all(c in "0123456789abcdef" for c in low)),

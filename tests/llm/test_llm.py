@@ -349,6 +349,30 @@ def test_secrets(docs, none):
     assert secrets.redact(docs, forest).columns == docs.columns and secrets.scan(none, forest).count() == 0
 
 
+def test_forest_against_plain_trees(docs):
+    """Prediction equals a walk down every tree; transitions tell words from keys; edge cases of candidates."""
+    forest = secrets.default_forest()
+    rows = [secrets.features(s, b) for b, s, _ in secrets.labelled_findings(5, seed=73)]
+
+    def walk(tree, x):
+        feature, cut, child, p = tree
+        node = 0
+        while feature[node] >= 0:
+            node = child[node] + (x[feature[node]] > cut[node])
+        return p[node]
+
+    want = [np.mean([walk(t, x) for t in forest.trees]) for x in rows]
+    assert np.allclose(forest.predict(np.array(rows)), want)
+    at = secrets.FEATURES.index("surprise")
+    assert len(rows[0]) == len(secrets.FEATURES) and secrets.features("configuration_manager", "")[at] < secrets.features("q7zx9kv3wq8jx2p", "")[at]
+    key = "A1b2" * 20_000  # a very long run is one candidate; equal rows get equal findings; a tie is a finding
+    assert secrets.candidates("x " + key) == [(2, 2 + len(key))] and secrets.candidates("") == [] and secrets.candidates("=" * 40) == []
+    n, found = secrets.scan_text(forest, 'token = "f3a9c17be2d04586a1b7c9d3e5f60718293a4b5c"', 0.0)
+    assert n and found and secrets.scan_text(forest, 'token = "f3a9c17be2d04586a1b7c9d3e5f60718293a4b5c"', found[0].score)[1] == found
+    twice = [r for r in secrets.scan(docs, forest).collect() if r.doc_id == 5]
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
 def test_secrets_behind_names():
     forest = secrets.default_forest()
     secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
@@ -506,6 +530,35 @@ def test_quality_classifier(spark, docs, none):
     assert quality_crf.score(docs, None).where("score <> 0.5").count() == 0
 
 
+def test_lines_of_mixed_documents():
+    """Documents of good and of bad stretches get lines of both kinds, also where training holds mixed documents; and very long
+    documents are learned from."""
+    r = random.Random(20)
+    good = lambda: sentence(r, 14).capitalize() + "."
+    bad = lambda: " ".join(w.upper() + "###!!" for w in sentence(r, 14).split())
+    texts = ["\n".join(good() for _ in range(r.randint(2, 9))) for _ in range(60)] + ["\n".join(bad() for _ in range(r.randint(2, 9))) for _ in range(60)]
+    texts += ["\n".join([bad() for _ in range(6)] + [good() for _ in range(2)]) for _ in range(20)]
+    model = quality_crf.train(texts, [1] * 60 + [0] * 80)
+    p = quality_crf.line_marginals(model, "\n".join([good() for _ in range(5)] + [bad() for _ in range(5)] + [good() for _ in range(5)]))
+    assert p[:4].min() > 0.5 and p[6:9].max() < 0.5 and p[11:].min() > 0.5
+    long = quality_crf.train(["\n".join(good() for _ in range(3000)), "\n".join(bad() for _ in range(3000))], [1, 0])
+    assert quality_crf.score_text(long, good()) > 0.7 and quality_crf.score_text(long, bad()) < 0.3
+    # Over many lines the sums of both recursions agree with the enumeration of all labellings of a short text.
+    scores, moves = np.array([0.3, -1.0, 0.7]), np.array([[0.5, -0.2], [0.1, 0.4]])
+    weight = {y: np.exp(sum(s * k for s, k in zip(scores, y)) + sum(moves[a, b] for a, b in zip(y, y[1:]))) for y in np.ndindex(2, 2, 2)}
+    want = [sum(w for y, w in weight.items() if y[i]) / sum(weight.values()) for i in range(3)]
+    assert np.allclose(quality_crf.chain_marginals(scores, moves), want)
+
+
+def test_classifier_learns_from_long_documents_only(spark):
+    r = random.Random(21)
+    rows = [(i, "\n".join((sentence(r, 12) + "." if i % 2 else "### $$$ " * 9) for _ in range(700))) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_crf.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id long, quality int"))
+    assert min(len(t) for _, t in rows) > 1 << 15
+    assert all((x.score >= 0.3) == x.doc_id % 2 for x in quality_crf.score(docs, model).collect())
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 
