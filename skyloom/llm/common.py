@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Bytes of texts that go to a Python worker at once.
 BATCH_BYTES = 16 << 20
+#: Folders that ``materialize`` makes.
+TAGGED = re.compile(r"[a-z-]+-[0-9a-f]{32}")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +39,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more: all that was derived from them is a table of
+    its own by now, so a lost executor asks for them no more."""
+    for table in tables:
+        spark, files = table.sparkSession, table.inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else ""
+        if TAGGED.fullmatch(folder.rsplit("/", 1)[-1]) and all(f.startswith(folder) for f in files):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

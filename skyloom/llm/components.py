@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -26,11 +26,14 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(large.where("u <> v").distinct(), "cc-large")
-        near = _nearest(edges)
-        small = edges.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc-small")
+        least = _nearest(both)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u <> v").distinct(), "cc-large")
+        near = _nearest(large)
+        small = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(small.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc-small")
+        discard(edges, least, large, near)
+        edges = after
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == now:
             break

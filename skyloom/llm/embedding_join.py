@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import discard, materialize, read
 from .components import components
 
 #: Most vectors of a part of a cell; a task holds two parts.
@@ -183,7 +183,9 @@ def join(embeddings: DataFrame, cosine: float = 0.9, id_column: str = "vec_id",
     """``vec_id, n_links, component_id`` for every row."""
     rows = materialize(_points(embeddings, id_column, vector_column), "vectors")
     classes = materialize(rows.groupBy("h", "size", "v").agg(F.min("id").cast("long").alias("id"), F.count("*").alias("n")), "vector-classes")
-    found = materialize(_links(classes, math.sqrt(2 - 2 * cosine), cosine), "vector-pairs")
+    dealt, pairs = _links(classes, math.sqrt(2 - 2 * cosine), cosine)
+    found = materialize(pairs, "vector-pairs")
+    discard(*dealt)
     linked = materialize(components(found.where("b is not null").select("a", "b")), "vector-components").withColumnRenamed("id", "node")
     totals = found.where("b is null").groupBy(F.col("a").alias("node"), "h").agg(F.sum("links").alias("links"))
     number = materialize(totals.join(linked, "node", "full").select(F.col("node").alias("id"), "h", "links", "component"), "vector-counts")
@@ -200,8 +202,8 @@ def join(embeddings: DataFrame, cosine: float = 0.9, id_column: str = "vec_id",
     return one.unionByName(alone)
 
 
-def _links(classes: DataFrame, r: float, cosine: float) -> DataFrame:
-    """``a, h, links`` (``b`` null): how many copies the class ``a, h`` links with, in parts; ``a, b``: spanning links."""
+def _links(classes: DataFrame, r: float, cosine: float) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+    """Tables that are read once, and ``a, h, links`` (``b`` null): how many copies the class ``a, h`` links with, in parts; ``a, b``: spanning links."""
     spark = classes.sparkSession
     total, pivots = _pivots(classes, r)
     shared = spark.sparkContext.broadcast(pivots)
@@ -259,7 +261,7 @@ def _links(classes: DataFrame, r: float, cosine: float) -> DataFrame:
             [both(pa.array(ids[some]), pa.array(ids[tied])), both(pa.array(h[some]), empty(len(tied))), both(empty(len(some)), pa.array(ids[root[tied]])), both(pa.array(counts[some]), empty(len(tied)))], ["a", "h", "b", "links"]
         )
 
-    return cells.groupBy("size", "cell", "low", "high").applyInArrow(compare, "a long, h long, b long, links long")
+    return (dealt, sizes), cells.groupBy("size", "cell", "low", "high").applyInArrow(compare, "a long, h long, b long, links long")
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, read
+from .common import discard, map_batches, materialize, read
 from .components import components
 
 SHINGLE, SEED = 4, 42
@@ -213,7 +213,8 @@ def near_links(points: DataFrame, distance: int = 4, forest: Forest | None = Non
     sizes = dealt.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / hot).cast("long")
     own = F.pmod(F.xxhash64("fp"), parts)
-    cells = dealt.join(materialize(sizes, "simhash-hot"), "leaf", "left").select(
+    sizes = materialize(sizes, "simhash-hot")
+    cells = dealt.join(sizes, "leaf", "left").select(
         "leaf", "fp", "id", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.greatest(own, k) * 65536 + F.least(own, k))).alias("cell")
     )
     cells = cells.repartition(F.col("leaf"), F.col("cell")).sortWithinPartitions("leaf", "cell")
@@ -250,14 +251,16 @@ def near_links(points: DataFrame, distance: int = 4, forest: Forest | None = Non
         if held:
             yield close(np.concatenate(held, axis=1))
 
-    return cells.mapInArrow(join, "a long, b long").where("a <> b")
+    links = materialize(cells.mapInArrow(join, "a long, b long").where("a <> b"), "simhash-links")
+    discard(dealt, sizes)
+    return links
 
 
 def near_duplicates(documents: DataFrame, distance: int = 4, forest: Forest | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` for every row: the smallest id that it reaches through links, itself included."""
     rows = materialize(fingerprints(documents), "simhash-rows")
     points = materialize(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-points")
-    links = materialize(near_links(points, distance, forest), "simhash-links")
+    links = near_links(points, distance, forest)
     found = materialize(components(links), "simhash-components")
     classes = points.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return rows.join(materialize(classes, "simhash-classes"), "fp", "left").select("doc_id", "fp", "component_id")
