@@ -560,13 +560,53 @@ def test_classifier_learns_from_long_documents_only(spark):
 
 
 def test_pipeline(spark):
+    """Every stage keeps what its operator, applied to its own input, says; the last packs all that is left."""
     import corpus_pipeline as pipeline
 
     sf = "/root/testdata/sf0.001"
     rows = pipeline.run(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+        before, docs = {r.doc_id: r for r in docs.collect()}, stage(spark, docs, sf).cache()
+        after = {r.doc_id: r for r in docs.collect()}
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and set(after) <= set(before), name
+        if name == "simhash_dedup":
+            prints = {i: brute_fingerprint(r.text) for i, r in before.items()}
+            label = {i: i for i in prints}
+            for _ in range(8):
+                label = {i: min(label[k] for k, q in prints.items() if (p ^ q).bit_count() <= 4) for i, p in prints.items()}
+            assert set(after) == set(label.values())
+        elif name == "secret_scans":
+            forest = secrets.default_forest()
+            assert set(after) == set(before) and all((secrets.REDACTED in (r.text or "")) == bool(secrets.scan_text(forest, before[i].text or "")[1]) for i, r in after.items())
+        else:
+            assert all(after[i] == before[i] for i in after)
+    bpe = packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    check_pieces(rows, {r.doc_id: [*bpe.tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()})
     assert len(catalog.QUERIES) == 10
+
+
+def test_pipeline_stages_on_edge_cases(spark, docs, none, monkeypatch):
+    """Null and empty texts, null ids, repeated rows, further columns of clashing names, no documents; both ways of dropping."""
+    import corpus_pipeline as pipeline
+
+    sf, whole = "/root/testdata/sf0.001", docs.collect()
+    many = docs.unionByName(docs.sparkSession.createDataFrame([(200 + i, sentence(random.Random(i), 60), "en", "s", 0, "k", "f") for i in range(40)], SCHEMA))
+    languages = pipeline.by_language(spark, many, sf).collect()
+    assert languages and all(r.text and re.search(r"[^\W\d_]", r.text) for r in languages)
+    kept = Counter(pipeline.one_of_each(spark, docs, sf).collect())
+    prints = {r.doc_id: brute_fingerprint(r.text) for r in whole if r.doc_id is not None}
+    label = {i: i for i in prints}
+    for _ in prints:
+        label = {i: min(label[k] for k, q in prints.items() if (p ^ q).bit_count() <= 4) for i, p in prints.items()}
+    assert kept == Counter(r for r in whole if label.get(r.doc_id) == r.doc_id) and kept.total() < len(whole)
+    monkeypatch.setattr(pipeline, "DROPS", 0)
+    assert Counter(pipeline.one_of_each(spark, docs, sf).collect()) == kept
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
+        found = stage(spark, docs, sf)
+        assert name == "packing" or found.columns == docs.columns, name
+        assert found.count() <= (10**9 if name == "packing" else len(whole))
+    clean = pipeline.without_secrets(spark, docs, sf).collect()
+    assert len(clean) == len(whole) and sum(r.text is None for r in clean) == sum(r.text is None for r in whole)
+    assert {r.doc_id for r in pipeline.packed(spark, docs, sf).collect()} == {r.doc_id for r in whole}
