@@ -77,11 +77,16 @@ CELLS = f"""cells AS (SELECT *, floor((ui-up)*100+0.5e0)::INT AS uo, floor((vi-v
  FROM (SELECT *, trunc(up+0.5e0)::INT AS ui, trunc(vp+0.5e0)::INT AS vi FROM pos) WHERE ui-3>=0 AND vi-3>=0 AND ui+3<{N} AND vi+3<{N})"""
 
 
-def _grid_sql(chan: str, re: str, im: str) -> str:
-    return f"""WITH {VIS}, {KERNEL}, {POS}, {CELLS}, steps AS (SELECT (range-3)::INT AS d FROM range(7)),
+def _cells_sql(chan: str, re: str, im: str) -> str:
+    """The gridded cells as a table ``cell``."""
+    return f"""{VIS}, {KERNEL}, {POS}, {CELLS}, steps AS (SELECT (range-3)::INT AS d FROM range(7)),
  foot AS (SELECT {chan} AS chan, pol, ui+a.d AS iu, vi+b.d AS iv, ku.kv*kv2.kv AS k, {re} AS re, {im} AS im FROM cells CROSS JOIN steps a CROSS JOIN steps b
- JOIN kernel ku ON ku.k = abs(100*a.d+uo) JOIN kernel kv2 ON kv2.k = abs(100*b.d+vo) WHERE wt <> 0 AND ku.kv <> 0)
- SELECT chan, pol, iu, iv, {r6('sum(k*re)')} AS re, {r6('sum(k*im)')} AS im FROM foot GROUP BY ALL"""
+ JOIN kernel ku ON ku.k = abs(100*a.d+uo) JOIN kernel kv2 ON kv2.k = abs(100*b.d+vo) WHERE wt <> 0 AND ku.kv <> 0),
+ cell AS (SELECT chan, pol, iu, iv, sum(k*re) AS re, sum(k*im) AS im FROM foot GROUP BY ALL)"""
+
+
+def _grid_sql(chan: str, re: str, im: str) -> str:
+    return f"WITH {_cells_sql(chan, re, im)} SELECT chan, pol, iu, iv, {r6('re')} AS re, {r6('im')} AS im FROM cell"
 
 
 @query("grid_standard_cube", _grid_sql("chan", "re*wt", "im*wt"))
@@ -175,7 +180,8 @@ def degrid_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("residual_vis", f"WITH {VIS} SELECT event_id, {r6('re-2e0')} AS re, {r6('im')} AS im FROM vis")
 def residual_vis(spark: SparkSession, sf: str) -> DataFrame:
-    return vis(spark, sf).select("event_id", tidy(F.col("re") - 2.0).alias("re"), tidy(F.col("im")).alias("im"))
+    seen = vis(spark, sf).withColumns({"model_re": F.lit(2.0), "model_im": F.lit(0.0)})
+    return rounded(imaging.residual(seen).select("event_id", "re", "im"), "re", "im")
 
 
 @query(
@@ -450,7 +456,7 @@ LINE = (0.0, 0.05, 0.1, 0.4, 1.0, 0.4, 0.1, 0.05)
 PSF = np.outer(LINE, LINE)
 
 
-def _clean_sql(rounds: int, allowed: str = "true", value: str = "value") -> str:
+def _clean_steps(rounds: int, allowed: str = "true", value: str = "value") -> str:
     """CLEAN unrolled; ``allowed`` pixels may hold components, NaN and masked ones come last."""
     steps = [f"r0 AS (SELECT plane, chan, l, m, {value} AS value, 0e0 AS model FROM img), h AS (SELECT range::INT AS i, [{','.join(f'{x}e0' for x in LINE)}][range+1] AS x FROM range(8))"]
     order = f"(CASE WHEN ({allowed}) AND NOT isnan(value) THEN abs(value) ELSE -1 END, -(l*65536+m))"
@@ -460,7 +466,11 @@ def _clean_sql(rounds: int, allowed: str = "true", value: str = "value") -> str:
             f"r{k + 1} AS (SELECT r.plane, r.chan, r.l, r.m, r.value-coalesce(p.g*a.x*b.x,0e0) AS value, r.model+CASE WHEN r.l = p.pl AND r.m = p.pm THEN p.g ELSE 0e0 END AS model "
             f"FROM r{k} r JOIN p{k} p USING (plane) LEFT JOIN h a ON a.i = r.l-p.pl+4 LEFT JOIN h b ON b.i = r.m-p.pm+4)"
         )
-    return f"WITH {IMG}, {', '.join(steps)} SELECT plane, chan, l, m, {r6('model')} AS model, {r6('value')} AS residual FROM r{rounds}"
+    return f"{IMG}, {', '.join(steps)}"
+
+
+def _clean_sql(rounds: int, allowed: str = "true", value: str = "value") -> str:
+    return f"WITH {_clean_steps(rounds, allowed, value)} SELECT plane, chan, l, m, {r6('model')} AS model, {r6('value')} AS residual FROM r{rounds}"
 
 
 for _n in (1, 3):
@@ -494,9 +504,20 @@ def clean_full(spark: SparkSession, sf: str) -> DataFrame:
     return deconvolution.deconvolve(img(spark, sf), PSF, 0.1, 100, 0.01)
 
 
-@query("deconvolve_stats")
+_STATS = "abs(l-4) <= 2 AND l <> m"
+
+
+@query(
+    "deconvolve_stats",
+    f"""WITH {_clean_steps(3, _STATS)}, before AS (SELECT plane, chan, max(abs(value)) FILTER ({_STATS}) AS start_peakres, max(abs(value)) AS start_peakres_nomask, count(*) FILTER ({_STATS}) AS masksum FROM r0 GROUP BY plane, chan),
+ after AS (SELECT plane, chan, max(abs(value)) FILTER ({_STATS}) AS peakres, max(abs(value)) AS peakres_nomask, sum(model) AS model_flux FROM r3 GROUP BY plane, chan)
+ SELECT plane, chan, {r6('start_peakres')} AS start_peakres, {r6('start_peakres_nomask')} AS start_peakres_nomask, masksum, 0e0 AS start_model_flux, {r6('peakres')} AS peakres, {r6('peakres_nomask')} AS peakres_nomask,
+ {r6('model_flux')} AS model_flux, 3::BIGINT AS iter_done, 0.4e0 AS max_psf_sidelobe FROM before JOIN after USING (plane, chan)""",
+)
 def deconvolve_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return deconvolution.deconvolve_stats(img(spark, sf), PSF, niter=50, threshold=0.01)
+    mask = (F.abs(F.col("l") - 4) <= 2) & (F.col("l") != F.col("m"))
+    found = deconvolution.deconvolve_stats(img(spark, sf), PSF, mask, niter=3, sidelobe=fitting.main_lobe(PSF)[1])
+    return rounded(found, "start_peakres", "start_peakres_nomask", "peakres", "peakres_nomask", "model_flux")
 
 
 LAST = f"last AS (SELECT chan, pol, arg_max(peakres, cycle) AS peakres, arg_max(masksum, cycle) AS masksum, sum(iter_done) AS iterations, arg_max(model_flux, cycle) AS model_flux, arg_max(max_psf_sidelobe, cycle) AS max_psf_sidelobe FROM ret_log GROUP BY chan, pol)"
@@ -652,16 +673,30 @@ query(
 )(lambda spark, sf: fitting.peak_seeds(img(spark, sf)))
 
 
+_CORRECTION = f"corr AS ({_spheroidal_sql(f'SELECT range::INT AS k, abs(range-{N // 2})/{N // 2}e0 AS x FROM range({N})')})"
+
+
+def _image_sql(re: str, im: str) -> str:
+    """Cells, the inverse transform along one axis and then the other, weights and the kernel's correction."""
+    turn = lambda a, b: f"2*pi()*({a}-{N // 2})*({b}-{N // 2})/{N}e0"
+    one, two = turn("iv", "x.k"), turn("iu", "x.k")
+    return f"""WITH {_cells_sql("chan", re, im)}, {_CORRECTION}, offs AS (SELECT (range-51)::INT AS o FROM range(103)),
+ tot AS (SELECT o, sum(kv) AS s FROM offs CROSS JOIN steps JOIN kernel ON k = abs(100*d+o) GROUP BY o), sw AS (SELECT chan, pol, sum(wt*a.s*b.s) AS sum_weight FROM cells JOIN tot a ON a.o = uo JOIN tot b ON b.o = vo GROUP BY chan, pol),
+ half AS (SELECT chan, pol, iu, x.k AS m, sum(re*cos({one})-im*sin({one})) AS re, sum(re*sin({one})+im*cos({one})) AS im FROM cell CROSS JOIN corr x GROUP BY ALL),
+ sky AS (SELECT chan, pol, x.k AS l, m, sum(re*cos({two})-im*sin({two})) AS re FROM half CROSS JOIN corr x GROUP BY ALL)
+ SELECT chan, pol, l, m, {r6('re/sum_weight/greatest(a.g*b.g, 1e-4)')} AS value FROM sky JOIN sw USING (chan, pol) JOIN corr a ON a.k = l JOIN corr b ON b.k = m"""
+
+
 # ---- whole images --------------------------------------------------------------------------------------------------
-@query("dirty_image")
+@query("dirty_image", _image_sql("re*wt", "im*wt"))
 def dirty_image(spark: SparkSession, sf: str) -> DataFrame:
     """Gridding, inverse transform, kernel correction and division by the weights: the image of every channel."""
-    return imaging.dirty_image(vis(spark, sf), N, CELL).withColumnRenamed("plane", "pol")
+    return rounded(imaging.dirty_image(vis(spark, sf), N, CELL).withColumnRenamed("plane", "pol"), "value")
 
 
-@query("psf_image")
+@query("psf_image", _image_sql("wt", "0e0"))
 def psf_image(spark: SparkSession, sf: str) -> DataFrame:
-    return imaging.point_spread(vis(spark, sf), N, CELL).withColumnRenamed("plane", "pol")
+    return rounded(imaging.point_spread(vis(spark, sf), N, CELL).withColumnRenamed("plane", "pol"), "value")
 
 
 @query("psf_main_lobe")
@@ -692,10 +727,20 @@ def _model_image(spark: SparkSession) -> DataFrame:
     return spark.range(8).select((i % 2).cast("int").alias("plane"), (i / 2).cast("int").alias("chan"), pixels.alias("p")).select("plane", "chan", "p.l", "p.m", "p.value")
 
 
-@query("predict_model")
+def _predict_sql() -> str:
+    """The model's transform as a direct sum over its pixels, and the kernel-weighted mean around every sample."""
+    pixels = ", ".join(f"({round(l / CELL) + N // 2}, {round(m / CELL) + N // 2}, {f}e0)" for f, l, m in SOURCES)
+    turn = f"2*pi()*((i.k-{N // 2})*(l-{N // 2})+(k.k-{N // 2})*(m-{N // 2}))/{N}e0"
+    grid = f"""{_CORRECTION}, src AS (SELECT l, m, value/greatest(a.g*b.g, 1e-4) AS value FROM (VALUES {pixels}) t(l, m, value) JOIN corr a ON a.k = l JOIN corr b ON b.k = m),
+ model AS (SELECT i.k AS iu, k.k AS iv, sum(value*cos({turn})) AS gr, sum(-value*sin({turn})) AS gi FROM src CROSS JOIN corr i CROSS JOIN corr k GROUP BY ALL)"""
+    sql = _degrid_sql("JOIN model g ON g.iu=ui+a.d AND g.iv=vi+b.d", "g.gr", "g.gi").replace(MODEL, grid)
+    return sql.replace(" AS re, round(coalesce(mean.im", " AS model_re, round(coalesce(mean.im").replace(" AS im FROM vis LEFT JOIN mean", " AS model_im FROM vis LEFT JOIN mean")
+
+
+@query("predict_model", _predict_sql())
 def predict_model(spark: SparkSession, sf: str) -> DataFrame:
     """A model image transformed and degridded at every sample."""
-    return imaging.predict(vis(spark, sf), _model_image(spark), N, CELL).select("event_id", "model_re", "model_im")
+    return rounded(imaging.predict(vis(spark, sf), _model_image(spark), N, CELL).select("event_id", "model_re", "model_im"), "model_re", "model_im")
 
 
 @query("imaging_cycles")
@@ -767,10 +812,19 @@ def frame_conversion(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(calibration.convert_frame(samples, factors, targets, ("t", "pol", "ant1")), "re", "im", "weight")
 
 
-@query("chunk_plan")
+@query(
+    "chunk_plan",
+    f"WITH {VIS} SELECT (chan//2)::INT AS chunk, min(chan) AS first, count(DISTINCT chan) AS channels, count(*) AS n, count(*) FILTER (flag) AS flagged FROM vis GROUP BY ALL",
+)
 def chunk_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """The chunks of a cube of 1000 channels."""
-    return spark.createDataFrame(sources.chunk_plan(1000, 2048 * 2048, 2, 64, 8), "first int, channels int")
+    """Visibilities by chunks of channels, of the size that a task's memory allows."""
+    return sources.chunk_summary(vis(spark, sf), sources.chunk_size(32, 64 * 64, 2, 1, 4))
+
+
+@query("cube_image")
+def cube_image(spark: SparkSession, sf: str) -> DataFrame:
+    """From samples to a cube in one call: weights, padding, point spread function, sky, primary beam and fitted beam."""
+    return imaging.make_cube(vis(spark, sf), 48, CELL, "briggs", 0.5, 4 / 3, "ALMA", 0.1)
 
 
 query(

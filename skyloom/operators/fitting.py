@@ -20,7 +20,7 @@ def gaussians(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     p = np.asarray(p, float)
     out = np.repeat(p[..., :1], len(x), -1)
     jac = [np.ones_like(out)]
-    for amp, x0, y0, a, b, t in np.moveaxis(p[..., 1:].reshape(*p.shape[:-1], -1, 6), (-2, -1), (0, 1))[..., None]:
+    for amp, x0, y0, a, b, t in np.moveaxis(p[..., 1:].reshape(*p.shape[:-1], (p.shape[-1] - 1) // 6, 6), (-2, -1), (0, 1))[..., None]:
         c, s = np.cos(t), np.sin(t)
         dx, dy = x - x0, y - y0
         u, v = dx * c + dy * s, dy * c - dx * s
@@ -49,10 +49,11 @@ def _solved(h: np.ndarray, g: np.ndarray) -> np.ndarray:
         return (np.linalg.pinv(h, hermitian=True) @ g[..., None])[..., 0]
 
 
-def fit_planes(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: int = 200, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_planes(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: int = 200, bounds: tuple[np.ndarray, np.ndarray] | None = None, level: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parameters, errors (planes, 1 + 6 n) and the share of variance explained of every plane of a cube: damped least
     squares within bounds, all planes together, each with a damping of its own. Pixels that are not finite are left out.
-    Planes of fewer pixels than parameters give NaN. ``start`` is one vector, or one for each plane."""
+    Planes of fewer pixels than parameters give NaN. ``start`` is one vector, or one for each plane. Without ``level`` the
+    offset stays as it starts."""
     size = 1 + 6 * n
     shape = z.shape[1:]
     use = np.isfinite(z).reshape(len(z), -1)
@@ -73,6 +74,7 @@ def fit_planes(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: i
 
     def seen(at: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         model, jac = gaussians(q, x, y)
+        jac[..., 0] *= level
         return np.where(use[at], data[at] - model, 0.0), jac * use[at][..., None]
 
     rest, jac = seen(live, p[live])
@@ -87,6 +89,7 @@ def fit_planes(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: i
         if not len(live):
             break
         h = full[live].copy()
+        h[:, 0, 0] += not level
         h[:, diagonal, diagonal] += damp[live, None] * np.maximum(h[:, diagonal, diagonal], 1e-12)
         new = np.clip(p[live] + _solved(h, slopes[live]), low, high)
         rest, jac = seen(live, new)
@@ -103,7 +106,9 @@ def fit_planes(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: i
     for k in np.flatnonzero(enough):
         free = max(1, int(use[k].sum()) - size)
         try:
-            errors[k] = np.sqrt(np.maximum(np.diag(np.linalg.inv(full[k])), 0.0) * cost[k] / free)
+            fixed = np.zeros_like(full[k])
+            fixed[0, 0] = not level
+            errors[k] = np.sqrt(np.maximum(np.diag(np.linalg.inv(full[k] + fixed)), 0.0) * cost[k] / free)
         except np.linalg.LinAlgError:
             pass
         held = data[k][use[k]]
@@ -274,10 +279,25 @@ def main_lobe(z: np.ndarray, threshold: float = 0.5) -> tuple[np.ndarray, float]
     return lobe, float(np.nanmax(rest)) if rest.size else 0.0
 
 
-def psf_fit(img: DataFrame, threshold: float = 0.35, window: tuple[int, int] | None = None) -> DataFrame:
+def finer(n: int, k: int) -> np.ndarray:
+    """The matrix that takes ``n`` samples to ``k`` a pixel, by cubic convolution; edges are repeated."""
+    at = np.arange((n - 1) * k + 1) / k
+    first = np.minimum(np.floor(at).astype(int), max(0, n - 2))
+    t = at - first
+    weights = np.stack([-(t**3) + 2 * t**2 - t, 3 * t**3 - 5 * t**2 + 2, -3 * t**3 + 4 * t**2 + t, t**3 - t**2], 1) / 2
+    out = np.zeros((len(at), n))
+    for j in range(4):
+        np.add.at(out, (np.arange(len(at)), np.clip(first + j - 1, 0, n - 1)), weights[:, j])
+    return out
+
+
+def psf_fit(img: DataFrame, threshold: float = 0.35, window: tuple[int, int] | None = None, sampling: int = 1) -> DataFrame:
     """``bmaj, bmin`` (FWHM, pixels), ``pa`` in [0, pi) and the sidelobe of each plane; NaN where nothing can be fitted. The
     fit sees the main lobe: the connected pixels above ``threshold`` times the peak, within ``window`` pixels around the
-    peak where given. The sidelobe is the largest magnitude outside the main lobe, in the whole plane."""
+    peak where given, at ``sampling`` points a pixel, which narrow beams need. The sidelobe is the largest magnitude outside
+    the main lobe, in the whole plane."""
+    if sampling < 1:
+        raise ValueError("sampling is the number of points a pixel, 1 at least")
 
     def run(planes: Planes) -> Iterator[dict]:
         for some, shape, rows in planes.groups():
@@ -285,20 +305,22 @@ def psf_fit(img: DataFrame, threshold: float = 0.35, window: tuple[int, int] | N
             out = np.full((4, len(some)), np.nan)
             out[:, (cube == 0).all((1, 2))] = 0.0
             good = np.flatnonzero(np.isfinite(cube).any((1, 2)) & ~(cube == 0).all((1, 2)))
-            lobes, starts = np.full((len(good), *shape), np.nan), np.zeros((len(good), 7))
+            reach = [min(n, w) if w else n for n, w in zip(shape, window or (0, 0))]
+            lobes, starts = np.full((len(good), *((w - 1) * sampling + 1 for w in reach)), np.nan), np.zeros((len(good), 7))
+            turn = [finer(w, sampling) for w in reach]
             for k, plane in enumerate(good):
                 z = cube[plane]
-                lobe, out[3, plane] = main_lobe(z, threshold)
+                out[3, plane] = main_lobe(z, threshold)[1]
                 i, j = np.unravel_index(int(np.nanargmax(z)), shape)
-                if window is not None:
-                    near = np.zeros(shape, bool)
-                    near[max(0, i - window[0] // 2) : i + window[0] // 2 + 1, max(0, j - window[1] // 2) : j + window[1] // 2 + 1] = True
-                    lobe = lobe & near
-                lobes[k][lobe] = z[lobe]
-                starts[k] = 0.0, z[i, j], i, j, 1.5, 1.4, 0.0
+                x, y = (max(0, min(c - w // 2, n - w)) for c, w, n in zip((i, j), reach, shape))
+                part = z[x : x + reach[0], y : y + reach[1]]
+                part = turn[0] @ np.nan_to_num(part) @ turn[1].T if sampling > 1 else part
+                lobe, _ = main_lobe(part, threshold)
+                lobes[k][lobe] = part[lobe]
+                starts[k] = 0.0, z[i, j], (i - x) * sampling, (j - y) * sampling, 1.5 * sampling, 1.4 * sampling, 0.0
             if len(good):
-                p, _, _ = fit_planes(lobes, 1, starts)
-                a, b, t = p[:, 4], p[:, 5], p[:, 6]
+                p, _, _ = fit_planes(lobes, 1, starts, level=False)
+                a, b, t = p[:, 4] / sampling, p[:, 5] / sampling, p[:, 6]
                 turned = b > a
                 a, b, t = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, t + math.pi / 2, t)
                 out[:3, good] = a * FWHM, b * FWHM, (math.pi / 2 - t) % math.pi

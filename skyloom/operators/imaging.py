@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..functions import LIGHT, airy, cexp, cmul, spheroidal
 from ..session import checkpointed
 from . import calibration, deconvolution, fitting, gridding, images
@@ -151,6 +152,39 @@ def primary_beam(spark: SparkSession, n: int, cell: float, freqs: list[float], t
     return at.select("chan", "l", "m", airy(reduced, ipower, blockage / dish, int(farthest) + 60).alias("value"))
 
 
+def make_cube(
+    vis: DataFrame, n: int = 64, cell: float = 5e-5, weighting: str = "natural", robust: float = 0.5, padding: float = 1.0, telescope: str | None = None, pb_limit: float = 0.0, path: str | None = None
+) -> DataFrame:
+    """``plane, chan, l, m, sky, psf, pb, bmaj, bmin, pa``: the images of every channel and polarisation from samples, in one
+    plan. Samples are weighted, gridded on a grid larger by ``padding`` and cut; the point spread function has flat noise,
+    the sky is divided by the beam of ``telescope`` (1 where none is named), NaN below ``pb_limit``. Polarisations of a
+    channel share the beam. ``path``: where to write the cube, by channel; what is returned is then read from there."""
+    wide = 2 * math.ceil(n * max(1.0, padding) / 2)
+    if weighting != "natural":
+        new = gridding.imaging_weights(vis, weighting, robust, wide, cell)
+        vis = vis.drop("weight").join(new.withColumnRenamed("weight_imaging", "weight"), "event_id")
+    sums = weight_sums(vis, wide, cell)
+    sky, psf = (images.remove_padding(dirty_image(vis, wide, cell, do_psf=k, sums=sums), wide, n) for k in (False, True))
+    beam = F.lit(1.0)
+    out = sky.withColumnRenamed("value", "sky").join(psf.withColumnRenamed("value", "psf"), [*KEY, "l", "m"])
+    if telescope is not None:
+        if telescope not in DISHES:
+            raise ValueError(f"unknown telescope {telescope!r}; known are {sorted(DISHES)}")
+        dish, blockage = DISHES[telescope]
+        freqs = vis.groupBy("chan").agg(F.min("freq").alias("freq"))  # a row a channel
+        out = out.join(freqs, "chan")
+        reduced = images.radius(n, cell) * (2 * math.pi / LIGHT * dish / 2) * F.col("freq")
+        top = vis.agg(F.max("freq")).first()[0] or 0.0
+        beam = airy(reduced, 2, blockage / dish, int(2 * math.pi / LIGHT * dish / 2 * top * cell * n) + 60)
+    out = out.withColumn("pb", beam)
+    out = images.normalize(out.withColumnRenamed("sky", "value"), F.lit(1.0), F.lit(1.0), F.col("pb"), "flat_noise", pb_limit).withColumnRenamed("value", "sky")
+    out = out.join(fitting.psf_fit(psf, window=(21, 21), sampling=4).drop("sidelobe"), list(KEY)).select(*KEY, "l", "m", "sky", "psf", "pb", "bmaj", "bmin", "pa")
+    if path is None:
+        return out
+    sources.write_image(out, path)
+    return sources.open_image(vis.sparkSession, path)
+
+
 def pixel_offset(centre: tuple[float, float], direction: tuple[float, float], cell: float) -> tuple[float, float]:
     """Pixels from the phase centre to a direction (right ascension, declination), in the sine projection."""
     turn, (d0, d) = direction[0] - centre[0], (centre[1], direction[1])

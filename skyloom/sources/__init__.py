@@ -48,8 +48,19 @@ def read_regions(path: str) -> str:
         return file.read()
 
 
-def chunk_plan(channels: int, pixels: int, pols: int, memory_gb: float, threads: int, bytes_per_pixel: int = 72) -> list[tuple[int, int]]:
-    """(first channel, count) of chunks that fit a thread's memory, at least four a thread where there are channels."""
+def chunk_size(channels: int, pixels: int, pols: int, memory_gb: float, threads: int, bytes_per_pixel: int = 72) -> int:
+    """Channels of a chunk that fit a thread's memory, so many that there are four chunks a thread where channels allow."""
     each = max(1, int(memory_gb * 2**30 / threads / (1.2 * pixels * pols * bytes_per_pixel)))
-    each = max(1, min(each, channels // (4 * threads)))
-    return [(a, min(each, channels - a)) for a in range(0, channels, each)]
+    return max(1, min(each, channels // (4 * threads)))
+
+
+def in_chunks(vis: DataFrame, size: int) -> DataFrame:
+    """``vis`` with ``chunk``, dealt out by it: what images ``size`` channels at a time stays in one partition."""
+    return vis.withColumn("chunk", F.expr(f"cast(chan div {int(size)} as int)")).repartition("chunk")
+
+
+def chunk_summary(vis: DataFrame, size: int) -> DataFrame:
+    """``chunk, first, channels, n, flagged``: the channels and samples of each chunk."""
+    chunk = F.expr(f"cast(chan div {int(size)} as int)").alias("chunk")
+    flagged = F.sum(F.col("flag").cast("long")).alias("flagged")
+    return vis.groupBy(chunk).agg(F.min("chan").alias("first"), F.count_distinct("chan").alias("channels"), F.count("*").alias("n"), flagged)

@@ -102,3 +102,27 @@ def test_fit_with_starts_bounds_and_world(spark):
     for bad in ({"initial": []}, {"bounds": {"theta": (0, 1)}}, {"initial": [{"amp": 1.0}]}, {"bounds": {"sigma": (0, 1)}}):
         with pytest.raises(ValueError):
             fitting.fit_multi_gaussian2d(img, 1, **bad)
+
+
+def test_cube_from_samples(samples, tmp_path):
+    """The sources keep their place and flux in a padded cube; it is written by channel and read again."""
+    data = imaging.synthetic_visibilities(samples, SOURCES)
+    cube = imaging.make_cube(data, 48, CELL, "briggs", 0.5, 4 / 3, "ALMA", 0.05, str(tmp_path / "cube"))
+    rows = {(r.plane, r.chan, r.l, r.m): r for r in cube.collect()}
+    assert len(rows) == 2 * 48 * 48
+    for chan in (0, 1):
+        peak = rows[0, chan, 24 + 10, 24 - 6]
+        assert abs(peak.sky * peak.pb - 2.0) < 0.1 and abs(rows[0, chan, 24, 24].psf - 1) < 0.02 and rows[0, chan, 24, 24].pb == 1
+        assert peak.bmaj >= peak.bmin > 0
+    with pytest.raises(ValueError):
+        imaging.make_cube(data, 48, CELL, telescope="none")
+
+
+def test_major_cycles_within_a_box_and_without_limits(samples):
+    """Components lie in the box; without a limit of cycles the controller stops by itself."""
+    data = imaging.synthetic_visibilities(samples, SOURCES)
+    control = deconvolution.IterationController(niter=24, threshold=0.0, cycleniter=8)
+    model, _, log = imaging.major_cycles(data, control, N, CELL, 0.3, box=(N // 2 + 8, N // 2 + 12, 0, N))
+    assert log[-1]["stopcode"] == 1 and len(log) >= 4 and {(r.l, r.m) for r in model.where("value > 0.2").collect()} == {(N // 2 + 10, N // 2 - 6)}
+    none = deconvolution.IterationController(niter=10)
+    assert imaging.major_cycles(data, none, N, CELL, mask=F.lit(False))[2][-1]["stopcode"] == 7

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skyloom.catalog import PSF, fringe_fit
 from skyloom.operators import calibration, deconvolution, fitting, images, selection
-from skyloom.sources import chunk_plan, empty_image, open_image, write_image
+from skyloom.sources import chunk_size, chunk_summary, empty_image, in_chunks, open_image, write_image
 from skyloom.streaming import weight_windows
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +109,39 @@ def test_gaussian_fit(spark):
     assert row.variance_explained > 0.9999
 
 
+def test_fit_of_many_planes_with_all_errors(spark):
+    """Noise of known size: errors are of the size of the deviations; forms of starts agree; bounds by component hold."""
+    x, y = np.indices((20, 20)).astype(float)
+    clean = fitting.gaussians(np.array([0.2, 3.0, 6.0, 6.0, 2.5, 1.5, 0.3, 2.0, 14.0, 13.0, 2.0, 1.8, -0.4]), x.ravel(), y.ravel())[0].reshape(20, 20)
+    r = np.random.default_rng(3)
+    rows = [(plane, 0, l, m, float(clean[l, m] + noise[l, m])) for plane in range(12) for noise in [r.normal(size=(20, 20)) * 0.05] for l in range(20) for m in range(20)]
+    img = spark.createDataFrame(rows, "plane int, chan int, l int, m int, value double")
+    flat = [0.0, 2.0, 6.5, 6.5, 6.0, 4.0, 0.0, 2.0, 13.5, 13.5, 5.0, 4.0, 0.0]
+    found = fitting.fit_multi_gaussian2d(img, 2, flat).where("component = 0").toPandas()
+    for name, true in (("amp", 3.0), ("x0", 6.0), ("y0", 6.0), ("fwhm_major", 2.5 * 2.3548), ("theta", 0.3), ("offset", 0.2), ("peak", 3.2)):
+        pull = (found[name] - true) / found[f"{name}_err"]
+        assert 0.3 < np.sqrt((pull**2).mean()) < 2.0, name
+    assert ((found["pa"] - (math.pi / 2 - 0.3)).abs() < 0.1).all()
+    named = [dict(zip(fitting.PARAMETERS, flat[1 + 6 * k : 7 + 6 * k])) for k in (0, 1)]
+    for form in (named, {"offset": 0.0, "components": named}, np.array(flat[1:]).reshape(2, 6)):
+        again = fitting.fit_multi_gaussian2d(img.where("plane = 0"), 2, form).where("component = 0").first()
+        assert again.amp == pytest.approx(found[found.plane == 0].amp.iloc[0], abs=1e-6)
+    held = fitting.fit_multi_gaussian2d(img.where("plane = 0"), 2, flat, bounds={"amp": [(0, 10), (0, 1.5)], "offset": (0, 1)}).where("component = 1").first()
+    assert held.amp <= 1.5 + 1e-9
+    for bad in ({"amp": [(0, 1)]}, {"amp": (2, 1)}):
+        with pytest.raises(ValueError):
+            fitting.fit_multi_gaussian2d(img, 2, flat, bounds=bad)
+    with pytest.raises(ValueError):
+        fitting.fit_multi_gaussian2d(img, 2, flat[:5])
+
+
+def test_narrow_beams_are_fitted_finer(spark):
+    x, y = np.indices((25, 25)).astype(float)
+    z = fitting.gaussians(np.array([0.0, 1.0, 12.0, 12.0, 1.0, 0.8, 0.5]), x.ravel(), y.ravel())[0].reshape(25, 25)
+    row = fitting.psf_fit(pixels(spark, z), window=(9, 9), sampling=5).first()
+    assert (row.bmaj, row.bmin, row.pa) == pytest.approx((2.3548, 0.8 * 2.3548, math.pi / 2 - 0.5), abs=0.12)
+
+
 def test_fringe_fit_and_rotation(spark):
     rows = fringe_fit(spark, SF).collect()
     assert {(r.ant, r.pol) for r in rows} == {(a, p) for a in range(6) for p in (0, 1)}
@@ -146,8 +179,11 @@ def test_image_files(spark, tmp_path):
     assert open_image(spark, path).count() == 96 and open_image(spark, path, F.col("chan") == 1).count() == 32
     with pytest.raises(Exception):
         write_image(empty_image(spark, 4), path)
-    plan = chunk_plan(100, 512 * 512, 2, 8, 4)
-    assert sum(n for _, n in plan) == 100 and len(plan) >= 16
+    size = chunk_size(100, 512 * 512, 2, 8, 4)
+    vis = spark.range(1000).select((F.col("id") % 100).cast("int").alias("chan"), (F.col("id") % 3 == 0).alias("flag"))
+    chunks = chunk_summary(vis, size).collect()
+    assert sum(r.channels for r in chunks) == 100 and sum(r.n for r in chunks) == 1000 and len(chunks) >= 16
+    assert in_chunks(vis, size).select("chunk", F.spark_partition_id().alias("p")).distinct().count() == len(chunks)
 
 
 def test_stream_equals_batch(spark, tmp_path):
