@@ -42,7 +42,9 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 GAPS = " \t\n\x0b\x0c\r"
 GAP = re.compile(r"[\x20\x09-\x0D]")
 #: What opens a chain: digits, an @, and the words that stand for @ and a dot, alone or in brackets.
-SPOT = re.compile(r"[0-9@]|(?<![^\x20\x09-\x0D])(?:[Aa][Tt]|[Dd][Oo][Tt])(?![^\x20\x09-\x0D])|[\[({<](?:[Aa][Tt]|[Dd][Oo][Tt])[\])}>]")
+SPOT = re.compile(  # what it begins with comes first, so the search runs over other characters fast
+    r"[0-9@AaDd\[({<](?:(?<=[0-9@])|(?<=(?<![^\x20\x09-\x0D])[Aa])[Tt](?![^\x20\x09-\x0D])|(?<=(?<![^\x20\x09-\x0D])[Dd])[Oo][Tt](?![^\x20\x09-\x0D])|(?<=[\[({<])(?:[Aa][Tt]|[Dd][Oo][Tt])[\])}>])"
+)
 SPELLED = re.compile(r"(?i)[\s\[({<]at[\s\])}>].*(?:\.|[\s\[({<]dot[\s\])}>])[\s]*[a-z]", re.S)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EDGE = ".,;:!?()[]{}<>\"'#*$%&|"
@@ -54,6 +56,7 @@ CUES = frozenset(
     "commit hash copyright isbn at dot".split()
 )
 SIZE = 1 << 14  # hashed features
+GAP_TOKEN = ""
 TOGETHER = 4096  # tokens of a chain beyond which it is decoded in parts
 
 
@@ -136,6 +139,9 @@ class PiiModel:
     weights: np.ndarray  # (features, labels)
     moves: np.ndarray  # (from, to)
 
+    def __getstate__(self) -> dict[str, np.ndarray]:
+        return {"weights": self.weights, "moves": self.moves}
+
 
 def _scores(weights: np.ndarray, chains: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     """(chain, token, label) scores and the mask of real tokens."""
@@ -225,10 +231,14 @@ class Scorer:
     each different token, so a chain is scored by look-ups; the sums are those of ``token_features``."""
 
     def __init__(self, model: PiiModel) -> None:
-        self.weights, self.known, self.parts = model.weights, {}, []
-        self.table = np.zeros((0, 9, len(LABELS)))
-        self.cue = np.zeros((0, 3), bool)  # makes tokens after it, the one before it, those two and three before it "cued"
+        self.weights = model.weights
         self.cued = self.weights[zlib.crc32(b"cued") % SIZE]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = {GAP_TOKEN: 0}  # stands between chains and says nothing
+        self.table = np.zeros((1024, 9, len(LABELS)))
+        self.cue = np.zeros((1024, 3), bool)  # makes tokens after it, the one before it, those two and three before it "cued"
 
     def _hashed(self, features: list[str]) -> np.ndarray:
         return self.weights[[zlib.crc32(f.encode()) % SIZE for f in features]].sum(0)
@@ -241,17 +251,22 @@ class Scorer:
 
     def ids(self, tokens: list[str]) -> np.ndarray:
         if len(self.known) > 200_000:
-            self.known.clear()
-            self.table, self.cue = self.table[:0], self.cue[:0]
-        fresh = [t for t in dict.fromkeys(tokens) if t not in self.known]
-        if fresh:
-            first = len(self.known)
-            self.known.update({t: first + i for i, t in enumerate(fresh)})
-            learned = [self._learn(t) for t in fresh]
-            self.table = np.concatenate([self.table, np.stack([x for x, _ in learned])])
-            self.cue = np.concatenate([self.cue, np.array([c for _, c in learned], bool)])
+            self._forget()
+        for token in dict.fromkeys(tokens):
+            if token not in self.known:
+                at = self.known[token] = len(self.known)
+                if at == len(self.table):
+                    self.table, self.cue = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.cue))
+                self.table[at], self.cue[at] = self._learn(token)
         return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
 
+    def many(self, chains: list[list[str]]) -> list[np.ndarray]:
+        """The scores of chains, worked out together."""
+        between = [GAP_TOKEN] * AROUND
+        found = self.scores([t for c in chains for t in (*c, *between)])
+        ends = np.cumsum([len(c) + AROUND for c in chains]) - AROUND
+        return [found[end - len(c) : end] for c, end in zip(chains, ends.tolist())]
+
     def scores(self, tokens: list[str], low: int = 0, high: int | None = None) -> np.ndarray:
         """(token, label) of ``tokens[low:high]``; the others are what stands beside them in the chain."""
         at = self.ids(tokens)
@@ -451,13 +466,14 @@ def _spans_of(text: str, starts: array, ends: array, labels: np.ndarray) -> Iter
 def find(model: PiiModel, texts: list[str]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, all spans) of each text. Chains are decoded together as soon as they hold enough tokens; a longer chain
     is decoded alone, in parts; so memory follows a text by a few bytes a token."""
-    scorer, bases = Scorer(model), [base_spans(t) for t in texts]
+    scorer = model.__dict__.setdefault("scorer", Scorer(model))  # serves the other batches of a worker too
+    bases = [base_spans(t) for t in texts]
     more: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    waiting: list[tuple[int, array, array, np.ndarray]] = []
+    waiting: list[tuple[int, array, array, list[str]]] = []
     held = 0
 
     def flush() -> None:
-        for (k, starts, ends, _), labels in zip(waiting, decode(model.moves, [w[3] for w in waiting])):
+        for (k, starts, ends, _), labels in zip(waiting, decode(model.moves, scorer.many([w[3] for w in waiting]))):
             more[k] += _spans_of(texts[k], starts, ends, labels)
         waiting.clear()
 
@@ -470,7 +486,7 @@ def find(model: PiiModel, texts: list[str]) -> list[tuple[list[tuple[str, int, i
                 held = 0
                 more[k] += _spans_of(text, starts, ends, decode_long(model.moves, _long_scores(scorer, text, starts, ends)))
                 continue
-            waiting.append((k, starts, ends, scorer.scores(_words(text, starts, ends))))
+            waiting.append((k, starts, ends, _words(text, starts, ends)))
             held += len(starts)
             if held > 8 * TOGETHER:
                 flush()

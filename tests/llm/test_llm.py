@@ -306,7 +306,7 @@ def test_viterbi_against_brute_force(monkeypatch):
         for starts, ends in pii._chains(text):
             tokens = pii._words(text, starts, ends)
             want = np.stack([model.weights[f].sum(0) for f in pii.token_features(tokens)])
-            assert np.allclose(scorer.scores(tokens), want)
+            assert np.allclose(scorer.scores(tokens), want) and np.allclose(scorer.many([tokens[:5], tokens])[1], want)
     whole = pii.find(model, texts)
     monkeypatch.setattr(pii, "TOGETHER", 11)
     assert pii.find(model, texts) == whole
