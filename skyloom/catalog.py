@@ -124,6 +124,11 @@ def weights_density(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gridding.weight_density(vis(spark, sf), N, CELL), "density")
 
 
+query("weights_density_averaged", f"WITH {VIS}, {POS}, {DENSITY} SELECT chan, iu, iv, {r6('density/2')} AS density FROM density")(
+    lambda spark, sf: rounded(gridding.weight_density(vis(spark, sf), N, CELL, averaged=2), "density")
+)
+
+
 def _weights_sql(factors: str) -> str:
     return f"""WITH {VIS}, {POS}, {DENSITY}, sw AS (SELECT chan, 2*sum(weight) AS sw FROM nc GROUP BY chan), fac AS ({factors}),
  new AS (SELECT event_id, CASE WHEN density IS NOT NULL AND density <> 0 THEN weight/(a*density+b) ELSE weight END AS nw FROM nc LEFT JOIN density USING (chan, iu, iv) JOIN fac USING (chan)
@@ -159,13 +164,13 @@ def model_grid(spark: SparkSession) -> DataFrame:
     return at.withColumns({"re": (F.col("iu") * 3 + F.col("iv")) % 11 + F.lit(0.5), "im": ((F.col("iu") + F.col("iv") * 5) % 7).cast("double")})
 
 
-def _degrid_sql(model: str, re: str, im: str) -> str:
+def _degrid_sql(model: str, re: str, im: str, more: tuple[str, str] = ("", "")) -> str:
     return f"""WITH {VIS}, {KERNEL}, {POS}, {MODEL}, spots AS (SELECT *, floor((ui-up)*100+0.5e0)::INT AS uo, floor((vi-vp)*100+0.5e0)::INT AS vo
  FROM (SELECT event_id, chan, pol, up, vp, round_even(up,0)::INT AS ui, round_even(vp,0)::INT AS vi FROM pos) WHERE ui-3>=0 AND vi-3>=0 AND ui+3<{N} AND vi+3<{N}),
  steps AS (SELECT (range-3)::INT AS d FROM range(7)),
  mean AS (SELECT event_id, sum(ku.kv*kv2.kv*{re})/sum(ku.kv*kv2.kv) AS re, sum(ku.kv*kv2.kv*{im})/sum(ku.kv*kv2.kv) AS im FROM spots CROSS JOIN steps a CROSS JOIN steps b
  JOIN kernel ku ON ku.k = abs(100*a.d+uo) JOIN kernel kv2 ON kv2.k = abs(100*b.d+vo) {model} GROUP BY event_id)
- SELECT event_id, {r6('coalesce(mean.re,0e0)')} AS re, {r6('coalesce(mean.im,0e0)')} AS im FROM vis LEFT JOIN mean USING (event_id)"""
+ SELECT event_id, {r6('coalesce(mean.re,0e0)' + more[0])} AS re, {r6('coalesce(mean.im,0e0)' + more[1])} AS im FROM vis LEFT JOIN mean USING (event_id)"""
 
 
 @query("degrid_constant", _degrid_sql("", "2e0", "0e0"))
@@ -178,6 +183,17 @@ def degrid_model(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gridding.degrid(vis(spark, sf), model_grid(spark), N, CELL), "re", "im")
 
 
+@query(
+    "degrid_mapped",
+    _degrid_sql("LEFT JOIN model g ON g.chan=spots.chan//2 AND g.pol=1-spots.pol AND g.iu=ui+a.d AND g.iv=vi+b.d", "coalesce(g.gr,0e0)", "coalesce(g.gi,0e0)", ("+vis.re", "+vis.im")),
+)
+def degrid_mapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Two channels at a time look at one of the grid, polarisations at each other's; added to what the data have."""
+    had = vis(spark, sf).withColumns({"model_re": F.col("re"), "model_im": F.col("im")})
+    found = gridding.degrid_mapped(had, model_grid(spark), {0: 0, 1: 0, 2: 1, 3: 1}, {0: 1, 1: 0}, incremental=True, n=N, cell=CELL)
+    return rounded(found.select("event_id", F.col("model_re").alias("re"), F.col("model_im").alias("im")), "re", "im")
+
+
 @query("residual_vis", f"WITH {VIS} SELECT event_id, {r6('re-2e0')} AS re, {r6('im')} AS im FROM vis")
 def residual_vis(spark: SparkSession, sf: str) -> DataFrame:
     seen = vis(spark, sf).withColumns({"model_re": F.lit(2.0), "model_im": F.lit(0.0)})

@@ -150,17 +150,46 @@ def degrid(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5
     return degrid_onto(vis, model, n, cell, support, oversampling, constant).select("event_id", F.col("model_re").alias("re"), F.col("model_im").alias("im"))
 
 
+def _renamed(name: str, numbers: dict[int, int] | None) -> Column:
+    """A column's numbers by a map; those without an entry stay."""
+    if not numbers:
+        return F.col(name)
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[F.col(name)], F.col(name))
+
+
+def degrid_mapped(vis: DataFrame, model: DataFrame, chan_map: dict[int, int] | None = None, pol_map: dict[int, int] | None = None, incremental: bool = False, **grid: object) -> DataFrame:
+    """``degrid_onto`` where channels and polarisations of the data look at other ones of the grid, as many channels at one
+    of a coarser cube. ``incremental`` adds to the ``model_re, model_im`` that the data have."""
+    columns = [c for c in vis.columns if c not in ("model_re", "model_im")]
+    kept = {"chan": F.col("_chan"), "pol": F.col("_pol")}
+    seen = vis.withColumns({"_chan": F.col("chan"), "_pol": F.col("pol"), "chan": _renamed("chan", chan_map), "pol": _renamed("pol", pol_map)})
+    if incremental:
+        seen = seen.withColumns({"_re": F.col("model_re"), "_im": F.col("model_im")})
+        kept |= {"model_re": F.col("model_re") + F.col("_re"), "model_im": F.col("model_im") + F.col("_im")}
+    return degrid_onto(seen, model, **grid).withColumns(kept).select(*columns, "model_re", "model_im")
+
+
+#: Rows of kernels up to which they are sent to all tasks (about 50 MB).
+KERNEL_ROWS = 1_000_000
+
+
+def to_all(kernels: DataFrame) -> DataFrame:
+    """``kernels`` marked for broadcast if they are few enough; more of them are joined by a shuffle on their key."""
+    return F.broadcast(kernels) if kernels.limit(KERNEL_ROWS + 1).count() <= KERNEL_ROWS else kernels
+
+
 def _nearest_cells(vis: DataFrame, n: int, cell: float) -> DataFrame:
     out = positions(vis, n, cell).where(~F.col("flag"))
     return out.withColumns({"iu": nearest(F.col("up")), "iv": nearest(F.col("vp"))})
 
 
-def weight_density(vis: DataFrame, n: int = 64, cell: float = 5e-5) -> DataFrame:
-    """``chan, iu, iv, density``: the weights of the nearest cells and of their conjugates."""
+def weight_density(vis: DataFrame, n: int = 64, cell: float = 5e-5, averaged: int = 1) -> DataFrame:
+    """``chan, iu, iv, density``: the weights of the nearest cells and of their conjugates. ``averaged`` is the number of
+    polarisations (2, say) whose weights a sample's weight is the mean of; with 1 they add up."""
     at = _nearest_cells(vis, n, cell)
     pair = F.array(F.struct("iu", "iv"), F.struct(nearest(n - F.col("up")).alias("iu"), nearest(n - F.col("vp")).alias("iv")))
     both = at.select("chan", "weight", F.explode(pair).alias("c")).select("chan", "weight", "c.iu", "c.iv")
-    return both.where(F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1)).groupBy("chan", "iu", "iv").agg(F.sum("weight").alias("density"))
+    return both.where(F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1)).groupBy("chan", "iu", "iv").agg((F.sum("weight") / averaged).alias("density"))
 
 
 def briggs_factors(density: DataFrame, sums: DataFrame, scheme: str, robust: float = 0.5, noise: float = 1.0) -> DataFrame:
@@ -212,7 +241,7 @@ def single_dish_grid(vis: DataFrame, n: int = 64, cell: float = 40.0, radius: in
 def aperture_grid(vis: DataFrame, kernels: DataFrame, n: int = 16) -> DataFrame:
     """``chan, pol, iu, iv, re``: every sample's kernel at the grid's centre; weights factor out, so they are summed first."""
     sums = vis.where(~F.col("flag")).groupBy("chan", "pol", "cf").agg(F.sum("weight").alias("w"))
-    out = sums.join(F.broadcast(kernels), "cf")
+    out = sums.join(to_all(kernels), "cf")
     return out.groupBy("chan", "pol", (F.col("du") + n // 2).alias("iu"), (F.col("dv") + n // 2).alias("iv")).agg(F.sum(F.col("w") * F.col("k")).alias("re"))
 
 
@@ -227,7 +256,7 @@ def mosaic_grid(vis: DataFrame, kernels: DataFrame, n: int = 64, cell: float = 5
         sub = lambda i, p: F.floor((F.col(i) - F.col(p)) * oversampling + 0.5).cast("int")
         at, key = at.withColumns({"uo": sub("ui", "up"), "vo": sub("vi", "vp")}), ["cf", "uo", "vo"]
     shared = at.groupBy("chan", "pol", *key, *(gradient or ()), "ui", "vi").agg(F.sum(F.col("re") * F.col("weight")).alias("re"), F.sum(F.col("im") * F.col("weight")).alias("im"))
-    wide = shared.join(F.broadcast(kernels), key).withColumns({"iu": F.col("ui") + F.col("du"), "iv": F.col("vi") + F.col("dv")})
+    wide = shared.join(to_all(kernels), key).withColumns({"iu": F.col("ui") + F.col("du"), "iv": F.col("vi") + F.col("dv")})
     wide = wide.where(F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1))
     re, im = F.col("re"), F.col("im")
     if gradient:

@@ -276,6 +276,7 @@ def mosaic_image(vis: DataFrame, kernels: DataFrame, squared: DataFrame, n: int,
     """``plane, chan, l, m, value, pb``: all fields in one image. ``vis`` has ``cf`` (its kernels' class) and ``gx, gy`` (see
     ``to_common_centre``); ``kernels`` and ``squared`` are ``convolution_kernels`` of power 1 and 2. ``pb`` is the root of the
     weighted mean of the squared beams; pixels where it is below ``pb_limit`` are NaN."""
+    kernels, squared = checkpointed(kernels), checkpointed(squared)  # made once, then counted and used
     cells = gridding.mosaic_grid(vis, kernels, n, cell, oversampling, ("gx", "gy"))
     uv = cells.select(F.col("pol").alias("plane"), "chan", F.col("iu").alias("l"), F.col("iv").alias("m"), "re", "im")
     sky = images.fft(uv, inverse=True, n=n).select(*KEY, "l", "m", (F.col("re") * (n * n)).alias("value"))
@@ -291,7 +292,7 @@ def mean_beam(vis: DataFrame, squared: DataFrame, n: int, oversampling: int = 10
     sums = vis.where(~F.col("flag") & ~F.isnan("u") & ~F.isnan("v")).groupBy(F.col("pol").alias("plane"), "chan", "cf", "gx", "gy").agg(F.sum("weight").alias("w"))
     wave = cexp((F.col("du") * F.col("gx") + F.col("dv") * F.col("gy")) * oversampling)
     size = F.col("w") * F.col("k")
-    cells = sums.join(F.broadcast(centred), "cf").groupBy("plane", "chan", (F.col("du") + n // 2).alias("l"), (F.col("dv") + n // 2).alias("m"))
+    cells = sums.join(gridding.to_all(centred), "cf").groupBy("plane", "chan", (F.col("du") + n // 2).alias("l"), (F.col("dv") + n // 2).alias("m"))
     uv = cells.agg(F.sum(size * wave[0]).alias("re"), F.sum(size * wave[1]).alias("im"))
     total = sums.groupBy(*KEY).agg(F.sum("w").alias("all"))
     sky = images.fft(uv, inverse=True, n=n).join(total, list(KEY))
