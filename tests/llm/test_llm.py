@@ -196,7 +196,7 @@ def test_licenses_by_offsets(spark):
         assert set(got[i].labels.split(",")) == (want or {""})
 
 
-def test_language_id(spark, docs, none):
+def test_language_id(spark, docs, none, monkeypatch):
     r = random.Random(2)
     german = "der und die haus berg wald nicht schön".split()
     rows = [(i, sentence(r, 60) if i % 2 else " ".join(r.choice(german) for _ in range(60)), "en" if i % 2 else "de", "s", 0, "", "") for i in range(120)]
@@ -213,6 +213,12 @@ def test_language_id(spark, docs, none):
     assert np.abs(p.sum(1) - 1).max() < 1e-3
     long = (sentence(r, 200_000)).encode()
     assert np.allclose(language_id.code_lengths(model, [long]), sum(language_id.code_lengths(model, [long])), rtol=1e-9)
+    wide = ("дом 家 " * 60_000 + sentence(r, 10)).encode()  # over a slice, which may cut a character
+    monkeypatch.setattr(language_id, "SLICE", 1 << 30)
+    whole = language_id.code_lengths(model, [wide])
+    monkeypatch.setattr(language_id, "SLICE", 1001)
+    assert np.allclose(whole, language_id.code_lengths(model, [wide]), rtol=1e-6)
+    assert {k: v for k, v in zip(*(x.tolist() for x in language_id.grams([wide[:9000]])))} == Counter(int.from_bytes((b"\0\0\0" + wide)[i : i + 4], "big") for i in range(9000))
 
 
 def brute_code_length(samples, text, least):
@@ -462,6 +468,11 @@ def test_packing(spark, docs, none):
     check_pieces(packing.pack(once).collect(), ids)
     check_pieces(packing.pack(once, packing.PackParams(window=2048, weights={"s0": 0.7, "s1": 0.2}, max_queues=3)).collect(), ids)
     assert packing.pack(none).count() == 0
+    # Repeated rows and rows without an id are packed each for itself.
+    all_ids = [len(bpe.tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()]
+    got = packing.pack(docs).collect()
+    assert sum(r.length for r in got) == sum(all_ids) and Counter(r.doc_tokens for r in got if r.start == 0) == Counter(all_ids)
+    assert {(r.sequence_id * 1024 + r.offset + i) for r in got for i in range(r.length)} == set(range(sum(all_ids)))
 
 
 def test_schedule_keeps_the_mixture():
@@ -501,6 +512,8 @@ def test_automaton_equals_the_library(docs, none):
     for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         ids, labels = bpe.encode(text)
         assert ids == np.array(e.ids, "<u4").tobytes() and labels == library.decode(e.ids, skip_special_tokens=False) == bpe.decode(e.ids)
+    long = "漢字 naïve house\n" * 75_000  # over a slice of a million characters
+    assert bpe.encode(long)[0] == np.array(library.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
     row = next(r for r in word_bpe.digests(docs).collect() if r.doc_id == 0)
     assert row.n_tokens == 0 and row.ids_sha256 == hashlib.sha256(b"").hexdigest() == row.decoded_sha256
     assert word_bpe.digests(none).count() == 0
