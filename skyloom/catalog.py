@@ -515,9 +515,22 @@ query("clean_psf_by_channel", _clean_sql(3))(
 )
 
 
-@query("clean_full")
+def _full_clean_sql(niter: int, threshold: float) -> str:
+    """CLEAN as a recursion over lists of 64 pixels, a row a plane and iteration."""
+    sizes = "list_transform(r, lambda x: abs(x))"
+    line = f"[{','.join(f'{x}e0' for x in LINE)}]"
+    at = lambda i, p: f"CASE WHEN {i}-{p}+4 BETWEEN 0 AND 7 THEN {line}[{i}-{p}+5] ELSE 0e0 END"
+    return f"""WITH RECURSIVE {IMG}, planes AS (SELECT plane, chan, list(value ORDER BY l, m) AS r FROM img GROUP BY plane, chan),
+ s AS (SELECT plane, chan, 0 AS it, r, list_transform(r, lambda x: 0e0) AS mdl FROM planes UNION ALL
+ SELECT plane, chan, it+1, list_transform(range(64), lambda i: r[i+1]-g*({at('i//8', 'p//8')})*({at('i%8', 'p%8')})), list_transform(range(64), lambda i: mdl[i+1]+CASE WHEN i = p THEN g ELSE 0e0 END)
+ FROM (SELECT *, 0.1e0*r[p+1] AS g FROM (SELECT *, list_position({sizes}, list_max({sizes}))-1 AS p FROM s WHERE it < {niter})) WHERE abs(r[p+1]) >= {threshold}e0),
+ fin AS (SELECT plane, chan, max(it) AS it, arg_max(r, it) AS r, arg_max(mdl, it) AS mdl FROM s GROUP BY plane, chan)
+ SELECT plane, chan, (i//8)::INT AS l, (i%8)::INT AS m, {r6('mdl[i+1]')} AS model, {r6('r[i+1]')} AS residual, it::BIGINT AS iterations FROM fin CROSS JOIN (SELECT range AS i FROM range(64))"""
+
+
+@query("clean_full", _full_clean_sql(100, 0.1))
 def clean_full(spark: SparkSession, sf: str) -> DataFrame:
-    return deconvolution.deconvolve(img(spark, sf), PSF, 0.1, 100, 0.01)
+    return rounded(deconvolution.deconvolve(img(spark, sf), PSF, 0.1, 100, 0.1), "model", "residual")
 
 
 _STATS = "abs(l-4) <= 2 AND l <> m"
