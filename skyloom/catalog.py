@@ -728,9 +728,15 @@ def psf_image(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(imaging.point_spread(vis(spark, sf), N, CELL).withColumnRenamed("plane", "pol"), "value")
 
 
-@query("psf_main_lobe")
+@query(
+    "psf_main_lobe",
+    f"""WITH RECURSIVE z AS ({_image_sql("wt", "0e0")}), peak AS (SELECT chan, pol, arg_max(l, (value, -(l*65536+m))) AS l, arg_max(m, (value, -(l*65536+m))) AS m, max(value) AS top FROM z GROUP BY chan, pol),
+ above AS (SELECT z.chan, z.pol, z.l, z.m FROM z JOIN peak USING (chan, pol) WHERE value >= 0.5e0*top),
+ lobe AS (SELECT chan, pol, l, m FROM peak UNION SELECT a.chan, a.pol, a.l, a.m FROM lobe b JOIN above a ON a.chan = b.chan AND a.pol = b.pol AND abs(a.l-b.l)+abs(a.m-b.m) = 1)
+ SELECT z.pol AS plane, z.chan, {r6('max(abs(CASE WHEN lobe.l IS NULL THEN value ELSE 0e0 END))')} AS sidelobe FROM z LEFT JOIN lobe USING (chan, pol, l, m) GROUP BY z.pol, z.chan""",
+)
 def psf_main_lobe(spark: SparkSession, sf: str) -> DataFrame:
-    return imaging.sidelobes(imaging.point_spread(vis(spark, sf), N, CELL))
+    return rounded(imaging.sidelobes(imaging.point_spread(vis(spark, sf), N, CELL)), "sidelobe")
 
 
 #: Sources as flux and place (radians), near the image's centre.
@@ -761,8 +767,9 @@ def _predict_sql() -> str:
     pixels = ", ".join(f"({round(l / CELL) + N // 2}, {round(m / CELL) + N // 2}, {f}e0)" for f, l, m in SOURCES)
     turn = f"2*pi()*((i.k-{N // 2})*(l-{N // 2})+(k.k-{N // 2})*(m-{N // 2}))/{N}e0"
     grid = f"""{_CORRECTION}, src AS (SELECT l, m, value/greatest(a.g*b.g, 1e-4) AS value FROM (VALUES {pixels}) t(l, m, value) JOIN corr a ON a.k = l JOIN corr b ON b.k = m),
- model AS (SELECT i.k AS iu, k.k AS iv, sum(value*cos({turn})) AS gr, sum(-value*sin({turn})) AS gi FROM src CROSS JOIN corr i CROSS JOIN corr k GROUP BY ALL)"""
-    sql = _degrid_sql("JOIN model g ON g.iu=ui+a.d AND g.iv=vi+b.d", "g.gr", "g.gi").replace(MODEL, grid)
+ one AS (SELECT i.k AS iu, k.k AS iv, sum(value*cos({turn})) AS gr, sum(-value*sin({turn})) AS gi FROM src CROSS JOIN corr i CROSS JOIN corr k GROUP BY ALL),
+ model AS (SELECT c.range::INT AS chan, p.range::INT AS pol, iu::INT AS iu, iv::INT AS iv, gr, gi FROM one CROSS JOIN range(4) c CROSS JOIN range(2) p)"""
+    sql = _degrid_sql("LEFT JOIN model g ON g.chan=spots.chan AND g.pol=spots.pol AND g.iu=ui+a.d AND g.iv=vi+b.d", "coalesce(g.gr,0e0)", "coalesce(g.gi,0e0)").replace(MODEL, grid)
     return sql.replace(" AS re, round(coalesce(mean.im", " AS model_re, round(coalesce(mean.im").replace(" AS im FROM vis LEFT JOIN mean", " AS model_im FROM vis LEFT JOIN mean")
 
 
