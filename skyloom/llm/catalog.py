@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import embedding_join
+from . import embedding_join, lexical_search
 from .embedding_join import op2_embedding_near_dedup
 from .language_id import op4_language_id
+from .lexical_search import op11_lexical_search
 from .licenses import op3_license_scans
 from .packing import op8_packing
 from .pii import op5_pii
 from .quality_crf import op10_quality_classifier
 from .quality_rules import op1_quality_rules
 from .secrets import op6_secret_scans
+from .sharding import op12_sharding
 from .simhash import op7_simhash
 from .word_bpe import op9_word_bpe
 
@@ -25,6 +27,11 @@ QUERIES: dict = {
     "op8_packing": op8_packing,
     "op9_word_bpe": op9_word_bpe,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_sharding": op12_sharding,
 }
 #: The other operators learn models, tokenise or sketch, which SQL does not express; tests/llm holds them against brute force.
-ORACLE: dict[str, str] = {"op2_embedding_near_dedup": embedding_join.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": embedding_join.ORACLE_SQL,
+    "op11_lexical_search": lexical_search.ORACLE_SQL,
+}
