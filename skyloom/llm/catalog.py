@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import embedding_join, lexical_search
+from . import embedding_join, hard_negatives, lexical_search
 from .embedding_join import op2_embedding_near_dedup
+from .hard_negatives import op13_hard_negatives
 from .language_id import op4_language_id
 from .lexical_search import op11_lexical_search
 from .licenses import op3_license_scans
@@ -29,9 +30,11 @@ QUERIES: dict = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_lexical_search": op11_lexical_search,
     "op12_sharding": op12_sharding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 #: The other operators learn models, tokenise or sketch, which SQL does not express; tests/llm holds them against brute force.
 ORACLE: dict[str, str] = {
     "op2_embedding_near_dedup": embedding_join.ORACLE_SQL,
     "op11_lexical_search": lexical_search.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
