@@ -154,6 +154,69 @@ def flag_mask_weights(spark: SparkSession, sf: str) -> DataFrame:
     return vis(spark, sf).select("event_id", gridding.effective_weight().alias("wt"))
 
 
+#: Samples of which some have a visibility, a coordinate or a weight that is NaN or null.
+VIS_NAN = VIS.replace("vis AS (", "vis0 AS (", 1) + """, vis AS (SELECT * REPLACE (CASE WHEN event_id%23=5 THEN 'nan'::DOUBLE ELSE u END AS u, CASE WHEN event_id%29=3 THEN 'nan'::DOUBLE ELSE re END AS re,
+ CASE WHEN event_id%31=4 THEN NULL ELSE im END AS im, CASE WHEN event_id%37=6 THEN 'nan'::DOUBLE ELSE weight END AS weight) FROM vis0)"""
+#: The same without those samples.
+VIS_FIT = VIS.replace("vis AS (", "vis0 AS (", 1) + ", vis AS (SELECT * FROM vis0 WHERE event_id%23<>5 AND event_id%29<>3 AND event_id%31<>4 AND event_id%37<>6)"
+
+
+def vis_nan(spark: SparkSession, sf: str) -> DataFrame:
+    hole = lambda c, k, r, what: F.when(F.col("event_id") % k == r, F.lit(what).cast("double")).otherwise(F.col(c))
+    nan = float("nan")
+    return vis(spark, sf).withColumns({"u": hole("u", 23, 5, nan), "re": hole("re", 29, 3, nan), "im": hole("im", 31, 4, None), "weight": hole("weight", 37, 6, nan)})
+
+
+@query("grid_nan", _grid_sql("chan", "re*wt", "im*wt").replace(VIS, VIS_FIT, 1))
+def grid_nan(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.grid(vis_nan(spark, sf), N, CELL), "re", "im")
+
+
+@query("grid_sum_weight_nan", ORACLE["grid_sum_weight"].replace(VIS, VIS_FIT, 1))
+def grid_sum_weight_nan(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gridding.sum_weight(vis_nan(spark, sf), N, CELL), "sum_weight")
+
+
+#: Weights look at coordinates, flags and weights; a NaN visibility keeps its weight.
+NAN_WEIGHTS = ORACLE["weights_briggs"].replace(VIS, VIS_NAN, 1).replace("FROM pos WHERE NOT flag", "FROM pos WHERE NOT flag AND NOT isnan(u) AND NOT isnan(weight)", 1)
+query("weights_nan", NAN_WEIGHTS)(lambda spark, sf: rounded(gridding.imaging_weights(vis_nan(spark, sf), "briggs", 0.5, N, CELL), "weight_imaging"))
+
+#: Two or four correlations of each event, with flags and NaN weights in some.
+def _hands_sql(correlations: int) -> str:
+    return f"""{VIS.replace("vis AS (", "vis0 AS (", 1)}, vis AS (SELECT * REPLACE (p.range::INT AS pol, event_id%19=0 AND p.range={correlations - 1} AS flag,
+ CASE WHEN event_id%23=5 AND p.range=0 THEN 'nan'::DOUBLE ELSE 0.25e0*(1+(event_id+2*p.range)%5) END AS weight) FROM vis0, range({correlations}) p)"""
+
+
+def hands(spark: SparkSession, sf: str, correlations: int) -> DataFrame:
+    wide = vis(spark, sf).withColumn("pol", F.explode(F.sequence(F.lit(0), F.lit(correlations - 1))))
+    e, p = F.col("event_id"), F.col("pol")
+    weight = F.when((e % 23 == 5) & (p == 0), float("nan")).otherwise(F.lit(0.25) * (1 + (e + 2 * p) % 5))
+    return wide.withColumns({"flag": (e % 19 == 0) & (p == correlations - 1), "weight": weight})
+
+
+def _averaged_sql(correlations: int, factors: str) -> str:
+    mean = f"""mean AS (SELECT event_id, any_value(chan) AS chan, any_value(up) AS up, any_value(vp) AS vp, sum(weight)/2 AS weight FROM pos
+ WHERE pol IN (0, {correlations - 1}) GROUP BY event_id HAVING bool_and(NOT flag AND NOT isnan(weight)))"""
+    density = DENSITY.replace("FROM pos WHERE NOT flag", "FROM mean", 1)
+    return f"""WITH {_hands_sql(correlations)}, {POS}, {mean}, {density}, sw AS (SELECT chan, 2*sum(weight) AS sw FROM nc GROUP BY chan), fac AS ({factors}),
+ new AS (SELECT event_id, CASE WHEN density IS NOT NULL AND density <> 0 THEN weight/(a*density+b) ELSE weight END AS nw FROM nc LEFT JOIN density USING (chan, iu, iv) JOIN fac USING (chan))
+ SELECT event_id, pol, {r6('coalesce(nw, 0e0)')} AS weight_imaging FROM vis LEFT JOIN new USING (event_id)"""
+
+
+def _averaged(scheme: str, correlations: int):
+    # an event is a sample of all its correlations
+    return lambda spark, sf: rounded(gridding.averaged_weights(hands(spark, sf, correlations).withColumn("of", F.col("event_id")), scheme, 0.5, N, CELL, correlations, ("of", "chan")), "weight_imaging")
+
+
+FACTORS = {
+    "briggs": f"SELECT chan, ({(5.0 * 10.0 ** -0.5) ** 2!r}::DOUBLE)/(g2/sw) AS a, 1e0 AS b FROM (SELECT chan, sum(density*density) AS g2 FROM density GROUP BY chan) JOIN sw USING (chan)",
+    "briggs_abs": "SELECT chan, 0.25e0 AS a, 2e0 AS b FROM sw",
+    "uniform": "SELECT chan, 1e0 AS a, 0e0 AS b FROM sw",
+}
+for _scheme, _factors in FACTORS.items():
+    for _k in (2, 4):
+        query(f"weights_{_scheme}_averaged_{_k}", _averaged_sql(_k, _factors))(_averaged(_scheme, _k))
+
 #: A model grid with a closed form.
 MODEL = f"model AS (SELECT c.range::INT AS chan, p.range::INT AS pol, a.range::INT AS iu, b.range::INT AS iv, (a.range*3+b.range)%11+0.5e0 AS gr, ((a.range+b.range*5)%7)::DOUBLE AS gi FROM range(4) c, range(2) p, range({N}) a, range({N}) b)"
 
@@ -255,6 +318,16 @@ def mosaic_grid(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: tidy(F.col(c), 8) for c in ("re", "im")})  # exact decimals: six digits would be ties
 
 
+@query(
+    "mosaic_nan",
+    ORACLE["mosaic_grid"].replace(VIS, VIS_FIT, 1),
+)
+def mosaic_nan(spark: SparkSession, sf: str) -> DataFrame:
+    classes = vis_nan(spark, sf).withColumn("cf", (F.col("ant1") % 2 + F.col("ant2") % 2).cast("int"))
+    out = gridding.mosaic_grid(classes, cf_kernels(spark), N, CELL)
+    return out.withColumns({c: tidy(F.col(c), 8) for c in ("re", "im")})
+
+
 # ---- images --------------------------------------------------------------------------------------------------------
 def _dft_sql(source: str, sign: int, scale: str, extra: str = "") -> str:
     phase = f"{sign}*2*pi()*((k.l-4)*(x.l-4)+(k.m-4)*(x.m-4))/8e0"

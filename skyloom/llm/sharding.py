@@ -66,22 +66,22 @@ def first_map(units: DataFrame, shards: int) -> DataFrame:
     return units.select(F.lit(1).alias("version"), "virtual_slot", "part", F.pmod(F.col("virtual_slot") + F.col("part"), F.lit(shards)).cast("int").alias("shard"))
 
 
-def _placed(kept: DataFrame, moving: DataFrame, targets: list[int], shards: int) -> DataFrame:
-    """The units of ``moving``, largest first, each on the one of ``targets`` that holds least. One row a unit, so at most
+def _placed(marked: DataFrame, targets: list[int]) -> DataFrame:
+    """The units that don't stay, largest first, each on the one of ``targets`` that holds least. One row a unit, so at most
     ``SLOTS + PARTS * shards``; the loads are an array that one aggregation carries along."""
-    held = kept.groupBy("shard").agg(F.sum("bytes").alias("bytes"))
-    held = held.agg(F.map_from_entries(F.collect_list(F.struct("shard", "bytes"))).alias("held"))
     unit = F.struct((-F.col("bytes")).alias("b"), F.col("virtual_slot").alias("s"), F.col("part").alias("p"))
-    queue = moving.agg(F.array_sort(F.collect_list(unit)).alias("queue"))
-    loads = F.array(*[F.struct(F.coalesce(F.col("held")[F.lit(s)], F.lit(0)).cast("long").alias("load"), F.lit(s).alias("shard")) for s in targets])
-    start = F.struct(loads.alias("loads"), F.array().cast("array<int>").alias("shards"))
+    queue = F.array_sort(F.collect_list(F.when(~F.col("stays"), unit)))
+    held = [F.coalesce(F.sum(F.when(F.col("stays") & (F.col("shard") == s), F.col("bytes"))), F.lit(0)).cast("long") for s in targets]
+    loads = F.array(*[F.struct(h.alias("load"), F.lit(s).alias("shard")) for h, s in zip(held, targets)])
+    one = marked.agg(queue.alias("queue"), loads.alias("loads"))
+    start = F.struct(F.col("loads"), F.array().cast("array<int>").alias("shards"))
 
     def place(state: Column, u: Column) -> Column:
         least = F.array_min(state["loads"])
         added = F.transform(state["loads"], lambda x: F.struct((x["load"] + F.when(x["shard"] == least["shard"], -u["b"]).otherwise(F.lit(0))).alias("load"), x["shard"].alias("shard")))
         return F.struct(added.alias("loads"), F.concat(state["shards"], F.array(least["shard"])).alias("shards"))
 
-    done = queue.join(held, how="cross").select("queue", F.aggregate("queue", start, place)["shards"].alias("shards"))  # one row each
+    done = one.select("queue", F.aggregate("queue", start, place)["shards"].alias("shards"))
     return done.select(F.explode(F.arrays_zip("queue", "shards")).alias("x")).select(F.col("x.queue.s").alias("virtual_slot"), F.col("x.queue.p").alias("part"), F.col("x.shards").alias("shard"), (-F.col("x.queue.b")).alias("bytes"))
 
 
@@ -92,11 +92,9 @@ def _next(units: DataFrame, current: DataFrame, targets: list[int], shards: int)
     largest = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot", "part")
     marked = now.withColumn("share", share).withColumn("run", F.sum("bytes").over(largest))
     marked = materialize(marked.withColumn("stays", F.col("run") <= F.col("share")), "shard-marked")
-    kept, moving = marked.where("stays"), marked.where("not stays")
-    placed = _placed(kept, moving, targets, shards)
-    version = current.agg((F.max("version") + 1).alias("version"))
-    after = kept.select("virtual_slot", "part", "shard").unionByName(placed.select("virtual_slot", "part", "shard"))
-    return materialize(after.join(version, how="cross").select(F.col("version").cast("int").alias("version"), "virtual_slot", "part", "shard"), "shard-map")
+    version = (current.agg(F.max("version")).first()[0] or 0) + 1
+    after = marked.where("stays").select("virtual_slot", "part", "shard").unionByName(_placed(marked, targets).select("virtual_slot", "part", "shard"))
+    return materialize(after.select(F.lit(version).alias("version"), "virtual_slot", "part", "shard"), "shard-map")
 
 
 def rebalanced(units: DataFrame, current: DataFrame, shards: int) -> DataFrame:

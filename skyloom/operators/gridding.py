@@ -7,8 +7,11 @@ join is needed. ``sum_weight`` factorises into two one-dimensional kernel sums a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import LIGHT, cexp, cmul, half_kernel
 
@@ -24,9 +27,26 @@ def nearest(x: Column) -> Column:
     return (x + 0.5).cast("int")
 
 
-def effective_weight(weight: Column = None) -> Column:
-    """Zero where flagged or without coordinates."""
-    return F.when(F.col("flag") | F.isnan("u") | F.isnan("v"), 0.0).otherwise(F.col("weight"))
+#: What a sample needs: coordinates and a weight, and a visibility where one is gridded.
+COORDINATES, VISIBILITY = ("u", "v", "weight"), ("u", "v", "weight", "re", "im")
+
+
+def usable(columns: list[str] | tuple[str, ...]) -> Column:
+    """Whether a sample is not flagged and none of ``columns`` is NaN or null."""
+    out = ~F.coalesce(F.col("flag"), F.lit(False))
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c)
+    return out
+
+
+def visible(vis: DataFrame) -> Column:
+    """``usable`` by all that ``vis`` has of a sample, so that a NaN never reaches a sum."""
+    return usable([c for c in VISIBILITY if c in vis.columns])
+
+
+def effective_weight(columns: list[str] | tuple[str, ...] = VISIBILITY) -> Column:
+    """Zero where flagged, or where coordinates, weight or visibility are NaN or null."""
+    return F.when(usable(columns), F.col("weight")).otherwise(0.0)
 
 
 def _cells(vis: DataFrame, n: int, cell: float, support: int, oversampling: int, mode: str) -> DataFrame:
@@ -35,7 +55,7 @@ def _cells(vis: DataFrame, n: int, cell: float, support: int, oversampling: int,
     out = out.where((F.col("ui") - half >= 0) & (F.col("vi") - half >= 0) & (F.col("ui") + half < n) & (F.col("vi") + half < n))
     sub = lambda i, p: F.floor((F.col(i) - F.col(p)) * oversampling + 0.5).cast("int")
     chan = F.col("chan") if mode == "cube" else F.lit(0)
-    return out.withColumns({"uo": sub("ui", "up"), "vo": sub("vi", "vp"), "chan": chan, "wt": effective_weight()})
+    return out.withColumns({"uo": sub("ui", "up"), "vo": sub("vi", "vp"), "chan": chan, "wt": effective_weight([c for c in VISIBILITY if c in vis.columns])})
 
 
 def _kernel(kernel: Column, offset: Column, step: Column, oversampling: int) -> Column:
@@ -84,35 +104,50 @@ def sum_weight(vis: DataFrame, n: int = 64, cell: float = 5e-5, support: int = 7
     return _cells(vis, n, cell, support, oversampling, mode).groupBy("chan", "pol").agg(F.sum(F.col("wt") * total).alias("sum_weight"))
 
 
-def _grid_rows(model: DataFrame, n: int) -> DataFrame:
-    """``chan, pol, iu, row_re, row_im``: the grid's rows as arrays over ``iv``; absent cells are zero. One shuffle."""
-    key = ["chan", "pol", "iu"]
-    cells = model.where(F.col("iv").between(0, n - 1)).select(*key, F.col("iv").cast("int").alias("iv"), "re", "im")
-    zeros = cells.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("iv"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
-    full = cells.unionByName(zeros).repartition(*[F.col(k) for k in key]).groupBy(*key, "iv").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    rows = full.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("iv", "re", "im"))).alias("r"))
-    return rows.select(*key, F.transform("r", lambda c: c["re"]).alias("row_re"), F.transform("r", lambda c: c["im"]).alias("row_im"))
+#: Side of the tiles that a grid is cut into for degridding, and places that one task looks up in a tile at once.
+TILE, TOGETHER = 128, 200_000
 
 
 def model_at(at: DataFrame, model: DataFrame | None, n: int, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
-    """``at`` (places, each once) with ``model_re, model_im``, the kernel-weighted mean of the grid around each. A place meets
-    the rows of the grid, not its cells: seven of them, each with a sum along the row."""
+    """``at`` with ``model_re, model_im``, the kernel-weighted mean of the grid around each place ``chan, pol, ui, vi, uo, vo``
+    (null where ``ui`` is). Places and the grid are dealt out alike, by tiles of the grid with a halo as wide as the kernel
+    reaches: each place moves once, to the one tile that holds its footprint. Places of a tile are counted first, and a tile
+    with many of them goes to as many tasks as that takes."""
     half = support // 2
-    kernel = F.array(*[F.lit(x) for x in half_kernel(support, oversampling)])
-    sums, low = _kernel_sums(support, oversampling)
-    along = F.array(*[F.get(kernel, F.abs(d * oversampling + F.col("vo"))) for d in range(-half, half + 1)])
-    wide = at.withColumn("along", along).withColumn("du", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-    wide = wide.withColumns({"ku": _kernel(kernel, F.col("uo"), F.col("du"), oversampling), "iu": F.col("ui") + F.col("du")})
-    if constant is None:
-        wide = wide.join(_grid_rows(model, n), ["chan", "pol", "iu"], "left")
-        dot = lambda c: F.coalesce(F.aggregate(F.zip_with("along", F.slice(c, F.col("vi") - half + 1, F.lit(support)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
-        re, im = dot("row_re"), dot("row_im")
-    else:
-        re, im = F.lit(constant) * F.get(sums, F.col("vo") - low), F.lit(0.0)
-    total = F.get(sums, F.col("uo") - low) * F.get(sums, F.col("vo") - low)
-    others = [c for c in at.columns if c not in PLACE]
-    mean = wide.groupBy(*PLACE).agg(F.sum(F.col("ku") * re).alias("sum_re"), F.sum(F.col("ku") * im).alias("sum_im"), *[F.first(c).alias(c) for c in others])
-    return mean.select(*PLACE, *others, (F.col("sum_re") / total).alias("model_re"), (F.col("sum_im") / total).alias("model_im"))
+    if constant is not None:
+        known = F.when(F.col("ui").isNotNull(), F.lit(float(constant)))
+        return at.withColumns({"model_re": known, "model_im": known * 0.0})
+    tile = lambda c: F.coalesce(F.expr(f"cast({c} div {TILE} as int)"), F.lit(-1))
+    key = ["chan", "pol", "_tu", "_tv"]
+    placed = at.withColumns({"_tu": tile("ui"), "_tv": tile("vi")})
+    counts = to_all(placed.groupBy(*key).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_parts")))
+    placed = placed.join(counts, key, "left").withColumn("_part", F.pmod(F.xxhash64(*at.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    tiles = lambda c: F.explode(F.expr(f"sequence(cast(greatest(0, ({c} - {half}) div {TILE}) as int), cast(({c} + {half}) div {TILE} as int))"))
+    cells = model.where(F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1)).select("chan", "pol", "iu", "iv", "re", "im", tiles("iu").alias("_tu"))
+    cells = cells.withColumn("_tv", tiles("iv")).join(counts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    kernel, side = np.array(half_kernel(support, oversampling)), TILE + 2 * half
+    steps = np.arange(-half, half + 1)
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = left.drop_columns([*key[2:], "_part"])
+        if not left.num_rows or left["_tu"][0].as_py() < 0:
+            return columns.append_column("model_re", pa.nulls(left.num_rows, pa.float64())).append_column("model_im", pa.nulls(left.num_rows, pa.float64()))
+        low = [left[c][0].as_py() * TILE - half for c in key[2:]]
+        grid = np.zeros((side, side), complex)
+        if right.num_rows:
+            np.add.at(grid, (right["iu"].to_numpy() - low[0], right["iv"].to_numpy() - low[1]), right["re"].to_numpy() + 1j * right["im"].to_numpy())
+        ui, vi, uo, vo = (left[c].to_numpy().astype(np.int64) for c in ("ui", "vi", "uo", "vo"))
+        ku, kv = (kernel[np.abs(steps * oversampling + o[:, None])] for o in (uo, vo))
+        total = np.zeros(len(ui), complex)
+        for a, du in enumerate(steps):
+            row = grid[(ui - low[0] + du)[:, None], (vi - low[1])[:, None] + steps]
+            total += ku[:, a] * (row * kv).sum(1)
+        total /= ku.sum(1) * kv.sum(1)
+        return columns.append_column("model_re", pa.array(total.real)).append_column("model_im", pa.array(total.imag))
+
+    schema = StructType([*at.schema.fields, *(StructField(c, DoubleType()) for c in ("model_re", "model_im"))])
+    both = [x.groupBy(*key, "_part") for x in (placed, cells)]
+    return both[0].cogroup(both[1]).applyInArrow(look_up, schema)
 
 
 def less_model(summed: DataFrame, model: DataFrame, n: int, support: int = 7, oversampling: int = 100) -> DataFrame:
@@ -123,26 +158,19 @@ def less_model(summed: DataFrame, model: DataFrame, n: int, support: int = 7, ov
 
 def degrid_onto(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
     """``vis`` with ``model_re, model_im``: the kernel-weighted mean of the grid (or a constant) around each sample; 0
-    outside it. Each distinct place is computed once, and samples join their place, not each other."""
+    outside it or without coordinates."""
     half = support // 2
     scale = -(F.col("freq") * F.lit(cell) * n) / F.lit(LIGHT)
-    known = ~F.isnan("u") & ~F.isnan("v")
-    at = vis.withColumns({"up": F.when(known, F.col("u") * scale + n // 2), "vp": F.when(known, F.col("v") * scale + n // 2)})
-    # abs() names each position once, so that the filter stays small when it is pushed down.
-    middle, width = (n - 1) / 2, (n - 1) / 2 - half
-    inside = F.coalesce((F.abs(F.rint("up") - middle) <= width) & (F.abs(F.rint("vp") - middle) <= width), F.lit(False))
-    sub = lambda p: F.floor((F.rint(p) - F.col(p)) * oversampling + 0.5).cast("int")
-    near = at.where(inside).select("chan", "pol", F.rint("up").cast("int").alias("ui"), F.rint("vp").cast("int").alias("vi"), sub("up").alias("uo"), sub("vp").alias("vo")).distinct()
-    mean = model_at(near, model, n, support, oversampling, constant)
-    # Samples outside find no place; a hash in their key keeps them from meeting in one task.
-    nowhere = F.lit(-(1 << 20)) - F.pmod(F.xxhash64(*vis.columns), F.lit(4096)).cast("int")
-    at = at.withColumn("inside", inside)
-    held = lambda c, other: F.when(F.col("inside"), c).otherwise(other)
-    zero_ = F.lit(0)
-    at = at.withColumns({"ui": held(F.rint("up").cast("int"), zero_), "vi": held(F.rint("vp").cast("int"), zero_), "uo": held(sub("up"), nowhere), "vo": held(sub("vp"), zero_)}).drop("up", "vp", "inside")
+    known = lambda c: F.when(~F.isnan("u") & ~F.isnan("v"), F.col(c) * scale + n // 2)
     wanted = [c for c in vis.columns if c not in ("model_re", "model_im")]
-    zero = lambda c: F.coalesce(mean[c], F.lit(0.0)).alias(c)
-    return at.drop("model_re", "model_im").join(mean, PLACE, "left").select(*wanted, zero("model_re"), zero("model_im"))
+    middle, width = (n - 1) / 2, (n - 1) / 2 - half
+    at = vis.drop("model_re", "model_im").withColumns({"_up": known("u"), "_vp": known("v")})
+    at = at.withColumn("_in", (F.abs(F.rint("_up") - middle) <= width) & (F.abs(F.rint("_vp") - middle) <= width))
+    spot = lambda p: F.when(F.col("_in"), F.rint(p).cast("int"))
+    sub = lambda p: F.when(F.col("_in"), F.floor((F.rint(p) - F.col(p)) * oversampling + 0.5).cast("int"))
+    at = at.withColumns({"ui": spot("_up"), "vi": spot("_vp"), "uo": sub("_up"), "vo": sub("_vp")}).drop("_up", "_vp", "_in")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return model_at(at, model, n, support, oversampling, constant).select(*wanted, zero("model_re"), zero("model_im"))
 
 
 def degrid(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
@@ -179,13 +207,15 @@ def to_all(kernels: DataFrame) -> DataFrame:
 
 
 def _nearest_cells(vis: DataFrame, n: int, cell: float) -> DataFrame:
-    out = positions(vis, n, cell).where(~F.col("flag"))
-    return out.withColumns({"iu": nearest(F.col("up")), "iv": nearest(F.col("vp"))})
+    """Usable samples within the grid, with their cell ``iu, iv``."""
+    out = positions(vis, n, cell).where(usable(COORDINATES))
+    out = out.withColumns({"iu": nearest(F.col("up")), "iv": nearest(F.col("vp"))})
+    return out.where(F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1))
 
 
 def weight_density(vis: DataFrame, n: int = 64, cell: float = 5e-5, averaged: int = 1) -> DataFrame:
-    """``chan, iu, iv, density``: the weights of the nearest cells and of their conjugates. ``averaged`` is the number of
-    polarisations (2, say) whose weights a sample's weight is the mean of; with 1 they add up."""
+    """``chan, iu, iv, density``: the weights of the nearest cells and of their conjugates, of samples within the grid.
+    ``averaged`` divides the density, as where the weights of two polarisations are halves of one sample's."""
     at = _nearest_cells(vis, n, cell)
     pair = F.array(F.struct("iu", "iv"), F.struct(nearest(n - F.col("up")).alias("iu"), nearest(n - F.col("vp")).alias("iv")))
     both = at.select("chan", "weight", F.explode(pair).alias("c")).select("chan", "weight", "c.iu", "c.iv")
@@ -204,32 +234,51 @@ def briggs_factors(density: DataFrame, sums: DataFrame, scheme: str, robust: flo
 
 
 def imaging_weights(vis: DataFrame, scheme: str = "natural", robust: float = 0.5, n: int = 64, cell: float = 5e-5) -> DataFrame:
-    """``event_id, weight_imaging`` of every sample; outside the grid 0, flagged or without coordinates 0."""
+    """``event_id, weight_imaging`` of every sample, each polarisation for itself; 0 outside the grid and where the sample is
+    flagged or its coordinates or weight are NaN."""
     if scheme == "natural":
-        return vis.select("event_id", effective_weight().alias("weight_imaging"))
+        return vis.select("event_id", effective_weight(COORDINATES).alias("weight_imaging"))
+    return _reweighted(vis, ["event_id"], scheme, robust, n, cell)
+
+
+def _reweighted(vis: DataFrame, kept: list[str], scheme: str, robust: float, n: int, cell: float) -> DataFrame:
+    """``kept, weight_imaging`` by the density of weights. Samples look their cell up and are never joined with themselves."""
     if scheme not in ("briggs", "briggs_abs", "uniform"):
         raise ValueError(f"unknown weighting scheme {scheme!r}")
     density = weight_density(vis, n, cell)
     sums = _nearest_cells(vis, n, cell).groupBy("chan").agg((2 * F.sum("weight")).alias("sw"))
     factors = F.broadcast(briggs_factors(density, sums, scheme, robust))  # one row a channel
-    # Samples look their cell up and are never joined with themselves; those without a cell get 0.
     scale = -(F.col("freq") * F.lit(cell) * n) / F.lit(LIGHT)
-    usable = ~F.col("flag") & ~F.isnan("u") & ~F.isnan("v")
     # Samples without a cell look up one that cannot be, by a hash, so they do not meet in one task.
-    nowhere = F.lit(-2) - F.pmod(F.xxhash64("event_id"), F.lit(4096)).cast("int")
-    place = lambda c: F.when(usable, nearest(F.col(c) * scale + n // 2)).otherwise(nowhere)
-    at = vis.select("event_id", "chan", "weight", place("u").alias("iu"), place("v").alias("iv"))
+    nowhere = F.lit(-2) - F.pmod(F.xxhash64(*[c for c in kept if not dict(vis.dtypes)[c].startswith("array")]), F.lit(4096)).cast("int")
+    place = lambda c: F.when(usable(COORDINATES), nearest(F.col(c) * scale + n // 2)).otherwise(nowhere)
+    at = vis.select(*dict.fromkeys([*kept, "chan", "weight"]), place("u").alias("iu"), place("v").alias("iv"))
     at = at.join(density, ["chan", "iu", "iv"], "left").join(factors, "chan", "left")
     inside = F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1)
     new = F.when(F.col("density").isNotNull() & (F.col("density") != 0), F.col("weight") / (F.col("a") * F.col("density") + F.col("b"))).otherwise(F.col("weight"))
-    return at.select("event_id", F.when(inside, new).otherwise(0.0).alias("weight_imaging"))
+    return at.select(*kept, F.when(inside, new).otherwise(0.0).alias("weight_imaging"))
+
+
+def averaged_weights(vis: DataFrame, scheme: str, robust: float = 0.5, n: int = 64, cell: float = 5e-5, correlations: int = 2, sample: tuple[str, ...] = ("t", "ant1", "ant2", "chan")) -> DataFrame:
+    """``event_id, pol, weight_imaging`` with one weight for all polarisations of a ``sample``: the mean of its parallel
+    hands (0 and 1 of two correlations, 0 and 3 of four) makes the density and is reweighted. A hand that is flagged, NaN or
+    absent takes the sample's other hands with it: their weight is 0. Samples are gathered once, and spread back from the
+    arrays that they were gathered in."""
+    if correlations not in (2, 4):
+        raise ValueError("there are two or four correlations")
+    fit = F.when(usable(COORDINATES), F.col("weight"))
+    hand = lambda p: F.max(F.when(F.col("pol") == p, fit))
+    one = vis.groupBy(*sample).agg(*[F.max(c).alias(c) for c in ("u", "v", "freq")], ((hand(0) + hand(correlations - 1)) / 2).alias("weight"), F.collect_list(F.struct("event_id", "pol")).alias("hands"))
+    one = one.withColumn("flag", F.col("weight").isNull())
+    new = _reweighted(one, [*sample, "hands"], scheme, robust, n, cell) if scheme != "natural" else one.withColumn("weight_imaging", F.coalesce("weight", F.lit(0.0)))
+    return new.select(F.explode("hands").alias("h"), "weight_imaging").select("h.event_id", "h.pol", "weight_imaging")
 
 
 def single_dish_grid(vis: DataFrame, n: int = 64, cell: float = 40.0, radius: int = 3) -> DataFrame:
     """``pol, iu, iv, re, im, weight``: a radial kernel scattered within a circle, clipped at the edges; half-even rounding
     and the conjugate of the value."""
     x, y = F.col("u") / cell + n // 2, F.col("v") / cell + n // 2
-    at = vis.where(~F.col("flag")).select("pol", "re", "im", "weight", x.alias("x"), y.alias("y"), F.rint(x).cast("int").alias("ci"), F.rint(y).cast("int").alias("cj"))
+    at = vis.where(visible(vis)).select("pol", "re", "im", "weight", x.alias("x"), y.alias("y"), F.rint(x).cast("int").alias("ci"), F.rint(y).cast("int").alias("cj"))
     steps = F.sequence(F.lit(-radius), F.lit(radius))
     wide = at.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps)).withColumns({"iu": F.col("ci") + F.col("di"), "iv": F.col("cj") + F.col("dj")})
     d2 = (F.col("iu") - F.col("x")) * (F.col("iu") - F.col("x")) + (F.col("iv") - F.col("y")) * (F.col("iv") - F.col("y"))
@@ -240,7 +289,7 @@ def single_dish_grid(vis: DataFrame, n: int = 64, cell: float = 40.0, radius: in
 
 def aperture_grid(vis: DataFrame, kernels: DataFrame, n: int = 16) -> DataFrame:
     """``chan, pol, iu, iv, re``: every sample's kernel at the grid's centre; weights factor out, so they are summed first."""
-    sums = vis.where(~F.col("flag")).groupBy("chan", "pol", "cf").agg(F.sum("weight").alias("w"))
+    sums = vis.where(visible(vis)).groupBy("chan", "pol", "cf").agg(F.sum("weight").alias("w"))
     out = sums.join(to_all(kernels), "cf")
     return out.groupBy("chan", "pol", (F.col("du") + n // 2).alias("iu"), (F.col("dv") + n // 2).alias("iv")).agg(F.sum(F.col("w") * F.col("k")).alias("re"))
 
@@ -249,7 +298,7 @@ def mosaic_grid(vis: DataFrame, kernels: DataFrame, n: int = 64, cell: float = 5
     """``chan, pol, iu, iv, re, im``: gridding with a kernel by baseline class ``cf``. ``kernels(cf, du, dv, k)`` is a small
     table; with an oversampling above 1 it has ``uo, vo`` too, the sub-cell offsets. ``gradient`` names
     columns of radians by sub-cell that turn the kernels' phase, as for fields beside the phase centre."""
-    at = positions(vis.where(~F.col("flag")), n, cell).withColumns({"ui": nearest(F.col("up")), "vi": nearest(F.col("vp"))})
+    at = positions(vis.where(visible(vis)), n, cell).withColumns({"ui": nearest(F.col("up")), "vi": nearest(F.col("vp"))})
     at = at.where((F.col("ui") >= 0) & (F.col("vi") >= 0) & (F.col("ui") < n) & (F.col("vi") < n))
     key = ["cf"]
     if oversampling > 1:

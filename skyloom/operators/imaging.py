@@ -280,7 +280,7 @@ def mosaic_image(vis: DataFrame, kernels: DataFrame, squared: DataFrame, n: int,
     cells = gridding.mosaic_grid(vis, kernels, n, cell, oversampling, ("gx", "gy"))
     uv = cells.select(F.col("pol").alias("plane"), "chan", F.col("iu").alias("l"), F.col("iv").alias("m"), "re", "im")
     sky = images.fft(uv, inverse=True, n=n).select(*KEY, "l", "m", (F.col("re") * (n * n)).alias("value"))
-    sums = vis.where(~F.col("flag") & ~F.isnan("u") & ~F.isnan("v")).groupBy(F.col("pol").alias("plane"), "chan").agg(F.sum("weight").alias("w"))
+    sums = vis.where(gridding.visible(vis)).groupBy(F.col("pol").alias("plane"), "chan").agg(F.sum("weight").alias("w"))
     wide = sky.join(mean_beam(vis, squared, n, oversampling), [*KEY, "l", "m"]).join(sums, list(KEY))
     return images.normalize(wide, F.col("w"), F.lit(1.0), F.col("pb"), norm_type, pb_limit).select(*KEY, "l", "m", "value", "pb")
 
@@ -289,7 +289,7 @@ def mean_beam(vis: DataFrame, squared: DataFrame, n: int, oversampling: int = 10
     """``plane, chan, l, m, pb``: every sample's squared kernel at the grid's centre. Weights factor out, so they are summed
     by class and field before any kernel is laid down."""
     centred = squared.where("uo = 0 and vo = 0").select("cf", "du", "dv", "k")
-    sums = vis.where(~F.col("flag") & ~F.isnan("u") & ~F.isnan("v")).groupBy(F.col("pol").alias("plane"), "chan", "cf", "gx", "gy").agg(F.sum("weight").alias("w"))
+    sums = vis.where(gridding.visible(vis)).groupBy(F.col("pol").alias("plane"), "chan", "cf", "gx", "gy").agg(F.sum("weight").alias("w"))
     wave = cexp((F.col("du") * F.col("gx") + F.col("dv") * F.col("gy")) * oversampling)
     size = F.col("w") * F.col("k")
     cells = sums.join(gridding.to_all(centred), "cf").groupBy("plane", "chan", (F.col("du") + n // 2).alias("l"), (F.col("dv") + n // 2).alias("m"))
