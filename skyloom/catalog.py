@@ -715,6 +715,26 @@ def fringe_fit(spark: SparkSession, sf: str) -> DataFrame:
     return calibration.fringe_fit(_fringe_vis(spark, sf), 0)
 
 
+#: The same where antenna 2 has no middle channels and antenna 3 no middle times, fitted by sums of the padded transform.
+FRINGE_GAPS = f"""WITH {VIS}, e AS (SELECT (ant1%5+1)::INT AS ant, ((event_id//16)%16)::INT AS i, (event_id%16)::INT AS k, ((event_id//7)%2)::INT AS pol, weight, flag FROM vis),
+ s AS (SELECT ant, pol, i, k, sum(CASE WHEN flag THEN 0e0 ELSE weight END) AS w, sum(CASE WHEN flag THEN 0e0 ELSE weight*weight END) AS w2, count(*) FILTER (NOT flag) AS n, 2*pi()*ant*1e-8*k*1e6+0.1e0*ant AS p
+ FROM e WHERE NOT (ant = 2 AND k BETWEEN 4 AND 11) AND NOT (ant = 3 AND i BETWEEN 6 AND 9) GROUP BY ant, pol, i, k),
+ f AS (SELECT ant, pol, i, q.range AS q, sum(w*cos(p-2*pi()*q.range*k/128e0)) AS re, sum(w*sin(p-2*pi()*q.range*k/128e0)) AS im FROM s, range(128) q GROUP BY ant, pol, i, q.range),
+ t AS (SELECT ant, pol, q, r.range AS r, sum(re*cos(2*pi()*r.range*i/128e0)+im*sin(2*pi()*r.range*i/128e0)) AS re, sum(im*cos(2*pi()*r.range*i/128e0)-re*sin(2*pi()*r.range*i/128e0)) AS im FROM f, range(128) r GROUP BY ant, pol, q, r.range),
+ best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY ant, pol ORDER BY re*re+im*im DESC) = 1), total AS (SELECT ant, pol, sum(w) AS w, sum(w2) AS w2, sum(n) AS n FROM s GROUP BY ant, pol)
+ SELECT ant, pol, {r6('atan2(im, re)')} AS phase, {r6('(CASE WHEN q < 64 THEN q ELSE q-128 END)/(16*1e6)/8*1e9')} AS delay_ns, {r6('(CASE WHEN r < 64 THEN r ELSE r-128 END)/(16*2e0)/8/1.4e9*1e15')} AS rate_fs,
+ CASE WHEN sqrt(re*re+im*im)/w > 0.99e0 THEN 9999e0 ELSE round(pow(tan(pi()/2*sqrt(re*re+im*im)/w), 1.163e0)*sqrt(w/sqrt(w2/n)), 3) END AS snr FROM best JOIN total USING (ant, pol)
+ UNION ALL SELECT DISTINCT 0, pol, 0e0, 0e0, 0e0, 1e9 FROM s"""
+
+
+@query("fringe_fit_gaps", FRINGE_GAPS)
+def fringe_fit_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    ant, chan, time = F.col("ant1") + F.col("ant2"), F.rint((F.col("freq") - 1.4e9) / 1e6), F.col("t") / 2
+    seen = _fringe_vis(spark, sf).where(~((ant == 2) & chan.between(4, 11)) & ~((ant == 3) & time.between(6, 9)))
+    found = calibration.fringe_fit(seen, 0)
+    return found.select("ant", "pol", tidy(F.col("phase")).alias("phase"), tidy(F.col("delay") * 1e9).alias("delay_ns"), tidy(F.col("rate") * 1e15).alias("rate_fs"), F.round("snr", 3).alias("snr"))
+
+
 CAL = "cal AS (SELECT a.range::INT AS ant, p.range::INT AS pol, 0.1e0*a.range AS phase, 1e-9*(a.range+p.range) AS delay, 1e-14*a.range AS rate FROM range(8) a, range(2) p)"
 
 

@@ -97,48 +97,66 @@ def hands(correlations: int) -> tuple[Column, Column]:
     return (pol, pol) if correlations == 2 else ((pol / 2).cast("int"), (pol % 2).cast("int"))
 
 
+def even_axis(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, {column}0, {column}_step, {column}_n``: the start, step and length of the evenly spaced axis on which the values of
+    a column lie; the step is the least distance of two values. Values between its points raise."""
+    values = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(*by, column).distinct()
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(column)  # distinct times or channels of one data set
+    steps = values.withColumn("_d", F.col(column) - F.lag(column).over(order))
+    found = steps.groupBy(*by).agg(F.min(column).alias(f"{column}0"), F.coalesce(F.min("_d"), F.lit(1.0)).alias("_s"), F.max(column).alias("_m"), F.collect_set("_d").alias("_all"))
+    count = F.rint((F.col("_m") - F.col(f"{column}0")) / F.col("_s"))
+    # The mean step over the whole axis is more exact than a single difference.
+    step = F.when(count > 0, (F.col("_m") - F.col(f"{column}0")) / count).otherwise(F.col("_s"))
+    odd = F.exists("_all", lambda d: F.abs(d / F.col("_s") - F.rint(d / F.col("_s"))) > 0.05)
+    checked = F.when(odd, F.raise_error(F.lit(f"the values of {column} are not evenly spaced")).cast("int")).otherwise(count.cast("int") + 1)
+    return found.select(*by, f"{column}0", step.alias(f"{column}_step"), checked.alias(f"{column}_n"))
+
+
 def fringe_fit(
     vis: DataFrame, reference: int, pad: int = 8, by: tuple[str, ...] = (), times: tuple[float, float] | None = None, reference_frequency: float | None = None, correlations: int = 2
 ) -> DataFrame:
     """``ant, pol, phase, delay, rate, snr`` of every antenna against the reference: the peak of the zero-padded
     transform over time and frequency of phase-only data. Phases are those that ``apply_calibration`` takes off: of the
     baseline from the reference to the antenna. ``by`` names further keys (a spectral window, say) fitted each for itself;
-    ``times`` is an inclusive interval; phases are given at ``reference_frequency`` (the first one if none). Flagged and NaN
+    ``times`` is an inclusive interval; phases are given at ``reference_frequency`` (the first one if none). Times and
+    channels are numbered on the even axes of all the data, so rows that an antenna lacks leave gaps. Flagged and NaN
     samples have no weight. The reference antenna itself has zeros. ``pol`` is the receptor; of four correlations only the
     parallel hands are fitted."""
     vis = vis.where(F.col("t").between(*times)) if times else vis
     one, two = hands(correlations)
     pairs = vis.where(((F.col("ant1") == reference) != (F.col("ant2") == reference)) & (one == two)).withColumn("pol", one)
     flip = F.when(F.col("ant1") == reference, 1.0).otherwise(-1.0)
-    bad = F.isnan("re") | F.isnan("im")
+    bad = F.isnan("re") | F.isnan("im") | F.isnan("weight") | F.col("re").isNull() | F.col("im").isNull() | F.col("weight").isNull()
     bad = bad | F.col("flag") if "flag" in vis.columns else bad
     ant = F.when(F.col("ant1") == reference, F.col("ant2")).otherwise(F.col("ant1")).cast("int")
     zero = lambda c: F.when(bad, 0.0).otherwise(c)
+    axes = [even_axis(vis.select(*by, F.col(c).cast("double").alias(c)), c, by) for c in ("t", "freq")]
     pairs = pairs.select(*by, F.col("pol").cast("int").alias("pol"), ant.alias("ant"), "t", "freq", zero(F.col("weight")).alias("weight"), zero(F.col("re")).alias("re"), zero(F.col("im") * flip).alias("im"))
+    one_key = F.lit(0).alias("_all")
+    for axis in axes:  # a row for all the data, or one for each of ``by``
+        pairs = pairs.join(axis, list(by)) if by else pairs.select("*", one_key).join(axis.select("*", one_key), "_all").drop("_all")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, freqs = np.unique(pdf["t"]), np.unique(pdf["freq"])
-        x = np.zeros((len(times), len(freqs)), complex)
-        w = np.zeros(x.shape)
+        first = pdf.iloc[0]
+        shape = int(first["t_n"]), int(first["freq_n"])
+        dt, df, low = float(first["t_step"]), float(first["freq_step"]), float(first["freq0"])
+        x, w = np.zeros(shape, complex), np.zeros(shape)
         v = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
         size = np.abs(v)
-        at = np.searchsorted(times, pdf["t"]), np.searchsorted(freqs, pdf["freq"])
+        at = tuple(np.rint((pdf[c].to_numpy() - float(first[f"{c}0"])) / float(first[f"{c}_step"])).astype(int) for c in ("t", "freq"))
         np.add.at(x, at, np.where(size > 0, v / np.where(size > 0, size, 1), 0) * pdf["weight"].to_numpy())
         np.add.at(w, at, pdf["weight"].to_numpy())
-        dt = times[1] - times[0] if len(times) > 1 else 1.0
-        df = freqs[1] - freqs[0] if len(freqs) > 1 else 1.0
-        y = np.fft.fft2(x, (pad * len(times), pad * len(freqs)))
+        y = np.fft.fft2(x, (pad * shape[0], pad * shape[1]))
         i, k = np.unravel_index(int(np.abs(y).argmax()), y.shape)
         i2, k2 = (i if i < y.shape[0] / 2 else i - y.shape[0]), (k if k < y.shape[1] / 2 else k - y.shape[1])
         total, n = w.sum(), int((pdf["weight"].to_numpy() > 0).sum())
         share = min(np.abs(y[i, k]) / total, 1.0) if total > 0 else 0.0
         square = float((pdf["weight"].to_numpy() ** 2).sum())
         snr = 0.0 if total <= 0 else SNR_FULL if share > 0.99 else math.tan(math.pi / 2 * share) ** SNR_POWER * math.sqrt(total / math.sqrt(square / n))
-        at_reference = freqs[0] if reference_frequency is None else reference_frequency
-        delay = k2 * fourier_spacing(len(freqs), df, pad)
-        phase = float(np.angle(y[i, k])) - 2 * math.pi * delay * (freqs[0] - at_reference)
-        rate = i2 * fourier_spacing(len(times), dt, pad) / at_reference
-        first = pdf.iloc[0]
+        at_reference = low if reference_frequency is None else reference_frequency
+        delay = k2 * fourier_spacing(shape[1], df, pad)
+        phase = float(np.angle(y[i, k])) - 2 * math.pi * delay * (low - at_reference)
+        rate = i2 * fourier_spacing(shape[0], dt, pad) / at_reference
         return pd.DataFrame({**{k: [first[k]] for k in by}, "ant": [int(first["ant"])], "pol": [int(first["pol"])], "phase": [phase], "delay": [delay], "rate": [float(rate)], "snr": [float(snr)]})
 
     fields = "".join(f"{k} {dict(vis.dtypes)[k]}, " for k in by)
