@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import sources
-from .operators import calibration, deconvolution, fitting, gridding, images, imaging, selection
+from .operators import calibration, deconvolution, fitting, frames, gridding, images, imaging, selection
 from .plans import IMG, RET_LOG, VIS, img, ret_log, table, tidy, vis
 from .streaming import weight_windows
 
@@ -941,6 +941,66 @@ def frame_conversion(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(calibration.convert_frame(samples, factors, targets, ("t", "pol", "ant1")), "re", "im", "weight")
 
 
+#: Events towards directions of their own.
+RA, DEC = "radians((event_id%360)::DOUBLE)", "radians((event_id%120-60)::DOUBLE)"
+
+
+def _velocity_sql(frame: str, site: str, t: str, ra: str, dec: str) -> str:
+    """The velocity towards a source, spelled out in SQL."""
+    lon, lat, height = frames.SITES[site]
+    cy = f"(({t}-{frames.EPOCH!r}::DOUBLE+{frames.TERRESTRIAL!r}::DOUBLE)/3155760000e0)"
+    of_date = lambda pair: f"radians({pair[0]!r}::DOUBLE+{cy}*({pair[1]!r}::DOUBLE-{frames.PRECESSION!r}::DOUBLE))"
+    anomaly = f"radians({frames.SUN_ANOMALY[0]!r}::DOUBLE+{cy}*{frames.SUN_ANOMALY[1]!r}::DOUBLE)"
+    centre = "+".join(f"{c!r}::DOUBLE*sin({k}*{anomaly})" for k, c in enumerate(frames.CENTRE, 1))
+    sun, e = f"({of_date(frames.SUN_LONGITUDE)}+radians({centre}))", f"({frames.ECCENTRICITY[0]!r}::DOUBLE+{cy}*({frames.ECCENTRICITY[1]!r}::DOUBLE))"
+    around = [f"{s}::DOUBLE*{{}}({of_date((a, b))})" for s, a, b in frames.SHIFTS]
+    x = f"({frames.ORBIT_SPEED!r}::DOUBLE*(sin({sun})-{e}*sin({of_date(frames.PERIHELION)}))+" + "+".join(c.format("sin") for c in around) + ")"
+    y = f"({frames.ORBIT_SPEED!r}::DOUBLE*({e}*cos({of_date(frames.PERIHELION)})-cos({sun}))-" + "-".join(c.format("cos") for c in around) + ")"
+    turn = f"(2*pi()*({frames.ROTATION[0]!r}::DOUBLE+({t}-{frames.EPOCH!r}::DOUBLE)/86400*{frames.ROTATION[1]!r}::DOUBLE)+radians({lon!r}::DOUBLE))"
+    speed = f"({frames.SPIN!r}::DOUBLE*({frames.RADIUS!r}::DOUBLE/sqrt(pow(cos(radians({lat!r}::DOUBLE)),2)+pow((1-1/298.257223563e0)*sin(radians({lat!r}::DOUBLE)),2))+{height!r}::DOUBLE)*cos(radians({lat!r}::DOUBLE)))"
+    tilt, (sx, sy, sz) = f"radians({frames.OBLIQUITY!r}::DOUBLE)", frames.sun_velocity(frame)
+    return (
+        f"(({x}-{speed}*sin({turn})+({sx!r}::DOUBLE))*cos({dec})*cos({ra})+({y}*cos({tilt})+{speed}*cos({turn})+({sy!r}::DOUBLE))*cos({dec})*sin({ra})+({y}*sin({tilt})+({sz!r}::DOUBLE))*sin({dec}))"
+    )
+
+
+def _frame(frame: str, site: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        e = F.col("event_id")
+        speed = frames.velocity(F.col("t"), site, F.radians((e % 360).cast("double")), F.radians((e % 120 - 60).cast("double")), frame)
+        return vis(spark, sf).select("event_id", speed.alias("v")).select("event_id", F.round("v", 3).alias("velocity"), F.round((calibration.lsr_factor(F.col("v")) - 1) * 1e9, 2).alias("shift_ppb"))
+
+    return run
+
+
+for _frame_name, _site in (("lsrk", "ALMA"), ("lsrd", "VLA"), ("bary", "MEERKAT"), ("galacto", "GBT")):
+    query(
+        f"frame_{_frame_name}",
+        f"WITH {VIS}, x AS (SELECT event_id, {_velocity_sql(_frame_name, _site, 't', RA, DEC)} AS v FROM vis) SELECT event_id, round(v, 3) AS velocity, round((sqrt((1-v/299792458e0)/(1+v/299792458e0))-1)*1e9, 2) AS shift_ppb FROM x",
+    )(_frame(_frame_name, _site))
+
+
+#: Hours of a year in which one field is seen, so that frequencies move by some of the narrow channels.
+YEAR = "1.7e9+(event_id%7)*4.5e6"
+
+
+@query(
+    "frame_regrid_lsrk",
+    f"""WITH {VIS}, n AS (SELECT * REPLACE ({YEAR} AS t, 1.4e9+chan*2e5 AS freq) FROM vis), m AS (SELECT * REPLACE (freq*sqrt((1-speed/299792458e0)/(1+speed/299792458e0)) AS freq) FROM (SELECT *, {_velocity_sql("lsrk", "VLA", "t", "1.1e0", "0.4e0")} AS speed FROM n)),
+ s AS (SELECT pol, ant1, t, freq, avg(re) AS re, avg(im) AS im, avg(CASE WHEN flag THEN 0e0 ELSE weight END) AS weight FROM m GROUP BY ALL),
+ st AS (SELECT *, lead(freq) OVER w AS f1, lead(re) OVER w AS re1, lead(im) OVER w AS im1, lead(weight) OVER w AS w1, row_number() OVER w AS k, count(*) OVER (PARTITION BY t, pol, ant1) AS n FROM s WINDOW w AS (PARTITION BY t, pol, ant1 ORDER BY freq)),
+ o AS (SELECT k.range::INT AS k_out, low+k.range*(high-low)/4 AS out_freq FROM (SELECT min(freq) AS low, max(freq) AS high FROM m), range(4) k),
+ x AS (SELECT *, out_freq >= freq AND (out_freq < f1 OR (st.k = n-1 AND out_freq = f1)) AS inside, (out_freq-freq)/(f1-freq) AS a FROM st CROSS JOIN o WHERE f1 IS NOT NULL)
+ SELECT t, pol, ant1, round(out_freq, 1) AS out_freq, round(coalesce(max(CASE WHEN inside THEN re+(re1-re)*a END), 0e0), 3)+0e0 AS re, round(coalesce(max(CASE WHEN inside THEN im+(im1-im)*a END), 0e0), 3)+0e0 AS im,
+ round(coalesce(max(CASE WHEN inside THEN weight+(w1-weight)*a END), 0e0), 3)+0e0 AS weight FROM x GROUP BY t, pol, ant1, out_freq""",
+)
+def frame_regrid_lsrk(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    samples = vis(spark, sf).withColumns({"t": F.lit(1.7e9) + (e % 7) * F.lit(4.5e6), "freq": F.lit(1.4e9) + F.col("chan") * F.lit(2e5)})
+    found = frames.to_frame(samples, "VLA", 1.1, 0.4, "lsrk", keys=("t", "pol", "ant1"))
+    return found.withColumns({"out_freq": F.round("out_freq", 1), **{c: tidy(F.col(c), 3) for c in ("re", "im", "weight")}})
+
+
 @query(
     "chunk_plan",
     f"WITH {VIS} SELECT (chan//2)::INT AS chunk, min(chan) AS first, count(DISTINCT chan) AS channels, count(*) AS n, count(*) FILTER (flag) AS flagged FROM vis GROUP BY ALL",

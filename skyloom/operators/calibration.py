@@ -70,6 +70,11 @@ def convert_frame(vis: DataFrame, factors: DataFrame, targets: DataFrame, keys:
     visibilities and weights (0 where flagged) interpolated at uniform ``targets(out_freq)``. ``factors(t, factor)`` has a
     row a time; times without one keep their frequencies."""
     moved = vis.join(factors, "t", "left").withColumn("freq", F.col("freq") * F.coalesce("factor", F.lit(1.0)))
+    return regridded(moved, targets, keys)
+
+
+def regridded(moved: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("t", "ant1", "ant2", "pol")) -> DataFrame:
+    """``keys, out_freq, re, im, weight``: samples at their ``freq`` interpolated at ``targets(out_freq)``."""
     moved = moved.withColumn("weight", F.when(F.col("flag"), 0.0).otherwise(F.col("weight")))
     merged = moved.groupBy(*keys, "freq").agg(F.avg("re").alias("re"), F.avg("im").alias("im"), F.avg("weight").alias("weight"))
     return interpolate_channels(merged, list(keys), targets, values=("re", "im", "weight"))
