@@ -183,8 +183,9 @@ query("weights_nan", NAN_WEIGHTS)(lambda spark, sf: rounded(gridding.imaging_wei
 
 #: Two or four correlations of each event, with flags and NaN weights in some.
 def _hands_sql(correlations: int) -> str:
-    return f"""{VIS.replace("vis AS (", "vis0 AS (", 1)}, vis AS (SELECT * REPLACE (p.range::INT AS pol, event_id%19=0 AND p.range={correlations - 1} AS flag,
- CASE WHEN event_id%23=5 AND p.range=0 THEN 'nan'::DOUBLE ELSE 0.25e0*(1+(event_id+2*p.range)%5) END AS weight) FROM vis0, range({correlations}) p)"""
+    return f"""{VIS.replace("vis AS (", "vis0 AS (", 1)}, vis AS MATERIALIZED (SELECT * REPLACE (p.range::INT AS pol, event_id%19=0 AND p.range={correlations - 1} AS flag,
+ CASE WHEN event_id%23=5 AND p.range=0 THEN 'nan'::DOUBLE ELSE 0.25e0*(1+(event_id+2*p.range)%5) END AS weight)
+ FROM (SELECT * FROM vis0 ORDER BY event_id), (SELECT unnest(range({correlations})) AS range) p)"""
 
 
 def hands(spark: SparkSession, sf: str, correlations: int) -> DataFrame:
@@ -832,6 +833,50 @@ def psf_main_lobe(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(imaging.sidelobes(imaging.point_spread(vis(spark, sf), N, CELL)), "sidelobe")
 
 
+def _four(spark: SparkSession, sf: str) -> DataFrame:
+    """Four correlations of every event, unlike each other, with flags and weights of their own."""
+    p = F.col("pol")
+    return hands(spark, sf, 4).withColumns({"re": F.col("re") * (1 + p), "im": F.col("im") - p * F.lit(0.5)})
+
+
+def _stokes_image_sql() -> str:
+    """Correlations gridded, each over its weights, mixed into Stokes parameters, then transformed."""
+    whole = _image_sql("re*wt", "im*wt").replace(f"WITH {VIS}", f"WITH {_hands_sql(4)}", 1)
+    whole = whole.replace("), vis AS MATERIALIZED (SELECT * REPLACE (", "), vis AS MATERIALIZED (SELECT * REPLACE (re*(1+p.range) AS re, im-p.range*0.5e0 AS im, ", 1)
+    whole = whole.replace("CASE WHEN flag THEN 0e0 ELSE weight END AS wt", "CASE WHEN flag OR isnan(weight) THEN 0e0 ELSE weight END AS wt", 1)
+    one = lambda c: ", ".join(f"coalesce(max({c}/sum_weight) FILTER (pol = {p}), 0e0) AS {c}{p}" for p in range(4))
+    mixed = f""" four AS (SELECT chan, iu, iv, {one('re')}, {one('im')} FROM cell JOIN sw USING (chan, pol) GROUP BY chan, iu, iv),
+ st AS (SELECT chan, s.range::INT AS pol, iu, iv, CASE s.range WHEN 0 THEN re0+re3 WHEN 1 THEN re0-re3 WHEN 2 THEN re1+re2 ELSE im1-im2 END AS re,
+ CASE s.range WHEN 0 THEN im0+im3 WHEN 1 THEN im0-im3 WHEN 2 THEN im1+im2 ELSE re2-re1 END AS im FROM four, range(4) s), half AS ("""
+    whole = whole.replace(" half AS (", mixed, 1).replace("FROM cell CROSS JOIN corr x", "FROM st CROSS JOIN corr x", 1)
+    return whole.replace("re/sum_weight/greatest", "re/greatest", 1).replace("FROM sky JOIN sw USING (chan, pol)", "FROM sky", 1)
+
+
+@query("stokes_image", _stokes_image_sql())
+def stokes_image(spark: SparkSession, sf: str) -> DataFrame:
+    """Dirty images of I, Q, U and V from four correlations."""
+    return rounded(imaging.stokes_image(_four(spark, sf), "linear", 4, N, CELL).withColumnRenamed("plane", "pol"), "value")
+
+
+def _mixed_sql(rows) -> str:
+    terms = lambda row: "+".join([f"({complex(c).real!r}::DOUBLE)*v{p}" for p, c in enumerate(row) if complex(c).real] or ["0e0"])
+    wide = ", ".join(f"coalesce(max(value) FILTER (plane%4 = {p}), 0e0) AS v{p}" for p in range(4))
+    parts = " UNION ALL ".join(f"SELECT sky, {i} AS pol, l, m, {r6(terms(row))} AS value FROM w" for i, row in enumerate(rows))
+    return f"WITH {IMG}, w AS (SELECT plane//4 AS sky, l, m, {wide} FROM img GROUP BY ALL) {parts}"
+
+
+def _quads(spark: SparkSession, sf: str) -> DataFrame:
+    """Four images at a time as the planes of one sky."""
+    return img(spark, sf).select(F.expr("plane div 4").alias("sky"), (F.col("plane") % 4).cast("int").alias("pol"), "l", "m", "value")
+
+
+QUAD = ("sky", "l", "m")
+query("image_corr_to_stokes", _mixed_sql(images.stokes_rows("circular", 4)))(lambda spark, sf: rounded(images.image_corr_to_stokes(_quads(spark, sf), "circular", at=QUAD, plane="pol"), "value"))
+query("image_stokes_to_corr", _mixed_sql(images.correlation_rows("linear", 4)))(lambda spark, sf: rounded(images.image_stokes_to_corr(_quads(spark, sf), "linear", at=QUAD, plane="pol"), "value"))
+CUSTOM = ((0.25, 0.75, 0, 0), (0, -1, 2, 0.5))
+query("image_custom_mix", _mixed_sql(CUSTOM))(lambda spark, sf: rounded(images.mix_planes(_quads(spark, sf), CUSTOM, QUAD, "pol"), "value"))
+
+
 #: Sources as flux and place (radians), near the image's centre.
 SOURCES = [(1.0, 10 * CELL, -6 * CELL), (0.5, -8 * CELL, 4 * CELL)]
 
@@ -880,6 +925,16 @@ def imaging_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return imaging.major_cycles(samples, control, N, CELL, 0.2)[0]
 
 
+@query("imaging_cycles_stokes")
+def imaging_cycles_stokes(spark: SparkSession, sf: str) -> DataFrame:
+    """The Stokes model that major and minor cycles find for four correlations of two sources, one of them polarised."""
+    seen = imaging.synthetic_visibilities(hands(spark, sf, 4), SOURCES)
+    share = F.element_at(F.array(*[F.lit(x) for x in (0.6, 0.1, 0.1, 0.4)]), F.col("pol") + 1)  # I 1, Q 0.2, U 0.2
+    seen = seen.withColumns({"re": F.col("re") * share, "im": F.col("im") * share})
+    control = deconvolution.IterationController(niter=2000, nmajor=3, threshold=0.05, cycleniter=60)
+    return imaging.major_cycles(seen, control, N, CELL, 0.2, feed="linear")[0]
+
+
 @query(
     "primary_beam_alma",
     f"""WITH px AS (SELECT c.range::INT AS chan, a.range::INT AS l, b.range::INT AS m, sqrt(pow((a.range-8)*4e-5,2)+pow((b.range-8)*4e-5,2))*(2*pi()*(1e11+c.range*1e10)/299792458e0)*(10.7e0/2) AS r FROM range(2) c, range(16) a, range(16) b)

@@ -152,6 +152,36 @@ def deconvolve_stats(img: DataFrame, psf: np.ndarray | DataFrame, mask: Column |
     return before.join(after, list(KEY)).withColumn("max_psf_sidelobe", F.lit(sidelobe).cast("double"))
 
 
+#: Why a plane's minor cycle ended: limit of iterations, threshold, a residual that grew, no pixel to choose (fixed values).
+MINOR_ITERATIONS, MINOR_THRESHOLD, MINOR_DIVERGENCE, MINOR_NO_MASK = 1, 2, 4, 7
+LOG = "cycle long, pol int, chan int, start_peakres double, masksum long, peakres double, peakres_nomask double, model_flux double, iter_done long, stopcode int, cycleniter int, cyclethreshold double, max_psf_sidelobe double"
+
+
+def cycle_rows(img: DataFrame, cleaned: DataFrame, allowed: Column, count: int, limit: float) -> DataFrame:
+    """``plane, chan`` and a row of the cycle log for each plane of one minor cycle: peaks within the mask before and after (and
+    after without it), pixels of the mask, flux of the components, iterations, and ``stopcode``: no pixels, the threshold
+    reached, a residual that grew, or the limit of iterations; 0 where none holds."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.abs(c))
+    both = cleaned.join(img.select(*KEY, "l", "m", "value"), [*KEY, "l", "m"])
+    held = lambda c: F.when(allowed, finite(F.col(c)))
+    rows = both.groupBy(*KEY).agg(
+        F.max(held("value")).alias("start_peakres"),
+        F.sum(allowed.cast("long")).alias("masksum"),
+        F.max(held("residual")).alias("peakres"),
+        F.max(finite(F.col("residual"))).alias("peakres_nomask"),
+        F.sum("model").alias("model_flux"),
+        F.max("iterations").alias("iter_done"),
+    )
+    code = (
+        F.when(F.coalesce(F.col("masksum"), F.lit(0)) == 0, MINOR_NO_MASK)
+        .when(F.col("peakres") <= limit, MINOR_THRESHOLD)
+        .when(F.col("peakres") > F.col("start_peakres"), MINOR_DIVERGENCE)
+        .when(F.col("iter_done") >= count, MINOR_ITERATIONS)
+        .otherwise(0)
+    )
+    return rows.withColumns({"stopcode": code, "cycleniter": F.lit(count), "cyclethreshold": F.lit(float(limit))})
+
+
 PLANE = ("chan", "pol")
 
 

@@ -117,6 +117,59 @@ def stokes_to_corr(parts: list[tuple[Column, Column]], feed: str) -> dict[str, t
     return {name: combine(row, parts) for name, row in zip(LABELS[feed], FROM_STOKES[feed])}
 
 
+STOKES = "IQUV"
+
+
+def stokes_of(feed: str, correlations: int) -> tuple[str, ...]:
+    """The Stokes parameters that two or four correlations give."""
+    if feed not in TO_STOKES or correlations not in (2, 4):
+        raise ValueError(f"unknown feed {feed!r} or number of correlations {correlations}")
+    return tuple(STOKES) if correlations == 4 else ("I", "Q" if feed == "linear" else "V")
+
+
+def stokes_rows(feed: str, correlations: int, stokes: tuple[str, ...] | None = None) -> tuple[tuple[complex, ...], ...]:
+    """The matrix from correlations to ``stokes`` (all that they give, if none are named)."""
+    known = stokes_of(feed, correlations)
+    if stokes and set(stokes) - set(known):
+        raise ValueError(f"{correlations} {feed} correlations give {known}, not {tuple(stokes)}")
+    full = TO_STOKES[feed] if correlations == 4 else dict(zip(known, ((1, 1), (1, -1))))
+    return tuple(full[s] for s in stokes or known)
+
+
+def correlation_rows(feed: str, correlations: int, stokes: tuple[str, ...] | None = None) -> tuple[tuple[complex, ...], ...]:
+    """The matrix from ``stokes`` to correlations; Stokes parameters that are not named count as zero."""
+    known = stokes_of(feed, correlations)
+    stokes = tuple(stokes or known)
+    if set(stokes) - set(known):
+        raise ValueError(f"{correlations} {feed} correlations hold {known}, not {stokes}")
+    full = FROM_STOKES[feed] if correlations == 4 else ((0.5, 0.5), (0.5, -0.5))
+    return tuple(tuple(row[known.index(s)] for s in stokes) for row in full)
+
+
+def mix_planes(df: DataFrame, rows: tuple[tuple[complex, ...], ...], at: tuple[str, ...], plane: str = "plane") -> DataFrame:
+    """The planes of every place ``at`` mixed by a matrix, as between correlations and Stokes parameters, or any of one's own:
+    output plane i is the sum of ``rows[i][p]`` times plane p. Values are ``re, im``, or real ones as ``value``, of which the
+    real part stays. Planes without a row are zero. One aggregation over places; the planes of a place meet in a row."""
+    complex_ = "re" in df.columns and "value" not in df.columns
+    held = ("re", "im") if complex_ else ("value",)
+    own = lambda c, p: F.coalesce(F.sum(F.when(F.col(plane) == p, F.col(c))), F.lit(0.0)).alias(f"_{c}{p}")
+    count = len(rows[0])
+    wide = df.where(F.col(plane).between(0, count - 1)).groupBy(*at).agg(*[own(c, p) for p in range(count) for c in held])
+    parts = [(F.col(f"_{held[0]}{p}"), F.col(f"_im{p}") if complex_ else F.lit(0.0)) for p in range(count)]
+    mixed = [combine(row, parts) for row in rows]
+    each = F.array(*[F.struct(F.lit(i).cast(dict(df.dtypes)[plane]).alias(plane), *[c.alias(name) for name, c in zip(held, pair)]) for i, pair in enumerate(mixed)])
+    return wide.select(*at, F.explode(each).alias("_x")).select(*at, f"_x.{plane}", *[f"_x.{c}" for c in held])
+
+
+def image_corr_to_stokes(img: DataFrame, feed: str, correlations: int = 4, stokes: tuple[str, ...] | None = None, at: tuple[str, ...] = ("chan", "l", "m"), plane: str = "plane") -> DataFrame:
+    """Pixel rows by correlation as pixel rows by Stokes parameter, numbered in the order of ``stokes``."""
+    return mix_planes(img, stokes_rows(feed, correlations, stokes), at, plane)
+
+
+def image_stokes_to_corr(img: DataFrame, feed: str, correlations: int = 4, stokes: tuple[str, ...] | None = None, at: tuple[str, ...] = ("chan", "l", "m"), plane: str = "plane") -> DataFrame:
+    return mix_planes(img, correlation_rows(feed, correlations, stokes), at, plane)
+
+
 def moment_max(img: DataFrame, axis: str = "plane") -> DataFrame:
     """The largest value over ``axis``, NaN left out."""
     keys = [c for c in img.columns if c not in (axis, "value")]

@@ -39,10 +39,11 @@ def dirty_image(vis: DataFrame, n: int = 64, cell: float = 5e-5, mode: str = "cu
     return _image_of(cells, weight_sums(vis, n, cell, mode) if sums is None else sums, n)
 
 
-def _image_of(cells: DataFrame, sums: DataFrame, n: int) -> DataFrame:
-    """The image of gridded cells."""
+def _image_of(cells: DataFrame, sums: DataFrame | None, n: int) -> DataFrame:
+    """The image of gridded cells, divided by ``sums`` of weights unless the cells are."""
     uv = cells.select(F.col("pol").alias("plane"), "chan", F.col("iu").alias("l"), F.col("iv").alias("m"), "re", "im")
-    sky = images.fft(uv, inverse=True, n=n).join(sums, list(KEY))  # one row a plane: Spark sends it to the planes
+    sky = images.fft(uv, inverse=True, n=n)
+    sky = sky.join(sums, list(KEY)) if sums is not None else sky.withColumn("sum_weight", F.lit(1.0))  # one row a plane: Spark sends it to the planes
     return sky.select(*KEY, "l", "m", (F.col("re") * (n * n) / F.col("sum_weight") / correction(n)).alias("value"))
 
 
@@ -95,48 +96,110 @@ def sidelobes(psf: DataFrame, threshold: float = 0.5) -> DataFrame:
     return map_planes(psf, ["l", "m", "value"], run, "sidelobe double")
 
 
+CELL_KEY = ("chan", "iu", "iv")
+
+
+def stokes_cells(cells: DataFrame, sums: DataFrame, feed: str, correlations: int) -> DataFrame:
+    """Gridded correlations, each over its own sum of weights, as gridded Stokes parameters (``pol`` numbers them). Gridding
+    and transforms are linear, so mixing cells is mixing images, and complex cross hands keep their imaginary part."""
+    even = cells.join(sums.withColumnRenamed("plane", "pol"), ["chan", "pol"])  # a row a plane
+    even = even.select("chan", "pol", "iu", "iv", *[(F.col(c) / F.col("sum_weight")).alias(c) for c in ("re", "im")])
+    return images.mix_planes(even, images.stokes_rows(feed, correlations), CELL_KEY, "pol")
+
+
+def stokes_image(vis: DataFrame, feed: str, correlations: int, n: int = 64, cell: float = 5e-5, sums: DataFrame | None = None) -> DataFrame:
+    """``plane, chan, l, m, value``: dirty images of the Stokes parameters, numbered by ``plane`` in the order IQUV (IQ or IV
+    of two correlations)."""
+    sums = weight_sums(vis, n, cell) if sums is None else sums
+    return _stokes_of(gridding.grid(vis, n, cell), sums, n, feed, correlations)
+
+
+def _stokes_of(cells: DataFrame, sums: DataFrame, n: int, feed: str, correlations: int) -> DataFrame:
+    mixed = stokes_cells(cells, sums, feed, correlations)
+    return _image_of(mixed, None, n)
+
+
+def stokes_point_spread(vis: DataFrame, correlations: int, n: int = 64, cell: float = 5e-5) -> DataFrame:
+    """``plane, chan, l, m, value``: one point spread function a channel, that of Stokes I: the mean of its parallel hands."""
+    return _intensity_spread(gridding.grid(vis, n, cell, do_psf=True), weight_sums(vis, n, cell), n, correlations)
+
+
+def _intensity_spread(cells: DataFrame, sums: DataFrame, n: int, correlations: int) -> DataFrame:
+    hands = F.col("pol").isin(0, correlations - 1)
+    even = cells.where(hands).join(sums.withColumnRenamed("plane", "pol"), ["chan", "pol"])
+    held = sums.where(F.col("plane").isin(0, correlations - 1)).groupBy("chan").agg(F.count("*").alias("_hands"))  # a row a channel
+    even = even.join(held, "chan").groupBy("chan", F.lit(0).alias("pol"), "iu", "iv")
+    return _image_of(even.agg(*[F.sum(F.col(c) / F.col("sum_weight") / F.col("_hands")).alias(c) for c in ("re", "im")]), None, n)
+
+
 def major_cycles(
-    vis: DataFrame, control: deconvolution.IterationController, n: int = 64, cell: float = 5e-5, gain: float = 0.1, start: DataFrame | None = None, mask: Column | None = None, box: tuple[int, int, int, int] | None = None
-) -> tuple[DataFrame, DataFrame, list[dict]]:
+    vis: DataFrame,
+    control: deconvolution.IterationController,
+    n: int = 64,
+    cell: float = 5e-5,
+    gain: float = 0.1,
+    start: DataFrame | None = None,
+    mask: Column | None = None,
+    box: tuple[int, int, int, int] | None = None,
+    feed: str | None = None,
+    correlations: int = 4,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(model, residual image, log): CLEAN with residuals recomputed from the visibilities, until the controller stops or a
     cycle finds no component. Each cycle grids the residual visibilities, cleans the image by plane within ``mask`` and
     ``box``, adds to the model, and predicts the model at every place. ``start`` is a model to go on from. The measured
-    sidelobe of the point spread function sets the depth of a cycle.
+    sidelobe of the point spread function sets the depth of a cycle. One budget of iterations serves all planes: what they
+    have done together is taken off it.
 
-    Samples of one place (cell and sub-cell) have one model value, so their weighted sums stand for them: they are summed
-    once, and cycles work on places."""
+    With a ``feed`` (linear or circular) planes are Stokes parameters (see ``stokes_image``), cleaned with one point spread
+    function a channel; models are mixed back into the ``correlations`` before they are taken off. Without, every
+    polarisation is a plane of its own.
+
+    ``log`` has a row a plane and cycle, as ``deconvolution.summary``, ``merge_logs`` and ``convergence`` read it, with
+    ``stopcode`` and the limits of the cycle. Samples of one place (cell and sub-cell) have one model value, so their weighted
+    sums stand for them: they are summed once, and cycles work on places."""
+    spark = vis.sparkSession
     sums = checkpointed(weight_sums(vis, n, cell))  # weights do not change from cycle to cycle
     places = checkpointed(gridding.places(vis, n, cell))
-    make = lambda cells: checkpointed(_image_of(cells, sums, n))
-    psf = make(gridding.grid_places(places, n, do_psf=True))
-    sidelobe = sidelobes(psf).agg(F.max("sidelobe")).first()[0] or 0.2
+    spread_cells = gridding.grid_places(places, n, do_psf=True)
+    psf = checkpointed(_intensity_spread(spread_cells, sums, n, correlations) if feed else _image_of(spread_cells, sums, n))
+    sidelobe = checkpointed(sidelobes(psf))
+    worst = sidelobe.agg(F.max("sidelobe")).first()[0] or 0.2
+    by_plane = sidelobe.drop("plane") if feed else sidelobe
     allowed = (F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)) & deconvolution.clean_box(box)
     model = start.select(*KEY, "l", "m", "value") if start is not None else None
-    log: list[dict] = []
+    log: list[DataFrame] = []
     while True:
-        seen = gridding.less_model(places, model_grid(model, n), n) if model is not None else places
-        image = make(gridding.grid_places(seen, n))
+        seen = gridding.less_model(places, _predicted_grid(model, n, feed, correlations), n) if model is not None else places
+        cells = gridding.grid_places(seen, n)
+        image = checkpointed(_stokes_of(cells, sums, n, feed, correlations) if feed else _image_of(cells, sums, n))
         finite = allowed & ~F.isnan("value") & (F.abs("value") != float("inf"))
         state = image.where(finite).agg(F.max(F.abs("value")).alias("peak"), F.count("*").alias("n")).first()
         peak = state["peak"] or 0.0
-        code, message = control.check(peak, state["n"])
-        if code:
-            log.append({"peakres": peak, "stopcode": code, "message": message})
+        if control.check(peak, state["n"])[0]:
             break
-        count, limit = control.cycle_controls(peak, sidelobe)
-        found = deconvolution.deconvolve(image, psf, gain, max(1, count), limit, mask, box).where("model <> 0").select(*KEY, "l", "m", "model", "iterations")
-        found = checkpointed(found)  # sparse: cleaned pixels only
-        more = found.select(*KEY, "l", "m", F.col("model").alias("value"))
-        done = found.agg(F.max("iterations")).first()[0] or 0
+        count, limit = control.cycle_controls(peak, worst)
+        cleaned = checkpointed(deconvolution.deconvolve(image, psf, gain, max(1, count), limit, mask, box))
+        rows = deconvolution.cycle_rows(image, cleaned, allowed, max(1, count), limit).join(by_plane.withColumnRenamed("sidelobe", "max_psf_sidelobe"), ["chan"] if feed else list(KEY), "left")
+        rows = checkpointed(rows.select(F.lit(len(log)).cast("long").alias("cycle"), F.col("plane").alias("pol"), *[c for c in rows.columns if c != "plane"]))
+        log.append(rows)
+        done = rows.agg(F.sum("iter_done")).first()[0] or 0
         if not done:
-            log.append({"peakres": peak, "stopcode": deconvolution.NOTHING_FOUND, "message": deconvolution.MESSAGES[deconvolution.NOTHING_FOUND]})
+            control.stopcode = deconvolution.NOTHING_FOUND
             break
+        more = cleaned.where("model <> 0").select(*KEY, "l", "m", F.col("model").alias("value"))
         both = more if model is None else model.unionByName(more)
-        model = both.groupBy(*KEY, "l", "m").agg(F.sum("value").alias("value"))
-        model = checkpointed(model) if len(log) % 8 == 7 else model  # each cycle adds a checkpointed table
+        model = checkpointed(both.groupBy(*KEY, "l", "m").agg(F.sum("value").alias("value")))
         control.update_counts(int(done))
-        log.append({"peakres": peak, "iterations": int(done), "threshold": limit})
-    return model if model is not None else image.where("false"), image, log
+    history = log[0] if log else spark.createDataFrame([], deconvolution.LOG)
+    for rows in log[1:]:
+        history = history.unionByName(rows)
+    return model if model is not None else image.where("false"), image, history
+
+
+def _predicted_grid(model: DataFrame, n: int, feed: str | None, correlations: int) -> DataFrame:
+    """The transform of a model, mixed into correlations where it is of Stokes parameters."""
+    grid = model_grid(model, n)
+    return images.mix_planes(grid, images.correlation_rows(feed, correlations), CELL_KEY, "pol") if feed else grid
 
 
 def primary_beam(spark: SparkSession, n: int, cell: float, freqs: list[float], telescope: str = "ALMA", ipower: int = 2) -> DataFrame:

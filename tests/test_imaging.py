@@ -42,7 +42,11 @@ def test_major_cycles_find_the_model(samples):
     model, residual, log = imaging.major_cycles(data, control, N, CELL, 0.2)
     found = {(r.plane, r.chan, r.l, r.m): r.value for r in model.collect()}
     assert all(abs(found[0, c, N // 2 + 10, N // 2 - 6] - 2.0) < 0.05 for c in (0, 1))
-    assert log[-1]["peakres"] < 0.1 * log[0]["peakres"] and residual.count() == 2 * N * N
+    rows = log.orderBy("cycle").collect()
+    assert rows[-1].peakres < 0.1 * rows[0].start_peakres and residual.count() == 2 * N * N
+    assert {r.stopcode for r in rows} <= {1, 2} and all(0.0 < r.max_psf_sidelobe < 1 for r in rows)
+    assert deconvolution.summary(log).first().iterations == control.iterations_done == sum(r.iter_done for r in rows)
+    assert deconvolution.convergence(log).count() == len(rows) and control.stopcode
 
 
 def test_mosaic_of_one_field(spark, samples):
@@ -123,6 +127,35 @@ def test_major_cycles_within_a_box_and_without_limits(samples):
     data = imaging.synthetic_visibilities(samples, SOURCES)
     control = deconvolution.IterationController(niter=24, threshold=0.0, cycleniter=8)
     model, _, log = imaging.major_cycles(data, control, N, CELL, 0.3, box=(N // 2 + 8, N // 2 + 12, 0, N))
-    assert log[-1]["stopcode"] == 1 and len(log) >= 4 and {(r.l, r.m) for r in model.where("value > 0.2").collect()} == {(N // 2 + 10, N // 2 - 6)}
+    rows = log.collect()
+    assert control.stopcode == 1 and sum(r.iter_done for r in rows) == control.iterations_done >= 24 and {(r.l, r.m) for r in model.where("value > 0.2").collect()} == {(N // 2 + 10, N // 2 - 6)}
     none = deconvolution.IterationController(niter=10)
-    assert imaging.major_cycles(data, none, N, CELL, mask=F.lit(False))[2][-1]["stopcode"] == 7
+    assert imaging.major_cycles(data, none, N, CELL, mask=F.lit(False))[2].count() == 0 and none.stopcode == 7
+
+
+def test_stokes_cycles(spark, samples):
+    """A polarised source is found in I, Q and V with its fluxes, from circular hands and linear ones, two or four."""
+    for feed, parts in (("linear", (0.75, 0.15j, -0.15j, 0.25)), ("circular", (0.65, 0.25, 0.25, 0.35))):  # I 1, Q 0.5, V 0.3
+        share = F.array(*[F.array(F.lit(complex(x).real), F.lit(complex(x).imag)) for x in parts])
+        data = imaging.synthetic_visibilities(samples, SOURCES).where("chan = 0").withColumn("pol", F.explode(F.sequence(F.lit(0), F.lit(3))))
+        a, b = (F.get(F.get(share, F.col("pol")), F.lit(k)) for k in (0, 1))
+        data = data.withColumns({"re": F.col("re") * a - F.col("im") * b, "im": F.col("re") * b + F.col("im") * a})
+        control = deconvolution.IterationController(niter=600, nmajor=3, threshold=0.01, cycleniter=80)
+        model, _, log = imaging.major_cycles(data, control, N, CELL, 0.2, feed=feed)
+        found = {(r.plane, r.l, r.m): r.value for r in model.collect()}
+        fluxes = [found.get((s, N // 2 + 10, N // 2 - 6), 0.0) for s in range(4)]
+        assert fluxes == pytest.approx([2.0, 1.0, 0.0, 0.6], abs=0.06)
+        assert {(r.pol, r.chan) for r in log.collect()} == {(s, 0) for s in range(4)}
+    both = images.stokes_rows("circular", 2), images.correlation_rows("circular", 2)
+    assert np.allclose(np.array(both[0]) @ np.array(both[1]), np.eye(2))
+    with pytest.raises(ValueError):
+        images.stokes_rows("linear", 2, ("V",))
+
+
+def test_minor_stop_codes(spark):
+    img = spark.createDataFrame([(p, 0, l, 0, float(4 - l)) for p in range(3) for l in range(4)], "plane int, chan int, l int, m int, value double")
+    left = {0: 0.1, 1: 9.0, 2: 1.0}
+    cleaned = img.select("plane", "chan", "l", "m", F.lit(0.5).alias("model"), F.element_at(F.create_map(*[F.lit(x) for kv in left.items() for x in kv]), F.col("plane")).alias("residual"), F.lit(5).cast("long").alias("iterations"))
+    rows = {r.plane: r for r in deconvolution.cycle_rows(img, cleaned, F.lit(True), 5, 0.2).collect()}
+    assert [rows[p].stopcode for p in range(3)] == [2, 4, 1] and rows[0].model_flux == 2.0 and rows[1].masksum == 4
+    assert {r.stopcode for r in deconvolution.cycle_rows(img, cleaned, F.lit(False), 5, 0.2).collect()} == {7}
