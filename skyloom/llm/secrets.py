@@ -2,7 +2,8 @@
 
 Candidates are runs of 16 key-like characters or more, parted behind an inner ``=`` that follows an identifier, and the
 values that are assigned to a name with a cue word or follow ``bearer``, of any length and any printable characters but
-white space (between quotes, up to the closing one). The forest sees their length, character classes, how surprising their
+white space: between quotes up to the closing one; else up to a comma, semicolon, closing brace, quote or the next field of a
+query string, and never beyond the next such name's sign, so that a text without white space is read once. The forest sees their length, character classes, how surprising their
 character transitions are for a chain learned from the dictionary, how much
 of them a dictionary covers, whether they look like a path, and the words beside them. It is trained from a table of
 labelled findings, which ``labelled_findings`` makes by rule: keys in the shapes of common services and generic hex and
@@ -19,6 +20,7 @@ import math
 import random
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +55,12 @@ WORDS = (
 #: Signs of assignment, and what may stand before one: a name with a cue word, closing quotes or brackets.
 SIGN = re.compile(r"[=:][=>]{0,2}[ \t]{0,8}")
 BEARER = re.compile(r"(?i)\bbearer[ \t]{1,8}")
-CUED = re.compile("(?:" + "|".join(sorted(FOR, key=len, reverse=True)) + r")[a-z0-9_.-]{0,40}[\"'`\])]{0,2}[ \t]{0,8}\Z")
-NAME = 64  # code points before a sign that are looked at
+#: The same backwards, as what stands before a sign is read; a cue word ends 40 code points before the name's end at most.
+NAMED_BACK = re.compile(r"[ \t]{0,8}[\"'`\])]{0,2}([a-z0-9_.-]*)")
+CUE_BACK = re.compile("|".join(f[::-1] for f in FOR))
+NAME, TO_END = 64, 40  # code points before a sign that are looked at
 VALUE = re.compile(r"[^\s\x00-\x1f\x7f]+")
+BARE = re.compile(r"(?:[^\s\x00-\x1f\x7f,;}\"'`&]|&(?![A-Za-z_][A-Za-z0-9_.-]{0,40}=))+")
 QUOTES = "\"'`"
 
 FEATURES = ("length", "digits", "upper", "lower", "marks", "moves", "surprise", "entropy", "covered", "hex", "path", "for", "against", "assigned", "quoted", "vowels", "longest_run")
@@ -218,8 +223,30 @@ def labelled_findings(each: int = 150, seed: int = 5) -> list[tuple[str, str, in
     return out
 
 
+def minified_findings(each: int = 300, seed: int = 6) -> list[tuple[str, str, int]]:
+    """The like for scripts and data without white space, where names with cue words stand before all kinds of values."""
+    r = random.Random(seed)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    names = ("auth", "token", "key", "apiKey", "access", "password", "secret", "isPrivate", "tokens", "keyCode", "author")
+    out = []
+    for _ in range(each):
+        before = pick(base, r.randint(0, 20)) + r.choice(('{"', ',"')) + r.choice(names) + '":'
+        code = pick("abcdefgh", 3) + r.choice((",", "{", ";")) + r.choice(names) + r.choice(("=", ":"))
+        name = ".".join(r.choice(("e", "t", "n", "this", "window", "props", "state", *WORDS[:40])) for _ in range(r.randint(1, 3)))
+        out += [
+            (before, r.choice(("false", "true", "null", "[]", "[", "{", "0", "1", "{}")), 0),
+            (before, pick("0123456789", r.randint(1, 9)), 0),
+            (code, r.choice((name, f"{name}()", f"{name}[0]", f"function({r.choice('etn')}", f"!{r.choice('01')}", f"new {r.choice(WORDS)}".replace(" ", "."), f"{name}||{name}", f"({name})=>{{return", f"{name}?{name}:null")), 0),
+            (before + '"', r.choice((r.choice(WORDS), f"{r.choice(WORDS)}-{r.choice(WORDS)}", f"{r.choice(WORDS)}_{r.choice(WORDS)}", r.choice(WORDS).capitalize())), 0),
+            (before + '"', pick(base, r.randint(16, 48)), 1),
+        ]
+    return out
+
+
+@lru_cache(maxsize=1)
 def default_forest() -> RandomForest:
-    rows = labelled_findings()
+    rows = labelled_findings() + minified_findings()
     return train_forest(np.array([features(s, b) for b, s, _ in rows]), np.array([y for *_, y in rows]))
 
 
@@ -239,24 +266,34 @@ def _parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return [*out, (a, b)]
 
 
+def _cued(text: str, at: int) -> bool:
+    """Whether what stands before a sign is a name with a cue word."""
+    name = NAMED_BACK.match(text[max(0, at - NAME) : at].lower()[::-1])[1]
+    found = CUE_BACK.search(name)
+    return bool(found) and found.start() <= TO_END
+
+
 def _values(text: str) -> list[tuple[int, int]]:
     """Values behind cue words."""
+    signs = [m.span() for m in SIGN.finditer(text) if _cued(text, m.start())]
+    if "bearer" in text.lower():
+        signs = sorted({*signs, *(m.span() for m in BEARER.finditer(text))})
     out = []
-    cued = [m for m in SIGN.finditer(text) if CUED.search(text[max(0, m.start() - NAME) : m.start()].lower())]
-    for m in cued + list(BEARER.finditer(text) if "bearer" in text.lower() else ()):
-        a, quote = m.end(), text[m.end() : m.end() + 1]
+    for (start, a), (limit, _) in zip(signs, [*signs[1:], (len(text), 0)]):
+        quote = text[a : a + 1]
         if quote and quote in QUOTES:
             a += 1
-        if not (value := VALUE.match(text, a)):
+            end = text.find(quote, a)  # the next sign with a quote ends this search at the latest
+            if end > a and (whole := VALUE.match(text, a, end)) and whole.end() == end:
+                out.append((a, end))
+                continue
+        if not (value := BARE.match(text, a, max(a, limit))):
             continue
         b = value.end()
-        if quote in QUOTES and (end := text.find(quote, a, b)) >= 0:
-            b = end
-        else:
-            if (end := text.find("&", a, b)) > a and text.rfind("?", max(0, m.start() - BESIDE), a) >= 0:
-                b = end  # the next field of a query string
-            while b > a and text[b - 1] in ".,;:)]}>\"'`":
-                b -= 1
+        if (end := text.find("&", a, b)) > a and text.rfind("?", max(0, start - BESIDE), a) >= 0:
+            b = end  # the next field of a query string
+        while b > a and text[b - 1] in ".,;:)]}>\"'`":
+            b -= 1
         if a < b:
             out.append((a, b))
     return out
@@ -281,7 +318,9 @@ def scan_text(forest: RandomForest, text: str, threshold: float = 0.5) -> tuple[
     spots = candidates(text)
     if not spots:
         return 0, []
-    scores = forest.predict(np.array([features(text[a:b], text[max(0, a - BESIDE) : a]) for a, b in spots]))
+    seen = [(text[a:b], text[max(0, a - BESIDE) : a]) for a, b in spots]
+    kinds = {pair: i for i, pair in enumerate(dict.fromkeys(seen))}
+    scores = forest.predict(np.array([features(*pair) for pair in kinds]))[[kinds[pair] for pair in seen]]
     out: list[Finding] = []
     for (a, b), score in zip(spots, scores.tolist()):
         if score >= threshold:
