@@ -21,6 +21,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -45,7 +46,8 @@ GAP = re.compile(r"[\x20\x09-\x0D]")
 SPOT = re.compile(  # what it begins with comes first, so the search runs over other characters fast
     r"[0-9@AaDd\[({<](?:(?<=[0-9@])|(?<=(?<![^\x20\x09-\x0D])[Aa])[Tt](?![^\x20\x09-\x0D])|(?<=(?<![^\x20\x09-\x0D])[Dd])[Oo][Tt](?![^\x20\x09-\x0D])|(?<=[\[({<])(?:[Aa][Tt]|[Dd][Oo][Tt])[\])}>])"
 )
-SPELLED = re.compile(r"(?i)[\s\[({<]at[\s\])}>].*(?:\.|[\s\[({<]dot[\s\])}>])[\s]*[a-z]", re.S)
+#: An ``at`` between blanks or brackets, and a dot, or ``dot`` alike, before a letter.
+AT, DOT = re.compile(r"(?i)[\s\[({<]at[\s\])}>]"), re.compile(r"(?i)(?:\.|[\s\[({<]dot[\s\])}>])\s*[a-z]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EDGE = ".,;:!?()[]{}<>\"'#*$%&|"
 AROUND = 3
@@ -114,12 +116,18 @@ def _squeeze(shape: str) -> str:
     return re.sub(r"(.)\1+", r"\1", shape)
 
 
+def spelled(text: str) -> bool:
+    """Whether an address is spelled out: the first ``at``, and any dot behind it."""
+    at = AT.search(text)
+    return bool(at and DOT.search(text, at.end()))
+
+
 def own_features(token: str) -> tuple[list[str], str, str]:
     """What a token says of itself; its word in lower case, and its squeezed shape."""
     shape, low = _squeeze(_shape(token)), token.lower().strip(".:#[](){}<>")
     digits = len(DIGIT.findall(token))
     own = ["bias", f"s{shape[:12]}", f"f{_shape(token[:16])}", f"d{min(digits, 20)}", f"l{min(len(token), 24)}", f"pure{digits == len(token)}"]
-    return own + [f"w{low}"] * (low in CUES) + [f"has{c}" for c in "@.-+_/:=" if c in token] + ["spelled"] * bool(SPELLED.search(token)), low, shape
+    return own + [f"w{low}"] * (low in CUES) + [f"has{c}" for c in "@.-+_/:=" if c in token] + ["spelled"] * spelled(token), low, shape
 
 
 def token_features(tokens: list[str]) -> list[list[int]]:
@@ -385,6 +393,7 @@ def labelled_table(each: int = 60, seed: int = 3) -> list[tuple[list[str], list[
     return out
 
 
+@lru_cache(maxsize=1)
 def default_model() -> PiiModel:
     return train(labelled_table())
 
@@ -432,14 +441,17 @@ def _chains(text: str) -> Iterator[tuple[array, array]]:
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
-    while a < b and text[a] in EDGE and not (text[a] in "(" and ")" in text[a:b]):
+    """A span without marks at its edges; a bracket stays while its other half is inside."""
+    closed = text.rfind(")", a, b)
+    while a < b and text[a] in EDGE and not (text[a] == "(" and closed >= a):
         a += 1
-    while a < b and text[b - 1] in EDGE and not (text[b - 1] in ")" and "(" in text[a:b]):
+    opened = text.find("(", a, b)
+    while a < b and text[b - 1] in EDGE and not (text[b - 1] == ")" and 0 <= opened < b):
         b -= 1
     return a, b
 
 
-CHECKS = {"email": lambda x: "@" in x or bool(SPELLED.search(x)), "ip": lambda x: bool(IP.fullmatch(x)) and _is_ip(x), "card": _is_card, "phone": lambda x: 7 <= len(DIGIT.findall(x)) <= 15, "id": lambda x: len(DIGIT.findall(x)) >= 5}
+CHECKS = {"email": lambda x: "@" in x or spelled(x), "ip": lambda x: bool(IP.fullmatch(x)) and _is_ip(x), "card": _is_card, "phone": lambda x: 7 <= len(DIGIT.findall(x)) <= 15, "id": lambda x: len(DIGIT.findall(x)) >= 5}
 
 
 def _words(text: str, starts: array, ends: array, low: int = 0, high: int | None = None) -> list[str]:
