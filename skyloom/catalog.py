@@ -974,8 +974,48 @@ def mosaic_image(spark: SparkSession, sf: str) -> DataFrame:
     """Three fields and three classes of baselines in one image."""
     fields = imaging.field_table(spark, FIELDS, CENTRE, N, CELL)
     samples = imaging.to_common_centre(_classes(spark, sf).withColumn("field", (F.col("event_id") % 3).cast("int")), fields)
-    kernels = [imaging.convolution_kernels(_kernel_classes(spark), N, CELL, 10, power=k) for k in (1, 2)]
-    return imaging.mosaic_image(samples, *kernels, N, CELL)
+    return imaging.mosaic_image(samples, imaging.class_kernels(_kernel_classes(spark), N, CELL), N, CELL)
+
+
+def _kernel_support_sql() -> str:
+    """Kernels of the classes that the data hold: the squared beam along an axis down to its cut, and what the centred kernel
+    sums to."""
+    r = "sqrt(pow((a.range-32)*5e-5,2)+pow((b.range-32)*5e-5,2))"
+    arg = lambda d, x="1e0": f"(SELECT avg(cos(2*pi()*g.range/120e0-(r*s{d}*{x})*sin(2*pi()*g.range/120e0))) FROM range(120) g)"
+    names = {"10.7e0": "L", "6.7e0": "S"}
+    scale = {n: f"(2*pi()*freq/299792458e0/2*{d})" for d, n in names.items()}
+    radial = "SELECT freq, r, " + ", ".join(f"{scale[n]} AS s{n}" for n in names.values()) + " FROM freqs, rs"
+    bessel = "SELECT *, " + ", ".join(f"{arg(n)} AS j{n}, {arg(n, f'(0.75e0/{d})')} AS k{n}" for d, n in names.items()) + f" FROM ({radial})"
+    pattern = lambda d, n: f"CASE WHEN r = 0 THEN 1e0 ELSE (2*j{n}/(r*s{n})-2*(0.75e0/{d})*k{n}/(r*s{n}))/(1-pow(0.75e0/{d},2)) END"
+    volts = "SELECT freq, r, " + ", ".join(f"{pattern(d, n)} AS v{n}" for d, n in names.items()) + f" FROM ({bessel})"
+    return f"""WITH {VIS}, freqs AS (SELECT DISTINCT 1e11+chan*1e9 AS freq, chan FROM vis), cls AS (SELECT DISTINCT (ant1%2+ant2%2)*4+chan AS cf, 1e11+chan*1e9 AS freq, ant1%2+ant2%2 AS small FROM vis),
+ px AS (SELECT a.range::INT AS l, b.range::INT AS m, round({r}, 15) AS r FROM range(64) a, range(64) b), rs AS (SELECT DISTINCT r FROM px), volts AS MATERIALIZED ({volts}),
+ beam AS MATERIALIZED (SELECT cf, l, m, CASE small WHEN 0 THEN vL*vL WHEN 1 THEN vL*vS ELSE vS*vS END AS b FROM cls JOIN volts USING (freq) JOIN px USING (r)),
+ rowsum AS (SELECT cf, l, sum(b*b) AS b2 FROM beam GROUP BY cf, l), axis AS (SELECT cf, s.range AS s, sum(b2*cos(2*pi()*s.range/10e0*(l-32)/64e0)) AS k FROM rowsum, range(321) s GROUP BY cf, s.range),
+ top AS (SELECT cf, k AS top FROM axis WHERE s = 0), cutoff AS (SELECT cf, min(s) AS s FROM axis JOIN top USING (cf) WHERE k <= 0.02e0*top GROUP BY cf),
+ sup AS (SELECT cf, (floor(0.5e0+s/10e0)::INT+1)*2+1 AS support FROM cutoff),
+ foot AS (SELECT cf, support, l.range AS l, (SELECT sum(cos(2*pi()*(d.range-support//2)*(l.range-32)/64e0)) FROM range(64) d WHERE d.range < support) AS c, (SELECT sum(cos(2*pi()*e.range/10e0*(l.range-32)/64e0)) FROM range(-320, 321) e
+ WHERE e.range >= -least((support+1)*5, support//2*10+6) AND e.range < least((support+1)*5, support//2*10+7)) AS w FROM sup, range(64) l)
+ SELECT b.cf::INT AS cf, any_value(x.support)::INT AS support, {r6('sum(b*x.c*y.c)/(sum(b*x.w*y.w)/100)')} AS total FROM beam b JOIN foot x ON x.cf = b.cf AND x.l = b.l JOIN foot y ON y.cf = b.cf AND y.l = b.m GROUP BY b.cf"""
+
+
+@query("kernel_support", _kernel_support_sql())
+def kernel_support(spark: SparkSession, sf: str) -> DataFrame:
+    """Width of the kernels of each class of baselines and channel in the data, and the sum of the centred one."""
+    dish = lambda small, k: F.when(F.col("small") >= k, 6.7).otherwise(10.7)
+    seen = vis(spark, sf).select((F.col("ant1") % 2 + F.col("ant2") % 2).alias("small"), "chan").distinct()
+    classes = seen.select(
+        (F.col("small") * 4 + F.col("chan")).cast("int").alias("cf"), dish("small", 2).alias("dish1"), dish("small", 1).alias("dish2"), F.lit(0.75).alias("blockage1"), F.lit(0.75).alias("blockage2"), (F.lit(1e11) + F.col("chan") * F.lit(1e9)).alias("freq")
+    )
+    kernels = imaging.class_kernels(classes, N, CELL).where("uo = 0 and vo = 0")
+    return kernels.select("cf", "support", tidy(F.aggregate("k", F.lit(0.0), lambda a, b: a + b)).alias("total"))
+
+
+@query("mosaic_psf", ORACLE["mosaic_grid"].replace("re*weight AS re, im*weight AS im", "weight AS re, 0e0 AS im", 1))
+def mosaic_psf(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights alone, gridded with the kernel of each class."""
+    out = gridding.mosaic_grid(_classes(spark, sf), cf_kernels(spark), N, CELL, do_psf=True)
+    return out.withColumns({c: tidy(F.col(c), 8) for c in ("re", "im")})
 
 
 _FACTOR = "(1e0+((event_id%7)-3)*1e-3)"

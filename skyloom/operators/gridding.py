@@ -294,11 +294,13 @@ def aperture_grid(vis: DataFrame, kernels: DataFrame, n: int = 16) -> DataFrame:
     return out.groupBy("chan", "pol", (F.col("du") + n // 2).alias("iu"), (F.col("dv") + n // 2).alias("iv")).agg(F.sum(F.col("w") * F.col("k")).alias("re"))
 
 
-def mosaic_grid(vis: DataFrame, kernels: DataFrame, n: int = 64, cell: float = 5e-5, oversampling: int = 1, gradient: tuple[str, str] | None = None) -> DataFrame:
-    """``chan, pol, iu, iv, re, im``: gridding with a kernel by baseline class ``cf``. ``kernels(cf, du, dv, k)`` is a small
+def mosaic_grid(vis: DataFrame, kernels: DataFrame, n: int = 64, cell: float = 5e-5, oversampling: int = 1, gradient: tuple[str, str] | None = None, do_psf: bool = False) -> DataFrame:
+    """``chan, pol, iu, iv, re, im``: gridding with a kernel by baseline class ``cf``, of weights alone with ``do_psf``. ``kernels(cf, du, dv, k)`` is a small
     table; with an oversampling above 1 it has ``uo, vo`` too, the sub-cell offsets. ``gradient`` names
     columns of radians by sub-cell that turn the kernels' phase, as for fields beside the phase centre."""
-    at = positions(vis.where(visible(vis)), n, cell).withColumns({"ui": nearest(F.col("up")), "vi": nearest(F.col("vp"))})
+    vis = vis.where(visible(vis))
+    vis = vis.withColumns({"re": F.lit(1.0), "im": F.lit(0.0)}) if do_psf else vis
+    at = positions(vis, n, cell).withColumns({"ui": nearest(F.col("up")), "vi": nearest(F.col("vp"))})
     at = at.where((F.col("ui") >= 0) & (F.col("vi") >= 0) & (F.col("ui") < n) & (F.col("vi") < n))
     key = ["cf"]
     if oversampling > 1:
@@ -312,3 +314,58 @@ def mosaic_grid(vis: DataFrame, kernels: DataFrame, n: int = 64, cell: float = 5
         offset = lambda d, o: F.col(d) * oversampling + (F.col(o) if oversampling > 1 else 0)
         re, im = cmul((re, im), cexp(offset("du", "uo") * F.col(gradient[0]) + offset("dv", "vo") * F.col(gradient[1])))
     return wide.groupBy("chan", "pol", "iu", "iv").agg(F.sum(F.col("k") * re).alias("re"), F.sum(F.col("k") * im).alias("im"))
+
+
+def mosaic_cells(vis: DataFrame, kernels: DataFrame, n: int, cell: float, oversampling: int = 10) -> DataFrame:
+    """``chan, pol, iu, iv, re, im, psf_re, psf_im``: visibilities and weights gridded together with the kernel of each sample's
+    class ``cf``, turned by its phase gradient ``gx, gy``. ``kernels(cf, uo, vo, support, k)`` has an array of ``support``
+    squared values for each sub-cell. Samples of one place, class and field are summed first; then places are dealt out by
+    tiles of the grid, each with the kernels of its classes, and a tile with many places goes to many tasks. What leaves a task
+    is cells, so footprints are never rows."""
+    vis = vis.where(visible(vis))
+    at = positions(vis, n, cell).withColumns({"ui": nearest(F.col("up")), "vi": nearest(F.col("vp"))})
+    at = at.where((F.col("ui") >= 0) & (F.col("vi") >= 0) & (F.col("ui") < n) & (F.col("vi") < n))
+    sub = lambda i, p: F.floor((F.col(i) - F.col(p)) * oversampling + 0.5).cast("int")
+    at = at.withColumns({"uo": sub("ui", "up"), "vo": sub("vi", "vp")})
+    total = lambda c: F.sum(F.col(c) * F.col("weight")).alias(c)
+    shared = at.groupBy("chan", "pol", "cf", "gx", "gy", "ui", "vi", "uo", "vo").agg(F.sum("weight").alias("w"), total("re"), total("im"))
+    key = ["chan", "pol", "_tu", "_tv"]
+    placed = shared.withColumns({"_tu": F.expr(f"cast(ui div {TILE} as int)"), "_tv": F.expr(f"cast(vi div {TILE} as int)")})
+    counts = to_all(placed.groupBy(*key).agg(F.ceil(F.count("*") / (TOGETHER // 8)).cast("int").alias("_parts"), F.collect_set("cf").alias("_classes")))
+    placed = placed.join(counts.drop("_classes"), key).withColumn("_part", F.pmod(F.xxhash64("cf", "gx", "gy", "uo", "vo", "ui", "vi"), "_parts").cast("int")).drop("_parts")
+    asked = counts.withColumn("cf", F.explode("_classes")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    laid = asked.select(*[F.col(c).alias(c) for c in (*key, "_part")], "cf").join(kernels.select("cf", "uo", "vo", "support", "k"), "cf")
+
+    def lay(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["chan", "pol", "iu", "iv", "re", "im", "psf_re", "psf_im"]
+        if not left.num_rows:
+            return pa.table([pa.nulls(0, pa.int32())] * 4 + [pa.nulls(0, pa.float64())] * 4, names)
+        held = {key_: (s, np.array(k).reshape(s, s)) for key_, s, k in zip(zip(*(right[c].to_pylist() for c in ("cf", "uo", "vo"))), right["support"].to_pylist(), right["k"].to_pylist())}
+        half = max(s for s, _ in held.values()) // 2
+        low = [left[c][0].as_py() * TILE - half for c in key[2:]]
+        side = TILE + 2 * half
+        sky, psf = np.zeros(side * side, complex), np.zeros(side * side, complex)
+        ui, vi = (left[c].to_numpy().astype(np.int64) - low[i] for i, c in enumerate(("ui", "vi")))
+        values, w = left["re"].to_numpy() + 1j * left["im"].to_numpy(), left["w"].to_numpy()
+        kinds = list(zip(*(left[c].to_pylist() for c in ("cf", "uo", "vo", "gx", "gy"))))
+        rows: dict[tuple, list[int]] = {}
+        for i, kind in enumerate(kinds):
+            rows.setdefault(kind, []).append(i)
+        for (cf, uo, vo, gx, gy), some in rows.items():
+            support, kernel = held[cf, uo, vo]
+            d = np.arange(support) - support // 2
+            wave = np.exp(1j * (d * oversampling + uo) * gx)[:, None] * np.exp(1j * (d * oversampling + vo) * gy)
+            foot = ((d * side)[:, None] + d).ravel()
+            spots = ((ui[some] * side + vi[some])[:, None] + foot).ravel()
+            turned = (kernel * wave).ravel()
+            np.add.at(sky, spots, (values[some][:, None] * turned).ravel())
+            np.add.at(psf, spots, (w[some][:, None] * turned).ravel())
+        cells = np.flatnonzero((sky != 0) | (psf != 0))
+        iu, iv = cells // side + low[0], cells % side + low[1]
+        inside = (iu >= 0) & (iu < n) & (iv >= 0) & (iv < n)
+        cells, iu, iv = cells[inside], iu[inside], iv[inside]
+        same = [pa.array(np.full(len(cells), left[c][0].as_py()), pa.int32()) for c in key[:2]]
+        return pa.table([*same, pa.array(iu, pa.int32()), pa.array(iv, pa.int32()), *[pa.array(x) for x in (sky[cells].real, sky[cells].imag, psf[cells].real, psf[cells].imag)]], names)
+
+    both = [x.groupBy(*key, "_part") for x in (placed, laid)]
+    return both[0].cogroup(both[1]).applyInArrow(lay, "chan int, pol int, iu int, iv int, re double, im double, psf_re double, psf_im double")

@@ -14,7 +14,7 @@ from .planes import KEY, Planes, map_planes
 NAN = float("nan")
 
 
-def _turned_planes(z: np.ndarray, inverse: bool) -> np.ndarray:
+def turned_planes(z: np.ndarray, inverse: bool) -> np.ndarray:
     """The centred transform of each plane of a cube."""
     turn = np.fft.ifft2 if inverse else np.fft.fft2
     return np.fft.fftshift(turn(np.fft.ifftshift(z, (1, 2))), (1, 2))
@@ -27,7 +27,7 @@ def fft(img: DataFrame, inverse: bool = False, n: int | None = None) -> DataFram
     def run(planes: Planes) -> Iterator[dict]:
         for some, shape, rows in planes.groups(n):
             re, im = (planes.cube(c, some, shape, rows) for c in ("re", "im"))
-            y = _turned_planes(re + 1j * im, inverse)
+            y = turned_planes(re + 1j * im, inverse)
             yield planes.all_pixels(some, re=y.real, im=y.imag)
 
     source = img if "im" in img.columns else img.select(*KEY, "l", "m", F.col("value").alias("re"), F.lit(0.0).alias("im"))
@@ -256,11 +256,11 @@ def feather(high: DataFrame, low: DataFrame, n: int, alpha: float | Column, beta
                 continue
             if (held[0][both] != n * n).any() or (held[1][both] != n * n).any():
                 raise ValueError(f"an image to feather lacks pixels of its {n} x {n}")
-            a, b = (_turned_planes(z[both], False) for z in sides)
+            a, b = (turned_planes(z[both], False) for z in sides)
             first = planes.starts[some[both]]  # the high side comes first
             wide, narrow, ratio = (planes.columns[k][first][:, None, None] for k in names)
             w = np.exp(-(math.pi**2) / (4 * math.log(2)) * ((wide * axis[:, None]) ** 2 + (narrow * axis[None, :]) ** 2))
             mixed = ((1 - w) * a + factor * ratio * b * w) / ((1 - w) + factor * w)
-            yield planes.all_pixels(some[both], value=_turned_planes(mixed, True).real)
+            yield planes.all_pixels(some[both], value=turned_planes(mixed, True).real)
 
     return map_planes(one.unionByName(two), ["side", "l", "m", "value", *names], run, _places(high) + ", value double", ("side", "l", "m"))

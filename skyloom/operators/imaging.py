@@ -275,31 +275,43 @@ def nearest_cluster(freq: Column, centres: list[float]) -> Column:
     return F.array_min(F.array(*[F.struct(F.abs(freq - float(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))["i"]
 
 
+def _j1(x: np.ndarray) -> np.ndarray:
+    k = 2 * math.pi * np.arange(int(x.max()) + 60) / (int(x.max()) + 60)
+    return np.cos(k - x[..., None] * np.sin(k)).mean(-1)
+
+
+def _voltage(r: np.ndarray, ratio: float) -> np.ndarray:
+    safe = np.where(r > 0, r, 1.0)
+    value = (2 * _j1(safe) / safe - 2 * ratio * _j1(safe * ratio) / safe) / (1 - ratio**2)
+    return np.where(r > 0, value, 1.0)
+
+
+def _pair_beam(row: pd.Series, n: int, cell: float) -> np.ndarray:
+    """The product of two dishes' voltage patterns, as an image."""
+    axis = (np.arange(n) - n // 2) * cell
+    radius = np.hypot(*np.meshgrid(axis, axis, indexing="ij"))
+    distinct, back = np.unique(radius, return_inverse=True)
+    scale = 2 * math.pi * row.freq / LIGHT / 2
+    beam = _voltage(distinct * scale * row.dish1, row.blockage1 / row.dish1) * _voltage(distinct * scale * row.dish2, row.blockage2 / row.dish2)
+    return beam[back].reshape(n, n)
+
+
+def _turned_beam(beam: np.ndarray, steps: np.ndarray, oversampling: int) -> np.ndarray:
+    """The transform of an even beam at steps of a sub-cell along both axes: real kernels."""
+    n = len(beam)
+    turn = np.cos(2 * math.pi * np.outer(steps / oversampling, np.arange(n) - n // 2) / n)
+    return turn @ beam @ turn.T
+
+
 def convolution_kernels(classes: DataFrame, n: int, cell: float, oversampling: int = 10, support: int = 15, cut: float = 0.02, power: int = 1) -> DataFrame:
     """``cf, uo, vo, du, dv, k`` for each row of ``classes(cf, dish1, dish2, blockage1, blockage2, freq)``: the transform of
     the product of two dishes' voltage patterns (to the ``power``), oversampled, normalised to a sum of one, cut at ``cut`` of its peak or at ``support``
     cells. A task makes the kernels of a class."""
 
-    def j1(x: np.ndarray) -> np.ndarray:
-        k = 2 * math.pi * np.arange(int(x.max()) + 60) / (int(x.max()) + 60)
-        return np.cos(k - x[..., None] * np.sin(k)).mean(-1)
-
-    def voltage(r: np.ndarray, ratio: float) -> np.ndarray:
-        safe = np.where(r > 0, r, 1.0)
-        value = (2 * j1(safe) / safe - 2 * ratio * j1(safe * ratio) / safe) / (1 - ratio**2)
-        return np.where(r > 0, value, 1.0)
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        axis = (np.arange(n) - n // 2) * cell
-        radius = np.hypot(*np.meshgrid(axis, axis, indexing="ij"))
-        distinct, back = np.unique(radius, return_inverse=True)
-        scale = 2 * math.pi * row.freq / LIGHT / 2
-        beam = (voltage(distinct * scale * row.dish1, row.blockage1 / row.dish1) * voltage(distinct * scale * row.dish2, row.blockage2 / row.dish2))[back].reshape(n, n)
-        beam = beam**power
         steps = np.arange(-(support // 2) * oversampling - oversampling // 2 - 1, (support // 2) * oversampling + oversampling // 2 + 2)
-        turn = np.cos(2 * math.pi * np.outer(steps / oversampling, np.arange(n) - n // 2) / n)  # the beam is even: real kernels
-        kernel = turn @ beam @ turn.T
+        kernel = _turned_beam(_pair_beam(row, n, cell) ** power, steps, oversampling)
         zero = len(steps) // 2
         kernel = np.where(np.abs(kernel) >= cut * kernel[zero, zero], kernel, 0.0)
         kernel = kernel / (kernel.sum() / oversampling**2)
@@ -315,6 +327,39 @@ def convolution_kernels(classes: DataFrame, n: int, cell: float, oversampling: i
     return classes.groupBy("cf").applyInPandas(run, "cf int, uo int, vo int, du int, dv int, k double")
 
 
+def class_kernels(classes: DataFrame, n: int, cell: float, oversampling: int = 10, cut: float = 0.02, max_support: int = 51) -> DataFrame:
+    """``cf, uo, vo, support, k, k2`` for each row of ``classes(cf, dish1, dish2, blockage1, blockage2, freq)``: a row a sub-cell
+    with the ``support`` squared values of the kernel of the two dishes' beam (``k``) and of its square (``k2``). Each class has
+    a width of its own: along an axis, the squared beam's kernel is followed from its peak to ``cut`` of it, and a cell is
+    added on either side. Both kernels are whole within it and normalised over it, so no sum is lost."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        beam = _pair_beam(row, n, cell)
+        reach = min(n // 2, max_support) * oversampling
+        one_axis = np.cos(2 * math.pi * np.outer(np.arange(reach + 1) / oversampling, np.arange(n) - n // 2) / n) @ (beam**2).sum(1)
+        below = np.flatnonzero(one_axis <= cut * one_axis[0])
+        support = (int(0.5 + (below[0] if len(below) else reach + 1) / oversampling) + 1) * 2 + 1
+        if not len(below) or support >= max_support:
+            raise ValueError(f"the kernel of class {int(row.cf)} is wider than {max_support} cells; raise cut or max_support, or take larger cells")
+        half = support // 2
+        edge = half * oversampling + oversampling // 2 + 1
+        steps = np.arange(-edge, edge + 1)
+        window = slice(edge - (support + 1) * oversampling // 2 if edge >= (support + 1) * oversampling // 2 else 0, edge + (support + 1) * oversampling // 2)
+        kernels = [_turned_beam(b, steps, oversampling) for b in (beam, beam**2)]
+        kernels = [k / (k[window, window].sum() / oversampling**2) for k in kernels]
+        o = np.arange(-(oversampling // 2) - 1, oversampling // 2 + 2)
+        d = np.arange(-half, half + 1) * oversampling
+        rows = []
+        for uo in o:
+            for vo in o:
+                iu, iv = np.clip(edge + d + uo, 0, len(steps) - 1), np.clip(edge + d + vo, 0, len(steps) - 1)
+                rows.append((int(row.cf), int(uo), int(vo), support, *[k[np.ix_(iu, iv)].ravel().tolist() for k in kernels]))
+        return pd.DataFrame(rows, columns=["cf", "uo", "vo", "support", "k", "k2"])
+
+    return classes.groupBy("cf").applyInPandas(run, "cf int, uo int, vo int, support int, k array<double>, k2 array<double>")
+
+
 def field_table(spark: SparkSession, fields: dict[int, tuple[float, float]], centre: tuple[float, float], n: int, cell: float, oversampling: int = 10) -> DataFrame:
     """A row a pointing: the turn of its uvw to the common ``centre``, the path of its phase, and its kernels' gradient."""
     rows = []
@@ -335,28 +380,45 @@ def to_common_centre(vis: DataFrame, fields: DataFrame) -> DataFrame:
     return wide.withColumns({**turned, "re": re, "im": im}).select(*vis.columns, "gx", "gy")
 
 
-def mosaic_image(vis: DataFrame, kernels: DataFrame, squared: DataFrame, n: int, cell: float, oversampling: int = 10, norm_type: str = "flat_sky", pb_limit: float = 0.1) -> DataFrame:
-    """``plane, chan, l, m, value, pb``: all fields in one image. ``vis`` has ``cf`` (its kernels' class) and ``gx, gy`` (see
-    ``to_common_centre``); ``kernels`` and ``squared`` are ``convolution_kernels`` of power 1 and 2. ``pb`` is the root of the
-    weighted mean of the squared beams; pixels where it is below ``pb_limit`` are NaN."""
-    kernels, squared = checkpointed(kernels), checkpointed(squared)  # made once, then counted and used
-    cells = gridding.mosaic_grid(vis, kernels, n, cell, oversampling, ("gx", "gy"))
-    uv = cells.select(F.col("pol").alias("plane"), "chan", F.col("iu").alias("l"), F.col("iv").alias("m"), "re", "im")
-    sky = images.fft(uv, inverse=True, n=n).select(*KEY, "l", "m", (F.col("re") * (n * n)).alias("value"))
-    sums = vis.where(gridding.visible(vis)).groupBy(F.col("pol").alias("plane"), "chan").agg(F.sum("weight").alias("w"))
-    wide = sky.join(mean_beam(vis, squared, n, oversampling), [*KEY, "l", "m"]).join(sums, list(KEY))
-    return images.normalize(wide, F.col("w"), F.lit(1.0), F.col("pb"), norm_type, pb_limit).select(*KEY, "l", "m", "value", "pb")
+def mosaic_image(vis: DataFrame, kernels: DataFrame, n: int, cell: float, oversampling: int = 10, norm_type: str = "flat_sky", pb_limit: float = 0.1, fit: bool = True) -> DataFrame:
+    """``plane, chan, l, m, value, psf, pb`` and (with ``fit``) ``bmaj, bmin, pa``: all fields in one image with its point spread
+    function and beam. ``vis`` has ``cf`` (its kernels' class) and ``gx, gy`` (see ``to_common_centre``); ``kernels`` are
+    ``class_kernels``. ``pb`` is the root of the weighted mean of the squared beams; pixels where it is below ``pb_limit`` are
+    NaN. The point spread function is one at its centre. Visibilities, weights and squared beams are laid on one grid of
+    three values a cell, summed in one shuffle and transformed together."""
+    kernels = checkpointed(kernels)  # made once, read by both
+    cells = gridding.mosaic_cells(vis, kernels, n, cell, oversampling)
+    zero = [F.lit(0.0).alias(c) for c in ("beam_re", "beam_im")]
+    cells = cells.select("*", *zero).unionByName(_beam_cells(vis, kernels, n, oversampling), allowMissingColumns=True)
+    parts = ("re", "im", "psf_re", "psf_im", "beam_re", "beam_im")
+    grid = cells.groupBy(F.col("pol").alias("plane"), "chan", F.col("iu").alias("l"), F.col("iv").alias("m")).agg(*[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in parts])
 
+    def run(planes: Planes) -> Iterator[dict]:
+        for some, shape, rows in planes.groups(n):
+            held = [planes.cube(c, some, shape, rows) for c in parts]
+            sky, psf, beam = (images.turned_planes(held[i] + 1j * held[i + 1], True) * (n * n) for i in (0, 2, 4))
+            top = psf.real[:, n // 2, n // 2][:, None, None]
+            yield planes.all_pixels(some, value=sky.real, psf=psf.real / np.where(top != 0, top, 1.0), beam=np.abs(beam.real))
 
-def mean_beam(vis: DataFrame, squared: DataFrame, n: int, oversampling: int = 10) -> DataFrame:
-    """``plane, chan, l, m, pb``: every sample's squared kernel at the grid's centre. Weights factor out, so they are summed
-    by class and field before any kernel is laid down."""
-    centred = squared.where("uo = 0 and vo = 0").select("cf", "du", "dv", "k")
-    sums = vis.where(gridding.visible(vis)).groupBy(F.col("pol").alias("plane"), "chan", "cf", "gx", "gy").agg(F.sum("weight").alias("w"))
+    sky = map_planes(grid, ["l", "m", *parts], run, "l int, m int, value double, psf double, beam double")
+    sums = vis.where(gridding.visible(vis)).groupBy(F.col("pol").alias("plane"), "chan").agg(F.sum("weight").alias("w"))
+    wide = sky.join(sums, list(KEY)).withColumn("pb", F.sqrt(F.col("beam") / F.col("w")))
+    out = images.normalize(wide, F.col("w"), F.lit(1.0), F.col("pb"), norm_type, pb_limit).select(*KEY, "l", "m", "value", "psf", "pb")
+    if not fit:
+        return out
+    out = checkpointed(out)
+    beams = fitting.psf_fit(out.select(*KEY, "l", "m", F.col("psf").alias("value")), window=(21, 21), sampling=4).drop("sidelobe")
+    return out.join(beams, list(KEY))
+
+
+def _beam_cells(vis: DataFrame, kernels: DataFrame, n: int, oversampling: int) -> DataFrame:
+    """``chan, pol, iu, iv, beam_re, beam_im``: every sample's squared kernel at the grid's centre. Weights factor out, so they
+    are summed by class and field before any kernel is laid down."""
+    centred = kernels.where("uo = 0 and vo = 0").select("cf", "support", F.posexplode("k2").alias("at", "k"))
+    step = lambda x: (x - F.expr("support div 2")).cast("int")
+    centred = centred.select("cf", step(F.expr("at div support")).alias("du"), step(F.col("at") % F.col("support")).alias("dv"), "k")
+    sums = vis.where(gridding.visible(vis)).groupBy("chan", "pol", "cf", "gx", "gy").agg(F.sum("weight").alias("w"))
     wave = cexp((F.col("du") * F.col("gx") + F.col("dv") * F.col("gy")) * oversampling)
     size = F.col("w") * F.col("k")
-    cells = sums.join(gridding.to_all(centred), "cf").groupBy("plane", "chan", (F.col("du") + n // 2).alias("l"), (F.col("dv") + n // 2).alias("m"))
-    uv = cells.agg(F.sum(size * wave[0]).alias("re"), F.sum(size * wave[1]).alias("im"))
-    total = sums.groupBy(*KEY).agg(F.sum("w").alias("all"))
-    sky = images.fft(uv, inverse=True, n=n).join(total, list(KEY))
-    return sky.select(*KEY, "l", "m", F.sqrt(F.abs(F.col("re") * (n * n) / F.col("all"))).alias("pb"))
+    laid = sums.join(gridding.to_all(centred), "cf").withColumns({"iu": F.col("du") + n // 2, "iv": F.col("dv") + n // 2})
+    return laid.where(F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1)).select("chan", "pol", "iu", "iv", (size * wave[0]).alias("beam_re"), (size * wave[1]).alias("beam_im"))
