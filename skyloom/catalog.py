@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import sources
-from .operators import calibration, deconvolution, fitting, frames, gridding, images, imaging, selection
+from .operators import calibration, coordinates, deconvolution, fitting, frames, gridding, images, imaging, selection
 from .plans import IMG, RET_LOG, VIS, img, ret_log, table, tidy, vis
-from .streaming import weight_windows
+from .streaming import grid_windows, merged, weight_windows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -484,6 +484,82 @@ for _policy, _where in (("ignore", "WHERE x BETWEEN 0 AND 19 AND y BETWEEN 0 AND
     query(f"pt_sources_{_policy}", _src_sql(_where))(lambda spark, sf, p=_policy: images.point_sources(_src(spark, sf), 20, p))
 
 
+#: World axes that are not evenly spaced, one falling and one rising, and sources on them.
+L_AXIS, M_AXIS = [-(i + i * i / 50.0) for i in range(20)], [1.5 * i - 3.0 for i in range(20)]
+WORLD = "src AS (SELECT 1-((s_suppkey*37)%1400)/50e0 AS x, ((s_suppkey*53)%1700)/50e0-4 AS y, s_nationkey::DOUBLE AS amp FROM supplier), la AS (SELECT range::INT AS i, -(range+range*range/50e0) AS v FROM range(20)), ma AS (SELECT range::INT AS i, 1.5e0*range-3 AS v FROM range(20))"
+
+
+def _world_src(spark: SparkSession, sf: str) -> DataFrame:
+    at = lambda k, n: F.col("s_suppkey") * k % n / 50
+    return table(spark, sf, "supplier").select((1 - at(37, 1400)).alias("x"), (at(53, 1700) - 4).alias("y"), F.col("s_nationkey").cast("double").alias("amp"))
+
+
+def _world_sql(where: str) -> str:
+    return f"WITH {WORLD}, near AS (SELECT x, y, amp, (SELECT arg_min(i, (abs(v-x), -v)) FROM la) AS l, (SELECT arg_min(i, (abs(v-y), -v)) FROM ma) AS m FROM src) SELECT l, m, sum(amp) AS amp FROM near {where} GROUP BY l, m"
+
+
+for _policy, _where in (("ignore", f"WHERE x BETWEEN {L_AXIS[-1]} AND 0 AND y BETWEEN -3 AND 25.5"), ("ignore_sloppy", f"WHERE x BETWEEN {L_AXIS[-1]}-{(L_AXIS[-2] - L_AXIS[-1]) / 2} AND 0.51 AND y BETWEEN -3.75 AND 26.25"), ("clip", "")):
+    query("pt_sources_world" if _policy == "ignore" else f"pt_sources_world_{_policy}", _world_sql(_where))(lambda spark, sf, p=_policy: coordinates.point_sources_world(_world_src(spark, sf), L_AXIS, M_AXIS, p))
+
+#: A beam for each channel, the mean of magnitudes over its planes, which has no axis of planes.
+PB_TABLE = "pb AS (SELECT chan, l, m, round(avg(abs(value)), 9) AS pb FROM img GROUP BY chan, l, m)"
+
+
+def _pb_table(spark: SparkSession, sf: str) -> DataFrame:
+    return img(spark, sf).groupBy("chan", "l", "m").agg(F.round(F.avg(F.abs("value")), 9).alias("value"))
+
+
+query("apply_pb_table", f"WITH {IMG}, {PB_TABLE} SELECT plane, img.chan, l, m, {r6('value*pb')} AS value FROM img JOIN pb USING (chan, l, m)")(
+    lambda spark, sf: rounded(coordinates.apply_pb_table(img(spark, sf), _pb_table(spark, sf)), "value")
+)
+query("apply_mask_table", f"WITH {IMG}, pb AS (SELECT l, m, round(avg(value), 9) > 0 AS mask FROM img WHERE l > 1 GROUP BY l, m) SELECT plane, chan, l, m, CASE WHEN coalesce(mask, false) THEN value ELSE 'nan'::DOUBLE END AS value FROM img LEFT JOIN pb USING (l, m)")(
+    lambda spark, sf: coordinates.apply_mask_table(img(spark, sf), img(spark, sf).where("l > 1").groupBy("l", "m").agg((F.round(F.avg("value"), 9) > 0).alias("mask")))
+)
+
+
+@query(
+    "image_coordinates",
+    f"""WITH {IMG}, a AS (SELECT plane, chan, l, m, (l-4)*-2e-3 AS x, (m-4)*3e-3 AS y FROM img), b AS (SELECT *, sqrt(1-x*x-y*y) AS n FROM a)
+ SELECT plane, chan, l, m, {r6('x')} AS l_rad, {r6('y')} AS m_rad, round(atan2(x, n*cos(0.7e0)-y*sin(0.7e0))+6.28e0-CASE WHEN atan2(x, n*cos(0.7e0)-y*sin(0.7e0))+6.28e0 >= 2*pi() THEN 2*pi() ELSE 0e0 END, 6)+0e0 AS ra,
+ {r6('asin(y*cos(0.7e0)+n*sin(0.7e0))')} AS dec, {r6('(l-4)/(8*-2e-3)')} AS u_wave, {r6('(m-4)/(8*3e-3)')} AS v_wave, 1e9+chan*chan*1e6 AS freq, CASE WHEN chan < 9 THEN (2*chan+1)*1e6 ELSE 17e6 END AS channel_width FROM b""",
+)
+def image_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels about a centre next to the meridian, with channels that widen."""
+    found = coordinates.image_coordinates(img(spark, sf), (8, 8), (-2e-3, 3e-3), (6.28, 0.7), [1e9 + k * k * 1e6 for k in range(10)])
+    return rounded(found.drop("value"), "l_rad", "m_rad", "ra", "dec", "u_wave", "v_wave")
+
+
+#: Fits with errors and covariances of each event, and axes of pixels that are not evenly spaced.
+X_AXIS, Y_AXIS = [10.0 - 0.1 * i - 0.002 * i * i for i in range(40)], [0.05 * i + 0.001 * i * i for i in range(40)]
+FITS = """fits AS (SELECT event_id, (event_id%37)+0.25e0 AS x0, (event_id%31)+0.5e0 AS y0, 3e0+event_id%5 AS a, 1e0+event_id%2 AS b, ((event_id%29)-14)/10e0 AS t,
+ 0.01e0*(1+event_id%3) AS x0e, 0.02e0 AS y0e, 0.05e0 AS ae, 0.03e0*(1+event_id%2) AS be, 0.01e0 AS te, 0.0004e0*((event_id%3)-1) AS ab FROM events)"""
+
+
+@query(
+    "fit_world_errors",
+    f"""WITH {FITS}, w AS (SELECT *, 10-0.1e0*x0-0.002e0*(floor(x0)*floor(x0)+(x0-floor(x0))*(2*floor(x0)+1)) AS wx, 0.05e0*y0+0.001e0*(floor(y0)*floor(y0)+(y0-floor(y0))*(2*floor(y0)+1)) AS wy,
+ -0.1e0-0.002e0*(2*floor(x0)+1) AS dx, 0.05e0+0.001e0*(2*floor(y0)+1) AS dy, cos(t) AS c, sin(t) AS s FROM fits),
+ q AS (SELECT *, (a*a*c*c+b*b*s*s)*dx*dx AS xx, (a*a*s*s+b*b*c*c)*dy*dy AS yy, (a*a-b*b)*c*s*dx*dy AS xy FROM w),
+ z AS (SELECT *, sqrt(pow((xx-yy)/2,2)+xy*xy) AS r, [2*a*c*c*dx*dx, 2*b*s*s*dx*dx, -2*c*s*(a*a-b*b)*dx*dx] AS jx, [2*a*s*s*dy*dy, 2*b*c*c*dy*dy, 2*c*s*(a*a-b*b)*dy*dy] AS jy, [2*a*c*s*dx*dy, -2*b*c*s*dx*dy, (a*a-b*b)*(c*c-s*s)*dx*dy] AS jm FROM q),
+ g AS (SELECT *, sqrt((xx+yy)/2+r) AS major, sqrt((xx+yy)/2-r) AS minor FROM z),
+ j AS (SELECT *, list_transform([1,2,3], lambda i: ((jx[i]+jy[i])/2+((xx-yy)*(jx[i]-jy[i])/4+xy*jm[i])/r)/(2*major)) AS p, list_transform([1,2,3], lambda i: ((jx[i]+jy[i])/2-((xx-yy)*(jx[i]-jy[i])/4+xy*jm[i])/r)/(2*minor)) AS n,
+ list_transform([1,2,3], lambda i: ((xx-yy)*jm[i]-xy*(jx[i]-jy[i]))/(4*r*r)) AS h FROM g)
+ SELECT event_id, {r6('wx')} AS world_x, {r6('wy')} AS world_y, {r6('major')} AS world_fwhm_major, {r6('minor')} AS world_fwhm_minor, {r6('atan2(2*xy, xx-yy)/2')} AS world_theta, {r6('x0e*abs(dx)')} AS world_x_err, {r6('y0e*dy')} AS world_y_err,
+ {r6('sqrt(pow(p[1]*ae,2)+pow(p[2]*be,2)+pow(p[3]*te,2)+2*p[1]*p[2]*ab)')} AS world_fwhm_major_err, {r6('sqrt(pow(n[1]*ae,2)+pow(n[2]*be,2)+pow(n[3]*te,2)+2*n[1]*n[2]*ab)')} AS world_fwhm_minor_err,
+ {r6('sqrt(pow(h[1]*ae,2)+pow(h[2]*be,2)+pow(h[3]*te,2)+2*h[1]*h[2]*ab)')} AS world_theta_err FROM j""",
+)
+def fit_world_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions, widths and angles in world units, with their errors."""
+    e = F.col("event_id")
+    fits = table(spark, sf, "events").select(
+        "event_id", (e % 37 + F.lit(0.25)).alias("x0"), (e % 31 + F.lit(0.5)).alias("y0"), (F.lit(3.0) + e % 5).alias("fwhm_major"), (F.lit(1.0) + e % 2).alias("fwhm_minor"), ((e % 29 - 14) / 10).alias("theta"),
+        (F.lit(0.01) * (1 + e % 3)).alias("x0_err"), F.lit(0.02).alias("y0_err"), F.lit(0.05).alias("fwhm_major_err"), (F.lit(0.03) * (1 + e % 2)).alias("fwhm_minor_err"), F.lit(0.01).alias("theta_err"), (F.lit(0.0004) * (e % 3 - 1)).alias("cov_major_minor"),
+    )
+    names = ["world_x", "world_y", "world_fwhm_major", "world_fwhm_minor", "world_theta"]
+    found = coordinates.to_world_axes(fits, X_AXIS, Y_AXIS).select("event_id", *names, *[f"{c}_err" for c in names])
+    return rounded(found, *names, *[f"{c}_err" for c in names])
+
+
 @query(
     "feather_planes",
     f"""WITH {IMG}, hi AS (SELECT plane, chan, l, m, value AS re, 0e0 AS im FROM img), lo AS (SELECT plane, chan, l, m, value*0.5e0+0.1e0 AS re, 0e0 AS im FROM img),
@@ -1111,6 +1187,20 @@ def cube_image(spark: SparkSession, sf: str) -> DataFrame:
     return imaging.make_cube(vis(spark, sf), 48, CELL, "briggs", 0.5, 4 / 3, "ALMA", 0.1)
 
 
+def _timed(spark: SparkSession, sf: str) -> DataFrame:
+    return vis(spark, sf).withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
+
+
+def _hourly_sql() -> str:
+    """The cells of each hour."""
+    whole = _cells_sql("chan", "re*wt", "im*wt").replace("AS chan, pol, ui+a.d", "AS chan, pol, floor(t/3600)::BIGINT*3600 AS start, wt, ui+a.d", 1)
+    return whole.replace("SELECT chan, pol, iu, iv, sum(k*re) AS re, sum(k*im) AS im FROM foot", "SELECT start, chan, pol, iu, iv, sum(k*re) AS re, sum(k*im) AS im, sum(k*wt) AS w FROM foot", 1)
+
+
+query("stream_grid_cells", f"WITH {_hourly_sql()} SELECT start, chan, pol, iu, iv, {r6('re')} AS re, {r6('im')} AS im, {r6('w')} AS w FROM cell")(
+    lambda spark, sf: rounded(grid_windows(_timed(spark, sf), n=N, cell=CELL), "re", "im", "w")
+)
+query("stream_grid_merged", ORACLE["grid_standard_cube"])(lambda spark, sf: rounded(merged(grid_windows(_timed(spark, sf), "6 hours", n=N, cell=CELL))[0], "re", "im"))
 query(
     "stream_grid",
     "SELECT (epoch(time_bucket(INTERVAL '1 hour', ts)))::BIGINT AS start, (event_id%4)::INT AS chan, sum(0.25e0*(1+event_id%5)) AS weight, count(*) AS n FROM events GROUP BY ALL",

@@ -79,16 +79,27 @@ def grid(vis: DataFrame, n: int = 64, cell: float = 5e-5, support: int = 7, over
 
 def grid_places(shared: DataFrame, n: int = 64, support: int = 7, oversampling: int = 100, do_psf: bool = False) -> DataFrame:
     """``chan, pol, iu, iv, re, im`` of summed samples (see ``places``)."""
-    half = support // 2
-    kernel = F.array(*[F.lit(x) for x in half_kernel(support, oversampling)])
     if do_psf:
         shared = shared.withColumns({"re": F.col("w"), "im": F.lit(0.0)})
+    wide = footprints(shared, support, oversampling)
+    return wide.groupBy("chan", "pol", "iu", "iv").agg(F.sum(F.col("k") * F.col("re")).alias("re"), F.sum(F.col("k") * F.col("im")).alias("im"))
+
+
+def footprints(shared: DataFrame, support: int = 7, oversampling: int = 100) -> DataFrame:
+    """``shared`` with a row a cell ``iu, iv`` that a place reaches, and the kernel ``k`` there."""
+    half = support // 2
+    kernel = F.array(*[F.lit(x) for x in half_kernel(support, oversampling)])
     steps = F.sequence(F.lit(-half), F.lit(half))
     wide = shared.withColumn("du", F.explode(steps)).withColumn("ku", _kernel(kernel, F.col("uo"), F.col("du"), oversampling))
     wide = wide.where("ku <> 0").withColumn("dv", F.explode(steps)).withColumn("k", F.col("ku") * _kernel(kernel, F.col("vo"), F.col("dv"), oversampling))
-    return wide.groupBy("chan", "pol", (F.col("ui") + F.col("du")).alias("iu"), (F.col("vi") + F.col("dv")).alias("iv")).agg(
-        F.sum(F.col("k") * F.col("re")).alias("re"), F.sum(F.col("k") * F.col("im")).alias("im")
-    )
+    return wide.withColumns({"iu": F.col("ui") + F.col("du"), "iv": F.col("vi") + F.col("dv")}).drop("du", "dv", "ku")
+
+
+def spots(vis: DataFrame, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, mode: str = "cube") -> DataFrame:
+    """Samples with a weight, each at its place ``chan, pol, ui, vi, uo, vo``: ``w`` and weighted ``re, im``, besides what the
+    samples have."""
+    at = _cells(vis, n, cell, support, oversampling, mode).where("wt <> 0")
+    return at.withColumns({"w": F.col("wt"), "re": F.col("re") * F.col("wt"), "im": F.col("im") * F.col("wt")}).drop("wt", "up", "vp")
 
 
 def _kernel_sums(support: int, oversampling: int) -> tuple[Column, int]:
