@@ -19,7 +19,7 @@ def weight_windows(events: DataFrame, window: str = "1 hour", late: str = "10 mi
 def grid_windows(vis: DataFrame, window: str = "1 hour", late: str = "10 minutes", time: str = "ts", **grid: object) -> DataFrame:
     """``start, chan, pol, iu, iv, re, im, w``: visibilities gridded by windows of event time, for batches and streams alike.
     The state of a stream is one sum a window and cell: samples are laid out as footprints and summed once, within a
-    micro-batch before they reach the state. A window is given out when the watermark (``late`` behind the newest sample) has
+    micro-batch before they reach the state. A window is given out when the watermark (``late`` behind the newest sample that has a weight) has
     passed it, and samples behind the watermark are left out. ``w`` adds up to the window's sum of weights."""
     seen = gridding.spots(vis.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late), **grid)
     kernel = {k: v for k, v in grid.items() if k in ("support", "oversampling")}
