@@ -4,8 +4,10 @@ Each language has a byte context tree of orders 0 to 3 with escape probabilities
 frozen after training). The score of a text is its exact code length in bits under each language; the shortest wins.
 
 Every byte that a training sample holds is a symbol of its own; all others share one, at the cost of telling them apart.
-The frozen trees are compiled into two tables: one from the last three bytes to the row of the longest context that any
-tree knows, and one from row and next byte to the cost in every language. Scoring is two look-ups a byte.
+The frozen trees are compiled into tables: one from the last three bytes to the row of the longest context that any tree
+knows, and one from row and next byte to the cost in every language. Only pairs that were seen are held; any other byte
+escapes to the row of the shorter context at a cost that its row holds. Scoring is two look-ups a byte and an escape here
+and there.
 
 Defined results: a null text, an empty one and one without any letter get ``und`` and score 0; so does every text if
 there is nothing to learn from. Equal code lengths go to the language that sorts first. Repeated rows stay. Rows with a
@@ -14,6 +16,7 @@ null ``doc_id`` or ``lang`` are predicted but never learned from. Further column
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,21 +34,75 @@ SLICE = 1 << 19
 @dataclass(frozen=True)
 class PpmParams:
     """``docs_per_language`` bounds the training sample: about that many documents of each language, chosen by a hash of the
-    id, each learned from whole. A context that all samples together hold fewer than ``min_context`` times is left to the
-    shorter one; so are the rarest contexts beyond ``table_bytes``, the most that the compiled trees may take."""
+    id, each learned from whole. A context that all samples together hold fewer than ``min_context`` times is no context of
+    the trees: the shorter one stands for it."""
 
     docs_per_language: int = 400
     min_context: int = 6
-    table_bytes: int = 256 << 20
+
+
+#: Cells of the direct index of (context, symbol) pairs; larger trees are searched instead, with the same result.
+INDEX_CELLS = 1 << 24
 
 
 @dataclass
 class PpmModel:
+    """One tree a language over common contexts, as rows: row 0 is the empty context with every symbol. A row lists the symbols
+    seen in its context, with their costs in each language; any other symbol costs the row's ``offset`` more than in the
+    row ``below``, the longest context that is a suffix of it. Only what was seen takes memory."""
+
     languages: list[str]
     codes: np.ndarray  # byte -> symbol; 0 is any byte that no sample holds
     rows: np.ndarray  # symbol**3 -> row of the longest known context
-    bits: np.ndarray  # (row * alphabet + symbol, language) -> cost
     alphabet: int
+    starts: np.ndarray  # of each row's pairs, and the end
+    symbols: np.ndarray  # of the pairs, rising within a row
+    bits: np.ndarray  # (pair, language) -> cost
+    offset: np.ndarray  # (row, language)
+    below: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.index = None
+        count = len(self.starts) - 1
+        if count * self.alphabet <= INDEX_CELLS:
+            self.index = np.full(count * self.alphabet, -1, np.int32)
+            self.index[np.repeat(np.arange(count), np.diff(self.starts)) * self.alphabet + self.symbols] = np.arange(len(self.symbols))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}  # made anew where it is used
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def find(self, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The pair of each row and symbol, -1 if the row does not list it."""
+        if self.index is not None:
+            return self.index[row * self.alphabet + symbol]
+        low, high, end = self.starts[row], self.starts[row + 1], self.starts[row + 1]
+        for _ in range(int(self.alphabet).bit_length()):
+            open_ = low < high
+            middle = (low + high) >> 1
+            less = open_ & (self.symbols[np.minimum(middle, len(self.symbols) - 1)] < symbol)
+            low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        held = (low < end) & (self.symbols[np.minimum(low, len(self.symbols) - 1)] == symbol)
+        return np.where(held, low, -1)
+
+    def costs(self, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Bits of symbols in contexts, in each language."""
+        at = self.find(row, symbol)
+        out = self.bits[at]
+        todo = np.flatnonzero(at < 0)
+        out[todo] = 0
+        row, symbol = row[todo], symbol[todo]
+        while len(todo):
+            out[todo] += self.offset[row]
+            row = self.below[row]
+            at = self.find(row, symbol)
+            hit = at >= 0
+            out[todo[hit]] += self.bits[at[hit]]
+            todo, row, symbol = todo[~hit], row[~hit], symbol[~hit]
+        return out
 
 
 def _blend(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -81,43 +138,69 @@ def compile_trees(names: list[str], order: np.ndarray, language: np.ndarray, gra
     """Freeze one tree a language from counts of (context, byte) by order, and compile them. ``gram`` is the context's bytes
     and the byte after it, as one number."""
     seen = np.union1d(gram[order == 0], [0])  # zero bytes stand before a text
-    a = len(seen) + 1
+    a, many = len(seen) + 1, len(names)
     codes = np.zeros(256, np.int32)
     codes[seen] = np.arange(1, a)
-    most = max(1, params.table_bytes // (4 * a * len(names)) - 1)
-    contexts, totals = [], []
-    for k in range(1, ORDER + 1):
-        c, back = np.unique(gram[order == k] >> 8, return_inverse=True)
-        contexts.append(c)
-        totals.append(np.bincount(back, n[order == k], len(c)))
-    ranked = np.sort(np.concatenate(totals))[::-1]
-    least = max(params.min_context, ranked[most] + 1 if len(ranked) > most else 0)
-
-    def coded(context: np.ndarray, k: int) -> np.ndarray:
-        return sum((codes[context >> (8 * i) & 255].astype(np.int64) * a**i for i in range(k)), np.zeros(len(context), np.int64))
-
-    def tree(k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts of an order, and their counts (context, language, symbol)."""
-        of = order == k
-        kept = contexts[k - 1][totals[k - 1] >= least] if k else np.zeros(1, np.int64)
-        at = np.searchsorted(kept, gram[of] >> 8)
-        held = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == gram[of] >> 8) if len(kept) else np.zeros(len(at), bool)
-        counts = np.zeros((len(kept), len(names), a), np.float32)
-        counts[at[held], language[of][held], codes[gram[of][held] & 255]] = n[of][held]
-        return coded(kept, k), counts
-
-    uniform = np.full((1, len(names), a), 1.0 / a)
-    rows = _blend(tree(0)[1].astype(float), uniform).astype(np.float32)
+    counts = np.zeros((many, a))
+    root = order == 0
+    counts[language[root], codes[gram[root] & 255]] = n[root]
+    top = _blend(counts, np.full((many, a), 1.0 / a))
+    top[:, 0] /= max(1, 256 - len(seen))  # symbol 0 says that a byte is new; which one it is costs as much in every language
     longest = np.zeros(1, np.int32)  # of each context of the order below, the row it is found at
+    model = PpmModel(names, codes, longest, a, np.array([0, a]), np.arange(a, dtype=np.int16), -np.log2(top.T).astype(np.float32), np.zeros((1, many), np.float32), np.zeros(1, np.int32))
     for k in range(1, ORDER + 1):
-        kept, counts = tree(k)
+        of = order == k
+        contexts, back = np.unique(gram[of] >> 8, return_inverse=True)
+        kept = contexts[np.bincount(back, n[of], len(contexts)) >= params.min_context] if len(contexts) else contexts
+        coded = sum((codes[kept >> (8 * i) & 255].astype(np.int64) * a**i for i in range(k)), np.zeros(len(kept), np.int64))
         below = np.tile(longest, a)  # the context of one byte less is the suffix
-        grown = [_blend(counts[i : i + 4096].astype(float), rows[below[kept[i : i + 4096]]].astype(float)).astype(np.float32) for i in range(0, len(kept), 4096)]
-        below[kept] = len(rows) + np.arange(len(kept))
-        rows, longest = np.concatenate([rows, *grown]), below.astype(np.int32)
-    rows[..., 0] /= max(1, 256 - len(seen))  # symbol 0 says that a byte is new; which one it is costs as much in every language
-    bits = -np.log2(rows, dtype=np.float32).transpose(0, 2, 1).reshape(-1, len(names))
-    return PpmModel(names, codes, longest, np.ascontiguousarray(bits, dtype=np.float32), a)
+        parents = below[coded]
+        held = of & np.isin(gram >> 8, kept)
+        pairs, at = np.unique(gram[held], return_inverse=True)  # by context, then by byte
+        context = np.searchsorted(kept, pairs >> 8)
+        starts = np.searchsorted(context, np.arange(len(kept) + 1))
+        symbol = codes[pairs & 255]
+        parts = [_frozen(model, parents, context, symbol, starts, i, at, language[held], n[held]) for i in _spans(starts, many)]
+        first, size = len(model.below), len(model.symbols)
+        below[coded] = first + np.arange(len(kept))
+        longest = below.astype(np.int32)
+        # Codes rise with bytes, so the symbols of a row rise too.
+        model = PpmModel(
+            names, codes, longest, a, np.concatenate([model.starts, size + starts[1:]]), np.concatenate([model.symbols, symbol.astype(np.int16)]), np.concatenate([model.bits, *[p[0] for p in parts]]),
+            np.concatenate([model.offset, *[p[1] for p in parts]]), np.concatenate([model.below, parents.astype(np.int32)]),
+        )
+    return model
+
+
+def _spans(starts: np.ndarray, many: int) -> Iterator[slice]:
+    """Runs of contexts whose pairs are worked on together."""
+    low = 0
+    while low < len(starts) - 1:
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + (1 << 20) // many, "right")) - 1)
+        yield slice(low, high)
+        low = high
+
+
+def _frozen(model: PpmModel, parents: np.ndarray, context: np.ndarray, symbol: np.ndarray, starts: np.ndarray, own: slice, at: np.ndarray, language: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of the pairs and offsets of a run of contexts, over the model of the lower orders."""
+    low, high = starts[own.start], starts[own.stop]
+    counts = np.zeros((high - low, len(model.languages)))
+    mine = (at >= low) & (at < high)
+    counts[at[mine] - low, language[mine]] = n[mine]
+    whose = context[low:high]
+    parent = np.exp2(-model.costs(parents[whose], symbol[low:high]).astype(float))
+    begin, seen = starts[own] - low, counts > 0
+    total, distinct = np.add.reduceat(counts, begin, axis=0), np.add.reduceat(seen.astype(float), begin, axis=0)
+    left = 1.0 - np.add.reduceat(parent * seen, begin, axis=0)
+    escapes = left > 1e-12
+    down = total + np.where(escapes, distinct, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.where(escapes, distinct / down / left, 0.0)  # of a symbol's probability in the shorter context
+        row = whose - own.start
+        p = np.where(seen, counts / down[row], share[row] * parent)
+        p = np.where(total[row] > 0, np.maximum(p, 1e-12), parent)
+        offset = np.where(total > 0, -np.log2(np.maximum(share, 1e-12)), 0.0)
+    return -np.log2(p).astype(np.float32), offset.astype(np.float32)
 
 
 def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
@@ -129,7 +212,7 @@ def code_lengths(model: PpmModel, texts: list[bytes]) -> np.ndarray:
         """The texts of ``group`` with their contexts before them, as one array."""
         x = model.codes[np.frombuffer(b"".join(t for _, t in group) + b"\0\0\0\0", np.uint8)]
         at = model.rows[(x[:-3] * a + x[1:-2]) * a + x[2:-1]]
-        cost = model.bits[at[:-1] * a + x[3:-1]]
+        cost = model.costs(at[:-1], x[3:-1])
         ends = np.cumsum([len(t) for _, t in group])
         bounds = np.stack([ends - [len(t) for _, t in group], ends - ORDER], 1).ravel()
         sums = np.add.reduceat(np.concatenate([cost, np.zeros((ORDER + 1, cost.shape[1]), np.float32)]), bounds, axis=0, dtype=np.float64)[::2]
@@ -173,12 +256,13 @@ def fit(documents: DataFrame, params: PpmParams = PpmParams()) -> PpmModel | Non
     found = found.select("lang", "n", each).groupBy("lang", "o.k", "o.gram").agg(F.sum("n").alias("n"))
     found = materialize(found, "language-grams").withColumn("context", F.shiftright("gram", 8))
     frequent = found.groupBy("k", "context").agg(F.sum("n").alias("total")).where((F.col("total") >= params.min_context) | (F.col("k") == 0)).select("k", "context")
-    table = found.join(frequent, ["k", "context"], "left_semi").select("lang", "k", "gram", "n").toPandas()
-    if table.empty:
+    number = {name: i for i, name in enumerate(sorted(counts))}
+    of = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])[F.col("lang")]
+    table = found.join(frequent, ["k", "context"], "left_semi").select(of.cast("short").alias("lang"), F.col("k").cast("byte").alias("k"), "gram", "n").toArrow()
+    if not table.num_rows:
         return None
-    names = sorted(table["lang"].unique())
-    language = table["lang"].map({name: i for i, name in enumerate(names)}).to_numpy()
-    return compile_trees(names, table["k"].to_numpy(), language, table["gram"].to_numpy(), table["n"].to_numpy(), params)
+    present, language = np.unique(table["lang"].to_numpy(), return_inverse=True)
+    return compile_trees([sorted(counts)[i] for i in present], table["k"].to_numpy(), language, table["gram"].to_numpy(), table["n"].to_numpy(), params)
 
 
 def identify(documents: DataFrame, model: PpmModel | None, keep: list[str] | None = None) -> DataFrame:

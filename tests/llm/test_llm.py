@@ -208,7 +208,8 @@ def test_language_id(spark, docs, none, monkeypatch):
     assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (0, 1, 2, 11, 15, 16)) and found[17].lang_pred in ("de", "en")
     assert language_id.fit(none) is None and language_id.identify(docs, None).where("lang_pred <> 'und'").count() == 0
     # Every row of the compiled trees is a distribution.
-    p = np.exp2(-model.bits.astype(float)).reshape(-1, model.alphabet, len(model.languages))
+    count = len(model.below)
+    p = np.exp2(-model.costs(np.repeat(np.arange(count), model.alphabet), np.tile(np.arange(model.alphabet), count)).astype(float)).reshape(count, model.alphabet, -1)
     p[:, 0] *= 256 - (model.alphabet - 1)
     assert np.abs(p.sum(1) - 1).max() < 1e-3
     long = (sentence(r, 200_000)).encode()
@@ -263,19 +264,48 @@ def test_code_lengths_against_brute_force(spark):
 
 
 def test_languages_of_long_documents_only(spark):
-    """A language all of whose texts are long is learned, from whole texts; a bound on the tables leaves a working model."""
+    """A language all of whose texts are long is learned, from whole texts."""
     r = random.Random(15)
     rows = [(i, sentence(r, 25_000) if i % 2 else "дом на горе и лес у реки " * 4000, "en" if i % 2 else "ru") for i in range(12)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for params in (language_id.PpmParams(), language_id.PpmParams(table_bytes=1 << 16)):
-        model = language_id.fit(table, params)
-        assert model.languages == ["en", "ru"] and model.bits.nbytes <= params.table_bytes
-        assert all(x.lang_pred == rows[x.doc_id][2] for x in language_id.identify(table, model).collect())
+    model = language_id.fit(table)
+    assert model.languages == ["en", "ru"]
+    assert all(x.lang_pred == rows[x.doc_id][2] for x in language_id.identify(table, model).collect())
     x, n = language_id.grams([b"abcab", b"", b"abc"])
     want = Counter(g for t in (b"abcab", b"abc") for g in [int.from_bytes((b"\0\0\0" + t)[i : i + 4], "big") for i in range(len(t))])
     assert dict(zip(x.tolist(), n.tolist())) == want
 
 
+def test_many_scripts_keep_all_contexts(monkeypatch):
+    """Sixteen languages in eight scripts: no context that is frequent enough is left out, tables stay small, and searching
+    pairs gives what indexing them gives."""
+    r = random.Random(33)
+    scripts = [(0x61, 26), (0x3B1, 24), (0x430, 32), (0x5D0, 27), (0x627, 28), (0x905, 50), (0x3042, 80), (0x4E00, 1500)]
+    texts: list[tuple[int, bytes]] = []
+    for k in range(16):
+        low, size = scripts[k // 2]
+        words = ["".join(chr(low + r.randrange(size)) for _ in range(r.randint(2, 6))) for _ in range(300)]
+        texts += [(k, " ".join(r.choice(words) for _ in range(200)).encode()) for _ in range(40)]
+    counts: Counter = Counter()
+    for k, t in texts:
+        for gram, n in zip(*(x.tolist() for x in language_id.grams([t]))):
+            for o in range(4):
+                counts[o, k, gram & ((1 << 8 * (o + 1)) - 1)] += n
+    order, lang, gram, n = (np.array(x) for x in zip(*((o, k, g, c) for (o, k, g), c in counts.items())))
+    model = language_id.compile_trees([f"l{k}" for k in range(16)], order, lang, gram, n)
+    totals = Counter()
+    for (o, _, g), c in counts.items():
+        totals[o, g >> 8] += c
+    assert len(model.below) == 1 + sum(o > 0 and c >= 6 for (o, _), c in totals.items()) > 10_000
+    assert model.bits.nbytes + model.offset.nbytes + model.symbols.nbytes + model.rows.nbytes + (model.index.nbytes if model.index is not None else 0) < 160 << 20
+    new = [t for _, t in texts[::40]]
+    found = language_id.code_lengths(model, new)
+    assert found.argmin(1).tolist() == list(range(16))
+    monkeypatch.setattr(language_id, "INDEX_CELLS", 0 if model.index is not None else 1 << 40)
+    again = language_id.compile_trees([f"l{k}" for k in range(16)], order, lang, gram, n)
+    assert (again.index is None) != (model.index is None) and np.allclose(language_id.code_lengths(again, new), found, rtol=1e-9)
+
+
 def test_pii_against_patterns(docs, none):
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     r = random.Random(6)
