@@ -40,9 +40,12 @@ def export_path(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage, in the folder that ``spark.checkpoint.dir`` names; a temporary one is set only
-    where the session names none (local runs and tests)."""
+    """``df`` cut off from its lineage, in the folder that ``spark.checkpoint.dir`` names. Only local sessions may go without
+    that setting: they get a temporary folder; elsewhere executors would not share it, so its absence is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyloom-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="skyloom-"))
     return df.checkpoint()
