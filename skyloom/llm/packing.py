@@ -117,6 +117,10 @@ class ByteBpe:
         return b"".join(out)
 
 
+#: Bands of virtual time whose tokens are added up together.
+BLOCK = 4096
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """One tokenizer a Python worker."""
@@ -342,8 +346,12 @@ def _by_virtual_time(others: DataFrame, schedule: Schedule, params: PackParams,
     frame = others.select("doc_id", "other", "begin", "n", "share", "ids")
     frame = map_batches(frame, run, f"doc_id {id_type}, other string, band long, time double, own long, n long, skip long, doc_tokens long, ids binary")
     frame = materialize(frame, "packing-packets")
-    bands = frame.groupBy("band").agg(F.sum("n").alias("held"))
-    bands = F.broadcast(materialize(bands.select("band", F.expr("sum(held) OVER (ORDER BY band) - held").alias("before")), "packing-bands"))
+    # Sums before each band: within blocks of bands, and over the blocks, of which there is one in BLOCK * window tokens.
+    bands = frame.groupBy("band", F.expr(f"band div {BLOCK}").alias("block")).agg(F.sum("n").alias("held"))
+    bands = materialize(bands, "packing-bands")
+    blocks = bands.groupBy("block").agg(F.sum("held").alias("all")).select("block", F.expr("sum(all) OVER (ORDER BY block) - all").alias("ahead"))
+    inside = bands.select("band", "block", F.expr("sum(held) OVER (PARTITION BY block ORDER BY band) - held").alias("before"))
+    bands = inside.join(blocks, "block").select("band", (F.col("before") + F.col("ahead")).alias("before"))
     within = frame.withColumn("begin", F.expr("sum(n) OVER (PARTITION BY band ORDER BY time, other, own ROWS UNBOUNDED PRECEDING) - n"))
     return within.join(bands, "band").select("doc_id", F.lit(rest).alias("queue"), (F.col("begin") + F.col("before")).alias("begin"), "n", "skip", "doc_tokens", "ids")
 

@@ -513,7 +513,8 @@ def test_schedule_keeps_the_mixture():
 
 
 @pytest.mark.parametrize("weights", [{}, {"b": 0.5, "s7": 0.4, "s8": 0.1}])
-def test_sources_beyond_the_queues_keep_their_shares(spark, weights):
+def test_sources_beyond_the_queues_keep_their_shares(spark, weights, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 3)
     """Three sources of like size lie one after another beyond the cap; no window may hold one of them alone."""
     bpe = packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
     names = ["b"] * 160 + ["s7"] * 100 + ["s8"] * 100 + [None] * 100
