@@ -54,21 +54,22 @@ def _spheroidal_sql(source: str) -> str:
 KERNEL = f"kernel AS (SELECT k, CASE WHEN k < 300 THEN (1-x*x)*g ELSE 0e0 END AS kv FROM ({_spheroidal_sql('SELECT range AS k, least(range/300e0,1e0) AS x FROM range(400)')}))"
 
 
-@query("kernel_pswf_1d", f"WITH {KERNEL} SELECT k::INT AS k, {r6('kv')} AS kv FROM kernel")
+@query("kernel_pswf_1d", f"WITH {KERNEL} SELECT event_id, k::INT AS k, {r6('kv')} AS kv FROM events JOIN kernel ON k = event_id%400")
 def kernel_pswf_1d(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.col("id") / 300
-    kv = F.when(F.col("id") < 300, (1 - x * x) * fn.spheroidal(x)).otherwise(0.0)
-    return spark.range(400).select(F.col("id").cast("int").alias("k"), tidy(kv).alias("kv"))
+    """The kernel at a place of every event."""
+    k = F.col("event_id") % 400
+    kv = F.when(k < 300, (1 - (k / 300) * (k / 300)) * fn.spheroidal(k / 300)).otherwise(0.0)
+    return table(spark, sf, "events").select("event_id", k.cast("int").alias("k"), tidy(kv).alias("kv"))
 
 
 @query(
     "pswf_correction_image",
-    f"WITH c AS ({_spheroidal_sql('SELECT range AS k, abs(range-16)/16e0 AS x FROM range(32)')}) SELECT a.k::INT AS l, b.k::INT AS m, {r6('a.g*b.g')} AS value FROM c a, c b",
+    f"WITH {IMG}, c AS ({_spheroidal_sql('SELECT range AS k, abs(range-4)/4e0 AS x FROM range(8)')}) SELECT plane, chan, l, m, {r6('value*a.g*b.g')} AS value FROM img JOIN c a ON a.k = l JOIN c b ON b.k = m",
 )
 def pswf_correction_image(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda c: fn.spheroidal(F.abs(F.col(c) - 16) / 16)
-    at = spark.range(32 * 32).select((F.col("id") / 32).cast("int").alias("l"), (F.col("id") % 32).cast("int").alias("m"))
-    return at.select("l", "m", tidy(one("l") * one("m")).alias("value"))
+    """Images times the correction of gridding."""
+    one = lambda c: fn.spheroidal(F.abs(F.col(c) - 4) / 4)
+    return rounded(img(spark, sf).withColumn("value", F.col("value") * one("l") * one("m")), "value")
 
 
 # ---- gridding ------------------------------------------------------------------------------------------------------
@@ -296,8 +297,8 @@ def cf_baseline_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cf_chan_map", f"WITH {VIS}, cfs AS (SELECT range::INT AS cf, 1.4e9+range*1.5e7 AS f FROM range(3)) SELECT chan, arg_min(cf, (abs(freq-f), cf))::INT AS cf FROM (SELECT DISTINCT chan, freq FROM vis) CROSS JOIN cfs GROUP BY chan")
 def cf_chan_map(spark: SparkSession, sf: str) -> DataFrame:
-    centres = F.array(*[F.struct(F.abs(F.col("freq") - (1.4e9 + i * 1.5e7)).alias("d"), F.lit(i).alias("cf")) for i in range(3)])
-    return vis(spark, sf).select("chan", "freq").distinct().select("chan", F.array_min(centres)["cf"].alias("cf"))
+    centre = imaging.nearest_cluster(F.col("freq"), [1.4e9 + i * 1.5e7 for i in range(3)])
+    return vis(spark, sf).select("chan", "freq").distinct().select("chan", centre.alias("cf"))
 
 
 @query(
@@ -390,28 +391,28 @@ def _j1_sql(x: str, n: int) -> str:
     return f"(SELECT avg(cos(2*pi()*range/{n}e0-({x})*sin(2*pi()*range/{n}e0))) FROM range({n}))"
 
 
-def _beam(spark: SparkSession, dish: float) -> DataFrame:
-    at = spark.range(64).select((F.col("id") / 8).cast("int").alias("l"), (F.col("id") % 8).cast("int").alias("m"))
-    return at.withColumn("r", images.radius(8, 2e-5) * (2 * math.pi * 1e11 / fn.LIGHT) * (dish / 2))
+def _beam(spark: SparkSession, sf: str, dish: float) -> DataFrame:
+    return img(spark, sf).withColumn("r", images.radius(8, 2e-5) * (2 * math.pi * 1e11 / fn.LIGHT) * (dish / 2))
 
 
 RAD = "SELECT (range//8)::INT AS l, (range%8)::INT AS m, sqrt(pow(((range//8)-4)*2e-5,2)+pow(((range%8)-4)*2e-5,2))*(2*pi()*1e11/299792458e0)*{} AS r FROM range(64)"
 
 
-@query(
-    "airy_pb",
-    f"SELECT l, m, {r6('CASE WHEN r = 0 THEN 1e0 ELSE pow((2*' + _j1_sql('r', 60) + '/r-2*(0.75e0/10.7e0)*' + _j1_sql('r*(0.75e0/10.7e0)', 60) + '/r)/(1-pow(0.75e0/10.7e0,2)),2) END')} AS value FROM ({RAD.format('5.35e0')}) q",
-)
+def _beam_sql(beam: str, half: str) -> str:
+    """Images times a beam."""
+    return f"WITH {IMG}, b AS (SELECT l, m, {beam} AS beam FROM ({RAD.format(half)}) q) SELECT plane, chan, l, m, {r6('value*beam')} AS value FROM img JOIN b USING (l, m)"
+
+
+@query("airy_pb", _beam_sql("CASE WHEN r = 0 THEN 1e0 ELSE pow((2*" + _j1_sql("r", 60) + "/r-2*(0.75e0/10.7e0)*" + _j1_sql("r*(0.75e0/10.7e0)", 60) + "/r)/(1-pow(0.75e0/10.7e0,2)),2) END", "5.35e0"))
 def airy_pb(spark: SparkSession, sf: str) -> DataFrame:
-    return _beam(spark, 10.7).select("l", "m", tidy(fn.airy(F.col("r"), 2, 0.75 / 10.7)).alias("value"))
+    seen = _beam(spark, sf, 10.7)
+    return seen.select("plane", "chan", "l", "m", tidy(F.col("value") * fn.airy(F.col("r"), 2, 0.75 / 10.7)).alias("value"))
 
 
-@query(
-    "casa_airy_pb",
-    f"SELECT l, m, {r6('CASE WHEN r = 0 THEN 1e0 ELSE pow((16*2*' + _j1_sql('r', 120) + '/r-2*' + _j1_sql('r*4', 120) + '/(r*4))/15,1) END')} AS value FROM ({RAD.format('2e0')}) q",
-)
+@query("casa_airy_pb", _beam_sql("CASE WHEN r = 0 THEN 1e0 ELSE pow((16*2*" + _j1_sql("r", 120) + "/r-2*" + _j1_sql("r*4", 120) + "/(r*4))/15,1) END", "2e0"))
 def casa_airy_pb(spark: SparkSession, sf: str) -> DataFrame:
-    return _beam(spark, 4.0).select("l", "m", tidy(fn.casa_airy(F.col("r"), 1, 4.0, 1.0)).alias("value"))
+    seen = _beam(spark, sf, 4.0)
+    return seen.select("plane", "chan", "l", "m", tidy(F.col("value") * fn.casa_airy(F.col("r"), 1, 4.0, 1.0)).alias("value"))
 
 
 #: Four correlations of each event with closed forms.
@@ -769,9 +770,15 @@ def spectral_interp(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(calibration.interpolate_channels(samples, ["pol", "ant1"], targets), "value")
 
 
-@query("fringe_spacings", "SELECT range AS n, 1e0/(range*2.5e0)/8e0 AS spacing FROM range(1, 65)")
+@query(
+    "fringe_spacings",
+    f"WITH {VIS}, a AS (SELECT chan, pol, min(event_id//16%64) AS low, max(event_id//16%64) AS high, count(DISTINCT event_id//16%64) AS held FROM vis GROUP BY chan, pol) SELECT chan, pol, (high-low+1)::INT AS n, round(1e0/((high-low+1)*2.5e0)/8e0, 9) AS spacing FROM a",
+)
 def fringe_spacings(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1, 65).select(F.col("id").alias("n"), (1.0 / (F.col("id") * 2.5) / 8.0).alias("spacing"))
+    """The spacing of padded transforms over the times that each channel and polarisation has."""
+    seen = vis(spark, sf).withColumn("t", F.expr("event_id div 16") % 64 * 2.5)
+    n = F.col("t_n")
+    return calibration.even_axis(seen, "t", ("chan", "pol")).select("chan", "pol", n.alias("n"), F.round(calibration.fourier_spacing(n, F.col("t_step")), 9).alias("spacing"))
 
 
 def _fringe_vis(spark: SparkSession, sf: str) -> DataFrame:
@@ -1013,11 +1020,15 @@ def imaging_cycles_stokes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "primary_beam_alma",
-    f"""WITH px AS (SELECT c.range::INT AS chan, a.range::INT AS l, b.range::INT AS m, sqrt(pow((a.range-8)*4e-5,2)+pow((b.range-8)*4e-5,2))*(2*pi()*(1e11+c.range*1e10)/299792458e0)*(10.7e0/2) AS r FROM range(2) c, range(16) a, range(16) b)
- SELECT chan, l, m, {r6('CASE WHEN r = 0 THEN 1e0 ELSE pow((2*' + _j1_sql('r', 75) + '/r-2*(0.75e0/10.7e0)*' + _j1_sql('r*(0.75e0/10.7e0)', 75) + '/r)/(1-pow(0.75e0/10.7e0,2)),2) END')} AS value FROM px""",
+    f"""WITH {IMG}, px AS (SELECT chan, a.range::INT AS l, b.range::INT AS m, sqrt(pow((a.range-4)*4e-5,2)+pow((b.range-4)*4e-5,2))*(2*pi()*(1e11+chan*1e9)/299792458e0)*(10.7e0/2) AS r FROM (SELECT DISTINCT chan FROM img), range(8) a, range(8) b),
+ pb AS (SELECT chan, l, m, CASE WHEN r = 0 THEN 1e0 ELSE pow((2*{_j1_sql('r', 75)}/r-2*(0.75e0/10.7e0)*{_j1_sql('r*(0.75e0/10.7e0)', 75)}/r)/(1-pow(0.75e0/10.7e0,2)),2) END AS pb FROM px)
+ SELECT plane, img.chan, l, m, {r6('value*pb')} AS value FROM img JOIN pb USING (chan, l, m)""",
 )
 def primary_beam_alma(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(imaging.primary_beam(spark, 16, 4e-5, [1e11, 1.1e11]), "value")
+    """Images times the beam of their channel's frequency."""
+    seen = img(spark, sf)
+    channels = max(r.chan for r in seen.select("chan").distinct().collect()) + 1  # a row a channel
+    return rounded(coordinates.apply_pb_table(seen, imaging.primary_beam(spark, 8, 4e-5, [1e11 + k * 1e9 for k in range(channels)])), "value")
 
 
 FIELDS = {0: (1.0, 0.5), 1: (1.0003, 0.5), 2: (1.0, 0.5002)}
@@ -1026,12 +1037,14 @@ CENTRE = (1.0001, 0.5001)
 
 @query(
     "phase_gradients",
-    f"""WITH f AS (SELECT * FROM (VALUES {', '.join(f"({k}, {ra}e0, {dec}e0)" for k, (ra, dec) in FIELDS.items())}) t(field, ra, dec))
- SELECT field::INT AS field, {r6(f'-2*pi()*(cos(dec)*sin(ra-{CENTRE[0]}e0)/5e-5)/640e0')} AS gx,
+    f"""WITH f AS (SELECT event_id, 1e0+(event_id%7)*1e-4 AS ra, 0.5e0+(event_id%5)*1e-4 AS dec FROM events) SELECT event_id, {r6(f'-2*pi()*(cos(dec)*sin(ra-{CENTRE[0]}e0)/5e-5)/640e0')} AS gx,
  {r6(f'-2*pi()*((sin(dec)*cos({CENTRE[1]}e0)-cos(dec)*sin({CENTRE[1]}e0)*cos(ra-{CENTRE[0]}e0))/5e-5)/640e0')} AS gy FROM f""",
 )
 def phase_gradients(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(imaging.field_table(spark, FIELDS, CENTRE, N, CELL).select("field", "gx", "gy"), "gx", "gy")
+    """The gradients of kernels for the direction of every event."""
+    e = F.col("event_id")
+    gx, gy = imaging.gradient_of(CENTRE, F.lit(1.0) + (e % 7) * F.lit(1e-4), F.lit(0.5) + (e % 5) * F.lit(1e-4), N, CELL, 10)
+    return table(spark, sf, "events").select("event_id", tidy(gx).alias("gx"), tidy(gy).alias("gy"))
 
 
 def _kernel_classes(spark: SparkSession) -> DataFrame:
@@ -1040,9 +1053,18 @@ def _kernel_classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "cf int, dish1 double, dish2 double, blockage1 double, blockage2 double, freq double")
 
 
+def _seen_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The classes of baselines, by dishes and channel, that the data hold."""
+    dish = lambda small, k: F.when(F.col("small") >= k, 6.7).otherwise(10.7)
+    seen = vis(spark, sf).select((F.col("ant1") % 2 + F.col("ant2") % 2).alias("small"), "chan").distinct()
+    return seen.select(
+        (F.col("small") * 4 + F.col("chan")).cast("int").alias("cf"), dish("small", 2).alias("dish1"), dish("small", 1).alias("dish2"), F.lit(0.75).alias("blockage1"), F.lit(0.75).alias("blockage2"), (F.lit(1e11) + F.col("chan") * F.lit(1e9)).alias("freq")
+    )
+
+
 @query("convolution_kernels")
 def convolution_kernels(spark: SparkSession, sf: str) -> DataFrame:
-    return imaging.convolution_kernels(_kernel_classes(spark), N, CELL, 10)
+    return imaging.convolution_kernels(_seen_classes(spark, sf), N, CELL, 10)
 
 
 @query("mosaic_image")
@@ -1078,12 +1100,7 @@ def _kernel_support_sql() -> str:
 @query("kernel_support", _kernel_support_sql())
 def kernel_support(spark: SparkSession, sf: str) -> DataFrame:
     """Width of the kernels of each class of baselines and channel in the data, and the sum of the centred one."""
-    dish = lambda small, k: F.when(F.col("small") >= k, 6.7).otherwise(10.7)
-    seen = vis(spark, sf).select((F.col("ant1") % 2 + F.col("ant2") % 2).alias("small"), "chan").distinct()
-    classes = seen.select(
-        (F.col("small") * 4 + F.col("chan")).cast("int").alias("cf"), dish("small", 2).alias("dish1"), dish("small", 1).alias("dish2"), F.lit(0.75).alias("blockage1"), F.lit(0.75).alias("blockage2"), (F.lit(1e11) + F.col("chan") * F.lit(1e9)).alias("freq")
-    )
-    kernels = imaging.class_kernels(classes, N, CELL).where("uo = 0 and vo = 0")
+    kernels = imaging.class_kernels(_seen_classes(spark, sf), N, CELL).where("uo = 0 and vo = 0")
     return kernels.select("cf", "support", tidy(F.aggregate("k", F.lit(0.0), lambda a, b: a + b)).alias("total"))
 
 

@@ -261,6 +261,13 @@ def phase_gradient(centre: tuple[float, float], field: tuple[float, float], n: i
     return tuple(-2 * math.pi * p / (n * oversampling) for p in pixel_offset(centre, field, cell))
 
 
+def gradient_of(centre: tuple[float, float], ra: Column, dec: Column, n: int, cell: float, oversampling: int = 1) -> tuple[Column, Column]:
+    """``phase_gradient`` of directions that are columns."""
+    turn, (sin0, cos0) = ra - centre[0], (math.sin(centre[1]), math.cos(centre[1]))
+    l, m = F.cos(dec) * F.sin(turn), F.sin(dec) * cos0 - F.cos(dec) * sin0 * F.cos(turn)
+    return tuple(-2 * math.pi * (x / cell) / (n * oversampling) for x in (l, m))
+
+
 def channel_clusters(freqs: list[float], tolerance: float) -> list[float]:
     """Frequencies that stand for all: each channel lies within the relative ``tolerance`` of one."""
     out: list[float] = []
