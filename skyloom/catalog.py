@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from . import sources
-from .operators import calibration, coordinates, deconvolution, fitting, frames, gridding, images, imaging, selection
+from .operators import calibration, coordinates, deconvolution, fitting, frames, gridding, images, imaging, selection, tiles
 from .plans import IMG, RET_LOG, VIS, img, ret_log, table, tidy, vis
 from .streaming import grid_windows, merged, weight_windows
 
@@ -574,6 +574,44 @@ def feather_planes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(images.feather(high, low, 8, 3.0, 2.0, omega=1.5), "value")
 
 
+BIG = IMG.replace("SELECT vec_id AS plane, label AS chan, ((i-1)//8)::INT AS l, ((i-1)%8)::INT AS m,", "SELECT vec_id//16 AS plane, 0 AS chan, ((vec_id%16)//4*8+(i-1)//8)::INT AS l, (vec_id%4*8+(i-1)%8)::INT AS m,")
+
+
+def _big(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixteen embeddings at a time as a plane of 32 x 32 pixels; of the last plane some may be absent."""
+    i = F.col("i")
+    flat = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    l, m = F.expr("vec_id % 16 div 4 * 8 + i div 8"), F.col("vec_id") % 4 * 8 + i % 8
+    return flat.select(F.expr("vec_id div 16").alias("plane"), F.lit(0).alias("chan"), l.cast("int").alias("l"), m.cast("int").alias("m"), F.col("x").cast("double").alias("value"))
+
+
+def _lines_sql(source: str, axis: str, other: str, sign: int = 1) -> str:
+    """The transform of 32 pixels along one axis, forward (1) or unnormalised back (-1)."""
+    phase = f"({sign})*2*pi()*(k.range-16)*(x.{axis}-16)/32e0"
+    return f"""SELECT x.plane, x.chan, x.{other}, k.range::INT AS {axis}, sum(x.re*cos({phase})+x.im*sin({phase})) AS re, sum(x.im*cos({phase})-x.re*sin({phase})) AS im
+ FROM {source} x CROSS JOIN range(32) k GROUP BY ALL"""
+
+
+@query("fft_strips", f"WITH {BIG}, {CX}, a AS ({_lines_sql('cx', 'm', 'l')}), b AS ({_lines_sql('a', 'l', 'm')}) SELECT plane, chan, l, m, {r6('re')} AS re, {r6('im')} AS im FROM b")
+def fft_strips(spark: SparkSession, sf: str) -> DataFrame:
+    """Planes transformed by strips of eight lines."""
+    return rounded(tiles.fft_strips(_big(spark, sf), 32, strip=256), "re", "im")
+
+
+@query(
+    "feather_strips",
+    f"""WITH {BIG}, hi AS (SELECT plane, chan, l, m, value AS re, 0e0 AS im FROM img), lo AS (SELECT plane, chan, l, m, value*0.5e0+0.1e0 AS re, 0e0 AS im FROM img),
+ a1 AS ({_lines_sql('hi', 'm', 'l')}), a2 AS ({_lines_sql('a1', 'l', 'm')}), b1 AS ({_lines_sql('lo', 'm', 'l')}), b2 AS ({_lines_sql('b1', 'l', 'm')}),
+ w AS (SELECT a2.*, b2.re AS re2, b2.im AS im2, exp(-(pi()*pi())/(4*ln(2e0))*(9*pow((a2.l-16)/32e0,2)+4*pow((a2.m-16)/32e0,2))) AS w FROM a2 JOIN b2 USING (plane, chan, l, m)),
+ uv AS (SELECT plane, chan, l, m, ((1-w)*re+1.5e0*re2*w)/((1-w)+w) AS re, ((1-w)*im+1.5e0*im2*w)/((1-w)+w) AS im FROM w),
+ c1 AS ({_lines_sql('uv', 'm', 'l', -1)}), c2 AS ({_lines_sql('c1', 'l', 'm', -1)}) SELECT plane, chan, l, m, {r6('re/1024e0')} AS value FROM c2""",
+)
+def feather_strips(spark: SparkSession, sf: str) -> DataFrame:
+    """Two skies of large planes combined, by strips of eight lines."""
+    high = _big(spark, sf)
+    return rounded(tiles.feather_strips(high, high.withColumn("value", F.col("value") * 0.5 + 0.1), 32, 3.0, 2.0, 1.5, strip=256), "value")
+
+
 # ---- selection -----------------------------------------------------------------------------------------------------
 def _poly_sql(corners: tuple) -> str:
     out = "false"
@@ -653,6 +691,11 @@ query("clean_nan", _clean_sql(3, value="CASE WHEN (l+m)%5 = 0 THEN 'nan'::DOUBLE
 )
 
 
+query("clean_tiles", _clean_sql(5).replace(IMG, BIG))(
+    lambda spark, sf: rounded(tiles.clean_tiles(_big(spark, sf), PSF, (32, 32), 0.1, 5, tile=16, candidates=256).drop("iterations"), "model", "residual")
+)
+
+
 def _psf_planes(spark: SparkSession, sf: str) -> DataFrame:
     """One point spread function a channel, for all of its planes."""
     i, line = F.col("id"), F.array(*[F.lit(x) for x in LINE])

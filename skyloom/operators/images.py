@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .planes import KEY, Planes, map_planes
 
 NAN = float("nan")
+#: Pixels of a plane up to which a task transforms it whole.
+TASK_PIXELS = 1 << 24
 
 
 def turned_planes(z: np.ndarray, inverse: bool) -> np.ndarray:
@@ -22,7 +24,12 @@ def turned_planes(z: np.ndarray, inverse: bool) -> np.ndarray:
 
 def fft(img: DataFrame, inverse: bool = False, n: int | None = None) -> DataFrame:
     """``plane, chan, l, m, re, im``: the centred 2-D transform of each plane (unnormalised forward; 1/N back). Pixels
-    without a row are zero, so a sparse grid needs no filling up; ``n`` is the planes' side where corners may be absent."""
+    without a row are zero, so a sparse grid needs no filling up; ``n`` is the planes' side where corners may be absent. Planes
+    of such a side that have more than ``TASK_PIXELS`` go by strips (``tiles.fft_strips``)."""
+    if n and n * n > TASK_PIXELS:
+        from .tiles import fft_strips
+
+        return fft_strips(img, n, inverse)
 
     def run(planes: Planes) -> Iterator[dict]:
         for some, shape, rows in planes.groups(n):
