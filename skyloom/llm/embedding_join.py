@@ -5,7 +5,8 @@ vectors into the cells of their nearest pivots. A vector also visits every other
 triangle inequality rules a cell out where the vector is farther from its pivot than the cell's radius plus ``r``, or
 farther than ``r`` from the plane between the two pivots. Of a pair in two cells only the vector of the later cell
 visits, so each pair meets once. A cell joins its own vectors with its own and its visitors. Cells of more than ``HOME``
-vectors are dealt out in parts, and each pair of parts is a group of its own, so memory is bounded whatever the cell.
+vectors (fewer where vectors have more than 64 components, see ``part_size``) are dealt out in parts, and each pair of parts
+is a group of its own, so memory is bounded whatever the cell and the vectors' length.
 
 Pairs are compared as 32-bit products with a guard band as wide as their rounding; only pairs within it are settled in
 double precision, and ties at the threshold by an exact sum.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, read
 from .components import components
 
-#: Most vectors of a part of a cell; a task holds two parts.
-HOME = 32768
+#: Most vectors of a part of a cell, and most components of all its vectors (16 MB in double precision); a task holds two parts.
+HOME, HOME_VALUES = 32768, 1 << 21
 #: Groups that all vectors make at least, once there are enough of them.
 GROUPS = 32
 #: Vectors chosen by hash to weigh the number of pivots.
@@ -45,6 +46,11 @@ SLACK = 1e-9
 ROWS, COLUMNS = 1024, 4096  # of a block of pairs
 
 
+def part_size(length: int) -> int:
+    """Most vectors of ``length`` components in a part of a cell."""
+    return max(1, min(HOME, HOME_VALUES // max(1, length)))
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
     top = np.abs(x).max(1, keepdims=True)
@@ -80,7 +86,7 @@ def _choose(sample: np.ndarray, count: float, r: float) -> np.ndarray:
             break
         pivots, rest = sample[:p], sample[p:] if len(sample) > p else sample
         seen = len(visits(rest, pivots, np.full(p, 2.0), r)[1]) / max(1, len(rest))
-        sent = count * (1 + seen) * max(1.0, count / p / HOME)
+        sent = count * (1 + seen) * max(1.0, count / p / part_size(sample.shape[1]))
         cost = 5e-6 * sent + 4e-9 * count * count / p * (0.5 + seen)
         if best is None or cost < best[0]:
             best = (cost, pivots)
@@ -239,7 +245,8 @@ def _links(classes: DataFrame, r: float, cosine: float) -> tuple[tuple[DataFrame
     sizes = dealt.groupBy("size", "cell").agg(F.sum(F.col("own").cast("long")).alias("held"), F.sum((~F.col("own")).cast("long")).alias("seen"))
     # Parts of the own vectors: as many as memory asks for, and enough for GROUPS groups of all vectors, with 512 in each.
     spread = F.least(F.sqrt(F.col("held") * (2.0 * GROUPS / max(1, total))), F.col("held") / 512)
-    sizes = sizes.select("size", "cell", F.ceil(F.greatest(F.col("held") / HOME, spread, F.lit(1.0))).cast("int").alias("parts"), F.ceil(F.col("seen") / HOME).cast("int").alias("more"))
+    most = F.greatest(F.lit(1), F.least(F.lit(HOME), F.expr(f"{HOME_VALUES} div size")))  # part_size of each length
+    sizes = sizes.select("size", "cell", F.ceil(F.greatest(F.col("held") / most, spread, F.lit(1.0))).cast("int").alias("parts"), F.ceil(F.col("seen") / most).cast("int").alias("more"))
     sizes = materialize(sizes, "vector-sizes")
     mine = F.when(F.col("own"), F.pmod("h", "parts")).otherwise(F.col("parts") + F.pmod("h", F.greatest("more", F.lit(1)))).cast("int")
     others = F.when(F.col("own"), F.sequence(F.lit(0), F.col("parts") + F.col("more") - 1)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))

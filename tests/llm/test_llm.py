@@ -130,9 +130,10 @@ def test_range_join_visits_lose_nothing():
     assert all((int(j), int(home[i])) in seen for i, j in zip(a, b) if home[i] <= home[j]) and len(seen) < 300 * 16
 
 
-def test_range_join_in_cells_parts_and_blocks(spark, monkeypatch):
-    """Many pivots, parts and blocks; near pairs at the threshold; copies; lengths mixed; ids repeated; names that clash."""
-    for name, value in (("HOME", 30), ("ROWS", 7), ("COLUMNS", 9)):
+@pytest.mark.parametrize("limit", [("HOME", 30), ("HOME_VALUES", 60)])
+def test_range_join_in_cells_parts_and_blocks(spark, monkeypatch, limit):
+    """Many pivots, parts (by vectors and by components) and blocks; near pairs at the threshold; copies; lengths mixed; ids repeated; names that clash."""
+    for name, value in (limit, ("ROWS", 7), ("COLUMNS", 9)):
         monkeypatch.setattr(embedding_join, name, value)
     monkeypatch.setattr(embedding_join, "_choose", lambda sample, count, r: sample[: max(1, min(16, len(sample) // 4))])
     rng = np.random.default_rng(6)
