@@ -276,6 +276,18 @@ def single_dish_grid(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gridding.single_dish_grid(vis(spark, sf)), "re", "im", "weight")
 
 
+RADIAL = [1 / (1 + i * i) for i in range(11)]
+
+
+@query(
+    "single_dish_table",
+    ORACLE["single_dish_grid"].replace("exp(-d2)", f"[{','.join(f'({v!r}::DOUBLE)' for v in RADIAL)}][round_even(sqrt(d2)*4,0)::INT+1]").replace("WHERE d2 <= 9", "WHERE d2 <= 9 AND round_even(sqrt(d2)*4,0) < 11").replace("u/40e0", "u/28e0").replace("v/40e0", "v/28e0").replace("WHERE NOT flag)", "WHERE NOT flag AND u/28e0+32 >= 0 AND u/28e0+32 < 64 AND v/28e0+32 >= 0 AND v/28e0+32 < 64)"),
+)
+def single_dish_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A kernel as a table of radii, shorter than the circle; some samples lie outside the image."""
+    return rounded(gridding.single_dish_grid(vis(spark, sf), cell=28.0, kernel=RADIAL, sampling=4), "re", "im", "weight")
+
+
 CF = "cf AS (SELECT c.range::INT AS cf, (a.range-1)::INT AS du, (b.range-1)::INT AS dv, 1e0/(1+c.range+abs(a.range-1)+abs(b.range-1)) AS k FROM range(3) c, range(3) a, range(3) b)"
 
 
@@ -1241,6 +1253,22 @@ def chunk_plan(spark: SparkSession, sf: str) -> DataFrame:
     return sources.chunk_summary(vis(spark, sf), sources.chunk_size(32, 64 * 64, 2, 1, 4))
 
 
+AXES_CUT = {"l": 32, "m": 32}
+
+
+@query(
+    "chunk_axes",
+    f"""WITH {BIG} SELECT (l*4//32)::INT AS chunk_l, (m*3//32)::INT AS chunk_m, min(l) AS first_l, max(l) AS last_l, min(m) AS first_m, max(m) AS last_m, count(*) AS n,
+ {r6('sum(value)')} AS flux, {r6('max(abs(value))')} AS peak FROM img GROUP BY ALL""",
+)
+def chunk_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """Planes cut along both axes by what a task's memory allows: what each chunk holds."""
+    counts = sources.chunk_counts(AXES_CUT, 1, 3, 1 << 20)
+    ends = [f(axis).alias(f"{name}_{axis}") for axis in AXES_CUT for name, f in (("first", F.min), ("last", F.max))]
+    out = sources.with_chunks(_big(spark, sf), AXES_CUT, counts).groupBy("chunk_l", "chunk_m")
+    return rounded(out.agg(*ends, F.count("*").alias("n"), F.sum("value").alias("flux"), F.max(F.abs("value")).alias("peak")), "flux", "peak")
+
+
 @query("cube_image")
 def cube_image(spark: SparkSession, sf: str) -> DataFrame:
     """From samples to a cube in one call: weights, padding, point spread function, sky, primary beam and fitted beam."""

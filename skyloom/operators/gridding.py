@@ -285,16 +285,24 @@ def averaged_weights(vis: DataFrame, scheme: str, robust: float = 0.5, n: int =
     return new.select(F.explode("hands").alias("h"), "weight_imaging").select("h.event_id", "h.pol", "weight_imaging")
 
 
-def single_dish_grid(vis: DataFrame, n: int = 64, cell: float = 40.0, radius: int = 3) -> DataFrame:
+def single_dish_grid(vis: DataFrame, n: int = 64, cell: float = 40.0, radius: int = 3, kernel: list[float] | None = None, sampling: int = 1) -> DataFrame:
     """``pol, iu, iv, re, im, weight``: a radial kernel scattered within a circle, clipped at the edges; half-even rounding
-    and the conjugate of the value."""
+    and the conjugate of the value. ``kernel`` has ``sampling`` values a cell of radius, of which the nearest counts and none
+    beyond the last; without it it is ``exp(-r * r)``. Samples outside the image are left out."""
     x, y = F.col("u") / cell + n // 2, F.col("v") / cell + n // 2
     at = vis.where(visible(vis)).select("pol", "re", "im", "weight", x.alias("x"), y.alias("y"), F.rint(x).cast("int").alias("ci"), F.rint(y).cast("int").alias("cj"))
+    at = at.where((F.col("x") >= 0) & (F.col("x") < n) & (F.col("y") >= 0) & (F.col("y") < n))
     steps = F.sequence(F.lit(-radius), F.lit(radius))
     wide = at.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps)).withColumns({"iu": F.col("ci") + F.col("di"), "iv": F.col("cj") + F.col("dj")})
     d2 = (F.col("iu") - F.col("x")) * (F.col("iu") - F.col("x")) + (F.col("iv") - F.col("y")) * (F.col("iv") - F.col("y"))
     wide = wide.where(F.col("iu").between(0, n - 1) & F.col("iv").between(0, n - 1)).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    k = F.exp(-F.col("d2")) * F.col("weight")
+    if kernel is None:
+        k = F.exp(-F.col("d2"))
+    else:
+        values = F.array(*[F.lit(float(v)) for v in kernel])
+        wide = wide.withColumn("k", F.get(values, F.rint(F.sqrt("d2") * sampling).cast("int"))).where("k is not null")
+        k = F.col("k")
+    k = k * F.col("weight")
     return wide.groupBy("pol", "iu", "iv").agg(F.sum(k * F.col("re")).alias("re"), F.sum(-k * F.col("im")).alias("im"), F.sum(k).alias("weight"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,34 @@ def chunk_summary(vis: DataFrame, size: int) -> DataFrame:
     chunk = F.expr(f"cast(chan div {int(size)} as int)").alias("chunk")
     flagged = F.sum(F.col("flag").cast("long")).alias("flagged")
     return vis.groupBy(chunk).agg(F.min("chan").alias("first"), F.count_distinct("chan").alias("channels"), F.count("*").alias("n"), flagged)
+
+
+def chunk_counts(sizes: dict[str, int], memory_gb: float, threads: int, bytes_per_place: float) -> dict[str, int]:
+    """Into how many chunks each axis is cut: as many in all as memory asks for (a chunk and its work fit a thread's share),
+    or four a thread, as far as the axes go. The longest chunks are halved, cut in three and so on, axis by axis."""
+    if not sizes or min(sizes.values()) < 1 or threads < 1:
+        raise ValueError("axes have a place at least, and there is a thread at least")
+    places = math.prod(sizes.values())
+    held = memory_gb * 2**30 / threads / (1.2 * bytes_per_place)
+    if held < 1:
+        raise ValueError("a thread's memory does not hold a single place")
+    wanted = min(places, max(math.ceil(places / held), 4 * threads))
+    counts = dict.fromkeys(sizes, 1)
+    # The largest chunk counts, so memory holds where an axis does not divide evenly.
+    largest = lambda: math.prod(-(-size // counts[axis]) for axis, size in sizes.items())
+    while math.prod(counts.values()) < wanted or largest() > held:
+        counts[max((a for a in sizes if counts[a] < sizes[a]), key=lambda a: sizes[a] / counts[a])] += 1
+    return counts
+
+
+def with_chunks(rows: DataFrame, sizes: dict[str, int], counts: dict[str, int]) -> DataFrame:
+    """``rows`` with ``chunk_<axis>`` for each axis: chunks of an axis differ by a place at most."""
+    return rows.withColumns({f"chunk_{axis}": F.expr(f"cast({axis} * {counts[axis]}L div {size} as int)") for axis, size in sizes.items()})
+
+
+def write_chunks(img: DataFrame, path: str, sizes: dict[str, int], counts: dict[str, int], overwrite: bool = False) -> None:
+    """An image cut along several axes, a folder a chunk: one shuffle by chunk, and a file of each. ``open_image`` with a
+    ``block`` of chunk numbers reads only these."""
+    names = [f"chunk_{axis}" for axis in sizes]
+    frame = with_chunks(img, sizes, counts).repartition(*names)
+    frame.write.partitionBy(*names).mode("overwrite" if overwrite else "errorifexists").parquet(path)

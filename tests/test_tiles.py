@@ -1,10 +1,13 @@
 """Planes larger than a task give what whole planes give."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import deconvolution, images, tiles
+from skyloom.operators import deconvolution, gridding, images, tiles
+from skyloom.sources import chunk_counts, open_image, with_chunks, write_chunks
 
 
 def planes(spark, n, count=2, seed=1, absent=0.0):
@@ -86,3 +89,48 @@ def test_clean_by_tiles_without_work(spark):
             tiles.clean_tiles(img, bad, (6, 6))
     with pytest.raises(Exception, match="outside"):
         tiles.clean_tiles(img, psf, (5, 6), tile=4)
+
+
+def test_counts_of_chunks():
+    for sizes, memory, threads in (({"chan": 7}, 1, 1), ({"chan": 1000, "l": 50}, 1, 16), ({"l": 512, "m": 300, "chan": 2}, 0.5, 4), ({"chan": 1}, 1, 8)):
+        counts = chunk_counts(sizes, memory, threads, 2000)
+        largest = math.prod(-(-sizes[a] // counts[a]) for a in sizes)
+        assert all(1 <= counts[a] <= sizes[a] for a in sizes) and largest * 2400 * threads <= memory * 2**30
+        assert math.prod(counts.values()) >= min(4 * threads, math.prod(sizes.values()))
+    assert chunk_counts({"a": 100, "b": 2}, 1e6, 2, 1) == {"a": 8, "b": 1}
+    for bad in (({}, 1, 1, 1), ({"a": 0}, 1, 1, 1), ({"a": 5}, 1e-9, 1, 100), ({"a": 5}, 1, 0, 1)):
+        with pytest.raises(ValueError):
+            chunk_counts(*bad)
+
+
+def test_chunks_are_folders(spark, tmp_path):
+    img, sizes, counts, path = planes(spark, (7, 5), 1), {"l": 7, "m": 5}, {"l": 3, "m": 2}, str(tmp_path / "image")
+    write_chunks(img, path, sizes, counts)
+    chunks = with_chunks(img, sizes, counts).groupBy("chunk_l", "chunk_m").agg(F.count_distinct("l").alias("a"), F.count_distinct("m").alias("b")).collect()
+    assert len(chunks) == 6 and {r.a for r in chunks} == {2, 3} and {r.b for r in chunks} == {2, 3}
+    some = open_image(spark, path, (F.col("chunk_l") == 2) & (F.col("chunk_m") == 0))
+    assert len(some.inputFiles()) == 6 and "PartitionFilters: [isnotnull(chunk_l" in some._jdf.queryExecution().toString()
+    assert by_pixel(some, "value") == by_pixel(with_chunks(img, sizes, counts).where("chunk_l = 2 and chunk_m = 0"), "value")
+    with pytest.raises(Exception, match="exists"):
+        write_chunks(img, path, sizes, counts)
+    write_chunks(img, path, sizes, counts, overwrite=True)
+    assert open_image(spark, path).count() == 35
+
+
+def test_single_dish_kernel_table(spark):
+    rows = [(0, 5.3, 4.6, 1.0, 2.0, 0.5, False), (0, -0.2, 4.0, 9.0, 9.0, 1.0, False), (0, 8.5, 0.0, 3.0, 1.0, 2.0, False), (1, 1.0, 1.0, float("nan"), 1.0, 1.0, False), (1, 2.0, 2.0, 1.0, 1.0, 0.0, False)]
+    vis = spark.createDataFrame([(p, x - 4, y - 4, *rest) for p, x, y, *rest in rows], "pol int, u double, v double, re double, im double, weight double, flag boolean")
+    kernel = [1.0, 0.7, 0.4, 0.2]
+    want: dict = {}
+    for p, x, y, re, im, w, _ in rows:
+        if not (0 <= x < 9 and 0 <= y < 9) or re != re or not w:
+            continue
+        for i in range(9):
+            for j in range(9):
+                r = math.hypot(i - x, j - y)
+                k = round(2 * r)
+                if r <= 2 and abs(i - round(x)) <= 2 and abs(j - round(y)) <= 2 and k < len(kernel):
+                    old = want.get((p, i, j), (0, 0, 0))
+                    want[p, i, j] = tuple(a + kernel[k] * w * b for a, b in zip(old, (re, -im, 1)))
+    got = {(r.pol, r.iu, r.iv): (r.re, r.im, r.weight) for r in gridding.single_dish_grid(vis, 9, 1.0, 2, kernel, 2).collect() if r.weight}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
