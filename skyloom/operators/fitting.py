@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -50,7 +51,13 @@ def _solved(h: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def fit_planes(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: int = 200, bounds: tuple[np.ndarray, np.ndarray] | None = None, level: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters, errors (planes, 1 + 6 n) and the share of variance explained of every plane of a cube: damped least
+    """Parameters, errors and the share of variance explained of every plane of a cube, see ``fit_with_covariances``."""
+    p, spread, share = fit_with_covariances(z, n, start, rounds, bounds, level)
+    return p, np.sqrt(np.maximum(np.diagonal(spread, axis1=1, axis2=2), 0.0)), share
+
+
+def fit_with_covariances(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: int = 200, bounds: tuple[np.ndarray, np.ndarray] | None = None, level: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters (planes, 1 + 6 n), their covariances and the share of variance explained of every plane of a cube: damped least
     squares within bounds, all planes together, each with a damping of its own. Pixels that are not finite are left out.
     Planes of fewer pixels than parameters give NaN. ``start`` is one vector, or one for each plane. Without ``level`` the
     offset stays as it starts."""
@@ -68,7 +75,7 @@ def fit_planes(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: i
     if bounds is not None:
         low, high = np.maximum(low, bounds[0]), np.minimum(high, bounds[1])
     p = np.clip(p, low, high)
-    errors, share = np.full(p.shape, np.nan), np.full(len(z), np.nan)
+    covariances, share = np.full((len(z), size, size), np.nan), np.full(len(z), np.nan)
     live = np.flatnonzero(enough)
     damp, cost = np.full(len(z), 1e-2), np.full(len(z), np.inf)
 
@@ -108,14 +115,14 @@ def fit_planes(z: np.ndarray, n: int, start: np.ndarray | None = None, rounds: i
         try:
             fixed = np.zeros_like(full[k])
             fixed[0, 0] = not level
-            errors[k] = np.sqrt(np.maximum(np.diag(np.linalg.inv(full[k] + fixed)), 0.0) * cost[k] / free)
+            covariances[k] = np.linalg.inv(full[k] + fixed) * cost[k] / free
         except np.linalg.LinAlgError:
             pass
         held = data[k][use[k]]
         spread = np.var(held)
         if spread > 0:
             share[k] = 1 - np.var(held - gaussians(p[k], x[use[k]], y[use[k]])[0]) / spread
-    return p, errors, share
+    return p, covariances, share
 
 
 def fit_plane(z: np.ndarray, n: int, mask: np.ndarray | None = None, start: np.ndarray | None = None, rounds: int = 200, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -127,6 +134,7 @@ def fit_plane(z: np.ndarray, n: int, mask: np.ndarray | None = None, start: np.n
     return p[0], errors[0], float(share[0])
 
 
+COVARIANCES = ("cov_major_minor", "cov_major_theta", "cov_minor_theta")
 PARAMETERS = ("amp", "x0", "y0", "fwhm_major", "fwhm_minor", "theta")
 
 
@@ -194,8 +202,9 @@ def fit_multi_gaussian2d(
     min_threshold: float | None = None, max_threshold: float | None = None, mask: Column | None = None,
 ) -> DataFrame:
     """A row a plane and component: offset, amplitude, peak (amplitude and offset), centre, widths (FWHM, major first), angle
-    from +x and position angle (from +y towards -x, in [0, pi)), an error of each (``*_err``), and the share of variance
-    explained. ``initial`` gives the starts (else the peaks do; see ``_starts`` for its forms), ``bounds`` an interval by
+    from +x and position angle (from +y towards -x, in [0, pi)), an error of each (``*_err``), covariances of widths and angle
+    (``cov_major_minor, cov_major_theta, cov_minor_theta``, as ``coordinates.to_world_axes`` takes them), and the share of variance
+    explained. Columns are described in their metadata, see ``described``. ``initial`` gives the starts (else the peaks do; see ``_starts`` for its forms), ``bounds`` an interval by
     parameter for all or for each of the components (not for the angle), and pixels outside the thresholds or the mask are
     left out of the fit."""
     start, limits = _starts(initial, n, offset), _limits(bounds, n)
@@ -208,11 +217,16 @@ def fit_multi_gaussian2d(
 
     def run(planes: Planes) -> Iterator[dict]:
         for some, shape, rows in planes.groups():
-            p, e, share = fit_planes(planes.cube("value", some, shape, rows, np.nan), n, start, bounds=limits)
+            p, spread, share = fit_with_covariances(planes.cube("value", some, shape, rows, np.nan), n, start, bounds=limits)
+            e = np.sqrt(np.maximum(np.diagonal(spread, axis1=1, axis2=2), 0.0))
+            first = 1 + 6 * np.arange(n)  # of each component
+            between = lambda i, k: spread[:, first + i, first + k].ravel()  # noqa: B023, E731
             parts, errors = p[:, 1:].reshape(-1, 6).copy(), e[:, 1:].reshape(-1, 6).copy()
             turned = parts[:, 4] > parts[:, 3]
             for x in (parts, errors):
                 x[turned, 3], x[turned, 4] = x[turned, 4], x[turned, 3]
+            covs = np.stack([between(3, 4) * FWHM * FWHM, between(3, 5) * FWHM, between(4, 5) * FWHM])
+            covs[1, turned], covs[2, turned] = covs[2, turned], covs[1, turned]
             parts[turned, 5] += math.pi / 2
             parts[:, 5] = (parts[:, 5] + math.pi / 2) % math.pi - math.pi / 2
             level, level_err = np.repeat(p[:, 0], n), np.repeat(e[:, 0], n)
@@ -222,11 +236,41 @@ def fit_multi_gaussian2d(
             values = {
                 "component": np.tile(np.arange(n), len(some)), "offset": level, "amp": amp, "x0": x0, "y0": y0, "fwhm_major": major * FWHM, "fwhm_minor": minor * FWHM, "theta": theta,
                 "pa": (math.pi / 2 - theta) % math.pi, "peak": amp + level, "offset_err": level_err, "peak_err": np.hypot(errs["amp_err"], level_err), **errs, "variance_explained": np.repeat(share, n),
+                **dict(zip(COVARIANCES, covs)),
             }
             yield {**{k: v.take(pa.array(np.repeat(some, n))) for k, v in planes.keys.items()}, **values}
 
-    names = ["offset", *PARAMETERS, "pa", "peak", "offset_err", "peak_err", *[f"{c}_err" for c in PARAMETERS], "variance_explained"]
-    return map_planes(img, ["l", "m", "value"], run, "component int, " + ", ".join(f"{c} double" for c in names))
+    names = ["offset", *PARAMETERS, "pa", "peak", "offset_err", "peak_err", *[f"{c}_err" for c in PARAMETERS], "variance_explained", *COVARIANCES]
+    fits = map_planes(img, ["l", "m", "value"], run, "component int, " + ", ".join(f"{c} double" for c in names))
+    return described(fits, n=n, initial=initial, offset=offset, bounds=bounds, min_threshold=min_threshold, max_threshold=max_threshold, mask=mask)
+
+
+#: What columns of fits hold, and their units.
+NOTES = {
+    "component": ("number of the component within its plane", ""), "offset": ("level under all components of the plane", "value"), "amp": ("height above the offset", "value"), "peak": ("height with the offset", "value"),
+    "x0": ("centre along l", "pixel"), "y0": ("centre along m", "pixel"), "fwhm_major": ("larger full width at half maximum", "pixel"), "fwhm_minor": ("smaller full width at half maximum", "pixel"),
+    "theta": ("angle of the major axis from +l towards +m", "rad"), "pa": ("angle of the major axis from +m towards -l, in [0, pi)", "rad"),
+    "variance_explained": ("1 - variance of the residual / variance of the data; near 1 is good, below 0 worse than a constant, null or NaN for flat planes", ""),
+    "cov_major_minor": ("covariance of the widths", "pixel2"), "cov_major_theta": ("covariance of the larger width and the angle", "pixel rad"), "cov_minor_theta": ("covariance of the smaller width and the angle", "pixel rad"),
+}
+
+
+def described(fits: DataFrame, longest: int = 120, **call: object) -> DataFrame:
+    """``fits`` with metadata of columns, which tables keep: what they hold and their units (``comment``, ``unit``), and with the
+    component the parameters of the call as text, each cut to ``longest`` characters."""
+    short = lambda v: text if len(text := str(v)) <= longest else text[: longest - 3] + "..."
+    columns = []
+    for c in fits.columns:
+        base = c.removesuffix("_err")
+        if base not in NOTES:
+            columns.append(F.col(c))
+            continue
+        comment, unit = NOTES[base]
+        notes = {"comment": comment if base == c else f"standard error: {comment}", "unit": unit}
+        if c == "component":
+            notes["call"] = json.dumps({k: short(v) for k, v in call.items() if v is not None}, sort_keys=True)
+        columns.append(F.col(c).alias(c, metadata=notes))
+    return fits.select(*columns)
 
 
 def to_world(fits: DataFrame, x: tuple[float, float, float], y: tuple[float, float, float]) -> DataFrame:
