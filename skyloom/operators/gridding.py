@@ -161,12 +161,6 @@ def model_at(at: DataFrame, model: DataFrame | None, n: int, support: int = 7, o
     return both[0].cogroup(both[1]).applyInArrow(look_up, schema)
 
 
-def less_model(summed: DataFrame, model: DataFrame, n: int, support: int = 7, oversampling: int = 100) -> DataFrame:
-    """Summed samples (see ``places``) less the model at their places."""
-    seen = model_at(summed, model, n, support, oversampling)
-    return seen.select(*PLACE, "w", *[(F.col(c) - F.col(f"model_{c}") * F.col("w")).alias(c) for c in ("re", "im")])
-
-
 def degrid_onto(vis: DataFrame, model: DataFrame | None, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, constant: float | None = None) -> DataFrame:
     """``vis`` with ``model_re, model_im``: the kernel-weighted mean of the grid (or a constant) around each sample; 0
     outside it or without coordinates."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import LIGHT, airy, cexp, cmul, spheroidal
 from ..session import checkpointed
-from . import calibration, deconvolution, fitting, gridding, images
+from . import blocks, calibration, deconvolution, fitting, gridding, images
 from .planes import KEY, Planes, map_planes
 
 #: Dish diameter and blockage in metres, by telescope.
@@ -97,6 +97,7 @@ def sidelobes(psf: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 CELL_KEY = ("chan", "iu", "iv")
+GRID_KEY = ("chan", "pol", "iu", "iv")
 
 
 def stokes_cells(cells: DataFrame, sums: DataFrame, feed: str, correlations: int) -> DataFrame:
@@ -145,8 +146,8 @@ def major_cycles(
     correlations: int = 4,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(model, residual image, log): CLEAN with residuals recomputed from the visibilities, until the controller stops or a
-    cycle finds no component. Each cycle grids the residual visibilities, cleans the image by plane within ``mask`` and
-    ``box``, adds to the model, and predicts the model at every place. ``start`` is a model to go on from. The measured
+    cycle finds no component. Each cycle takes the model, as seen at every place and gridded, off the gridded visibilities,
+    cleans the image by plane within ``mask`` and ``box``, and adds to the model. ``start`` is a model to go on from. The measured
     sidelobe of the point spread function sets the depth of a cycle. One budget of iterations serves all planes: what they
     have done together is taken off it.
 
@@ -156,11 +157,14 @@ def major_cycles(
 
     ``log`` has a row a plane and cycle, as ``deconvolution.summary``, ``merge_logs`` and ``convergence`` read it, with
     ``stopcode`` and the limits of the cycle. Samples of one place (cell and sub-cell) have one model value, so their weighted
-    sums stand for them: they are summed once, and cycles work on places."""
+    sums stand for them: they are summed and gridded once, and cycles work on the weights of places (see ``blocks``)."""
     spark = vis.sparkSession
-    sums = checkpointed(weight_sums(vis, n, cell))  # weights do not change from cycle to cycle
-    places = checkpointed(gridding.places(vis, n, cell))
-    spread_cells = gridding.grid_places(places, n, do_psf=True)
+    held = checkpointed(blocks.in_blocks(gridding.places(vis, n, cell), n))
+    sums = checkpointed(blocks.sum_weight(held).withColumnRenamed("pol", "plane").where("sum_weight > 0"))  # weights do not change from cycle to cycle
+    planes = sums.count()
+    dirty = checkpointed(blocks.grid(held, n))
+    spread_cells = dirty.select(*GRID_KEY, F.col("weight").alias("re"), F.lit(0.0).alias("im"))
+    dirty = dirty.drop("weight")
     psf = checkpointed(_intensity_spread(spread_cells, sums, n, correlations) if feed else _image_of(spread_cells, sums, n))
     sidelobe = checkpointed(sidelobes(psf))
     worst = sidelobe.agg(F.max("sidelobe")).first()[0] or 0.2
@@ -169,8 +173,7 @@ def major_cycles(
     model = start.select(*KEY, "l", "m", "value") if start is not None else None
     log: list[DataFrame] = []
     while True:
-        seen = gridding.less_model(places, _predicted_grid(model, n, feed, correlations), n) if model is not None else places
-        cells = gridding.grid_places(seen, n)
+        cells = dirty if model is None else _less(dirty, blocks.regrid(held, _predicted_grid(model, n, feed, correlations), n, planes))
         image = checkpointed(_stokes_of(cells, sums, n, feed, correlations) if feed else _image_of(cells, sums, n))
         finite = allowed & ~F.isnan("value") & (F.abs("value") != float("inf"))
         state = image.where(finite).agg(F.max(F.abs("value")).alias("peak"), F.count("*").alias("n")).first()
@@ -196,6 +199,12 @@ def major_cycles(
     return model if model is not None else image.where("false"), image, history
 
 
+def _less(cells: DataFrame, model: DataFrame) -> DataFrame:
+    """Gridded cells less those of a model, whose rows of a cell are summed."""
+    both = cells.unionByName(model.select(*GRID_KEY, (-F.col("re")).alias("re"), (-F.col("im")).alias("im")))
+    return both.groupBy(*GRID_KEY).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
 def _predicted_grid(model: DataFrame, n: int, feed: str | None, correlations: int) -> DataFrame:
     """The transform of a model, mixed into correlations where it is of Stokes parameters."""
     grid = model_grid(model, n)
