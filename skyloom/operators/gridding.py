@@ -63,10 +63,15 @@ def _kernel(kernel: Column, offset: Column, step: Column, oversampling: int) ->
 
 
 def places(vis: DataFrame, n: int = 64, cell: float = 5e-5, support: int = 7, oversampling: int = 100, mode: str = "cube") -> DataFrame:
-    """``chan, pol, ui, vi, uo, vo, w, re, im``: weighted sums of the samples that share a cell and a sub-cell."""
+    """``chan, pol, ui, vi, uo, vo, w, re, im``: weighted sums of the samples that share a cell and a sub-cell. They are grouped by
+    one number first of all: where a task has more places than memory, Spark sorts them, by rows if by many columns."""
     cells = _cells(vis, n, cell, support, oversampling, mode).where("wt <> 0")
     total = lambda c: F.sum((F.col(c) if c in vis.columns else F.lit(0.0)) * F.col("wt")).alias(c)
-    return cells.groupBy(*PLACE).agg(F.sum("wt").alias("w"), total("re"), total("im"))
+    wide, low = 4 * oversampling + 1, 2 * oversampling
+    place = F.expr(f"((bigint(ui) * {n} + vi) * {wide} + uo + {low}) * {wide} + vo + {low}")
+    sums = cells.groupBy(place.alias("place"), "chan", "pol").agg(F.sum("wt").alias("w"), total("re"), total("im"))
+    parts = {"ui": f"place div {wide * wide * n}", "vi": f"place div {wide * wide} % {n}", "uo": f"place div {wide} % {wide} - {low}", "vo": f"place % {wide} - {low}"}
+    return sums.select("chan", "pol", *[F.expr(f"int({e})").alias(c) for c, e in parts.items()], "w", "re", "im")
 
 
 PLACE = ["chan", "pol", "ui", "vi", "uo", "vo"]

@@ -65,3 +65,14 @@ def test_cycles_lay_no_footprints_as_rows(spark, monkeypatch):
     assert (top.l, top.m) == (N // 2 + 6, N // 2 - 4) and log.select("cycle").distinct().count() == 2
     none = deconvolution.IterationController(niter=10)
     assert imaging.major_cycles(data.where("false"), none, N, CELL)[0].count() == 0 and none.stopcode == 7
+
+
+def test_places_are_grouped_by_one_number(spark):
+    """The number that samples are grouped by holds cell and sub-cell, up to the edges of the grid."""
+    vis = _samples(spark, 400, 500)
+    places = gridding.places(vis, N, CELL)
+    want = gridding.spots(vis, N, CELL).groupBy(*gridding.PLACE).agg(*[F.sum(c).alias(c) for c in ("w", "re", "im")])
+    got, want = ({tuple(r)[:6]: tuple(r)[6:] for r in x.collect()} for x in (places, want))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got)
+    plan = places._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[place" in plan or "HashAggregate(keys=[_groupingexpression" in plan
